@@ -76,7 +76,7 @@ def _hash_segment(data: np.ndarray, codes: np.ndarray, breaks: np.ndarray) -> tu
     if len(breaks):
         # a document starts here without white space before it
         cut = breaks[(breaks > 0) & (breaks < len(data))]
-        cut = cut[inside[cut] & inside[cut - 1]]
+        cut = np.unique(cut[inside[cut] & inside[cut - 1]])  # empty documents repeat a bound
         if len(cut):
             starts = np.sort(np.concatenate([starts, cut]))
             ends = np.sort(np.concatenate([ends, cut]))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlight.llm.exact_dedup import exact_dedup
+from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.packing import pack_documents
 from crawlight.llm.token_counts import count_tokens
 
@@ -21,6 +22,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)
+), reach(doc_id, other) as (
+    select doc_id, doc_id from documents union select reach.doc_id, links.b from reach join links on links.a = reach.other
+)
+select d.doc_id, coalesce(any_value(sizes.n), 0)::bigint as n_shingles, min(reach.other) as component_id
+from documents d join reach on reach.doc_id = d.doc_id left join sizes on sizes.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -40,8 +67,8 @@ from documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op6_token_counts": op6_token_counts, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_packing": op2_packing, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op9_exact_dedup": OP9_SQL}
