@@ -171,7 +171,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = hits.join(heavy, "digest", "left_anti").join(light, "digest", "left_anti")
     single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
-    rows = keyed.join(heavy, "digest").unionByName(keyed.join(heavy, "digest", "left_anti").join(light, "digest"))
+    # texts move once, and those of groups are written: the same plan at any size
+    rows = keyed.join(heavy, "digest").unionByName(keyed.join(heavy, "digest", "left_anti").join(light.hint("merge"), "digest"))
+    rows = written(rows, "dedup-rows")
     same = written(_verify(rows), "dedup-verified")
     bad = same.where("not same").select("digest").distinct()
     if same.where("not same").isEmpty():
