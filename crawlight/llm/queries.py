@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlight.llm.exact_dedup import exact_dedup
 from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.packing import pack_documents
+from crawlight.llm.substrings import repeated_windows
 from crawlight.llm.token_counts import count_tokens
 
 
@@ -53,6 +54,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(_documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+with words as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from words, unnest(range(1, len(w) - 11)) as t(i)
+), firsts as (
+    select s, min(doc_id) as first from windows group by s
+), covered as (
+    select distinct doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (s) where first < doc_id
+), kept as (
+    select words.doc_id, count(covered.p) as n_removed, coalesce(string_agg(w[t.p], ' ' order by t.p) filter (covered.p is null), '') as text
+    from words, unnest(range(1, len(w) + 1)) as t(p) left join covered on covered.doc_id = words.doc_id and covered.p = t.p group by words.doc_id
+)
+select words.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from words left join kept on kept.doc_id = words.doc_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
@@ -67,8 +90,8 @@ from documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_packing": op2_packing, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
