@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from crawlight.llm.exact_dedup import exact_dedup
 from crawlight.llm.jaccard_join import jaccard_components
+from crawlight.llm.licenses import scan_licenses
 from crawlight.llm.packing import pack_documents
+from crawlight.llm.quality import fit_quality, in_fold, score_quality
 from crawlight.llm.substrings import repeated_windows
 from crawlight.llm.token_counts import count_tokens
 
@@ -23,6 +25,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = score_quality(docs, model)
+    return scores.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
@@ -89,8 +98,12 @@ from documents
 """
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
