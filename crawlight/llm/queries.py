@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlight.llm.exact_dedup import exact_dedup
+from crawlight.llm.fingerprints import fingerprint_edits
 from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.licenses import scan_licenses
+from crawlight.llm.mixing import KEEP, MARGINS, ROUNDS, TEMPER, TOPICS, with_probabilities
 from crawlight.llm.packing import pack_documents
 from crawlight.llm.quality import fit_quality, in_fold, score_quality
 from crawlight.llm.substrings import repeated_windows
@@ -58,6 +60,10 @@ from documents d join reach on reach.doc_id = d.doc_id left join sizes on sizes.
 """
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -85,6 +91,55 @@ from words left join kept on kept.doc_id = words.doc_id
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_probabilities(_documents(spark, sf_dir))
+    return docs.select(
+        "doc_id", F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("n_tokens"),
+        F.round("_mix_weight", 6).alias("weight"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_kept").alias("kept"),
+    )
+
+
+def _op8_sql() -> str:
+    """Raking in SQL: one step for each margin of each round."""
+    steps, last = [], "start"
+    for k in range(ROUNDS):
+        for m in MARGINS:
+            name = f"step_{k}_{m}"
+            steps.append(f"{name} as (select source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_{m} / sum(w) over (partition by {m}) as w from {last})")
+            last = name
+    goals = ", ".join(f"goals_{m} as (select {m}, power(sum(tokens)::double, {TEMPER}) / sum(power(sum(tokens)::double, {TEMPER})) over () as goal_{m} from cells group by {m})" for m in MARGINS)
+    return rf"""
+with docs as (
+    select doc_id, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang,
+           (('0x' || substr(md5(lower(regexp_extract(coalesce(text, ''), '([A-Za-z]{{6,}})', 1))), 1, 1))::int % {TOPICS})::varchar as topic,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens,
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 as u
+    from documents
+), cells as (
+    select source, lang, topic, sum(n_tokens)::bigint as tokens from docs group by all having sum(n_tokens) > 0
+), {goals}, start as (
+    select cells.*, goal_source, goal_lang, goal_topic, tokens::double as w from cells join goals_source using (source) join goals_lang using (lang) join goals_topic using (topic)
+), {", ".join(steps)}, rates as (
+    select *, w / tokens as rate from {last}
+), factors as (
+    select *, ({KEEP} * sum(tokens) over () - coalesce(sum(tokens) over (order by rate desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0))
+        / sum(w) over (order by rate desc, source, lang, topic rows between current row and unbounded following) as factor,
+        row_number() over (order by rate desc, source, lang, topic) as place
+    from rates
+), chosen as (
+    select min_by(factor, place) as factor from factors where factor > 0 and factor * rate <= 1
+), done as (
+    select source, lang, topic, rate * sum(tokens) over () / sum(w) over () as weight, coalesce(least(1.0, chosen.factor * rate), 1.0) as probability from rates, chosen
+)
+select doc_id, docs.source, docs.lang, docs.topic, n_tokens, round(coalesce(weight, 0.0), 6) as weight, round(coalesce(probability, 1.0), 6) as probability,
+       u < round(coalesce(probability, 1.0), 9) as kept
+from docs left join done on docs.source = done.source and docs.lang = done.lang and docs.topic = done.topic
+"""
+
+
+OP8_SQL = _op8_sql()
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
@@ -103,8 +158,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op5_fingerprints": op5_fingerprints, "op8_mixing": op8_mixing, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
