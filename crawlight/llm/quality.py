@@ -211,3 +211,16 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 yield batch_of(_SCORES, batch.column(0), model.score(features(batch.column(1))))
 
     return document_view(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_quality(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose score is at least ``least``, with all their columns; texts do not leave their partition."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = model.score(features(batch.column(batch.num_columns - 1))) >= least
+                yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
+
+    return docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scored_text")).mapInArrow(run, schema)
