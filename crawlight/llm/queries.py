@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlight.llm.exact_dedup import exact_dedup
 from crawlight.llm.fingerprints import fingerprint_edits
 from crawlight.llm.jaccard_join import jaccard_components
+from crawlight.llm.language_model import score_documents
 from crawlight.llm.licenses import scan_licenses
 from crawlight.llm.mixing import KEEP, MARGINS, ROUNDS, TEMPER, TOPICS, with_probabilities
 from crawlight.llm.packing import pack_documents
@@ -23,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -158,7 +163,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op5_fingerprints": op5_fingerprints, "op8_mixing": op8_mixing, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op5_fingerprints": op5_fingerprints, "op8_mixing": op8_mixing, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
