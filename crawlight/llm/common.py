@@ -7,6 +7,7 @@ whole batch with prefix sums, so no Python string is made per word.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -170,13 +171,22 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than ``width`` make one shingle, none make none."""
     if not len(words):
         return np.empty(0, np.uint64)
     if len(words) < width:
         return rolling(words, len(words)) + np.uint64(len(words))
-    return np.unique(rolling(words, width))
+    return distinct(rolling(words, width))
 
 
 def document_view(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,10 +204,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The rows as a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    Shuffle files of the finished job stay on disk until the driver collects
+    its garbage, so that is asked for here.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def id_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:

@@ -30,6 +30,7 @@ chance of about 2**-64.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -44,18 +45,26 @@ from crawlight.llm.graphs import components, lookup
 
 #: Groups of the count vectors, documents of a cell's side, entries of a leaf.
 GROUPS, CELL, LEAF = 256, 128, 16
+#: Nodes whose list is broadcast to pick their sets (8 bytes each); longer lists meet the sets by a shuffle.
+BROADCAST_NODES = 200_000
 #: Entries of the frequency table, and of one of its chunks.
 TABLE, CHUNK = 1 << 20, 1 << 12
 
 
 def vector_of(shingles: np.ndarray) -> np.ndarray:
-    """Counts per group; 255 and more is exact by spilling into an unbounded type only where needed."""
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.uint16)
+    """Counts per group, in the narrowest type that holds them."""
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def point_of(raw: bytes) -> np.ndarray:
+    """The count vector that was written as ``raw``."""
+    return np.frombuffer(raw, np.dtype(f"u{len(raw) // GROUPS}"))
 
 
 def node_of(shingles: np.ndarray) -> int:
     """One number for a set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))if len(shingles) else 0
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63 if len(shingles) else 0
 
 
 class CountRTree:
@@ -106,13 +115,20 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(TABLE, np.int32)
         for batch in batches:
-            ids, nodes, sizes = [], [], []
+            ids, nodes, sizes, held = [], [], [], 0
+            waiting: list[np.ndarray] = []
             for doc_id, shingles in _sets(batch, width):
                 ids.append(doc_id)
                 nodes.append(node_of(shingles))
                 sizes.append(len(shingles))
-                np.add.at(table, _slot(shingles), 1)
+                waiting.append(_slot(shingles))
+                held += len(shingles)
+                if held > TABLE:
+                    table += np.bincount(np.concatenate(waiting), minlength=TABLE).astype(np.int32)
+                    waiting, held = [], 0
             n = len(ids)
+            if held:
+                table += np.bincount(np.concatenate(waiting), minlength=TABLE).astype(np.int32)
             yield batch_of(_FIRST, ids, nodes, sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
         for k in range(0, TABLE, CHUNK):
             part = table[k : k + CHUNK]
@@ -158,7 +174,7 @@ def _prefixes(docs: DataFrame, frequencies, t: Fraction, width: int) -> DataFram
                 done.add(node)
                 often = table[_slot(shingles)]
                 take = n - -(-t.numerator * n // t.denominator) + 1
-                keys.append(shingles[np.lexsort((shingles, often))[:take]])
+                keys.append(shingles[np.argsort(often, kind="stable")[:take]])  # ties by hash: the set is sorted
                 nodes.append(np.full(take, node, np.int64))
                 centres.append(np.full(take, np.log1p(often).mean(), np.float32))
             if keys:
@@ -185,13 +201,31 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
+    """The (a, b) pairs whose summed minima reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                most = int(np.minimum(point_of(x), point_of(y)).sum(dtype=np.int64))
+                if most * (t.numerator + t.denominator) >= t.numerator * (n + m):
+                    left.append(a)
+                    right.append(b)
+            yield batch_of(_LINKS, left, right)
+
+    small = points.select("node", "n", "point")
+    rows = pairs.join(small.withColumnsRenamed({"node": "a", "n": "n_a", "point": "x"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "n_b", "point": "y"}), "b")
+    return rows.where(_close("n_a", "n_b", t)).select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
     """The (a, b) pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
@@ -203,11 +237,30 @@ def _verified(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
                     right.append(b)
             yield batch_of(_LINKS, left, right)
 
-    sets = points.select("node", "shingles")
+    pairs = written(pairs, "jaccard-pairs")
+    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("merge")
+    sets = points.select("node", "shingles").join(wanted, "node", "left_semi")
     rows = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _open_blocks(rows: DataFrame, size: DataFrame, t: Fraction) -> DataFrame:
+    """Of blocks with the same members one, without documents that no other of the block matches in size.
+
+    A passage that two documents share makes a block of every run in it.
+    """
+    # sizes that the threshold allows together are in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(t.denominator / t.numerator)))
+    rows = written(rows.join(size, "node").withColumn("band", band), "jaccard-rows")
+    near = rows.groupBy("key", "band").agg(F.count("*").alias("m")).select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "m")
+    near = near.groupBy("key", "band").agg(F.sum("m").alias("m")).where("m > 1").select("key", "band")
+    rows = written(rows.join(near, ["key", "band"], "left_semi"), "jaccard-rows")
+    same = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("g"), F.min("n").alias("x"), F.max("n").alias("y"))
+    same = same.where((F.col("m") > 2) | _close("x", "y", t)).groupBy("m", "h", "g").agg(F.min("key").alias("key")).select("key")
+    return rows.join(same, "key", "left_semi").select("key", "node", "central", "n")
+
+
 def _close(x: str, y: str, t: Fraction):
     """Sizes that the threshold allows."""
     least, most = F.least(x, y), F.greatest(x, y)
@@ -221,18 +274,18 @@ def _cell_pairs(cells: DataFrame, t: Fraction) -> DataFrame:
         data, asks = [r for r in rows if r[3] != 1], [r for r in rows if r[3] != 0]
         if not data or not asks:
             return [], []
-        tree = CountRTree(np.stack([np.frombuffer(r[7], np.uint16) for r in data]))
+        tree = CountRTree(np.stack([point_of(r[7]) for r in data]))
         nodes, parts, sizes = (np.array([r[k] for r in data], np.int64) for k in (4, 5, 6))
         left, right = [], []
         for r in asks:
-            size = r[6]
+            size, point = r[6], point_of(r[7])
             # overlap >= t (x + y - overlap), and y >= t x
             smallest = -(-t.numerator * size // t.denominator)
-            at = tree.within(np.frombuffer(r[7], np.uint16), -(-t.numerator * (size + smallest) // (t.numerator + t.denominator)))
+            at = tree.within(point, -(-t.numerator * (size + smallest) // (t.numerator + t.denominator)))
             at = at[(parts[at] != r[5]) & (nodes[at] != r[4])]
             if not len(at):
                 continue
-            bound = np.minimum(tree.levels[0][np.argsort(tree.order)[at]], np.frombuffer(r[7], np.uint16)).sum(1, dtype=np.int64)
+            bound = np.minimum(tree.levels[0][np.argsort(tree.order)[at]], point).sum(1, dtype=np.int64)
             at = at[(bound * (t.numerator + t.denominator) >= t.numerator * (size + sizes[at]))]
             for other in nodes[at].tolist():
                 left.append(max(r[4], other))
@@ -288,24 +341,23 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     frequencies = spark.sparkContext.broadcast(_frequencies(first))  # 4 MB
     keys = _prefixes(view, frequencies, threshold, width)
     several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
-    blocks = written(keys.join(several, "key", "left_semi").distinct(), "jaccard-blocks")
+    size = nodes.select("node", "n")
+    blocks = written(_open_blocks(keys.join(several.hint("merge"), "key", "left_semi").distinct(), size, threshold), "jaccard-blocks")
     members = blocks.select("node").distinct()
     ids = nodes.join(members, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    points = written(_points(view.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["node"]), "jaccard-points")
+    points = written(_points(view.join(ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["node"]), "jaccard-points")
 
     hubs = written(blocks.groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("hub")), "jaccard-hubs")
-    size = nodes.select("node", "n")
     stars = blocks.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(size.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(_close("n_a", "n_b", threshold))
-    links = written(_verified(stars.select("a", "b"), points, threshold), "jaccard-stars")
+    links = written(_verified(_bounded(stars, points, threshold), points, threshold), "jaccard-stars")
     parts = written(components(links), "jaccard-parts")
 
     # blocks that still have documents of several components
     part = F.coalesce("component", "node")
-    placed = blocks.join(parts, "node", "left").select("key", "node", part.alias("component"))
+    placed = blocks.join(parts, "node", "left").select("key", "node", "n", part.alias("component"))
     hub_part = hubs.join(parts.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    left = placed.join(open_keys.join(hub_part, "key"), "key").join(points.select("node", "n", "point"), "node")
+    left = placed.join(open_keys.join(hub_part, "key"), "key").join(points.select("node", "point"), "node")
     left = written(left, "jaccard-open")
     order = ["key", "i", "j"]
     cells = _cells(left).repartition(*order).sortWithinPartitions(*order)
