@@ -92,7 +92,7 @@ def decisions(robots: DataFrame, targets: DataFrame, bots: DataFrame) -> DataFra
     normal = F.when(F.col("path").rlike(r"^[A-Za-z0-9/%*?$&=:+,;@!~'()._-]*$") & ~F.col("path").contains("%"), F.col("path")).otherwise(octets_udf(F.col("path")))
     t = targets.select("site", "path", normal.alias("octets"))
     # rules are few for each site, so each path meets its site's rules only
-    met = t.join(r, "site").where((F.col("pattern") == "") | F.col("octets").rlike(pattern_regex(F.col("pattern"))))
+    met = t.join(r, "site").where((F.col("pattern") == "") | F.rlike(F.col("octets"), pattern_regex(F.col("pattern"))))
     best = met.groupBy("site", "path", "bot").agg(F.max_by(F.struct("is_allow", "pattern"), F.struct("specificity", "is_allow", -F.col("line"))).alias("best"))
     every = t.select("site", "path").join(asked, "site")
     out = every.join(best, ["site", "path", "bot"], "left").join(delay, ["site", "bot"], "left")

@@ -1 +1,190 @@
-QUERIES, SQL = {}, {}
+"""Robots files, access decisions and sitemaps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlight.functions import urls as U
+from crawlight.operators import robots as R
+from crawlight.operators import sitemaps as S
+from crawlight.queries.registry import Area
+from crawlight.queries.sqlbits import NETLOC
+from crawlight.sources.tables import ROBOTS, table
+
+area = Area()
+q = area.query
+
+_TEXT = ROBOTS.replace("'", "''")
+#: Every third host serves a page instead of a robots file; others have a stray line more.
+_ROBOTS = f"robots as (select distinct {NETLOC} as site, case when length({NETLOC}) % 3 = 0 then '<!DOCTYPE html><html></html>' else '{_TEXT}' || 'Allow' || chr(10) || 'Foo: bar' || chr(10) end as text from pages)"
+_LINES = rf"""{_ROBOTS}, raw_lines as (select site, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line, trim(regexp_replace(unnest(string_split(text, chr(10))), '#.*$', '')) as clean from robots),
+lines as (select site, line::int as line, lower(trim(regexp_extract(clean, '^([^:]*):', 1))) as field, trim(regexp_extract(clean, '^[^:]*:(.*)$', 1)) as value, contains(clean, ':') as has_colon from raw_lines where clean <> ''),
+known as (select *, case when field = 'user-agent' and coalesce(lag(field) over (partition by site order by line), 'allow') <> 'user-agent' then 1 else 0 end as begins from lines where field in ('user-agent', 'allow', 'disallow', 'crawl-delay')),
+grouped as (select *, sum(begins) over (partition by site order by line)::bigint as group_id from known)"""
+_RULES = rf"""{_LINES}, rules as (
+    select site, group_id, line, field = 'allow' or value = '' as is_allow, value as pattern, strlen(regexp_replace(replace(regexp_replace(value, '\$$', ''), '*', ''), '%[0-9A-Fa-f]{{2}}', 'x', 'g'))::int as specificity,
+           '^' || replace(regexp_replace(regexp_replace(value, '\$$', ''), '([\\.+?^$|(){{}}\[\]])', '\\\1', 'g'), '*', '.*') || case when ends_with(value, '$') then '$' else '' end as regex
+    from grouped where field in ('allow', 'disallow') and group_id > 0 and not (field = 'allow' and value = '')
+), agents as (select distinct site, group_id, lower(value) as agent from grouped where field = 'user-agent' and group_id > 0)"""
+_BOTS = ", ".join(f"('{a}', '{r}')" for a, r in R.AGENTS)
+_DECISIONS = rf"""{_RULES}, bots(bot, role) as (values {_BOTS}), asked as (select distinct site, bot, role from robots, bots),
+applied as (select k.site, k.bot, g.group_id from asked k join agents g on g.site = k.site and g.agent = lower(k.bot)
+    union all select k.site, k.bot, g.group_id from asked k join agents g on g.site = k.site and g.agent = '*' where not exists (select 1 from agents o where o.site = k.site and o.agent = lower(k.bot))),
+delay as (select site, bot, max(value::double) as crawl_delay from applied join grouped using (site, group_id) where field = 'crawl-delay' group by all),
+targets as (select distinct {NETLOC} as site, case when contains(url, '?') then regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end as path from pages union select distinct {NETLOC}, '/' from pages),
+met as (select t.site, t.path, a.bot, r.*exclude (site) from targets t join applied a on a.site = t.site join rules r on r.site = a.site and r.group_id = a.group_id where pattern = '' or regexp_matches(path, regex)),
+best as (select site, path, bot, max_by(struct_pack(is_allow := is_allow, pattern := pattern), struct_pack(s := specificity, a := is_allow::int, l := -line)) as best from met group by all),
+decisions as (select t.site, t.path, k.bot, k.role, coalesce(best.is_allow, true) as allowed, best.pattern as pattern, coalesce(crawl_delay, 0.0) as crawl_delay, best is null as is_default
+    from targets t join asked k on k.site = t.site left join best b on b.site = t.site and b.path = t.path and b.bot = k.bot left join delay x on x.site = t.site and x.bot = k.bot)"""
+
+
+def robots(spark, d):
+    host = U.netloc(F.col("url"))
+    text = F.when(F.length("site") % 3 == 0, "<!DOCTYPE html><html></html>").otherwise(ROBOTS + "Allow\nFoo: bar\n")
+    return table(spark, d, "pages").select(host.alias("site")).distinct().withColumn("text", text)
+
+
+def bots(spark):
+    return spark.createDataFrame(R.AGENTS, "bot string, role string")
+
+
+def decisions(spark, d):
+    host, url = U.netloc(F.col("url")), F.col("url")
+    p = table(spark, d, "pages").select(host.alias("site"), F.regexp_extract(url, "^[a-z]+://[^/?#]*([^#]*)", 1).alias("path"))
+    targets = p.unionByName(p.select("site", F.lit("/").alias("path"))).distinct()
+    return R.decisions(robots(spark, d), targets, bots(spark)).join(F.broadcast(bots(spark)), "bot")
+
+
+@q("o009_robots_lines", f"with {_LINES} select site, line, field, value from lines")
+def o009(spark, d):
+    return R.lines(robots(spark, d)).select("site", "line", "field", "value")
+
+
+@q("o070_robots_groups", f"with {_LINES} select site, group_id, count(*) filter (field = 'user-agent') as agents, count(*) filter (field in ('allow', 'disallow')) as rules from grouped group by all")
+def o070(spark, d):
+    return R.groups(robots(spark, d)).groupBy("site", "group_id").agg(F.count_if(F.col("field") == "user-agent").alias("agents"), F.count_if(F.col("field").isin("allow", "disallow")).alias("rules"))
+
+
+@q("o066_applied_rules", f"with {_DECISIONS} select site, bot, count(*) as rules, max(specificity) as longest from applied join rules using (site, group_id) group by all")
+def o066(spark, d):
+    r = robots(spark, d)
+    owned = R.agents(r).select("site", "agent", "group_id").distinct()
+    asked = r.select("site").join(F.broadcast(bots(spark).select("bot")))
+    exact = asked.withColumn("agent", F.lower("bot")).join(owned, ["site", "agent"])
+    rest = asked.join(exact.select("site", "bot").distinct(), ["site", "bot"], "left_anti").join(owned.where("agent = '*'"), "site")
+    every = exact.select("site", "bot", "group_id").unionByName(rest.select("site", "bot", "group_id"))
+    return every.join(R.rules(r), ["site", "group_id"]).groupBy("site", "bot").agg(F.count("*").alias("rules"), F.max("specificity").alias("longest"))
+
+
+@q("o071_robots_decisions", f"with {_DECISIONS} select site, path, bot, allowed, pattern, crawl_delay, is_default from decisions")
+def o071(spark, d):
+    return decisions(spark, d).drop("role")
+
+
+@q("o043_crawl_gate", f"with {_DECISIONS} select site, path from decisions where bot = 'OAI-SearchBot' and allowed")
+def o043(spark, d):
+    return decisions(spark, d).where("bot = 'OAI-SearchBot' and allowed").select("site", "path")
+
+
+@q("o072_role_rollup", f"with {_DECISIONS} select site, role, count(*) filter (not allowed) as blocked, coalesce(string_agg(bot, ',' order by bot) filter (not allowed), '') as bots, max(crawl_delay) > 5 as slow from decisions where path = '/' group by all")
+def o072(spark, d):
+    """Agents blocked at the root by role; roles have ten agents together."""
+    return decisions(spark, d).where("path = '/'").groupBy("site", "role").agg(
+        F.count_if(~F.col("allowed")).alias("blocked"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.col("bot")))), ",").alias("bots"), (F.max("crawl_delay") > 5).alias("slow")
+    )
+
+
+@q("r15_retrieval_blocked", f"with {_DECISIONS} select site, 'AI_RETRIEVAL_BLOCKED' as id, 'critical' as severity, count(*) as bots from decisions where path = '/' and role = 'retrieval' and not allowed group by site")
+def r15(spark, d):
+    blocked = decisions(spark, d).where("path = '/' and role = 'retrieval' and not allowed")
+    return blocked.groupBy("site", F.lit("AI_RETRIEVAL_BLOCKED").alias("id"), F.lit("critical").alias("severity")).agg(F.count("*").alias("bots"))
+
+
+@q("r16_observations", f"with {_DECISIONS} select site, bot, case when not allowed and role = 'training' then 'training_opt_out' when not allowed then 'user_fetch_blocked' else 'slow_crawl' end as kind from decisions where path = '/' and ((not allowed and role <> 'retrieval') or (role = 'retrieval' and crawl_delay > 5))")
+def r16(spark, d):
+    seen = decisions(spark, d).where("path = '/' and ((not allowed and role != 'retrieval') or (role = 'retrieval' and crawl_delay > 5))")
+    kind = F.when(~F.col("allowed") & (F.col("role") == "training"), "training_opt_out").when(~F.col("allowed"), "user_fetch_blocked").otherwise("slow_crawl")
+    return seen.select("site", "bot", kind.alias("kind"))
+
+
+@q("r14_robots_html", f"with {_ROBOTS} select site, 'ROBOTS_TXT_HTML_ERROR' as id, 'critical' as severity from robots where regexp_matches(text, '(?i)<(?:!doctype\\s+html|html|body|head)\\b')")
+def r14(spark, d):
+    return R.errors(robots(spark, d)).where("error = 'html_response'").select("site", F.lit("ROBOTS_TXT_HTML_ERROR").alias("id"), F.lit("critical").alias("severity"))
+
+
+_HTML = r"select site, 1 as line, 'html_response' as error from robots where regexp_matches(text, '(?i)<(?:!doctype\s+html|html|body|head)\b')"
+
+
+@q("o138_o139_robots_errors", rf"""with {_LINES}, e as (select l.site, l.line, case when not l.has_colon then 'missing_colon' when not regexp_full_match(l.field, '{R.DIRECTIVES}') then 'unknown_directive' when l.field in ('allow', 'disallow', 'crawl-delay') and g.group_id = 0 then 'rule_before_agent' when l.field = 'crawl-delay' and try_cast(l.value as double) is null then 'invalid_crawl_delay' when l.field = 'sitemap' and not regexp_matches(l.value, '^https?://') then 'relative_sitemap' end as error from lines l left join grouped g on g.site = l.site and g.line = l.line) select site, line, error from e where error is not null union all {_HTML}""")
+def o139(spark, d):
+    return R.errors(robots(spark, d))
+
+
+@q("o151_declared_sitemaps", f"with {_LINES}, s as (select site, value as url, min(line) as line from lines where field = 'sitemap' and value <> '' group by all) select site, url, line, row_number() over (partition by site order by line)::int as place from s")
+def o151(spark, d):
+    return R.sitemaps(robots(spark, d)).select("site", "url", "line", "place")
+
+
+def sitemap_bodies(spark, d):
+    """A sitemap for each host from its pages; some have a DTD, a bad date or no root."""
+    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), "page_id", F.regexp_replace("url", "[?#].*$", "").alias("loc"))
+    bad = F.col("page_id") % 11 == 0
+    entry = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.when(bad, "yesterday").otherwise("2024-01-02"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
+    s = p.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es"))  # the test corpus has a few pages a host
+    head = F.when(F.length("site") % 5 == 0, '<?xml version="1.0"?><!DOCTYPE x><urlset>').when(F.length("site") % 5 == 1, "<list>").otherwise('<?xml version="1.0"?><urlset>')
+    tail = F.when(F.length("site") % 5 == 1, "</list>").otherwise("</urlset>")
+    return s.select(F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), F.concat(head, F.array_join(F.col("es.e"), ""), tail).alias("body"))
+
+
+_BODIES = rf"""entries0 as (select {NETLOC} as site, page_id, '<url><loc>' || regexp_replace(url, '[?#].*$', '') || '</loc>' || case when page_id % 3 <> 0 then '<lastmod>' || case when page_id % 11 = 0 then 'yesterday' else '2024-01-02' end || '</lastmod>' else '' end || '</url>' as e from pages),
+bodies as (select 'https://' || site || '/sitemap.xml' as url, case when length(site) % 5 = 0 then '<?xml version="1.0"?><!DOCTYPE x><urlset>' when length(site) % 5 = 1 then '<list>' else '<?xml version="1.0"?><urlset>' end || string_agg(e, '' order by page_id) || case when length(site) % 5 = 1 then '</list>' else '</urlset>' end as body from entries0 group by site),
+parsed as (select url, body, case when regexp_matches(body, '(?i)<sitemapindex\b') then 'sitemapindex' when regexp_matches(body, '(?i)<urlset\b') then 'urlset' else 'unknown' end as kind, regexp_extract_all(body, '(?is)<loc>\s*(.*?)\s*</loc>', 1) as locs, regexp_extract_all(body, '(?is)<lastmod>\s*(.*?)\s*</lastmod>', 1) as mods from bodies),
+validated as (select url, kind, len(locs)::int as entry_count, len(mods) > 0 as has_lastmod,
+    concat_ws(',', case when strlen(body) > {S.MOST_BYTES} then 'too_large' end, case when regexp_matches(body, '(?i)<!DOCTYPE|<!ENTITY') then 'dtd' end, case when kind = 'unknown' then 'no_root' end, case when len(locs) = 0 then 'empty' end, case when len(locs) > {S.MOST_ENTRIES} then 'too_many' end, case when len(list_filter(locs, lambda x: not regexp_matches(x, '(?i)^https?://[^/]'))) > 0 then 'relative_loc' end) as errors,
+    concat_ws(',', case when len(mods) = 0 then 'missing_lastmod' end, case when len(list_filter(mods, lambda x: not regexp_matches(x, '{S.LASTMOD}'))) > 0 then 'bad_lastmod' end) as warnings from parsed)"""
+
+
+@q("o140_sitemap_validation", f"with {_BODIES} select url, kind, entry_count, has_lastmod, errors = '' as valid, errors, warnings from validated")
+def o140(spark, d):
+    return S.validated(sitemap_bodies(spark, d))
+
+
+@q("o008_sitemap_entries", f"with {_BODIES}, l as (select url, unnest(locs) as loc from parsed where kind <> 'none'), k as (select url, loc, regexp_matches(loc, '\\.xml(?:\\.gz)?$') or contains(lower(loc), 'sitemap') as is_sitemap from l) select * from k where loc <> ''")
+def o008(spark, d):
+    return S.children(sitemap_bodies(spark, d))
+
+
+@q("o140_gzip_sitemaps")
+def o140_gzip(spark, d):
+    """The same bodies as bytes: plain ones pass through the reader that unpacks gzip."""
+    b = sitemap_bodies(spark, d)
+    return S.validated(b.select("url", S.gunzipped(F.col("body").cast("binary")).alias("body")))
+
+
+@q("r17_sitemap_errors", f"with {_BODIES} select url, case when errors <> '' then 'SITEMAP_PROTOCOL_ERROR' else 'SITEMAP_VALID' end as id, case when errors <> '' then 'high' end as severity, errors from validated")
+def r17(spark, d):
+    v = S.validated(sitemap_bodies(spark, d))
+    return v.select("url", F.when(F.col("valid"), "SITEMAP_VALID").otherwise("SITEMAP_PROTOCOL_ERROR").alias("id"), F.when(~F.col("valid"), "high").alias("severity"), "errors")
+
+
+@q("r18_missing_llms_txt", f"with s as (select distinct {NETLOC} as site from pages), l as (select distinct {NETLOC} as site from pages where regexp_matches(url, '/(?:llms\\.txt|1[0-9])') ) select site, 'LLMS_TXT_MISSING' as id from s anti join l using (site)")
+def r18(spark, d):
+    """Sites without a manifest; pages 10 to 19 stand for one."""
+    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), "url")
+    return p.select("site").distinct().join(p.where(F.col("url").rlike(r"/(?:llms\.txt|1[0-9])")).select("site").distinct(), "site", "left_anti").select("site", F.lit("LLMS_TXT_MISSING").alias("id"))
+
+
+_INDEX = "site{k}"
+
+
+@q("o007_sitemap_bfs", "with recursive tree(url, child) as (select 'root', 'n' || n_regionkey from nation union all select 'n' || n_regionkey, 'c' || n_nationkey from nation), reach(url, depth) as (select 'root', 0 union select t.child, r.depth + 1 from reach r join tree t on t.url = r.url where r.depth < 5) select url, min(depth)::int as depth from reach group by url")
+def o007(spark, d):
+    """Breadth-first walk of a sitemap index; here regions hold nations."""
+    n = table(spark, d, "nation")
+    top = n.select(F.lit("root").alias("url"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("child"))
+    low = n.select(F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("url"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("child"))
+    top.unionByName(low).createOrReplaceTempView("_sitemap_tree")
+    return spark.sql("with recursive reach(url, depth) as (select 'root', 0 union all select distinct t.child, r.depth + 1 from reach r join (select distinct url, child from _sitemap_tree) t on t.url = r.url where r.depth < 5) select url, min(depth) as depth from reach group by url")
+
+
+QUERIES, SQL = area.queries, area.sql
