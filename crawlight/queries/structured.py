@@ -1 +1,206 @@
-QUERIES, SQL = {}, {}
+"""JSON-LD graphs, identity and answerability rules, corroboration.
+
+Blocks are made from parts, suppliers and nations: products with an offer of
+their own, by reference or by inverse reference, organisations with sameAs
+links, and malformed blocks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlight.functions import text as T
+from crawlight.functions import urls as U
+from crawlight.operators import structured as S
+from crawlight.queries.registry import Area
+from crawlight.queries.sqlbits import NETLOC, TITLE
+from crawlight.sources.tables import table
+
+area = Area()
+q = area.query
+
+#: A JSON-LD block of a part, as SQL text that both engines read alike (single quotes, || only).
+_BODY = """case when p_partkey % 7 = 0 then '{"@type":"Product","name":' when p_partkey % 7 = 1 then '[{"@type":["Product","Thing"],"@id":"p' || p_partkey || '","name":"' || p_name || '","offers":{"@id":"o' || p_partkey || '"}},{"@type":"Offer","@id":"o' || p_partkey || '","price":"' || p_size || '.50","availability":"https://schema.org/InStock"}]'
+ when p_partkey % 7 = 2 then '{"@graph":[{"@type":"Product","@id":"p' || p_partkey || '","name":"' || p_name || '"},{"@type":"Offer","@id":"x","price":"' || p_size || '","availability":"Discontinued","itemOffered":{"@id":"p' || p_partkey || '"}}]}'
+ when p_partkey % 7 = 3 then '{"@type":"Organization","name":"' || p_brand || '","sameAs":["https://en.wikipedia.org/wiki/' || p_partkey || '","ftp://no"]}'
+ when p_partkey % 7 = 4 then '{"@type":"Organization","@id":"https://other.example.org/#org","name":"' || p_brand || '","sameAs":"https://www.wikidata.org/' || p_size || '"}'
+ else '{"@type":"Product","@id":"p' || p_partkey || '","name":"' || p_name || '","sku":"S' || p_size || '","description":"' || p_type || '","offers":[{"price":"' || p_size || '.00","priceCurrency":"usd","availability":"https://schema.org/PreOrder"}]}' end"""
+
+
+def blocks(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_BODY).alias("body"))
+
+
+def entities(spark, d):
+    return S.entities(S.nodes(blocks(spark, d)))
+
+
+_NODES = f"""blocks as (select p_partkey as page_id, {_BODY} as body from part), good as (select page_id, body::json as v from blocks where json_valid(body)),
+items as (select page_id, case when json_type(v) = 'ARRAY' then unnest(from_json(v, '["json"]')) else v end as v from good where json_type(v) = 'ARRAY' union all select page_id, v from good where json_type(v) = 'OBJECT'),
+nodes as (select page_id, v from items where json_extract(v, '$."@graph"') is null union all select page_id, unnest(from_json(json_extract(v, '$."@graph"'), '["json"]')) from items where json_extract(v, '$."@graph"') is not null),
+typed as (select page_id, v, case json_type(v, '$."@type"') when 'ARRAY' then list_transform(from_json(json_extract(v, '$."@type"'), '["varchar"]'), lambda x: lower(x)) else [lower(json_extract_string(v, '$."@type"'))] end as types,
+    case when json_type(v, '$.offers') = 'ARRAY' then json_extract(v, '$.offers[0]') else json_extract(v, '$.offers') end as offer,
+    case json_type(v, '$.sameAs') when 'ARRAY' then from_json(json_extract(v, '$.sameAs'), '["varchar"]') when 'VARCHAR' then [json_extract_string(v, '$.sameAs')] else [] end as same_as from nodes),
+entities as (select page_id, types, same_as, json_extract_string(v, '$."@id"') as node_id, json_extract_string(v, '$.name') as name, json_extract_string(v, '$.sku') as sku, json_extract_string(v, '$.description') as description,
+    json_extract_string(offer, '$.price') as price, upper(coalesce(json_extract_string(offer, '$.priceCurrency'), 'UNKNOWN')) as currency, json_extract_string(offer, '$.availability') as availability, json_extract_string(offer, '$."@id"') as offer_id,
+    json_extract_string(v, '$.itemOffered."@id"') as item_id, json_extract_string(v, '$.price') as node_price, json_extract_string(v, '$.availability') as node_availability from typed)"""
+
+
+@q("o142_jsonld_nodes", f"with {_NODES} select page_id, count(*) as nodes from entities group by page_id")
+def o142(spark, d):
+    return S.nodes(blocks(spark, d)).groupBy("page_id").agg(F.count("*").alias("nodes"))
+
+
+@q("o143_offer_nodes", f"with {_NODES} select page_id, count(*) as found from entities where list_has_any(types, ['product', 'offer', 'aggregateoffer']) group by page_id")
+def o143(spark, d):
+    return entities(spark, d).where(S.has_type(F.col("types"), "Product", "Offer", "AggregateOffer")).groupBy("page_id").agg(F.count("*").alias("found"))
+
+
+@q("o144_type_match", f"with {_NODES} select page_id, coalesce(node_id, '') as node_id, array_to_string(list_sort(types), ',') as types, list_has_any(types, ['organization', 'corporation', 'localbusiness']) as is_organization from entities")
+def o144(spark, d):
+    return entities(spark, d).select("page_id", F.coalesce("node_id", F.lit("")).alias("node_id"), F.array_join(F.array_sort("types"), ",").alias("types"), S.has_type(F.col("types"), "Organization", "Corporation", "LocalBusiness").alias("is_organization"))
+
+
+_FORWARD = "with {nodes}, offers as (select * from entities where list_has_any(types, ['offer', 'aggregateoffer'])), f as (select page_id, node_id as offer_id, min(node_price) as f_price, min(node_availability) as f_av from offers where node_id is not null group by all), i as (select page_id, item_id as node_id, min(node_price) as i_price, min(node_availability) as i_av from offers where item_id is not null group by all), resolved as (select p.page_id, p.node_id, p.name, coalesce(p.price, f_price, i_price) as price, coalesce(p.availability, f_av, i_av) as availability, p.description, p.sku from entities p left join f using (page_id, offer_id) left join i on i.page_id = p.page_id and i.node_id = p.node_id where list_contains(p.types, 'product'))".replace("{nodes}", _NODES)
+
+
+@q("o062_graph_references", f"{_FORWARD} select page_id, name, price, availability from resolved where page_id % 7 = 1")
+def o062(spark, d):
+    return S.resolved_offers(entities(spark, d)).where("page_id % 7 = 1").select("page_id", "name", "price", "availability")
+
+
+@q("o063_inverse_references", f"{_FORWARD} select page_id, name, price, availability from resolved where page_id % 7 = 2")
+def o063(spark, d):
+    return S.resolved_offers(entities(spark, d)).where("page_id % 7 = 2").select("page_id", "name", "price", "availability")
+
+
+@q("o084_answerability", f"{_FORWARD} select page_id, name, round_even((price is not null)::int * 0.25::double + (availability is not null)::int * 0.25::double + (name is not null)::int * 0.2::double + (coalesce(description, '') <> '')::int * 0.3::double, 2) as score from resolved")
+def o084(spark, d):
+    r = S.resolved_offers(entities(spark, d))
+    score = S.answerability(F.col("price").isNotNull(), F.col("availability").isNotNull(), F.col("name").isNotNull(), F.coalesce("description", F.lit("")) != "")
+    return r.select("page_id", "name", F.bround(score.cast("double"), 2).alias("score"))
+
+
+@q("o102_missing_attributes", f"{_FORWARD} select page_id, concat_ws(',', case when price is null then 'price' end, case when availability is null then 'availability' end, case when description is null then 'description' end) as missing from resolved")
+def o102(spark, d):
+    r = S.resolved_offers(entities(spark, d))
+    return r.select("page_id", F.concat_ws(",", *(F.when(F.col(c).isNull(), c) for c in ("price", "availability", "description"))).alias("missing"))
+
+
+@q("r21_attribute_incompleteness", f"{_FORWARD} select page_id, 'ATTRIBUTE_INCOMPLETENESS' as id, 'medium' as severity from resolved where price is null or availability is null or description is null")
+def r21(spark, d):
+    r = S.resolved_offers(entities(spark, d)).where("price is null or availability is null or description is null")
+    return r.select("page_id", F.lit("ATTRIBUTE_INCOMPLETENESS").alias("id"), F.lit("medium").alias("severity"))
+
+
+@q("r20_entity_ambiguity", f"with {_NODES}, o as (select distinct page_id % 250 as page_id from entities where list_has_any(types, ['organization', 'corporation', 'localbusiness']) and page_id % 3 = 0), p as (select page_id, {TITLE} as title from pages anti join o using (page_id)) select page_id, case when title = '' then 'finding' else 'recommendation' end as kind from p")
+def r20(spark, d):
+    """Pages without an organisation: a finding only if the title is silent too."""
+    o = entities(spark, d).where(S.has_type(F.col("types"), "Organization", "Corporation", "LocalBusiness") & (F.col("page_id") % 3 == 0)).select((F.col("page_id") % 250).alias("page_id")).distinct()
+    return table(spark, d, "pages").join(o, "page_id", "left_anti").select("page_id", F.when(T.title(F.col("html")) == "", "finding").otherwise("recommendation").alias("kind"))
+
+
+@q("r22_speakable_breadcrumb", f"with {_NODES} select page_id, 'BREADCRUMB_MISSING' as id from (select distinct page_id from entities) anti join (select page_id from entities where list_contains(types, 'breadcrumblist') or page_id % 5 = 0) using (page_id)")
+def r22(spark, d):
+    e = entities(spark, d)
+    return e.select("page_id").distinct().join(e.where(S.has_type(F.col("types"), "BreadcrumbList") | (F.col("page_id") % 5 == 0)).select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit("BREADCRUMB_MISSING").alias("id"))
+
+
+@q("r05_cross_host_identity", f"with {_NODES}, e as (select page_id, {'regexp_extract(node_id, ' + chr(39) + '^https?://([^/?#]*)' + chr(39) + ', 1)'} as host from entities where starts_with(node_id, 'http')) select page_id, host, array_to_string(string_split(host, '.')[-2:], '.') as root, 'medium' as severity from e where array_to_string(string_split(host, '.')[-2:], '.') <> 'example.com'")
+def r05(spark, d):
+    """Nodes whose id lives under another registered name than the site's (example.com here)."""
+    e = entities(spark, d).where(F.col("node_id").startswith("http")).select("page_id", U.netloc(F.col("node_id")).alias("host"))
+    return e.select("page_id", "host", U.registered_root(F.col("host")).alias("root"), F.lit("medium").alias("severity")).where("root != 'example.com'")
+
+
+_SAME = f"with {_NODES}, s as (select page_id, unnest(same_as) as link from entities), links as (select distinct page_id, link from s where regexp_matches(link, '^https?://'))"
+
+
+def same_as(spark, d):
+    e = entities(spark, d).select("page_id", F.explode("same_as").alias("link"))
+    return e.where(F.col("link").rlike("^https?://")).distinct()
+
+
+@q("o146_same_as", f"{_SAME} select page_id, array_to_string(list_sort(list(link)), ' ') as links from links group by page_id")
+def o146(spark, d):
+    return same_as(spark, d).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("link")), " ").alias("links"))
+
+
+@q("r40_same_as_missing", f"{_SAME} select distinct page_id, 'SAME_AS_MISSING' as id from entities anti join links using (page_id)")
+def r40(spark, d):
+    return entities(spark, d).select("page_id").distinct().join(same_as(spark, d), "page_id", "left_anti").select("page_id", F.lit("SAME_AS_MISSING").alias("id"))
+
+
+#: What a probe of an anchor returned: by the page's number.
+_PROBED = "case page_id % 4 when 0 then 200 when 1 then 404 when 2 then null else 200 end"
+
+
+@q("r41_broken_anchors", f"{_SAME}, p as (select *, {_PROBED} as status from links) select page_id, link, case when status is null then 'inconclusive' else 'broken' end as class from p where status is null or status <> 200")
+def r41(spark, d):
+    """Anchors that do not answer 200; no answer at all is inconclusive, not broken."""
+    p = same_as(spark, d).withColumn("status", F.expr(_PROBED)).where("status is null or status != 200")
+    return p.select("page_id", "link", F.when(F.col("status").isNull(), "inconclusive").otherwise("broken").alias("class"))
+
+
+@q("r42_corroboration_gap", f"{_SAME}, b as (select page_id, lower(name) as brand from entities where list_contains(types, 'organization')), p as (select l.page_id, link, brand, case when l.page_id % 4 = 3 then 'About ' || brand else 'Profile' end as title, case when l.page_id % 4 = 0 and l.page_id % 3 = 0 then 'text on ' || brand else 'text' end as body from links l join b using (page_id)) select page_id, link, contains(title, brand) or contains(body, brand) as corroborated from p")
+def r42(spark, d):
+    """Whether the linked page names the brand, in title or text; both are made from the page's number."""
+    b = entities(spark, d).where(S.has_type(F.col("types"), "Organization")).select("page_id", F.lower("name").alias("brand"))
+    p = same_as(spark, d).join(b, "page_id")
+    title = F.when(F.col("page_id") % 4 == 3, F.concat(F.lit("About "), "brand")).otherwise("Profile")
+    body = F.when((F.col("page_id") % 4 == 0) & (F.col("page_id") % 3 == 0), F.concat(F.lit("text on "), "brand")).otherwise("text")
+    return p.select("page_id", "link", (F.contains(title, F.col("brand")) | F.contains(body, F.col("brand"))).alias("corroborated"))
+
+
+_MICRO = "'<div itemscope itemtype=\"https://schema.org/Product\"><span itemprop=\"sku\">ECS-' || p_partkey || '</span><meta itemprop=\"name\" content=\"' || p_name || '\"></div>'"
+
+
+@q("o145_microdata", "select p_partkey as page_id, 'Product' as item_type, unnest(['sku', 'name']) as property, unnest(['ECS-' || p_partkey, p_name]) as value from part")
+def o145(spark, d):
+    return S.microdata(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_MICRO).alias("html")))
+
+
+@q("o069_without_schema", f"with {_NODES} select p_partkey as page_id from part where p_partkey not in (select page_id from entities where list_contains(types, 'product'))")
+def o069(spark, d):
+    e = entities(spark, d).where(S.has_type(F.col("types"), "Product")).select("page_id").distinct()
+    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id")).join(e, "page_id", "left_anti")
+
+
+@q("o101_type_intersection", f"with {_NODES} select page_id, len(list_intersect(types, ['product', 'thing', 'offer']))::int as shared from entities")
+def o101(spark, d):
+    return entities(spark, d).select("page_id", F.size(F.array_intersect("types", F.array(*map(F.lit, ["product", "thing", "offer"])))).alias("shared"))
+
+
+_LABELS = {"ECOMMERCE": ["the", "and"], "BLOG_NEWS": ["der", "die"], "DOCUMENTATION": ["de", "la"]}
+_PATHS = {"ECOMMERCE": "/en", "BLOG_NEWS": "/de", "DOCUMENTATION": "/fr"}
+
+
+def _archetype_sql() -> str:
+    points = []
+    for cat in _LABELS:
+        hits = " + ".join(f"contains(lower(title), '{w}')::int" for w in _LABELS[cat])
+        points.append(f"select site, '{cat}' as category, 'url_path' as family, 1 as points from (select distinct site, path from p) where regexp_matches(path, '{_PATHS[cat]}')")
+        points.append(f"select site, '{cat}', 'label_cues', 3 from p where ({hits}) >= 2")
+    return f"with p as (select {NETLOC} as site, page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path, {TITLE} as title from pages), points as ({' union all '.join(points)}), scored as (select site, category, sum(points)::bigint as score, count(distinct family) as families from points group by all), ranked as (select *, row_number() over (partition by site order by score desc, category) as place from scored where score >= 5 and families >= 2) select site, category, score, families, place, case when score >= 10 and families >= 3 then 'high' else 'medium' end as confidence from ranked where place <= 4"
+
+
+@q("o082_site_archetype", _archetype_sql())
+def o082(spark, d):
+    """Evidence rows from paths (1 each) and labels (3 each), then points and families per category (O-067, O-082)."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), F.lower(U.path(F.col("url"))).alias("path"), F.lower(T.title(F.col("html"))).alias("title"))
+    rows = []
+    for cat in _LABELS:
+        hits = sum((F.col("title").contains(w).cast("int") for w in _LABELS[cat]), F.lit(0))
+        rows.append(p.select("site", "path").distinct().where(F.col("path").rlike(_PATHS[cat])).select("site", F.lit(cat).alias("category"), F.lit("url_path").alias("family"), F.lit(1).alias("points")))
+        rows.append(p.where(hits >= 2).select("site", F.lit(cat).alias("category"), F.lit("label_cues").alias("family"), F.lit(3).alias("points")))
+    points = rows[0]
+    for r in rows[1:]:
+        points = points.unionByName(r)
+    s = points.groupBy("site", "category").agg(F.sum("points").alias("score"), F.count_distinct("family").alias("families")).where("score >= 5 and families >= 2")
+    s = s.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "category")).cast("long")).where("place <= 4")
+    return s.withColumn("confidence", F.when((F.col("score") >= 10) & (F.col("families") >= 3), "high").otherwise("medium"))
+
+
+QUERIES, SQL = area.queries, area.sql
