@@ -1 +1,50 @@
-QUERIES, SQL = {}, {}
+"""Batch twins of the streaming operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlight.queries.registry import Area
+from crawlight.sources.tables import table
+from crawlight.streaming import events as E
+
+area = Area()
+q = area.query
+
+
+def events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df):
+    return df.withColumn("start", F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@q("s01_error_rate", "select strftime(date_trunc('hour', ts)::timestamp, '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events, count(*) filter (event_type = 'error') as errors from events group by 1")
+def s01(spark, d):
+    return _plain(E.error_rate(events(spark, d)))
+
+
+@q("s02_sliding_availability", "with k as (select date_trunc('hour', ts) - to_hours(i::int) as start, event_type from events, range(6) t(i)) select strftime(start::timestamp, '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events, count(*) filter (event_type = 'error') as errors from k group by 1")
+def s02(spark, d):
+    return _plain(E.error_rate(events(spark, d), "6 hours", "1 hour"))
+
+
+@q("s03_sessions", "with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as session from g) select user_id, strftime(min(ts)::timestamp, '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events from s group by user_id, session")
+def s03(spark, d):
+    return _plain(E.sessions(events(spark, d)))
+
+
+@q("s04_first_seen", "select user_id, event_type, count(*) > 0 as seen from events group by all")
+def s04(spark, d):
+    return table(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type", F.lit(True).alias("seen"))
+
+
+@q("s05_price_range", "select user_id % 20 as key, floor(min(value))::bigint as low, floor(max(value))::bigint as high from events where event_type = 'purchase' group by 1")
+def s05(spark, d):
+    """What the alerts of a whole stream end in."""
+    p = table(spark, d, "events").where("event_type = 'purchase'")
+    return p.groupBy(F.pmod("user_id", F.lit(20)).alias("key")).agg(F.floor(F.min("value")).alias("low"), F.floor(F.max("value")).alias("high"))
+
+
+QUERIES, SQL = area.queries, area.sql

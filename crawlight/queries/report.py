@@ -1 +1,307 @@
-QUERIES, SQL = {}, {}
+"""Candidates, evidence, merge, ranking, scores and validation over document findings.
+
+A document's source is the site, the document the artifact; findings come
+from four content rules.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from crawlight.functions import text as T
+from crawlight.plans import catalogue as C
+from crawlight.plans import report as P
+from crawlight.queries.content import _FACTS, content_facts
+from crawlight.queries.registry import Area, sql_in
+from crawlight.sources.tables import table
+
+area = Area()
+q = area.query
+
+#: Cause, severity, condition over the content facts.
+SOURCES = [
+    ("CONTENT_DEPTH_INSUFFICIENT", "medium", "words > 25 and words < 200"), ("MISSING_IN_DEPTH_MECHANISMS", "high", "depth < 1 and words > 400"),
+    ("PROACTIVE.GEO.STATISTICAL_EVIDENCE.001", "low", "statistics = 0 and words > 100"), ("UNMAPPED_CAUSE", "critical", "words > 3000"),
+]
+
+
+def _case_sql(column: str, mapping: dict, default: str = "null") -> str:
+    return "case " + " ".join(f"when {column} = '{k}' then {v if not isinstance(v, str) else repr(v)}" for k, v in mapping.items()) + f" else {default} end"
+
+
+_FINDINGS = f"{_FACTS}, findings as (" + " union all ".join(f"select doc_id, '{cause}' as cause, '{severity}' as severity from facts where {condition}" for cause, severity, condition in SOURCES) + ")"
+_CANDIDATES = f"""{_FINDINGS}, candidates0 as (
+    select d.source as site, 'doc-' || f.doc_id as scope, 'page_' || f.doc_id as artifact, f.cause, f.severity, {_case_sql('f.cause', C.CAUSES)} as check_id, {_case_sql('f.severity', C.BANDS, "'S1'")} as band,
+           case when f.severity in ('critical', 'high') then 'confirmed_problem' else 'advisory' end as kind, case when f.severity in ('critical', 'high') then 'confirmed' else 'advisory' end as queue, 2 as difficulty,
+           case when f.doc_id % 13 = 0 then 'bad locator' else 'text' end as locator, f.doc_id % 17 <> 0 as complete, d.text as artifact_text,
+           case when f.doc_id % 11 = 0 then 'made up quote' else coalesce(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: length(w) > 4)[1], left(d.text, 20)) end as quote
+    from findings f join documents d using (doc_id)
+), catalogue0 as (select * from {C.values_sql()}), gated as (
+    select c.*, k.owner, k.domain, case when k.owner is null then 'unknown_check' when locator <> 'text' then 'locator_grammar' when quote = '' then 'quote_missing' when not contains(artifact_text, quote) then 'quote_not_found' when kind = 'confirmed_problem' and not complete then 'incomplete_scope' end as drop_reason
+    from candidates0 c left join catalogue0 k using (check_id)
+), merged as (
+    select site, scope, kind, cause, list_sort(list_distinct(list(check_id))) as check_ids, count(distinct artifact) as artifacts, max(band) as band, min(queue) as queue, min(difficulty) as difficulty from gated where drop_reason is null group by all
+), ranked as (
+    select *, row_number() over (partition by site order by case queue when 'confirmed' then 0 when 'advisory' then 1 else 2 end, band desc, difficulty, artifacts desc, cause, scope) as place, 5 * substr(band, 2, 1)::int + (6 - difficulty) as priority_index from merged
+)"""
+
+
+def findings(spark, d):
+    """O-100: the rules' findings as one table."""
+    facts = content_facts(spark, d)
+    out = None
+    for cause, severity, condition in SOURCES:
+        f = facts.where(condition).select("doc_id", F.lit(cause).alias("cause"), F.lit(severity).alias("severity"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def artifacts(spark, d):
+    return table(spark, d, "documents").select(F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("artifact"), "text")
+
+
+def candidates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    f = findings(spark, d).join(docs, "doc_id")
+    key = F.col("doc_id").cast("string")
+    quote = F.when(F.col("doc_id") % 11 == 0, "made up quote").otherwise(P.grounded_quote(F.col("text"), []))
+    rows = f.select(
+        F.col("source").alias("site"), F.concat(F.lit("doc-"), key).alias("scope"), F.concat(F.lit("page_"), key).alias("artifact"), "cause", "severity",
+        F.when(F.col("doc_id") % 13 == 0, "bad locator").otherwise("text").alias("locator"), (F.col("doc_id") % 17 != 0).alias("complete"), quote.alias("quote"),
+    )
+    return P.candidates(rows)
+
+
+def gated(spark, d):
+    return P.gated(candidates(spark, d), artifacts(spark, d), C.catalogue(spark))
+
+
+def merged(spark, d):
+    return P.merged(gated(spark, d).where("drop_reason is null"))
+
+
+@q("o100_findings_union", f"with {_FINDINGS} select doc_id, cause, severity from findings")
+def o100(spark, d):
+    return findings(spark, d)
+
+
+@q("o114_candidates", f"with {_CANDIDATES} select site, scope, cause, coalesce(check_id, '') as check_id, band, kind, queue, difficulty from candidates0")
+def o114(spark, d):
+    return candidates(spark, d).select("site", "scope", "cause", F.coalesce("check_id", F.lit("")).alias("check_id"), "band", "kind", "queue", "difficulty")
+
+
+@q("o060_catalogue_join", f"with {_CANDIDATES} select coalesce(owner, 'unknown') as owner, count(*) as candidates from gated group by all")
+def o060(spark, d):
+    return gated(spark, d).groupBy(F.coalesce("owner", F.lit("unknown")).alias("owner")).agg(F.count("*").alias("candidates"))
+
+
+@q("o061_evidence_join", f"with {_CANDIDATES} select artifact, count(*) as refs, bool_and(contains(artifact_text, quote)) as grounded from candidates0 group by artifact")
+def o061(spark, d):
+    c = candidates(spark, d).join(artifacts(spark, d), "artifact", "left")
+    return c.groupBy("artifact").agg(F.count("*").alias("refs"), F.bool_and(F.contains("text", F.col("quote"))).alias("grounded"))
+
+
+@q("o149_grounded_quote", "select doc_id, coalesce(case when contains(text, 'the') then 'the' end, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 4)[1], left(text, 20)) as quote from documents")
+def o149(spark, d):
+    return table(spark, d, "documents").select("doc_id", P.grounded_quote(F.col("text"), [F.lit("the"), F.lit("no")]).alias("quote"))
+
+
+@q("o110_evidence_gate", f"with {_CANDIDATES} select site, scope, cause, coalesce(drop_reason, 'kept') as outcome from gated")
+def o110(spark, d):
+    return gated(spark, d).select("site", "scope", "cause", F.coalesce("drop_reason", F.lit("kept")).alias("outcome"))
+
+
+@q("o045_candidate_guards", f"with {_CANDIDATES}, g as (select scope, cause, case when scope like '%7' then 'S9' when scope like '%8' then 'U' else band end as band, kind from candidates0) select scope, cause, case when band not in ('S4', 'S3', 'S2', 'S1', 'S0', 'U') then 'invalid_band' when kind = 'confirmed_problem' and band in ('S0', 'U') then 'unassessable' end as reason from g where band not in ('S4', 'S3', 'S2', 'S1', 'S0', 'U') or (kind = 'confirmed_problem' and band in ('S0', 'U'))")
+def o045(spark, d):
+    band = F.when(F.col("scope").endswith("7"), "S9").when(F.col("scope").endswith("8"), "U").otherwise(F.col("band"))
+    c = candidates(spark, d).withColumn("band", band).withColumns({"check_id": F.lit("N1"), "locator": F.lit("text")})
+    g = P.gated(c, artifacts(spark, d), C.catalogue(spark)).where("drop_reason in ('invalid_band', 'unassessable')")
+    return g.select("scope", "cause", F.col("drop_reason").alias("reason"))
+
+
+_LOCATORS = ["text", "a.b[2].c", "source.canonicals", "1bad", "a..b", "x[y]", "_ok[0]", "response body"]
+
+
+@q("o046_locator_grammar", f"select locator, regexp_full_match(locator, '{C.LOCATOR}') as valid from (select unnest({_LOCATORS}) as locator)")
+def o046(spark, d):
+    return spark.createDataFrame([(x,) for x in _LOCATORS], "locator string").select("locator", F.col("locator").rlike(f"^(?:{C.LOCATOR})$").alias("valid"))
+
+
+@q("o147_locator_paths", "select event_id, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') is not null")
+def o147(spark, d):
+    """Locators as paths into artifacts, the path taken from a column."""
+    e = table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("v"), F.concat(F.lit("$."), F.lit("k")).alias("path"))
+    return e.select("event_id", F.expr("try_variant_get(v, path, 'string')").alias("value")).where("value is not null")
+
+
+@q("o111_observations", f"with {_CANDIDATES} select scope, cause, band = 'S1' as observation from gated where drop_reason is null")
+def o111(spark, d):
+    """Low bands are split off as observations."""
+    return gated(spark, d).where("drop_reason is null").select("scope", "cause", (F.col("band") == "S1").alias("observation"))
+
+
+@q("o088_cause_merge", f"with {_CANDIDATES} select site, scope, kind, cause, array_to_string(check_ids, ',') as check_ids, artifacts, band from merged")
+def o088(spark, d):
+    return merged(spark, d).select("site", "scope", "kind", "cause", F.array_join("check_ids", ",").alias("check_ids"), "artifacts", "band")
+
+
+@q("o092_finding_order", f"with {_CANDIDATES} select site, scope, cause, place::int as place, printf('F-%03d', place) as finding_id, priority_index from ranked")
+def o092(spark, d):
+    """O-092, O-094, O-095: order, ids and priority."""
+    return P.ranked(merged(spark, d)).select("site", "scope", "cause", "place", "finding_id", "priority_index")
+
+
+@q("o085_severity_summary", f"with {_CANDIDATES} select site, count(*) as total, count(*) filter (band = 'S4') as critical, count(*) filter (band = 'S3') as high, count(*) filter (band = 'S2') as medium, count(*) filter (band = 'S1') as low from merged group by site")
+def o085(spark, d):
+    return merged(spark, d).groupBy("site").agg(F.count("*").alias("total"), *(F.count_if(F.col("band") == b).alias(n) for n, b in C.BANDS.items()))
+
+
+@q("o113_report_invariants", f"with {_CANDIDATES} select site, count(*) = count(distinct place) as unique_ids, max(place) = count(*) as gapless from ranked group by site")
+def o113(spark, d):
+    return P.ranked(merged(spark, d)).groupBy("site").agg((F.count("*") == F.count_distinct("finding_id")).alias("unique_ids"), (F.max("place") == F.count("*")).alias("gapless"))
+
+
+@q("o115_sources", f"with {_CANDIDATES} select site, scope, cause, artifact as url, left(quote, 300) as observation from gated where drop_reason is null")
+def o115(spark, d):
+    return gated(spark, d).where("drop_reason is null").select("site", "scope", "cause", F.col("artifact").alias("url"), F.left("quote", F.lit(300)).alias("observation"))
+
+
+@q("o116_eligibility", f"with {_CANDIDATES}, e as (select distinct kind || ':' || cause || ':' || scope as fingerprint, case when severity in ('critical', 'high') and length(quote) < 10 then 'medium' else severity end as severity from candidates0 where length(quote) >= 8) select * from e")
+def o116(spark, d):
+    """Evidence of eight characters at least; strong severities need more; equal fingerprints once."""
+    c = candidates(spark, d).where(F.length("quote") >= 8)
+    severity = F.when(F.col("severity").isin("critical", "high") & (F.length("quote") < 10), "medium").otherwise(F.col("severity"))
+    return c.select(F.concat_ws(":", "kind", "cause", "scope").alias("fingerprint"), severity.alias("severity")).distinct()
+
+
+@q("o148_action_text", f"with {_CANDIDATES} select scope, cause, 'Fix ' || lower(replace(cause, '_', ' ')) || ' on ' || scope || ' (' || coalesce(owner, 'unassigned') || ')' as action from gated")
+def o148(spark, d):
+    text = F.format_string("Fix %s on %s (%s)", F.lower(F.replace("cause", F.lit("_"), F.lit(" "))), F.col("scope"), F.coalesce("owner", F.lit("unassigned")))
+    return gated(spark, d).select("scope", "cause", text.alias("action"))
+
+
+_WEIGHTS = "weights(domain, weight) as (values " + ", ".join(f"('{k}', {w}::double)" for k, (w, _, _) in C.DOMAINS.items()) + ")"
+_STEP = lambda column, steps: "case " + " ".join(f"when {column} >= {n} then '{v}'" for n, v in steps) + " end"
+_SCORES = f"""{_FINDINGS}, f as (select distinct d.source as site, cause || ':' || doc_id as finding, severity, {_case_sql('cause', C.CAUSES)} as check_id from findings join documents d using (doc_id) where doc_id % 50 = 0),
+hit as (select f.site, finding, severity, coalesce(catalogue.domain, 'discoverability') as domain from f left join {C.values_sql()} using (check_id)),
+lost as (select site, domain, sum({_case_sql('severity', C.DEDUCTIONS, '5')}) as lost, count(*) as findings from hit group by all), {_WEIGHTS},
+scores as (select s.site, w.domain, w.weight, greatest(0, 100 - coalesce(lost, 0))::int as score, coalesce(findings, 0) as findings from (select distinct site from f) s cross join weights w left join lost l on l.site = s.site and l.domain = w.domain)"""
+
+
+def domain_scores(spark, d):
+    f = findings(spark, d).where("doc_id % 50 = 0").join(table(spark, d, "documents").select("doc_id", F.col("source").alias("site")), "doc_id")
+    f = f.select("site", F.concat_ws(":", "cause", F.col("doc_id").cast("string")).alias("finding"), "severity", F.array(F.coalesce(P.case(F.col("cause"), C.CAUSES), F.lit("?"))).alias("check_ids")).distinct()
+    return P.domain_scores(f, C.catalogue(spark))
+
+
+@q("o083_domain_scores", f"with {_SCORES} select site, domain, weight, score, findings, {_STEP('score', C.GRADES)} as grade from scores")
+def o083(spark, d):
+    return domain_scores(spark, d)
+
+
+@q("o08c_readiness_index", f"with {_SCORES}, c as (select site, round_even(sum(score * weight) / sum(weight), 0)::int as readiness_index from scores group by site) select site, readiness_index, {_STEP('readiness_index', C.TIERS)} as tier, {_STEP('readiness_index', C.GRADES)} as grade from c")
+def o08c(spark, d):
+    return P.composite(domain_scores(spark, d))
+
+
+@q("o068_finding_domains", f"with {_FINDINGS}, f as (select doc_id, {_case_sql('cause', C.CAUSES)} as check_id from findings) select catalogue.domain, count(distinct doc_id) as documents from f join {C.values_sql()} using (check_id) group by catalogue.domain")
+def o068(spark, d):
+    f = findings(spark, d).select("doc_id", P.case(F.col("cause"), C.CAUSES).alias("check_id"))
+    return f.join(F.broadcast(C.catalogue(spark)), "check_id").groupBy("domain").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+@q("o08d_catalogue_stats", f"select owner, count(*) as checks, count(*) - count(distinct check_id) as repeated from {C.values_sql()} group by owner")
+def o08d(spark, d):
+    return C.catalogue(spark).groupBy("owner").agg(F.count("*").alias("checks"), (F.count("*") - F.count_distinct("check_id")).alias("repeated"))
+
+
+_EVIDENCE = "e as (select event_type as site, sha256(event_type || '|' || coalesce(json_extract_string(props, '$.k'), '')) as key, user_id as page, event_id from events), g as (select site, key, count(distinct page) as occurrences, min(event_id) as first from e group by site, key), n as (select *, row_number() over (partition by site order by first) as k from g)"
+
+
+def evidence(spark, d):
+    """O-086: items of equal value and kind are one; ids follow first sight within a site (here an event type)."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("site"), F.sha2(F.concat("event_type", F.lit("|"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))), 256).alias("key"), "user_id", "event_id")
+    g = e.groupBy("site", "key").agg(F.count_distinct("user_id").alias("occurrences"), F.min("event_id").alias("first"))
+    return g.withColumn("id", F.format_string("E%06d", F.row_number().over(Window.partitionBy("site").orderBy("first"))))
+
+
+@q("o086_evidence_registry", f"with {_EVIDENCE} select site, key, occurrences, printf('E%06d', k) as id from n")
+def o086(spark, d):
+    return evidence(spark, d).select("site", "key", "occurrences", "id")
+
+
+@q("o087_registry_fingerprint", f"with {_EVIDENCE} select site, count(*) as items, sha256(coalesce(string_agg(key, ',' order by k), '')) as fingerprint from n group by site")
+def o087(spark, d):
+    return evidence(spark, d).groupBy("site").agg(F.count("*").alias("items"), F.sha2(F.coalesce(F.expr("listagg(key, ',') within group (order by id)"), F.lit("")), 256).alias("fingerprint"))
+
+
+@q("o152_evidence_lookup", f"with {_EVIDENCE} select site, printf('E%06d', k) as id, occurrences from n where k in (1, 3)")
+def o152(spark, d):
+    return evidence(spark, d).where(F.col("id").isin("E000001", "E000003")).select("site", "id", "occurrences")
+
+
+@q("o06b_dependencies", "with t as (select p_partkey as id, p_partkey - p_size as dep, p_size % 3 as queue from part), j as (select t.id, t.dep, t.queue, o.queue as dep_queue from t left join t o on o.id = t.dep) select id, case when dep_queue is null then 'unknown_prerequisite' when dep_queue > queue then 'later_queue' end as error from j where dep_queue is null or dep_queue > queue")
+def o06b(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_size")).alias("dep"), (F.col("p_size") % 3).alias("queue"))
+    j = t.join(t.select(F.col("id").alias("dep"), F.col("queue").alias("dep_queue")), "dep", "left")
+    return j.where("dep_queue is null or dep_queue > queue").select("id", F.when(F.col("dep_queue").isNull(), "unknown_prerequisite").otherwise("later_queue").alias("error"))
+
+
+@q("o093_topological_order")
+def o093(spark, d):
+    """Parts of a brand as tasks that depend on the brand's part ten numbers before."""
+    p = table(spark, d, "part").where("p_partkey % 20 = 0 or p_partkey % 20 = 10")
+    band = F.concat(F.lit("S"), (1 + F.col("p_size") % 4).cast("string"))
+    return P.topological(p.select(F.col("p_brand").alias("site"), F.col("p_partkey").cast("string").alias("id"), F.array((F.col("p_partkey") - 10).cast("string")).alias("depends_on"), F.lit("confirmed").alias("queue"), band.alias("band"), (F.col("p_size") % 5).alias("difficulty")))
+
+
+@q("o112_schema_violations")
+def o112(spark, d):
+    """Draft-07 checks of JSON values; here of event properties."""
+    schema = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False}
+
+    @F.udf("array<struct<path:string,rule:string>>")
+    def check(text):
+        import json
+
+        return list(P.violations(json.loads(text), schema))
+
+    return table(spark, d, "events").select("event_id", F.explode(check("props")).alias("v")).select("event_id", "v.path", "v.rule")
+
+
+@q("o103_signal_dedup", "with r as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) select user_id, event_type, event_id from r where k = 1")
+def o103(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+_RUBRICS = [("ECOMMERCE", "What does it cost?"), ("GENERIC", "What is it?"), ("SAAS", "Is there a trial?")]
+
+
+@q("o06a_rubric_join", "with r(category, question) as (values ('ECOMMERCE', 'What does it cost?'), ('GENERIC', 'What is it?'), ('SAAS', 'Is there a trial?')), s as (select distinct source as site, case when length(source) = 4 then 'ECOMMERCE' else 'UNLISTED' end as category from documents) select site, coalesce(r.question, g.question) as question from s left join r using (category) cross join (select question from r where category = 'GENERIC') g")
+def o06a(spark, d):
+    """A site's category, or the generic one where it has no rubric (O-004: a literal table)."""
+    r = spark.createDataFrame(_RUBRICS, "category string, question string")
+    s = table(spark, d, "documents").select(F.col("source").alias("site")).distinct().withColumn("category", F.when(F.length("site") == 4, "ECOMMERCE").otherwise("UNLISTED"))
+    generic = r.where("category = 'GENERIC'").select(F.lit(True).alias("any"), F.col("question").alias("generic"))
+    out = s.join(F.broadcast(r), "category", "left").withColumn("any", F.lit(True)).join(F.broadcast(generic), "any")
+    return out.select("site", F.coalesce("question", "generic").alias("question"))
+
+
+@q("extra_rollup", f"with {_FINDINGS} select coalesce(d.source, 'all') as site, coalesce(severity, 'all') as severity, count(*) as findings from findings join documents d using (doc_id) group by rollup (d.source, severity)")
+def rollup(spark, d):
+    f = findings(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return f.rollup("source", "severity").agg(F.count("*").alias("findings")).select(F.coalesce("source", F.lit("all")).alias("site"), F.coalesce("severity", F.lit("all")).alias("severity"), "findings")
+
+
+@q("extra_cube", f"with {_FINDINGS} select coalesce(cause, 'all') as cause, coalesce(severity, 'all') as severity, count(*) as findings from findings group by cube (cause, severity)")
+def cube(spark, d):
+    return findings(spark, d).cube("cause", "severity").agg(F.count("*").alias("findings")).select(F.coalesce("cause", F.lit("all")).alias("cause"), F.coalesce("severity", F.lit("all")).alias("severity"), "findings")
+
+
+@q("extra_approx_distinct")
+def approx(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+QUERIES, SQL = area.queries, area.sql

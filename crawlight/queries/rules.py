@@ -1 +1,179 @@
-QUERIES, SQL = {}, {}
+"""Finding rules over pages, fetches and navigation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlight.functions import text as T
+from crawlight.functions import urls as U
+from crawlight.operators import tokens as K
+from crawlight.queries.dom import _LINKS, CHALLENGE_TITLE, _SCORE, challenge_score
+from crawlight.queries.registry import Area
+from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, TOKENS, VISIBLE
+from crawlight.queries.urls_pages import _FETCHES
+from crawlight.sources.tables import fetches, pages, table
+
+area = Area()
+q = area.query
+
+
+def finding(df, key: str, rule: str, severity, *more):
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return df.select(key, F.lit(rule).alias("id"), severity.alias("severity"), *more)
+
+
+_LATEST = f"{_FETCHES}, latest as (select url, agent, max_by(status, event_id) as status from fetches group by all)"
+
+
+def latest(spark, d):
+    """The last status of each address and agent: agent 0 is a browser, the others are bots."""
+    return fetches(spark, d).groupBy("url", "agent").agg(F.max_by("status", "event_id").alias("status"))
+
+
+@q("r01_root_blocked", f"with {_LATEST} select url, 'AI_RETRIEVAL_BLOCKED' as id, 'critical' as severity, status from latest where agent = 0 and status >= 400")
+def r01(spark, d):
+    return finding(latest(spark, d).where("agent = 0 and status >= 400"), "url", "AI_RETRIEVAL_BLOCKED", "critical", "status")
+
+
+@q("r02_waf_differential", f"with {_LATEST} select b.url, 'AI_RETRIEVAL_BLOCKED' as id, 'critical' as severity, count(*) as agents from latest b join latest n on n.url = b.url and n.agent = 0 where b.agent <> 0 and n.status = 200 and b.status in (401, 403, 503) group by b.url")
+def r02(spark, d):
+    """One pass: an address's statuses side by side instead of a self join."""
+    by = latest(spark, d).groupBy("url").agg(F.max(F.when(F.col("agent") == 0, F.col("status"))).alias("normal"), F.count_if((F.col("agent") != 0) & F.col("status").isin(401, 403, 503)).alias("agents"))
+    return finding(by.where("normal = 200 and agents > 0"), "url", "AI_RETRIEVAL_BLOCKED", "critical", "agents")
+
+
+_CHALLENGED = "(select page_id, html || case when page_id % 7 = 0 then '<p>Verify you are human: captcha</p>' else '' end as html from pages)"
+
+
+@q("r03_challenge", f"select page_id, 'CHALLENGE_INTERSTITIAL' as id, 'critical' as severity from {_CHALLENGED} where ({_SCORE}) >= 2 or regexp_matches(lower({TITLE}), '{CHALLENGE_TITLE}')")
+def r03(spark, d):
+    html = F.concat("html", F.when(F.col("page_id") % 7 == 0, "<p>Verify you are human: captcha</p>").otherwise(""))
+    p = table(spark, d, "pages").where((challenge_score(html) >= 2) | F.lower(T.title(html)).rlike(CHALLENGE_TITLE))
+    return finding(p, "page_id", "CHALLENGE_INTERSTITIAL", "critical")
+
+
+_DEAD = r"""(?is)<a\b[^>]*href=["'']#?["''][^>]*>([^<]*)</a>"""
+
+
+@q("r04_empty_navigation", f"with l as (select page_id, len(list_filter(regexp_extract_all(replace(html, 'href=\"/t', 'href=\"#\" data-x=\"'), '{_DEAD}', 1), lambda x: length(trim(x)) >= 3)) as links from pages) select page_id, 'EMPTY_NAV_LINKS' as id, 'medium' as severity, links::int as links from l where links > 0")
+def r04(spark, d):
+    html = F.replace(F.col("html"), F.lit('href="/t'), F.lit('href="#" data-x="'))
+    n = F.size(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href=[\x22\x27]#?[\x22\x27][^>]*>([^<]*)</a>"), 1), lambda x: F.length(F.trim(x)) >= 3))
+    return finding(table(spark, d, "pages").withColumn("links", n).where("links > 0"), "page_id", "EMPTY_NAV_LINKS", "medium", "links")
+
+
+@q("r06_noindex", "select page_id, 'NOINDEX_EXCLUSION' as id, 'critical' as severity from pages where page_id % 6 = 0 or page_id % 10 = 0")
+def r06(spark, d):
+    """Directives of meta tag and header together; both are made from the page's number."""
+    meta = F.when(F.col("page_id") % 6 == 0, "index, NOINDEX").otherwise("index;follow")
+    header = F.when(F.col("page_id") % 10 == 0, "none").otherwise("")
+    t = F.split(F.lower(F.concat_ws(",", meta, header)), r"[,;\s]+")
+    return finding(table(spark, d, "pages").where(F.arrays_overlap(t, F.array(F.lit("noindex"), F.lit("none")))), "page_id", "NOINDEX_EXCLUSION", "critical")
+
+
+@q("r07_locale", "select page_id, 'LOCALE_MISCONFIGURATION' as id, 'medium' as severity from pages where page_id % 4 = 1")
+def r07(spark, d):
+    tag = F.when(F.col("page_id") % 4 == 1, "en-UK").otherwise("en-GB")
+    parts = F.split(tag, "-")
+    bad = F.lower(parts[0]).isin("eng", "jp") | (F.upper(F.try_element_at(parts, F.lit(2))) == "UK")
+    return finding(table(spark, d, "pages").where(bad), "page_id", "LOCALE_MISCONFIGURATION", "medium")
+
+
+@q("r08_canonical", "select page_id, 'CANONICAL_FRAGMENTATION' as id, 'medium' as severity from pages where page_id % 3 = 0")
+def r08(spark, d):
+    url = F.col("url")
+    canonical = F.when(F.col("page_id") % 3 == 0, "https://elsewhere.example/x").otherwise(F.concat(F.lit("https://"), U.netloc(url), F.lit("/")))
+    return finding(table(spark, d, "pages").where(U.netloc(canonical) != U.netloc(url)), "page_id", "CANONICAL_FRAGMENTATION", "medium")
+
+
+_NAV = f"{_LINKS}, nav as (select distinct {NETLOC} as site, href, case length(href) % 5 when 0 then 404 when 1 then 503 else 200 end as status from links join pages using (page_id) where in_nav and starts_with(href, '/'))"
+
+
+@q("r09_dead_navigation", f"with {_NAV} select site, href, 'NAV_DEAD_END_' || status as id, 'high' as severity from nav where status in (404, 410) or status >= 500")
+def r09(spark, d):
+    """Navigation targets whose status (made from the path's length) is 404, 410 or a server error."""
+    l = K.links(table(spark, d, "pages")).where("in_nav").where(F.col("href").startswith("/")).join(table(spark, d, "pages").select("page_id", U.netloc(F.col("url")).alias("site")), "page_id")
+    status = F.when(F.length("href") % 5 == 0, 404).when(F.length("href") % 5 == 1, 503).otherwise(200)
+    n = l.select("site", "href").distinct().withColumn("status", status).where("status in (404, 410) or status >= 500")
+    return n.select("site", "href", F.concat(F.lit("NAV_DEAD_END_"), F.col("status").cast("string")).alias("id"), F.lit("high").alias("severity"))
+
+
+@q("r10_form_gated", rf"with {TOKENS}, f as (select page_id, count(*) filter (kind = 'start' and tag in ('form', 'select', 'input')) > 0 or page_id % 5 = 0 as form, count(*) filter (kind = 'start' and tag = 'a') as anchors from tokens group by page_id) select page_id, 'FORM_GATED_CORE_ENTITIES' as id, 'medium' as severity from f join pages using (page_id) where form and anchors < 7 and not contains(html, 'LocalBusiness')")
+def r10(spark, d):
+    """A form, few links onward and no local schema; every fifth page counts as having a form."""
+    p = table(spark, d, "pages")
+    start = F.col("kind") == "start"
+    f = K.tokens(p).groupBy("page_id").agg(F.count_if(start & F.col("tag").isin("form", "select", "input")).alias("forms"), F.count_if(start & (F.col("tag") == "a")).alias("anchors"))
+    out = f.join(p.where(~F.col("html").contains("LocalBusiness")).select("page_id"), "page_id").where("(forms > 0 or page_id % 5 = 0) and anchors < 7")
+    return finding(out, "page_id", "FORM_GATED_CORE_ENTITIES", "medium")
+
+
+_RATE = f"r as (select page_id, len(regexp_extract_all({VISIBLE}, '\\S+')) as visible from pages), s as (select page_id, visible, visible + (page_id % 4) * 300 as rendered from r), rate as (select *, round_even(visible * 100.0 / rendered, 0)::int as rate from s where rendered > 0)"
+
+
+@q("r11_static_deficit", f"with {_RATE} select page_id, 'STATIC_HTML_HYDRATION_DEFICIT' as id, case when rate < 25 then 'critical' when rate < 50 and rendered > 100 then 'high' else 'medium' end as severity, rate from rate where rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
+def r11(spark, d):
+    s = table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible")).withColumn("rendered", F.col("visible") + F.col("page_id") % 4 * 300).where("rendered > 0")
+    s = s.withColumn("rate", F.bround(F.col("visible") * 100.0 / F.col("rendered"), 0).cast("int")).where("rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
+    return finding(s, "page_id", "STATIC_HTML_HYDRATION_DEFICIT", F.when(F.col("rate") < 25, "critical").when((F.col("rate") < 50) & (F.col("rendered") > 100), "high").otherwise("medium"), "rate")
+
+
+_SUMMARY = rf"""{TOKENS}, c as (select page_id, count(*) filter (kind = 'start' and tag = 'h1') as h1, count(*) filter (kind = 'start' and tag in ('main', 'nav')) as landmarks, count(*) filter (kind = 'start' and tag = 'a') as anchors from tokens group by page_id), t as (select page_id, sum(len(regexp_extract_all(text, '\S+')))::bigint as words, count(*) filter (regexp_matches(current_tag, '^h[1-6]$')) as heads from text_nodes group by page_id)"""
+
+
+@q("r12_rendered_gap", f"with {_SUMMARY} select page_id, 'RENDERED_CONTENT_GAP' as id, case when words < 40 then 'high' else 'medium' end as severity from c join t using (page_id) where words < 80 and anchors < 12")
+def r12(spark, d):
+    """Little text and little structure; the bounds fit a corpus without application shells."""
+    s = K.dom_summary(table(spark, d, "pages")).where("words < 80 and anchors < 12")
+    return finding(s, "page_id", "RENDERED_CONTENT_GAP", F.when(F.col("words") < 40, "high").otherwise("medium"))
+
+
+@q("r13_landmarks", f"with {_SUMMARY} select page_id, 'SEMANTIC_LANDMARKS_ABSENT' as id, 'medium' as severity from c join t using (page_id) where words >= 25 and (h1 = 0 or (heads = 0 and landmarks = 0))")
+def r13(spark, d):
+    s = K.dom_summary(table(spark, d, "pages")).where("words >= 25 and (h1_tags = 0 or (heading_nodes = 0 and landmarks = 0))")
+    return finding(s, "page_id", "SEMANTIC_LANDMARKS_ABSENT", "medium")
+
+
+@q("r70_intent_mismatch", f"with {_LINKS}, joined as (select page_id, lower(string_agg(label, ' ' order by pos)) as labels from links group by page_id) select page_id, 'INTENT_TO_LANDING_MISMATCH' as id, 'medium' as severity from joined where page_id % 2 = 0 and not regexp_matches(labels, 'buy|cart|subscribe|contact|order|get')")
+def r70(spark, d):
+    """Priced pages (even numbers here) without a call to action among their anchors."""
+    a = K.links(table(spark, d, "pages")).groupBy("page_id").agg(F.bool_or(F.lower("label").rlike("buy|cart|subscribe|contact|order|get")).alias("acts"))
+    return finding(a.where("page_id % 2 = 0 and not acts"), "page_id", "INTENT_TO_LANDING_MISMATCH", "medium")
+
+
+@q("r71_missing_h1", f"with {TOKENS} select page_id, 'MISSING_H1' as id from tokens group by page_id having count(*) filter (kind = 'start' and tag = 'h1') = 0")
+def r71(spark, d):
+    return K.dom_summary(table(spark, d, "pages")).where("h1_tags = 0").select("page_id", F.lit("MISSING_H1").alias("id"))
+
+
+@q("r72_information_scent", f"with {TOKENS}, h as (select page_id, lower(string_agg(text, ' ' order by pos)) as h1 from text_nodes where current_tag = 'h1' group by page_id), e as (select page_id, lower(string_split({TITLE}, ' ')[1]) as entity from pages) select page_id, 'LOW_INFORMATION_SCENT' as id, 'medium' as severity from e left join h using (page_id) where not coalesce(contains(h1, entity), false)")
+def r72(spark, d):
+    """The page's entity (its title's first word) is not named in its h1."""
+    h = K.headings(table(spark, d, "pages")).where("level = 'h1'").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("h1"))
+    e = table(spark, d, "pages").select("page_id", F.lower(F.split(T.title(F.col("html")), " ")[0]).alias("entity"))
+    out = e.join(h, "page_id", "left").where(~F.coalesce(F.contains(F.lower("h1"), F.col("entity")), F.lit(False)))
+    return finding(out, "page_id", "LOW_INFORMATION_SCENT", "medium")
+
+
+@q("o150_intent_facts", "with f(fact, pattern) as (values ('price', '[$€£]|price'), ('contact', '@|contact'), ('license', 'licen[sc]e'), ('date', '[0-9]{4}')), m as (select doc_id, fact from documents, f where not regexp_matches(lower(text), pattern)) select doc_id, string_agg(fact, ',' order by fact) as missing from m group by doc_id")
+def o150(spark, d):
+    """Required facts that a text lacks."""
+    required = {"contact": "@|contact", "date": "[0-9]{4}", "license": "licen[sc]e", "price": "[$€£]|price"}
+    low = F.lower("text")
+    missing = F.concat_ws(",", *(F.when(~low.rlike(p), name) for name, p in required.items()))
+    return table(spark, d, "documents").select("doc_id", missing.alias("missing")).where("missing != ''")
+
+
+_HOST = f"with {CLASSED}, {TOKENS}, c as (select page_id, count(*) filter (kind = 'start' and tag = 'h1') as h1 from tokens group by page_id), t as (select page_id, sum(len(regexp_extract_all(text, '\\S+')))::bigint as words from text_nodes group by page_id), f as (select site, case when h1 = 0 then 'high' when words < 100 then 'medium' else 'none' end as severity from classed join c using (page_id) left join t using (page_id))"
+
+
+@q("flagship_site_findings", f"{_HOST} select site, count(*) as pages, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium from f group by site")
+def flagship(spark, d):
+    """Pages to tokens to findings to a severity summary per site."""
+    s = K.dom_summary(table(spark, d, "pages"))
+    severity = F.when(F.col("h1_tags") == 0, "high").when(F.col("words") < 100, "medium").otherwise("none")
+    f = pages(spark, d).select("site", "page_id").join(s, "page_id").select("site", severity.alias("severity"))
+    return f.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"))
+
+
+QUERIES, SQL = area.queries, area.sql
