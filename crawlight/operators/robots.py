@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crawlight.functions.text import octets
 
@@ -99,7 +100,7 @@ def decisions(robots: DataFrame, targets: DataFrame, bots: DataFrame) -> DataFra
     return out.select("site", "path", "bot", F.coalesce("best.is_allow", F.lit(True)).alias("allowed"), F.col("best.pattern").alias("pattern"), F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"), F.col("best").isNull().alias("is_default"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def octets_udf(paths):
     """Only paths with escapes or characters beyond the plain ones come here."""
     import pyarrow as pa

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crawlight.functions.urls import is_non_html
 
@@ -42,7 +43,7 @@ def children(sitemaps: DataFrame) -> DataFrame:
     return e.select("url", "loc", sub.alias("is_sitemap")).where("loc != ''").where(F.col("is_sitemap") | ~is_non_html(F.col("loc")))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def gunzipped(payloads):
     """Text of plain or gzip bytes, null if they cannot be read; at most MOST_BYTES are unpacked."""
     import zlib

@@ -7,12 +7,15 @@ windows per page; pages are the unit of distribution.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TOKEN = r"(?is)(<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[^>]+>|[^<]+)"
-IN_ORDER = Window.partitionBy("page_id").orderBy("pos")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def so_far() -> WindowSpec:
+    """A page's tokens up to the current one."""
+    return Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -28,16 +31,22 @@ def attribute(tok: Column, name: str) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(tok, rf"(?is)\s{name}\s*=\s*{quoted}", 1), F.lit("")) for quoted in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")), F.lit(""))
 
 
+def _governing() -> Column:
+    """A start tag governs what follows; any end tag, a self-closing one too, ends that."""
+    opens = (F.col("kind") == "start") & ~F.col("tok").endswith("/>")
+    return F.when(F.col("kind").isin("start", "end", "raw"), F.when(opens, F.col("tag")).otherwise(""))
+
+
 def text_nodes(t: DataFrame) -> DataFrame:
     """Texts with the tag that governs them: the last start tag, none after an end tag."""
-    last = F.last(F.when(F.col("kind").isin("start", "end", "raw"), F.when(F.col("kind") == "start", F.col("tag")).otherwise("")), True).over(SO_FAR)
+    last = F.last(_governing(), True).over(so_far())
     return t.withColumn("current_tag", F.nullif(last, F.lit(""))).where("kind = 'text' and trim(tok) != ''").select("page_id", "pos", F.trim("tok").alias("text"), "current_tag")
 
 
 def depth(t: DataFrame, *tags: str) -> Column:
     """How many of these elements are open at a token."""
     change = F.when(F.col("tag").isin(*tags) & (F.col("kind") == "start"), 1).when(F.col("tag").isin(*tags) & (F.col("kind") == "end"), -1).otherwise(0)
-    return F.sum(change).over(SO_FAR)
+    return F.sum(change).over(so_far())
 
 
 def dom_summary(pages: DataFrame) -> DataFrame:
@@ -65,15 +74,15 @@ def sections(pages: DataFrame) -> DataFrame:
     """Texts outside headings with the last heading before them (h1 to h4), General at first."""
     t = text_nodes(tokens(pages))
     head = F.col("current_tag").rlike("^h[1-4]$")
-    section = F.coalesce(F.last(F.when(head, F.col("text")), True).over(SO_FAR), F.lit("General"))
+    section = F.coalesce(F.last(F.when(head, F.col("text")), True).over(so_far()), F.lit("General"))
     return t.withColumn("section", section).where(~F.coalesce(head, F.lit(False))).select("page_id", "pos", "section", "text")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """Texts directly in p, one row per paragraph; what stands in or after inline children is not part of it."""
     t = tokens(pages)
-    number = F.sum(F.when((F.col("kind") == "start") & (F.col("tag") == "p"), 1).otherwise(0)).over(SO_FAR)
-    last = F.last(F.when(F.col("kind").isin("start", "end", "raw"), F.when(F.col("kind") == "start", F.col("tag")).otherwise("")), True).over(SO_FAR)
+    number = F.sum(F.when((F.col("kind") == "start") & (F.col("tag") == "p"), 1).otherwise(0)).over(so_far())
+    last = F.last(_governing(), True).over(so_far())
     texts = t.withColumn("n", number).withColumn("current_tag", last).where("kind = 'text' and current_tag = 'p' and trim(tok) != ''")
     closed = t.withColumn("n", number).where("kind = 'end' and tag = 'p'").select("page_id", "n").distinct()
     joined = texts.groupBy("page_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("tok").alias("x")))), lambda s: s["x"]), " ").alias("text"))
@@ -82,8 +91,8 @@ def paragraphs(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """Anchors with href, text and whether they stand in navigation (nav or header still open)."""
-    t = tokens(pages).withColumn("a", F.sum(F.when((F.col("kind") == "start") & (F.col("tag") == "a"), 1).otherwise(0)).over(SO_FAR))
-    inside = F.last(F.when(F.col("tag").isin("a") & F.col("kind").isin("start", "end"), F.col("kind") == "start"), True).over(SO_FAR)
+    t = tokens(pages).withColumn("a", F.sum(F.when((F.col("kind") == "start") & (F.col("tag") == "a"), 1).otherwise(0)).over(so_far()))
+    inside = F.last(F.when(F.col("tag").isin("a") & F.col("kind").isin("start", "end"), F.col("kind") == "start"), True).over(so_far())
     t = t.withColumn("inside", inside).withColumn("nav", depth(t, "nav", "header"))
     opened = t.where("kind = 'start' and tag = 'a'").select("page_id", "a", "pos", attribute(F.col("tok"), "href").alias("href"), (F.col("nav") > 0).alias("in_nav"))
     label = t.where("kind = 'text' and inside").groupBy("page_id", "a").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("tok").alias("x")))), lambda s: s["x"]), " ").alias("label"))

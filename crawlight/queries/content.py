@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from crawlight.functions import text as T
 from crawlight.functions.urls import between_edges
@@ -12,7 +13,6 @@ from crawlight.sources.tables import table
 
 area = Area()
 q = area.query
-text = F.col("text")
 WORDS = rf"len(regexp_extract_all(text, '{T.WORD}'))"
 DEPTH = " + ".join(f"regexp_matches(lower(text), '{between_edges(m)}')::int" for m in T.MECHANISMS)
 STATS = rf"len(regexp_extract_all(text, '(?i)\b(?:{T.STATISTICS})\b'))"
@@ -20,7 +20,7 @@ STATS = rf"len(regexp_extract_all(text, '(?i)\b(?:{T.STATISTICS})\b'))"
 
 @q("o130_word_counts", f"select doc_id, {WORDS}::int as words, len(regexp_extract_all(text, '\\S+'))::int as split_words from documents")
 def o130(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.word_count(text).alias("words"), T.split_words(text).alias("split_words"))
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), T.split_words(F.col("text")).alias("split_words"))
 
 
 _COUNTED = f"w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) as word from documents), c as (select doc_id, word, count(*) as n from w group by all), s as (select *, sum(n) over (partition by doc_id) as total from c)"
@@ -28,7 +28,7 @@ _COUNTED = f"w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WOR
 
 def entropies(spark, d):
     """A document's words are counted within the row, so nothing but short counts is grouped."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(T.words(text)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    c = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     total = F.sum("n").alias("total")
     # -sum(n/t log2(n/t)) = log2(t) - sum(n log2 n)/t
     return c.groupBy("doc_id").agg(total, F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s")).select("doc_id", "total", F.bround(F.log2(F.col("total").cast("double")) - F.col("s") / F.col("total"), 4).alias("entropy"))
@@ -42,7 +42,7 @@ def o077(spark, d):
 @q("o078_pronouns", f"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) as word from documents), t as (select doc_id, count(*) as total, count(*) filter (word in {sql_in(T.PRONOUNS)}) as pronouns from w group by doc_id), p as (select doc_id, word, count(*) as n from w where word in {sql_in(T.PRONOUNS)} group by all), r as (select *, row_number() over (partition by doc_id order by n desc, word) as k from p) select t.doc_id, total, pronouns, round_even(pronouns * 100.0 / total, 4) as density, coalesce((select string_agg(word, ' ' order by k) from r where r.doc_id = t.doc_id and k <= 3), '') as top from t")
 def o078(spark, d):
     """Pronoun share and the three most frequent; ties by word."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(T.words(text)).alias("word"))
+    w = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
     is_pronoun = F.col("word").isin(T.PRONOUNS)
     t = w.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(is_pronoun).alias("pronouns"))
     p = w.where(is_pronoun).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, 3).alias("best"))  # 14 words at most
@@ -51,12 +51,12 @@ def o078(spark, d):
 
 @q("o079_depth_score", f"select doc_id, {DEPTH} as depth from documents")
 def o079(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.depth_score(text).alias("depth"))
+    return table(spark, d, "documents").select("doc_id", T.depth_score(F.col("text")).alias("depth"))
 
 
 @q("o080_passages", f"with p as (select doc_id, unnest(string_split(text, chr(10))) as text from documents), c as (select doc_id, {WORDS} as n from p) select doc_id, count(*) as passages, round_even(avg(n), 4) as avg_words, round_even(count(*) filter (n > 250) * 1.0 / count(*), 4) as long_share, round_even(count(*) filter (n < 45) * 1.0 / count(*), 4) as short_share from c where n >= 20 group by doc_id")
 def o080(spark, d):
-    n = F.filter(F.transform(F.split(text, "\n"), T.word_count), lambda x: x >= 20)
+    n = F.filter(F.transform(F.split(F.col("text"), "\n"), T.word_count), lambda x: x >= 20)
     c = table(spark, d, "documents").select("doc_id", n.alias("n")).where(F.size("n") > 0)
     share = lambda f: F.bround(F.size(F.filter("n", f)) * 1.0 / F.size("n"), 4)
     return c.select("doc_id", F.size("n").cast("long").alias("passages"), F.bround(F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n"), 4).alias("avg_words"), share(lambda x: x > 250).alias("long_share"), share(lambda x: x < 45).alias("short_share"))
@@ -64,22 +64,22 @@ def o080(spark, d):
 
 @q("o131_statistics", f"select doc_id, {STATS}::int as statistics from documents")
 def o131(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.statistic_count(text).alias("statistics"))
+    return table(spark, d, "documents").select("doc_id", T.statistic_count(F.col("text")).alias("statistics"))
 
 
 @q("o132_credentials", rf"select doc_id, regexp_matches(text, '(?i)\b(?:{T.CREDENTIALS})') as credentials, regexp_matches(lower('https://' || substr(text, 1, 4) || '.edu/x'), '\.edu|\.gov') as authority, regexp_matches(lower(trim(string_split(text, chr(10))[1])), '^(?:{'|'.join(T.QUESTION_WORDS)})\b|\?$') as question from documents")
 def o132(spark, d):
-    first = F.trim(F.split(text, "\n")[0])
-    link = F.concat(F.lit("https://"), F.substring(text, 1, 4), F.lit(".edu/x"))
-    return table(spark, d, "documents").select("doc_id", text.rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"), T.has_authority(link).alias("authority"), T.is_question(first).alias("question"))
+    first = F.trim(F.split(F.col("text"), "\n")[0])
+    link = F.concat(F.lit("https://"), F.substring(F.col("text"), 1, 4), F.lit(".edu/x"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"), T.has_authority(link).alias("authority"), T.is_question(first).alias("question"))
 
 
 @q("o133_compression_ratio")
 def o133(spark, d):
-    return table(spark, d, "documents").select("doc_id", zlib_ratio(text).alias("ratio"))
+    return table(spark, d, "documents").select("doc_id", zlib_ratio(F.col("text")).alias("ratio"))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def zlib_ratio(texts):
     """Compressed over raw bytes, two decimals; 0 for blank text."""
     import zlib
@@ -99,7 +99,7 @@ _STEMS = ["pricing_plan_details", "return_shipping_policy", "what_that_from", "s
 @q("o134_rubric_stems", f"with r as (select unnest({_STEMS}) as component), s as (select component, list_filter(string_split(component, '_'), lambda x: length(x) > 3) as stems from r), c as (select doc_id, component, len(list_filter(stems, lambda x: contains(lower(substr(text, 1, 5000)), x))) > 0 as present from documents, s) select doc_id, count(*) filter (present) as present, round_even(count(*) filter (present) * 1.0 / count(*), 4) as coverage, count(*) filter (present) * 1.0 / count(*) < 0.4 as flagged from c group by doc_id")
 def o134(spark, d):
     """Components of which some stem occurs in the first 5000 characters (that bound is the rubric's own)."""
-    low = F.lower(F.substring(text, 1, 5000))
+    low = F.lower(F.substring(F.col("text"), 1, 5000))
     present = F.lit(0)
     for component in _STEMS:
         hit = F.lit(False)
@@ -113,10 +113,10 @@ def o134(spark, d):
 
 def content_facts(spark, d):
     """Per document: words, depth, statistics, credentials, question lines."""
-    lines = F.split(text, "\n")
+    lines = F.split(F.col("text"), "\n")
     return table(spark, d, "documents").select(
-        "doc_id", T.word_count(text).alias("words"), T.depth_score(text).alias("depth"), T.statistic_count(text).alias("statistics"), text.rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"),
-        F.exists(lines, T.is_question).alias("questions"), text.rlike(r"(?i)https?://").alias("links"), text.rlike(r"(?m)^\s*(?:\||[-*] )").alias("lists"),
+        "doc_id", T.word_count(F.col("text")).alias("words"), T.depth_score(F.col("text")).alias("depth"), T.statistic_count(F.col("text")).alias("statistics"), F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"),
+        F.exists(lines, T.is_question).alias("questions"), F.col("text").rlike(r"(?i)https?://").alias("links"), F.col("text").rlike(r"(?m)^\s*(?:\||[-*] )").alias("lists"),
     )
 
 
@@ -156,22 +156,22 @@ def r58(spark, d):
 
 @q("r59_pronoun_density", f"with c as (select doc_id, regexp_extract_all(lower(text), '{T.WORD}') as w from documents), p as (select doc_id, len(w) as words, len(list_filter(w, lambda x: x in {sql_in(T.PRONOUNS)})) as pronouns from c) select doc_id, words::bigint as words, pronouns::bigint as pronouns from p where words >= 150 and pronouns * 100.0 / words > 3.0")
 def r59(spark, d):
-    w = T.words(text)
+    w = T.words(F.col("text"))
     p = table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("words"), F.size(F.filter(w, lambda x: x.isin(T.PRONOUNS))).cast("long").alias("pronouns"))
     return p.where("words >= 150 and pronouns * 100.0 / words > 3.0")
 
 
 @q("r60_passage_length", f"with p as (select doc_id, unnest(string_split(text, chr(10))) as text from documents), c as (select doc_id, {WORDS} as n from p), s as (select doc_id, count(*) as k, count(*) filter (n > 250) as long, count(*) filter (n < 45) as short from c where n >= 20 group by doc_id), t as (select doc_id, {WORDS} as total from documents) select doc_id, case when long > k * 0.5 then 'dense' else 'fragmented' end as kind, k as passages from s join t using (doc_id) where k >= 2 and (long > k * 0.5 or (short > k * 0.7 and total > 200))")
 def r60(spark, d):
-    n = F.filter(F.transform(F.split(text, "\n"), T.word_count), lambda x: x >= 20)
-    s = table(spark, d, "documents").select("doc_id", n.alias("n"), T.word_count(text).alias("total"))
+    n = F.filter(F.transform(F.split(F.col("text"), "\n"), T.word_count), lambda x: x >= 20)
+    s = table(spark, d, "documents").select("doc_id", n.alias("n"), T.word_count(F.col("text")).alias("total"))
     s = s.select("doc_id", "total", F.size("n").cast("long").alias("k"), F.size(F.filter("n", lambda x: x > 250)).alias("long"), F.size(F.filter("n", lambda x: x < 45)).alias("short"))
     return s.where("k >= 2 and (long > k * 0.5 or (short > k * 0.7 and total > 200))").select("doc_id", F.when(F.col("long") > F.col("k") * 0.5, "dense").otherwise("fragmented").alias("kind"), F.col("k").alias("passages"))
 
 
 @q("q06_fluff_density", rf"select doc_id, len(regexp_extract_all(text, '(?i)\b(?:{T.FLUFF})\b'))::int as fluff from documents")
 def q06(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_count(text, F.lit(rf"(?i)\b(?:{T.FLUFF})\b")).alias("fluff"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_count(F.col("text"), F.lit(rf"(?i)\b(?:{T.FLUFF})\b")).alias("fluff"))
 
 
 _TERMS = "the of and to in is der die und de la et que el".split()
@@ -184,7 +184,7 @@ _VALUES = ", ".join(f"('{k}', '{w}', {x})" for k, ws in CENTROIDS.items() for w,
 def o08b(spark, d):
     """Term frequencies against four centroids; the best over 0.01 wins, ties by name."""
     docs = table(spark, d, "documents")
-    tf = docs.select("doc_id", F.explode(T.words(text)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
+    tf = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
     weights = {k: F.create_map(*[F.lit(v) for pair in ws.items() for v in pair]) for k, ws in CENTROIDS.items()}
     dots = [F.sum(F.col("n") * F.coalesce(F.element_at(m, F.col("word")), F.lit(0.0))).alias(k) for k, m in weights.items()]
     s = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), *dots)

@@ -16,7 +16,6 @@ from crawlight.sources.tables import table
 
 area = Area()
 q = area.query
-text = F.col("text")
 
 _RAW_PRICES = ["$49.99", "€1.250,50", "₹5,499", "US$ 12", "R$ 30,00", "C$15", "A$ 7.5", "£1,250.50", "¥900", "AED 35", "Dhs 12", "price on request", "CAD 10", "49,99", "invalid", "1.234.567", "EUR 0,5", "Rs. 700", "9"]
 _RAW_INTERVALS = ["$10 monthly", "10 per month", "$5/mo", "$99/year", "billed annually", "weekly plan", "$3 / day", "once", "per user/mo", "12 yearly", "/ wk", "per seat/month"]
@@ -57,19 +56,19 @@ def o122(spark, d):
 @q("o123_price_mentions", rf"with m as (select doc_id, unnest(regexp_extract_all(replace(text, ' un ', ' $1,249.50 '), '(?i){T.PRICE}', 1)) as amount from documents) select doc_id, amount, count(*) as times from m group by all")
 def o123(spark, d):
     """Prices in running text; the data has none, so a frequent word is read as one."""
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.replace(text, F.lit(" un "), F.lit(" $1,249.50 ")), F.lit(rf"(?i){T.PRICE}"), 1)).alias("amount"))
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.replace(F.col("text"), F.lit(" un "), F.lit(" $1,249.50 ")), F.lit(rf"(?i){T.PRICE}"), 1)).alias("amount"))
     return m.groupBy("doc_id", "amount").agg(F.count("*").alias("times"))
 
 
 @q("o124_emails", rf"with m as (select doc_id, lower(trim(unnest(regexp_extract_all(text, '{T.EMAIL}')), '.')) as email from documents) select distinct doc_id, email, case when contains(email, 'sales') then 'sales' when contains(email, 'support') then 'support' else 'general' end as scope from m where not regexp_matches(email, '{T.ASSET_SUFFIX}')")
 def o124(spark, d):
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(f"({T.EMAIL})"), 1)).alias("raw")).select("doc_id", F.lower(F.expr("trim(both '.' from raw)")).alias("email"))
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(f"({T.EMAIL})"), 1)).alias("raw")).select("doc_id", F.lower(F.expr("trim(both '.' from raw)")).alias("email"))
     return m.where(~F.col("email").rlike(T.ASSET_SUFFIX)).select("doc_id", "email", F.when(F.col("email").contains("sales"), "sales").when(F.col("email").contains("support"), "support").otherwise("general").alias("scope")).distinct()
 
 
 @q("o125_phones", rf"with m as (select doc_id, regexp_replace(unnest(regexp_extract_all(text, '{T.PHONE}')), '[^0-9]', '', 'g') as phone from documents) select distinct doc_id, phone from m where length(phone) between 8 and 15")
 def o125(spark, d):
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(f"({T.PHONE})"), 1)).alias("raw")).select("doc_id", F.regexp_replace("raw", "[^0-9]", "").alias("phone"))
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(f"({T.PHONE})"), 1)).alias("raw")).select("doc_id", F.regexp_replace("raw", "[^0-9]", "").alias("phone"))
     return m.where(F.length("phone").between(8, 15)).distinct()
 
 

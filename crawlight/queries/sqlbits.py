@@ -52,7 +52,7 @@ TOKENS = rf"""raw_tokens as (
            lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) as tag
     from raw_tokens
 ), governed as (
-    select *, nullif(last_value(case when kind = 'start' then tag when kind in ('end', 'raw') then '' end ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row), '') as current_tag from tokens
+    select *, nullif(last_value(case when kind = 'start' and not ends_with(tok, '/>') then tag when kind in ('start', 'end', 'raw') then '' end ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row), '') as current_tag from tokens
 ), text_nodes as (
     select page_id, pos, trim(tok) as text, current_tag from governed where kind = 'text' and trim(tok) <> ''
 )"""

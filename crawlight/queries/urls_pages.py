@@ -13,7 +13,6 @@ from crawlight.sources.tables import fetches, pages, table
 
 area = Area()
 q = area.query
-url, html = F.col("url"), F.col("html")
 PRIORITY = "product_detail product_listing subscription_flow pricing category about contact location documentation article other".split()
 PER_TEMPLATE, MOST_PAGES = 3, 27
 
@@ -41,30 +40,30 @@ def o006(spark, d):
 
 @q("o020_normalize_target", "select page_id, regexp_extract(url, '^https?://([^/]*)', 1) as domain, regexp_extract(url, '^(https?://[^/]*)', 1) as base, 'https://' || regexp_extract(regexp_extract(url, '^https?://(.*)$', 1), '^([^/]*)', 1) as bare_base from pages")
 def o020(spark, d):
-    base = U.base_url(url)
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(base, "://(.*)$", 1).alias("domain"), base.alias("base"), U.base_url(F.regexp_extract(url, "^https?://(.*)$", 1)).alias("bare_base"))
+    base = U.base_url(F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(base, "://(.*)$", 1).alias("domain"), base.alias("base"), U.base_url(F.regexp_extract(F.col("url"), "^https?://(.*)$", 1)).alias("bare_base"))
 
 
 @q("o021_locale_template", f"with {URLS} select page_id, locale, logical_path from logical")
 def o021(spark, d):
-    return table(spark, d, "pages").select("page_id", U.locale(url).alias("locale"), U.logical_path(url).alias("logical_path"))
+    return table(spark, d, "pages").select("page_id", U.locale(F.col("url")).alias("locale"), U.logical_path(F.col("url")).alias("logical_path"))
 
 
 @q("o022_classify_page", f"with {CLASSED} select page_id, page_type, confidence, template, locale from classed")
 def o022(spark, d):
-    return table(spark, d, "pages").select("page_id", U.page_class(url, T.title(html)).alias("c")).select("page_id", "c.*")
+    return table(spark, d, "pages").select("page_id", U.page_class(F.col("url"), T.title(F.col("html"))).alias("c")).select("page_id", "c.*")
 
 
 @q("o023_html_response", "select page_id, case when page_id % 5 = 0 then false when page_id % 5 = 1 then true else regexp_matches(lower(substr(trim(html), 1, 200)), '<!doctype html|<html') end as is_html from pages")
 def o023(spark, d):
     kind = F.when(F.col("page_id") % 5 == 0, "application/json").when(F.col("page_id") % 5 == 1, "text/html; charset=utf-8").otherwise("text/plain")
-    return table(spark, d, "pages").select("page_id", U.is_html_response(F.create_map(F.lit("Content-Type"), kind), html).alias("is_html"))
+    return table(spark, d, "pages").select("page_id", U.is_html_response(F.create_map(F.lit("Content-Type"), kind), F.col("html")).alias("is_html"))
 
 
 @q("o024_same_domain", f"with s as (select distinct {NETLOC} as a from pages), n as (select a, replace(lower(a), 'www.', '') as x from s), o as (select a as b, regexp_extract(x, '([^.]+[.][^.]+)$', 1) as y from n) select a, b, x <> '' and y <> '' and (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) as same from n, o where a <= b")
 def o024(spark, d):
     """Every host against the registered part of every host from its name on: hosts are few."""
-    s = table(spark, d, "pages").select(U.netloc(url).alias("a")).distinct()
+    s = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("a")).distinct()
     o = s.select(F.col("a").alias("b"), F.regexp_extract(F.replace(F.lower("a"), F.lit("www."), F.lit("")), "([^.]+[.][^.]+)$", 1).alias("y"))
     return s.join(o, F.col("a") <= F.col("b")).select("a", "b", U.same_domain(F.col("a"), F.col("y")).alias("same"))
 
@@ -72,7 +71,7 @@ def o024(spark, d):
 @q("o025_non_html_url", f"with u as (select page_id, url || x as url from pages, unnest(['', '.pdf', '/sitemap', '.XML.gz?x=1', '/a.png#top']) t(x)), c as (select *, regexp_extract(lower(url), '^([^?#]*)', 1) as low from u) select page_id, url, regexp_matches(low, '\\.(?:{'|'.join(e.replace('.', chr(92) + '.') for e in U.NON_HTML_EXTENSIONS)})$') or regexp_matches(low, 'sitemap|feed\\.xml|rss\\.xml|robots\\.txt') as non_html from c")
 def o025(spark, d):
     shapes = F.array(*map(F.lit, ["", ".pdf", "/sitemap", ".XML.gz?x=1", "/a.png#top"]))
-    return table(spark, d, "pages").select("page_id", F.explode(F.transform(shapes, lambda x: F.concat(url, x))).alias("url")).select("page_id", "url", U.is_non_html(url).alias("non_html"))
+    return table(spark, d, "pages").select("page_id", F.explode(F.transform(shapes, lambda x: F.concat(F.col("url"), x))).alias("url")).select("page_id", "url", U.is_non_html(F.col("url")).alias("non_html"))
 
 
 _HOSTS = ["8.8.8.8", "10.1.2.3", "127.0.0.1", "169.254.169.254", "172.20.0.1", "192.168.1.1", "100.64.3.4", "224.0.0.1", "::1", "[::ffff:10.0.0.1]", "fe80::1", "localhost", "example.com", "", "256.1.1.1", "172.32.0.1"]
@@ -82,60 +81,60 @@ _V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[
 
 @q("o026_unsafe_host", rf"with hosts as (select unnest({[*_HOSTS]}) as host union all select distinct {NETLOC} from pages), c as (select host, regexp_replace(lower(host), '^\[?(?:::ffff:)?([^\]]*)\]?$', '\1') as h from hosts) select host, case when regexp_full_match(h, '{_V4}') then {' or '.join(f'{_NUMBER} between {a} and {b}' for a, b in U.unsafe_ranges())} else h = '' or (regexp_full_match(h, '::1?|f[cd][0-9a-f:]*|fe[89ab][0-9a-f:]*|ff[0-9a-f:]*') and contains(h, ':')) or regexp_matches(h, '^localhost$|\.localhost$|\.internal$|\.local$') end as unsafe from c")
 def o026(spark, d):
-    hosts = spark.createDataFrame([(h,) for h in _HOSTS], "host string").unionByName(table(spark, d, "pages").select(U.netloc(url).alias("host")).distinct())
+    hosts = spark.createDataFrame([(h,) for h in _HOSTS], "host string").unionByName(table(spark, d, "pages").select(U.netloc(F.col("url")).alias("host")).distinct())
     return hosts.select("host", U.is_unsafe_host(F.col("host")).alias("unsafe"))
 
 
 @q("o027_visible_words", f"select page_id, len(regexp_extract_all({VISIBLE}, '\\S+'))::int as words from pages")
 def o027(spark, d):
-    return table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(html)).alias("words"))
+    return table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("words"))
 
 
 @q("o028_title", f"select page_id, {TITLE} as title from pages")
 def o028(spark, d):
-    return table(spark, d, "pages").select("page_id", T.title(html).alias("title"))
+    return table(spark, d, "pages").select("page_id", T.title(F.col("html")).alias("title"))
 
 
 @q("o029_homepage_links", rf"with l as (select page_id, regexp_extract(url, '^(https?://[^/]*)', 1) as base, unnest(regexp_extract_all(html, '(?i)href=[\x22\x27]((?:https?:/)?/[^\x22\x27]+)', 1)) as href from pages), c as (select page_id, regexp_replace(case when starts_with(href, '/') then base || href else href end, '[#?].*$', '') as link from l) select page_id, link, count(*) as times from c group by all")
 def o029(spark, d):
-    found = table(spark, d, "pages").select("page_id", U.base_url(url).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?i)href=[\x22\x27]((?:https?:/)?/[^\x22\x27]+)"), 1)).alias("href"))
+    found = table(spark, d, "pages").select("page_id", U.base_url(F.col("url")).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?i)href=[\x22\x27]((?:https?:/)?/[^\x22\x27]+)"), 1)).alias("href"))
     link = F.regexp_replace(F.when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.col("href")), "[#?].*$", "")
     return found.groupBy("page_id", link.alias("link")).agg(F.count("*").alias("times"))
 
 
 @q("o030_brand", f"with t as (select page_id, {TITLE} || ' - Example | Shop' as title from pages) select page_id, trim(string_split(replace(title, ' - ', '|'), '|')[1]) as brand from t")
 def o030(spark, d):
-    return table(spark, d, "pages").select("page_id", T.brand_of_title(F.concat(T.title(html), F.lit(" - Example | Shop"))).alias("brand"))
+    return table(spark, d, "pages").select("page_id", T.brand_of_title(F.concat(T.title(F.col("html")), F.lit(" - Example | Shop"))).alias("brand"))
 
 
 @q("o031_octets")
 def o031(spark, d):
     from crawlight.operators.robots import octets_udf
 
-    return table(spark, d, "pages").select("page_id", octets_udf(F.concat(U.path(url), F.lit("%7euser/ü%2f?x=%41"))).alias("octets"))
+    return table(spark, d, "pages").select("page_id", octets_udf(F.concat(U.path(F.col("url")), F.lit("%7euser/ü%2f?x=%41"))).alias("octets"))
 
 
 @q("o032_redact", rf"select page_id, regexp_replace(url || case when contains(url, '?') then '&' else '?' end || 'api_key=K' || page_id || '&token=a%20b#f', '(?i)([?&](?:{T.SECRET_KEYS})=)[^&#\s]*', '\1[REDACTED]', 'g') as url from pages")
 def o032(spark, d):
-    with_secret = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("api_key=K"), F.col("page_id").cast("string"), F.lit("&token=a%20b#f"))
+    with_secret = F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("api_key=K"), F.col("page_id").cast("string"), F.lit("&token=a%20b#f"))
     return table(spark, d, "pages").select("page_id", T.redacted(with_secret).alias("url"))
 
 
 @q("o033_canonical_hash", f"select page_id, sha256(html) as html_sha256, sha256('{{\"site\":\"' || {NETLOC} || '\",\"url\":\"' || url || '\"}}') as row_sha256 from pages")
 def o033(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(html, 256).alias("html_sha256"), F.sha2(F.to_json(F.struct(U.netloc(url).alias("site"), url.alias("url"))), 256).alias("row_sha256"))
+    return table(spark, d, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("html_sha256"), F.sha2(F.to_json(F.struct(U.netloc(F.col("url")).alias("site"), F.col("url").alias("url"))), 256).alias("row_sha256"))
 
 
 @q("o034_url_dedup", "with u as (select page_id, regexp_replace(url, '[?#].*$', '') as clean from pages), r as (select *, row_number() over (partition by rtrim(clean, '/') order by page_id) as k from u) select page_id, clean from r where k = 1")
 def o034(spark, d):
-    clean = table(spark, d, "pages").select("page_id", F.regexp_replace(url, "[?#].*$", "").alias("clean"))
+    clean = table(spark, d, "pages").select("page_id", F.regexp_replace(F.col("url"), "[?#].*$", "").alias("clean"))
     return clean.groupBy(F.rtrim("clean", F.lit("/")).alias("key")).agg(F.min_by(F.struct("page_id", "clean"), "page_id").alias("x")).select("x.*")
 
 
 @q("o040_html_pages", "select page_id from pages where not regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), '\\.(?:xml|xml\\.gz|txt|json|pdf)$') and not regexp_matches(html, '^\\s*<\\?xml|<urlset|<sitemapindex')")
 def o040(spark, d):
-    low = F.lower(F.regexp_extract(url, "^([^?#]*)", 1))
-    return table(spark, d, "pages").where(~low.rlike(r"\.(?:xml|xml\.gz|txt|json|pdf)$") & ~html.rlike(r"^\s*<\?xml|<urlset|<sitemapindex")).select("page_id")
+    low = F.lower(F.regexp_extract(F.col("url"), "^([^?#]*)", 1))
+    return table(spark, d, "pages").where(~low.rlike(r"\.(?:xml|xml\.gz|txt|json|pdf)$") & ~F.col("html").rlike(r"^\s*<\?xml|<urlset|<sitemapindex")).select("page_id")
 
 
 @q("o041_homepage", f"with {CLASSED}, r as (select *, row_number() over (partition by site order by (page_type = 'homepage') desc, page_id) as k from classed) select site, page_id, url, page_type from r where k = 1")
@@ -174,14 +173,14 @@ def o090(spark, d):
 
 @q("o136_canonical_host", f"with c as (select page_id, {NETLOC} as host, case when page_id % 3 = 0 then 'https://www.' || {NETLOC} || '/' else 'https://canonical.example:8443/x' end as canonical from pages) select page_id, regexp_extract(canonical, '^[a-z]+://([^/?#]*)', 1) as canonical_host, regexp_extract(canonical, '^[a-z]+://([^/?#]*)', 1) <> host as differs from c")
 def o136(spark, d):
-    host = U.netloc(url)
+    host = U.netloc(F.col("url"))
     canonical = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www."), host, F.lit("/"))).otherwise("https://canonical.example:8443/x")
     return table(spark, d, "pages").select("page_id", U.netloc(canonical).alias("canonical_host"), (U.netloc(canonical) != host).alias("differs"))
 
 
 @q("o141_registered_root", f"with h as (select distinct {NETLOC} as host from pages) select host, array_to_string(string_split(host, '.')[-2:], '.') as root from h")
 def o141(spark, d):
-    return table(spark, d, "pages").select(U.netloc(url).alias("host")).distinct().select("host", U.registered_root(F.col("host")).alias("root"))
+    return table(spark, d, "pages").select(U.netloc(F.col("url")).alias("host")).distinct().select("host", U.registered_root(F.col("host")).alias("root"))
 
 
 QUERIES, SQL = area.queries, area.sql
