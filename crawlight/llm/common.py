@@ -224,5 +224,22 @@ def id_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, p
             yield batch.column(0), batch.column(1)
 
 
+#: Bytes of text that an operator takes up at a time, about; one text is never cut.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded text, so that memory does not follow the texts' lengths; empty ones are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, bounds = buffers(batch.column(text_at))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

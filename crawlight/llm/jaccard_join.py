@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, shingle_set, written
+from crawlight.llm.common import batch_of, buffers, document_view, hash_words, shingle_set, slices, written
 from crawlight.llm.graphs import components, lookup
 
 #: Groups of the count vectors, documents of a cell's side, entries of a leaf.
@@ -114,7 +114,7 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(TABLE, np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             ids, nodes, sizes, held = [], [], [], 0
             waiting: list[np.ndarray] = []
             for doc_id, shingles in _sets(batch, width):
@@ -164,7 +164,7 @@ def _prefixes(docs: DataFrame, frequencies, t: Fraction, width: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequencies.value
-        for batch in batches:
+        for batch in slices(batches):
             keys, nodes, centres, done = [], [], [], set()
             for _, shingles in _sets(batch, width):
                 n = len(shingles)
@@ -188,7 +188,7 @@ _POINTS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.bi
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for _, shingles in _sets(batch, width):
                 for column, value in zip(out, (node_of(shingles), len(shingles), shingles.tobytes(), vector_of(shingles).tobytes()), strict=True):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling
+from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling, slices
 
 #: Words of a run, runs of a winnowing window, half width of the alignment's band.
 RUN, WINDOW, BAND = 3, 2, 8
@@ -137,9 +137,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     index = TemplateIndex(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(index.hashes):
-                continue
+        for batch in slices(batches) if len(index.hashes) else ():
             data, bounds = buffers(batch.column(1))
             hashes, words, starts, ends = hash_words(data, bounds, places=True)
             ids, out = batch.column(0).to_pylist(), [[] for _ in _MATCHES]

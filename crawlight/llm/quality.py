@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling
+from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling, slices
 
 #: Bound on what the model is fitted on: positives, other labelled rows and unlabelled rows, by hash of the id.
 POSITIVES, NEGATIVES, UNLABELLED = 8000, 4000, 12000
@@ -188,10 +188,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = view.sparkSession.createDataFrame([(k,) for k in drawn], "doc_id long")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = features(batch.column(1))
-                yield batch_of(_VECTORS, batch.column(0), [r.tobytes() for r in x])
+        for batch in slices(batches):
+            yield batch_of(_VECTORS, batch.column(0), [r.tobytes() for r in features(batch.column(1))])
 
     rows = view.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(vectors, "doc_id long, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
@@ -206,21 +204,19 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """doc_id and score (0 to 1) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch_of(_SCORES, batch.column(0), model.score(features(batch.column(1))))
+        for batch in slices(batches):
+            yield batch_of(_SCORES, batch.column(0), model.score(features(batch.column(1))))
 
     return document_view(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_quality(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows whose score is at least ``least``, with all their columns; texts do not leave their partition."""
-    schema = docs.schema
+    schema, last = docs.schema, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                good = model.score(features(batch.column(batch.num_columns - 1))) >= least
-                yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
+        for batch in slices(batches, last):
+            good = model.score(features(batch.column(last))) >= least
+            yield batch.filter(pa.array(good)).select(list(range(last)))
 
     return docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scored_text")).mapInArrow(run, schema)

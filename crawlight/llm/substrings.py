@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, distinct, document_view, hash_words, mix, raw_texts, rolling, written
+from crawlight.llm.common import batch_of, buffers, distinct, document_view, hash_words, mix, raw_texts, rolling, slices, written
 from crawlight.llm.graphs import lookup
 
 #: An anchor with more than one in so many of the shared rows is heavy.
@@ -68,7 +68,7 @@ def _word_arrays(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, owners = batch.column(0).to_pylist(), [], []
             for i, hashes, lengths in _word_arrays(batch.column(1)):
                 if len(hashes) >= width:
@@ -89,7 +89,7 @@ def _windows(candidates: DataFrame, width: int, heavy: np.ndarray, crowded: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             ids, marks, shared = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             out: list[list[np.ndarray]] = [[], [], [], []]
             for i, hashes, lengths in _word_arrays(batch.column(2)):
@@ -118,7 +118,7 @@ def _crowded_places(candidates: DataFrame, width: int, heavy: np.ndarray, keys:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, firsts = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2):
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], []]
             for i, hashes, lengths in _word_arrays(batch.column(2)):
@@ -145,7 +145,7 @@ def _plain(docs: DataFrame) -> DataFrame:
     """Every row as if nothing were removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             sizes, digests = [], []
             for raw in raw_texts(batch.column(2)):
                 words = raw.split()
@@ -168,7 +168,7 @@ def _removed(rows: DataFrame, width: int) -> DataFrame:
     """Result rows of (doc_id, text_key, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             sizes, gone, digests = [], [], []
             raws = raw_texts(batch.column(2))
             for i, hashes, _ in _word_arrays(batch.column(2)):
