@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from crawlight.functions import text as T
 from crawlight.functions.urls import between_edges
-from crawlight.queries.registry import Area, sql_in
+from crawlight.queries.registry import Area, once, sql_in
 from crawlight.sources.tables import table
 
 area = Area()
@@ -142,7 +143,8 @@ RULES = [
 def _rule(name: str, rule_id: str, condition: str) -> None:
     @q(name, f"with {_FACTS} select doc_id, '{rule_id}' as id, words from facts where {condition}")
     def run(spark, d):
-        return content_facts(spark, d).where(condition).select("doc_id", F.lit(rule_id).alias("id"), "words")
+        used = sorted({"doc_id", "words"} | {w for w in re.findall("[a-z]+", condition) if w in ("depth", "statistics", "credentials", "questions", "links", "lists")})
+        return once(content_facts(spark, d), *used).where(condition).select("doc_id", F.lit(rule_id).alias("id"), "words")
 
 
 for _name, _id, _condition in RULES:

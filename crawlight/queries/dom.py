@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlight.functions import text as T
 from crawlight.functions import urls as U
 from crawlight.operators import tokens as K
-from crawlight.queries.registry import Area
+from crawlight.queries.registry import Area, once
 from crawlight.queries.sqlbits import NETLOC, TITLE, TOKENS, VISIBLE
 from crawlight.sources.tables import pages, table
 
@@ -147,7 +147,7 @@ def o089(spark, d):
 @q("o081_static_rate", f"with w as (select page_id, len(regexp_extract_all({VISIBLE}, '\\S+')) as visible from pages), r as (select *, visible + (page_id % 4) * 40 as rendered from w) select page_id, visible::int as visible_words, rendered::int as rendered_words, round_even(visible * 100.0 / rendered, 0)::int as static_rate, (rendered - visible)::int as missing_words from r where rendered > 0")
 def o081(spark, d):
     """Share of the rendered words that the markup shows without scripts; client words are made from the id."""
-    r = table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible_words")).withColumn("rendered_words", (F.col("visible_words") + F.col("page_id") % 4 * 40).cast("int")).where("rendered_words > 0")
+    r = once(table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible_words")), "page_id", "visible_words").withColumn("rendered_words", (F.col("visible_words") + F.col("page_id") % 4 * 40).cast("int")).where("rendered_words > 0")
     return r.select("page_id", "visible_words", "rendered_words", F.bround(F.col("visible_words") * 100.0 / F.col("rendered_words"), 0).cast("int").alias("static_rate"), (F.col("rendered_words") - F.col("visible_words")).alias("missing_words"))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 class Area:
     """Collects the queries and SQL of one module."""
@@ -22,6 +25,11 @@ class Area:
         return add
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns, evaluated once a row: without the generator, filters above would repeat their expressions."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

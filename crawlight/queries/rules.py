@@ -8,7 +8,7 @@ from crawlight.functions import text as T
 from crawlight.functions import urls as U
 from crawlight.operators import tokens as K
 from crawlight.queries.dom import _LINKS, CHALLENGE_TITLE, _SCORE, challenge_score
-from crawlight.queries.registry import Area
+from crawlight.queries.registry import Area, once
 from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, TOKENS, VISIBLE
 from crawlight.queries.urls_pages import _FETCHES
 from crawlight.sources.tables import fetches, pages, table
@@ -113,7 +113,7 @@ _RATE = f"r as (select page_id, len(regexp_extract_all({VISIBLE}, '\\S+')) as vi
 
 @q("r11_static_deficit", f"with {_RATE} select page_id, 'STATIC_HTML_HYDRATION_DEFICIT' as id, case when rate < 25 then 'critical' when rate < 50 and rendered > 100 then 'high' else 'medium' end as severity, rate from rate where rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
 def r11(spark, d):
-    s = table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible")).withColumn("rendered", F.col("visible") + F.col("page_id") % 4 * 300).where("rendered > 0")
+    s = once(table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible")), "page_id", "visible").withColumn("rendered", F.col("visible") + F.col("page_id") % 4 * 300).where("rendered > 0")
     s = s.withColumn("rate", F.bround(F.col("visible") * 100.0 / F.col("rendered"), 0).cast("int")).where("rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
     return finding(s, "page_id", "STATIC_HTML_HYDRATION_DEFICIT", F.when(F.col("rate") < 25, "critical").when((F.col("rate") < 50) & (F.col("rendered") > 100), "high").otherwise("medium"), "rate")
 
