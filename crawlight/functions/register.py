@@ -28,7 +28,7 @@ def _sql_functions() -> dict[str, str]:
     return {
         "detect_currency": f"case {currency} else 'UNKNOWN' end",
         "billing_interval": f"case {interval} else 'one_time' end",
-        "normalize_price": rf"format_string('%.2f', try_cast(nullif(regexp_extract({plain}, r'(\d+(?:\.\d{{1,2}})?)', 1), '') as double))",
+        "normalize_price": rf"get(transform(filter(array(try_cast(nullif(regexp_extract({plain}, r'(\d+(?:\.\d{{1,2}})?)', 1), '') as double)), v -> v is not null), v -> format_string('%.2f', v)), 0)",
     }
 
 
