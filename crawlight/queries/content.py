@@ -112,6 +112,12 @@ def o134(spark, d):
     return table(spark, d, "documents").select("doc_id", present.cast("long").alias("present"), F.bround(present * 1.0 / n, 4).alias("coverage"), (present * 1.0 / n < 0.4).alias("flagged"))
 
 
+@q("r61_query_rubric", f"with r as (select unnest({_STEMS}) as component), s as (select component, list_filter(string_split(component, '_'), lambda x: length(x) > 3) as stems from r), c as (select doc_id, component, len(list_filter(stems, lambda x: contains(lower(substr(text, 1, 5000)), x))) > 0 as present from documents, s) select doc_id, 'QUERY_RUBRIC.GENERIC' as id, count(*) filter (not present) as missing from c group by doc_id having count(*) filter (present) * 1.0 / count(*) < 0.4")
+def r61(spark, d):
+    flagged = o134(spark, d).where("flagged")
+    return flagged.select("doc_id", F.lit("QUERY_RUBRIC.GENERIC").alias("id"), (len(_STEMS) - F.col("present")).alias("missing"))
+
+
 def content_facts(spark, d):
     """Per document: words, depth, statistics, credentials, question lines."""
     lines = F.split(F.col("text"), "\n")

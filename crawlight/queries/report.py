@@ -82,6 +82,17 @@ def o100(spark, d):
     return findings(spark, d)
 
 
+@q("o003_sensor_outputs", f"with {_FINDINGS} select cause as id, severity, count(*) as findings from findings group by all")
+def o003(spark, d):
+    """Sensor payloads as JSON texts, findings at top level or one block below, read back through variants (files go through read_findings)."""
+    f = findings(spark, d).select("doc_id", F.array(F.struct(F.col("cause").alias("id"), "severity")).alias("findings"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("findings"))).otherwise(F.to_json(F.struct(F.struct("findings").alias("block"))))
+    v = f.select(F.try_parse_json(text).alias("v"))
+    found = F.expr("coalesce(try_variant_get(v, '$.findings'), try_variant_get(v, '$.block.findings'))")
+    rows = v.select(F.explode(F.from_json(F.to_json(found), "array<struct<id: string, severity: string>>")).alias("f")).select("f.*")
+    return rows.groupBy("id", "severity").agg(F.count("*").alias("findings"))
+
+
 @q("o114_candidates", f"with {_CANDIDATES} select site, scope, cause, coalesce(check_id, '') as check_id, band, kind, queue, difficulty from candidates0")
 def o114(spark, d):
     return candidates(spark, d).select("site", "scope", "cause", F.coalesce("check_id", F.lit("")).alias("check_id"), "band", "kind", "queue", "difficulty")

@@ -9,7 +9,7 @@ from crawlight.functions import text as T
 from crawlight.functions import urls as U
 from crawlight.queries.registry import Area, sql_in
 from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, URLS, VISIBLE
-from crawlight.sources.tables import fetches, pages, table
+from crawlight.sources.tables import INVENTORY, fetches, inventory_pages, pages, table
 
 area = Area()
 q = area.query
@@ -22,6 +22,27 @@ def o002(spark, d):
     return pages(spark, d).drop("html")
 
 
+@q("o001_inventory", f"with {URLS} select site, url, title from logical")
+def o001(spark, d):
+    """Inventories as JSON texts of at most 1000 pages of a site, read back under the declared schema (files go through read_inventory)."""
+    page = F.struct(F.col("url").alias("url"), T.title(F.col("html")).alias("title"), F.lit(200).alias("status"))
+    texts = table(spark, d, "pages").groupBy(U.netloc(F.col("url")).alias("site"), F.floor(F.col("page_id") / 1000)).agg(F.collect_list(page).alias("pages")).select(F.to_json(F.struct("site", "pages")).alias("body"))
+    inventory = texts.select(F.from_json("body", INVENTORY).alias("i")).select("i.*")
+    return inventory_pages(inventory).select("site", "url", "title")
+
+
+@q("o010_emit_json", f"with {CLASSED} select to_json({{'page_id': page_id, 'page_type': page_type, 'locale': locale}})::varchar as payload from classed")
+def o010(spark, d):
+    """A payload row as JSON, as ``.write.text`` or ``.write.json`` emit it (O-010, O-011)."""
+    return pages(spark, d).select(F.to_json(F.struct("page_id", "page_type", "locale")).alias("payload"))
+
+
+@q("o012_state_upsert", "select user_id, max_by(event_type, struct_pack(t := ts, i := event_id)) as state, count(*) as changes from events group by user_id")
+def o012(spark, d):
+    """What upserts of all events by user leave: the latest state of each key."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("changes"))
+
+
 _FETCHES = """fetches as (
     select 'https://site' || (user_id % 50) || '.example/' as url, (event_id % 5)::int as agent,
            (case when event_type = 'error' then case when value < 50 then 403 when value < 100 then 404 else 500 end when event_type = 'signup' then 301 else 200 end)::int as status, ts, event_id
