@@ -81,12 +81,13 @@ def o023(spark, d):
     return table(spark, d, "pages").select("page_id", U.is_html_response(F.create_map(F.lit("Content-Type"), kind), F.col("html")).alias("is_html"))
 
 
-@q("o024_same_domain", f"with s as (select distinct {NETLOC} as a from pages), n as (select a, replace(lower(a), 'www.', '') as x from s), o as (select a as b, regexp_extract(x, '([^.]+[.][^.]+)$', 1) as y from n) select a, b, x <> '' and y <> '' and (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) as same from n, o where a <= b")
+@q("o024_same_domain", f"with s as (select distinct {NETLOC} as a from pages), o as (select a, unnest(['www.' || a, array_to_string(string_split(a, '.')[-2:], '.'), 'shop.' || a, 'other.org', '']) as b from s), n as (select a, b, replace(lower(a), 'www.', '') as x, replace(lower(b), 'www.', '') as y from o) select distinct a, b, x <> '' and y <> '' and (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) as same from n")
 def o024(spark, d):
-    """Every host against the registered part of every host from its name on: hosts are few."""
-    s = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("a")).distinct()
-    o = s.select(F.col("a").alias("b"), F.regexp_extract(F.replace(F.lower("a"), F.lit("www."), F.lit("")), "([^.]+[.][^.]+)$", 1).alias("y"))
-    return s.join(o, F.col("a") <= F.col("b")).select("a", "b", U.same_domain(F.col("a"), F.col("y")).alias("same"))
+    """Every host against five that link targets could have."""
+    a = F.col("a")
+    others = F.array(F.concat(F.lit("www."), a), U.registered_root(a), F.concat(F.lit("shop."), a), F.lit("other.org"), F.lit(""))
+    s = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("a")).distinct().select("a", F.explode(others).alias("b"))
+    return s.select("a", "b", U.same_domain(a, F.col("b")).alias("same")).distinct()
 
 
 @q("o025_non_html_url", f"with u as (select page_id, url || x as url from pages, unnest(['', '.pdf', '/sitemap', '.XML.gz?x=1', '/a.png#top']) t(x)), c as (select *, regexp_extract(lower(url), '^([^?#]*)', 1) as low from u) select page_id, url, regexp_matches(low, '\\.(?:{'|'.join(e.replace('.', chr(92) + '.') for e in U.NON_HTML_EXTENSIONS)})$') or regexp_matches(low, 'sitemap|feed\\.xml|rss\\.xml|robots\\.txt') as non_html from c")
