@@ -126,18 +126,18 @@ def o151(spark, d):
 
 
 def sitemap_bodies(spark, d):
-    """A sitemap for each host from its pages; some have a DTD, a bad date or no root."""
+    """Sitemaps of a host's pages, 50000 page numbers each; some have a DTD, a bad date or no root."""
     p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), "page_id", F.regexp_replace("url", "[?#].*$", "").alias("loc"))
     bad = F.col("page_id") % 11 == 0
     entry = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.when(bad, "yesterday").otherwise("2024-01-02"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
-    s = p.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es"))  # the test corpus has a few pages a host
+    s = p.groupBy("site", F.floor(F.col("page_id") / 50_000).alias("n")).agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es"))
     head = F.when(F.length("site") % 5 == 0, '<?xml version="1.0"?><!DOCTYPE x><urlset>').when(F.length("site") % 5 == 1, "<list>").otherwise('<?xml version="1.0"?><urlset>')
     tail = F.when(F.length("site") % 5 == 1, "</list>").otherwise("</urlset>")
-    return s.select(F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"), F.concat(head, F.array_join(F.col("es.e"), ""), tail).alias("body"))
+    return s.select(F.concat(F.lit("https://"), "site", F.lit("/sitemap-"), F.col("n").cast("string"), F.lit(".xml")).alias("url"), F.concat(head, F.array_join(F.col("es.e"), ""), tail).alias("body"))
 
 
 _BODIES = rf"""entries0 as (select {NETLOC} as site, page_id, '<url><loc>' || regexp_replace(url, '[?#].*$', '') || '</loc>' || case when page_id % 3 <> 0 then '<lastmod>' || case when page_id % 11 = 0 then 'yesterday' else '2024-01-02' end || '</lastmod>' else '' end || '</url>' as e from pages),
-bodies as (select 'https://' || site || '/sitemap.xml' as url, case when length(site) % 5 = 0 then '<?xml version="1.0"?><!DOCTYPE x><urlset>' when length(site) % 5 = 1 then '<list>' else '<?xml version="1.0"?><urlset>' end || string_agg(e, '' order by page_id) || case when length(site) % 5 = 1 then '</list>' else '</urlset>' end as body from entries0 group by site),
+bodies as (select 'https://' || site || '/sitemap-' || (page_id // 50000) || '.xml' as url, case when length(site) % 5 = 0 then '<?xml version="1.0"?><!DOCTYPE x><urlset>' when length(site) % 5 = 1 then '<list>' else '<?xml version="1.0"?><urlset>' end || string_agg(e, '' order by page_id) || case when length(site) % 5 = 1 then '</list>' else '</urlset>' end as body from entries0 group by site, page_id // 50000),
 parsed as (select url, body, case when regexp_matches(body, '(?i)<sitemapindex\b') then 'sitemapindex' when regexp_matches(body, '(?i)<urlset\b') then 'urlset' else 'unknown' end as kind, regexp_extract_all(body, '(?is)<loc>\s*(.*?)\s*</loc>', 1) as locs, regexp_extract_all(body, '(?is)<lastmod>\s*(.*?)\s*</lastmod>', 1) as mods from bodies),
 validated as (select url, kind, len(locs)::int as entry_count, len(mods) > 0 as has_lastmod,
     concat_ws(',', case when strlen(body) > {S.MOST_BYTES} then 'too_large' end, case when regexp_matches(body, '(?i)<!DOCTYPE|<!ENTITY') then 'dtd' end, case when kind = 'unknown' then 'no_root' end, case when len(locs) = 0 then 'empty' end, case when len(locs) > {S.MOST_ENTRIES} then 'too_many' end, case when len(list_filter(locs, lambda x: not regexp_matches(x, '(?i)^https?://[^/]'))) > 0 then 'relative_loc' end) as errors,
