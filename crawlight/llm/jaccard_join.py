@@ -316,8 +316,8 @@ def _cells(rows: DataFrame) -> DataFrame:
     """
     main = F.col("component") == F.col("hub_component")
     sizes = rows.groupBy("key").agg(F.count_if(main).alias("mains"), F.count_if(~main).alias("others"))
-    parts = sizes.select("key", F.ceil(F.col("mains") / CELL).alias("data_parts"), F.ceil(F.col("others") / CELL).alias("ask_parts"))
-    rows = rows.join(parts, "key").withColumn("data_part", F.pmod(F.xxhash64("node"), F.greatest("data_parts", F.lit(1)))).withColumn("ask_part", F.pmod(F.xxhash64("node"), F.greatest("ask_parts", F.lit(1))))
+    parts = written(sizes.select("key", (F.col("mains") + F.col("others")).alias("size"), F.ceil(F.col("mains") / CELL).alias("data_parts"), F.ceil(F.col("others") / CELL).alias("ask_parts")), "jaccard-cells")
+    rows = lookup(rows, parts, "key", "size", rows.count(), "inner").withColumn("data_part", F.pmod(F.xxhash64("node"), F.greatest("data_parts", F.lit(1)))).withColumn("ask_part", F.pmod(F.xxhash64("node"), F.greatest("ask_parts", F.lit(1))))
     cell = lambda kind, i, j, role: F.struct(i.cast("long").alias("i"), (j * 2 + kind).cast("long").alias("j"), F.lit(role).alias("role"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     empty = F.array().cast("array<struct<i:long,j:long,role:int>>")
