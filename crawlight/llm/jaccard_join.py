@@ -356,8 +356,9 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     part = F.coalesce("component", "node")
     placed = blocks.join(parts, "node", "left").select("key", "node", "n", part.alias("component"))
     hub_part = hubs.join(parts.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    left = placed.join(open_keys.join(hub_part, "key"), "key").join(points.select("node", "point"), "node")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
+    open_keys = written(open_keys.join(hub_part, "key"), "jaccard-keys")
+    left = lookup(placed, open_keys, "key", "m", blocks.count(), "inner").join(points.select("node", "point"), "node")
     left = written(left, "jaccard-open")
     order = ["key", "i", "j"]
     cells = _cells(left).repartition(*order).sortWithinPartitions(*order)
