@@ -197,7 +197,7 @@ scores as (select s.site, w.domain, w.weight, greatest(0, 100 - coalesce(lost, 0
 
 
 def domain_scores(spark, d):
-    f = findings(spark, d).where("doc_id % 50 = 0").join(table(spark, d, "documents").select("doc_id", F.col("source").alias("site")), "doc_id")
+    f = findings(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("site")), "doc_id")
     f = f.select("site", F.concat_ws(":", "cause", F.col("doc_id").cast("string")).alias("finding"), "severity", F.array(F.coalesce(P.case(F.col("cause"), C.CAUSES), F.lit("?"))).alias("check_ids")).distinct()
     return P.domain_scores(f, C.catalogue(spark))
 

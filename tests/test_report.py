@@ -2,6 +2,7 @@ import json
 
 from crawlight.plans import catalogue as C
 from crawlight.plans import report as P
+from crawlight.queries import report as R
 from crawlight.sources.tables import inventory_pages, read_findings, read_inventory
 from crawlight.streaming import events as E
 from tests.conftest import DATA
@@ -39,6 +40,19 @@ def test_domain_scores(spark):
     assert got["discoverability"] == 45 and got["entity_content"] == 95 and got["geo_citability"] == 100
 
 
+def test_domain_scores_take_every_finding(spark):
+    found = R.findings(spark, str(DATA)).toPandas().merge(R.table(spark, str(DATA), "documents").select("doc_id", "source").toPandas(), on="doc_id")
+    domain = {r.check_id: r.domain for r in C.catalogue(spark).collect()}
+    want: dict = {}
+    for r in found.drop_duplicates().itertuples():
+        key = (r.source, domain.get(C.CAUSES.get(r.cause), "discoverability"))
+        lost, n = want.get(key, (0, 0))
+        want[key] = lost + C.DEDUCTIONS[r.severity], n + 1
+    got = {(r.site, r.domain): (r.score, r.findings) for r in R.o083(spark, str(DATA)).collect()}
+    assert got == {(s, k): (max(0, 100 - want.get((s, k), (0, 0))[0]), want.get((s, k), (0, 0))[1]) for s in set(found["source"]) for k in C.DOMAINS}
+    assert {r.site for r in R.o08c(spark, str(DATA)).collect()} == set(found["source"])
+
+
 def test_schema_violations():
     schema = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 0}, "d": {"type": "string", "format": "date-time"}, "c": {"type": ["string", "null"]}}, "additionalProperties": False}
     assert list(P.violations({"n": 1, "d": "2024-01-01T00:00:00Z", "c": None}, schema)) == []
