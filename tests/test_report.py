@@ -34,6 +34,18 @@ def test_topological_order_and_cycle(spark):
     assert got[("t", "x")] is None
 
 
+def test_topological_order_places_every_part(spark):
+    parts = R.table(spark, str(DATA), "part").select("p_partkey", "p_brand").toPandas()
+    rows = R.o093(spark, str(DATA)).toPandas()
+    assert sorted(rows["id"].astype(int)) == sorted(parts["p_partkey"])
+    brand = dict(zip(parts["p_partkey"].astype(str), parts["p_brand"], strict=True))
+    place = dict(zip(rows["id"], rows["place"], strict=True))
+    for site, places in rows.groupby("site")["place"]:
+        assert sorted(places) == list(range(1, len(places) + 1)), site
+    pairs = [(k, str(int(k) - 10)) for k in place if brand.get(str(int(k) - 10)) == brand[k]]
+    assert pairs and all(place[a] > place[b] for a, b in pairs)
+
+
 def test_domain_scores(spark):
     rows = [("s", "f1", "critical", ["A1", "A2"]), ("s", "f2", "low", ["E1"]), ("s", "f3", "medium", ["?"])]
     got = {r.domain: r.score for r in P.domain_scores(spark.createDataFrame(rows, "site string, finding string, severity string, check_ids array<string>"), C.catalogue(spark)).collect()}
