@@ -2,7 +2,8 @@
 
 Every training token is counted in Spark.  The TOP most frequent words get
 classes: documents are sorted into CLUSTERS by a mixture over the most
-frequent words, a word belongs to the cluster where it is most frequent, and a
+frequent words, started on the warm documents and fitted on sums over all
+training documents; a word belongs to the cluster where it is most frequent, and a
 cluster's words are cut into bands by frequency.  A gated recurrent network
 (see ``recurrent``) predicts the class of each token and, in the two upper
 bands, the word; in other classes words keep their share of c + 1.  All other
@@ -11,9 +12,8 @@ over the class's sum, the unseen words being one more entry of 1: so the model
 is a distribution over the known words and one unknown.
 
 Training: a warm start on at most WARM_DOCUMENTS training documents, then every
-task runs truncated backpropagation over whole training documents (one in
-TRAIN_EVERY by hash, so they grow with the input) and the tasks' parameters
-are averaged by their tokens.
+task runs truncated backpropagation over all its training documents and the
+tasks' parameters are averaged by their tokens.
 
 Rare words are looked up by a shuffle: by construction each is rare, so none
 is a hot key.  The table of frequent words is at most TOP entries (20 MB).
@@ -43,8 +43,8 @@ TOP, MIXTURE_WORDS, CLUSTERS = 1 << 19, 1024, 8
 LEAST = 4
 #: Words up to these places within a cluster make a band; the first SOFT bands have a softmax of their own.
 BANDS, SOFT = (16, 64, 256, 2048, 16384), 2
-#: Documents of the warm start at most; one training document in so many trains the network.
-WARM_DOCUMENTS, TRAIN_EVERY = 600, 2
+#: Documents of the warm start at most; rounds of the mixture over all training documents.
+WARM_DOCUMENTS, MIXTURE_ROUNDS = 600, 2
 #: The end of a document, as a word's hash.
 END = np.uint64(0x656E64)
 #: Tokens that are scored at a time, about.
@@ -105,8 +105,24 @@ class Places:
         return out
 
 
-def fit_mixture(x: np.ndarray, clusters: int, rounds: int = 25, starts: int = 3) -> np.ndarray:
-    """Log word shares of each cluster: a mixture of unigram models by expectation maximisation."""
+def expected(x: np.ndarray, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
+    """Each row's shares in the clusters, and the fit."""
+    joint = x @ logs.T + np.log(prior)
+    top = joint.max(1, keepdims=True)
+    post = np.exp(joint - top)
+    total = post.sum(1, keepdims=True)
+    post /= total
+    return post, float((np.log(total) + top).sum())
+
+
+def maximised(sums: np.ndarray, held: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log word shares and priors from each cluster's word counts and rows."""
+    counts = sums + 5 * share
+    return np.log(counts / counts.sum(1, keepdims=True)), (held + 0.1) / (held.sum() + 0.1 * len(held))
+
+
+def fit_mixture(x: np.ndarray, clusters: int, rounds: int = 25, starts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Log word shares and prior of each cluster: a mixture of unigram models by expectation maximisation."""
     best, most = None, -np.inf
     share = x.sum(0) + 1.0
     share /= share.sum()
@@ -122,17 +138,10 @@ def fit_mixture(x: np.ndarray, clusters: int, rounds: int = 25, starts: int = 3)
         logs = np.log((x[centres] + 20 * share) / (x[centres].sum(1, keepdims=True) + 20))
         prior = np.full(clusters, 1 / clusters)
         for _ in range(rounds):
-            joint = x @ logs.T + np.log(prior)
-            top = joint.max(1, keepdims=True)
-            post = np.exp(joint - top)
-            total = post.sum(1, keepdims=True)
-            fit = float((np.log(total) + top).sum())
-            post /= total
-            prior = (post.sum(0) + 0.1) / (len(x) + 0.1 * clusters)
-            counts = post.T @ x + 5 * share
-            logs = np.log(counts / counts.sum(1, keepdims=True))
+            post, fit = expected(x, logs, prior)
+            logs, prior = maximised(post.T @ x, post.sum(0), share)
         if fit > most:
-            best, most = logs + 0.0, fit
+            best, most = (logs, prior), fit
     return best
 
 
@@ -212,6 +221,50 @@ def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, distinct), least
 
 
+def _profile(found: np.ndarray, bounds: np.ndarray, lookup: np.ndarray, width: int) -> np.ndarray:
+    """Counts of the mixture's words in each document."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    word = lookup[found]
+    return np.bincount((owner * width + word)[word >= 0], minlength=(len(bounds) - 1) * width).reshape(-1, width).astype(np.float64)
+
+
+def _summed(frame):
+    """One row of a chunk's rows: the sums of weights and values."""
+    out = frame.iloc[:1].copy()
+    out["weight"] = frame["weight"].sum()
+    out["values"] = [sum(np.frombuffer(v, np.float64) for v in frame["values"]).tobytes()]
+    return out
+
+
+def _parts(docs: DataFrame, run) -> list:
+    """The rows that ``run`` gives for all documents, summed by chunk."""
+    return docs.mapInArrow(run, "chunk int, weight double, values binary").groupBy("chunk").applyInPandas(_summed, "chunk int, weight double, values binary").orderBy("chunk").collect()  # one row a chunk
+
+
+def _mixture_round(docs: DataFrame, shared, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round of expectation maximisation over all documents; ``shared``: the keys and the mixture's words among them."""
+    width = logs.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lookup = shared.value
+        places = Places(keys)
+        sums, held = np.zeros_like(logs), np.zeros(len(logs))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                tokens, bounds = _tokens(batch.column(1).slice(at, 1024))
+                x = _profile(places.find(tokens), bounds, lookup, width)
+                post = expected(x, logs, prior)[0]
+                sums += post.T @ x
+                held += post.sum(0)
+        for k, (n, row) in enumerate(zip(held.tolist(), sums, strict=True)):
+            yield batch_of(_PART, [k], [n], [row.tobytes()])
+
+    parts = _parts(docs, run)
+    sums = np.stack([np.frombuffer(r["values"], np.float64) for r in parts])
+    share = sums.sum(0) + 1.0
+    return maximised(sums, np.array([r["weight"] for r in parts]), share / share.sum())
+
+
 def _cluster(docs: DataFrame, sample: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The cluster of each frequent word: where it has most tokens, over all training documents."""
     frequent = vocabulary.frequent[:MIXTURE_WORDS]
@@ -219,18 +272,15 @@ def _cluster(docs: DataFrame, sample: DataFrame, vocabulary: Vocabulary) -> np.n
     lookup[frequent] = np.arange(len(frequent))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.keys, lookup))
 
-    def profile(found: np.ndarray, bounds: np.ndarray, lookup: np.ndarray, width: int) -> np.ndarray:
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        word = lookup[found]
-        return np.bincount((owner * width + word)[word >= 0], minlength=(len(bounds) - 1) * width).reshape(-1, width).astype(np.float64)
-
     width = len(frequent)
     places = Places(vocabulary.keys)
     rows = sample.select("text").toArrow().combine_chunks()
     if not rows.num_rows or not width:
         return np.zeros(len(vocabulary.keys), np.int64)
     tokens, bounds = _tokens(rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"])
-    logs = fit_mixture(profile(places.find(tokens), bounds, lookup, width), CLUSTERS)
+    logs, prior = fit_mixture(_profile(places.find(tokens), bounds, lookup, width), CLUSTERS)
+    for _ in range(MIXTURE_ROUNDS):
+        logs, prior = _mixture_round(docs, shared, logs, prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lookup = shared.value
@@ -239,7 +289,7 @@ def _cluster(docs: DataFrame, sample: DataFrame, vocabulary: Vocabulary) -> np.n
             for at in range(0, batch.num_rows, 1024):
                 tokens, bounds = _tokens(batch.column(1).slice(at, 1024))
                 found = places.find(tokens)
-                cluster = (profile(found, bounds, lookup, width) @ logs.T).argmax(1)
+                cluster = (_profile(found, bounds, lookup, width) @ logs.T).argmax(1)
                 owner = np.repeat(cluster, np.diff(bounds))
                 pairs, n = np.unique((found.astype(np.int64) * CLUSTERS + owner)[found >= 0], return_counts=True)
                 yield batch_of(_CLUSTERED, pairs // CLUSTERS, pairs % CLUSTERS, n)
@@ -275,16 +325,9 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: GatedModel, chunks
             for k, part in enumerate(np.array_split(local.packed().astype(np.float64) * seen, chunks)):
                 yield batch_of(_PART, [k], [float(seen)], [part.tobytes()])
 
-    def add(frame):
-        total = sum(np.frombuffer(v, np.float64) for v in frame["values"])
-        out = frame.iloc[:1].copy()
-        out["weight"] = frame["weight"].sum()
-        out["values"] = [total.tobytes()]
-        return out
-
-    parts = docs.mapInArrow(run, "chunk int, weight double, values binary").groupBy("chunk").applyInPandas(add, "chunk int, weight double, values binary").collect()  # one row a chunk
+    parts = _parts(docs, run)
     if parts:
-        model.unpack(np.concatenate([np.frombuffer(r["values"], np.float64) / r["weight"] for r in sorted(parts, key=lambda r: r["chunk"])]))
+        model.unpack(np.concatenate([np.frombuffer(r["values"], np.float64) / r["weight"] for r in parts]))
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +348,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col:
     if len(texts):
         tokens, bounds = _tokens(pa.concat_arrays(texts.chunks))
         model.train(vocabulary.sequences(Places(vocabulary.keys).find(tokens), bounds), streams=64, epochs=6)
-        _averaged(training.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TRAIN_EVERY)) == 0), vocabulary, model)
+        _averaged(training, vocabulary, model)
     shared = spark.sparkContext.broadcast((vocabulary, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,7 @@ class GatedModel:
         gates, zr, nn = self.params[:3]
         k = self.hidden
         d_gates, d_zr, d_nn = np.zeros_like(gates), np.zeros_like(zr), np.zeros_like(nn)
+        d_pre = np.empty((*x.shape, 3 * k), d_out.dtype)
         d_h = np.zeros_like(d_out[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, rh = kept[t]
@@ -141,10 +142,14 @@ class GatedModel:
             d_a = np.concatenate([d_h * (h - n) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
             d_nn += rh.T @ d_pre_n
             d_zr += h.T @ d_a
-            d_g = np.concatenate([d_a, d_pre_n], 1)
-            np.add.at(d_gates, x[t], d_g)
+            d_pre[t, :, : 2 * k], d_pre[t, :, 2 * k :] = d_a, d_pre_n
             d_h = d_h * z + d_rh * r + d_a @ zr.T
             d_h[x[t] == START] = 0
+        if x.size:
+            order = np.argsort(x, axis=None, kind="stable")
+            inputs = x.ravel()[order]
+            firsts = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
+            d_gates[inputs[firsts]] = np.add.reduceat(d_pre.reshape(-1, 3 * k)[order], firsts)
         return [d_gates, d_zr, d_nn]
 
     def train(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 24, streams: int = 128, rate: float = 0.01, epochs: int = 1) -> int:

@@ -302,6 +302,20 @@ def test_language_model_scores(spark):
     assert out.score.sum() > out.base_score.sum() + 0.15 * out.n_tokens.sum()
 
 
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    docs = rows(spark, [f"word{i % 9} other{i % 7} end" for i in range(900)])
+    training = docs.where(~Q.in_fold(F.col("doc_id"), 7, 2)).toPandas()
+    seen = []
+    averaged, maximised = LM._averaged, LM.maximised
+    monkeypatch.setattr(LM, "_averaged", lambda d, *a: (seen.append(sorted(r.doc_id for r in d.select("doc_id").collect())), averaged(d, *a))[1])
+    held = []
+    monkeypatch.setattr(LM, "maximised", lambda sums, n, share: (held.append((float(n.sum()), float(sums.sum()))), maximised(sums, n, share))[1])
+    LM.score_documents(docs)
+    assert seen == [sorted(training["doc_id"])]
+    assert len(training) > LM.WARM_DOCUMENTS and abs(held[-1][0] - len(training)) < 1e-6
+    assert abs(held[-1][1] - 4 * len(training)) < 1e-6  # three words and the end
+
+
 def test_language_model_of_messy_rows(messy, nothing):
     got = LM.score_documents(messy).collect()
     assert len(got) == 11 and all(math.isfinite(r.score) for r in got)
