@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -29,10 +30,37 @@ def test_counts_and_ids_equal_the_library(text):
     test_counts_and_ids_equal_the_library.t = library
     counter = T._counters.setdefault(VOCABULARY, None) or T.MergeCounter(VOCABULARY)
     T._counters[VOCABULARY] = counter
-    encoding = P._encodings.get(VOCABULARY) or P._encodings.setdefault(VOCABULARY, P.encoding_of(VOCABULARY))
+    encoder = P._encoders.get(VOCABULARY) or P._encoders.setdefault(VOCABULARY, P.Encoder(VOCABULARY))
     ids = library.encode(text, add_special_tokens=False).ids
     assert counter.count(text) == len(ids)
-    assert encoding.encode_to_numpy(text, allowed_special="all").tolist() == ids
+    assert encoder.ids(text).tolist() == ids
+
+
+def long_texts():
+    rng = random.Random(12)
+    return [
+        " " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "".join(rng.choice("abcxyz019") for _ in range(2_000_000)), " \u3000\t" * 700_000,
+        "one two three, <|endoftext|> don't 42 " * 100_000, "x y" + " " * 1_500_000 + "end " + "of the text " * 200_000,
+    ]
+
+
+def test_ids_of_very_long_texts_equal_the_library():
+    library, encoder = Tokenizer.from_file(VOCABULARY), P.Encoder(VOCABULARY)
+    for text in long_texts():
+        assert np.array_equal(encoder.ids(text), np.array(library.encode(text, add_special_tokens=False).ids, np.uint32))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["ab", " c", "  ", "'s", "1", " <|endoftext|>", "\n", "é", " Z z"]), max_size=40).map("".join), st.integers(1, 20))
+def test_cut_texts_have_the_same_ids(text, chunk):
+    encoder = P._encoders.get(VOCABULARY) or P._encoders.setdefault(VOCABULARY, P.Encoder(VOCABULARY))
+    whole, old = encoder.ids(text).tolist(), P.CHUNK
+    P.CHUNK = chunk
+    try:
+        parts = list(encoder.chunks(text))
+        assert "".join(parts) == text and encoder.ids(text).tolist() == whole
+    finally:
+        P.CHUNK = old
 
 
 @settings(max_examples=100, deadline=None)
@@ -86,20 +114,40 @@ def brute_force_bins(lengths, capacity):
     return best
 
 
+def check_plan(lengths, capacity, plan):
+    held = Counter()
+    for pattern, n in plan:
+        assert sum(pattern) <= capacity
+        for x in pattern:
+            held[x] += n
+    assert held == Counter(lengths)
+    return sum(n for _, n in plan)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_bin_completion_is_optimal_on_small_cases(lengths):
-    histogram = {}
-    for x in lengths:
-        histogram[x] = histogram.get(x, 0) + 1
-    plan = P.bin_completion(histogram, 20)
-    held = {}
-    for pattern, n in plan:
-        assert sum(pattern) <= 20
-        for x in pattern:
-            held[x] = held.get(x, 0) + n
-    assert held == histogram
-    assert sum(n for _, n in plan) == brute_force_bins(lengths, 20)
+    assert check_plan(lengths, 20, P.bin_completion(Counter(lengths), 20)) == brute_force_bins(lengths, 20)
+
+
+def test_bin_completion_is_optimal_with_fourteen_pieces():
+    rng = random.Random(13)
+    cases = [(50, [30, 26, 25, 22, 21, 19, 18, 17, 16, 16, 15, 9, 8, 6])]
+    for _ in range(300):
+        capacity = rng.choice([20, 50, 100, 300, 1024])
+        cases.append((capacity, [rng.randint(1, max(2, int(capacity * rng.choice([0.3, 0.45, 0.6, 0.9])))) for _ in range(rng.randint(8, 14))]))
+    for capacity, lengths in cases:
+        most = check_plan(lengths, capacity, P.bin_completion(Counter(lengths), capacity))
+        # of the brute-force search only whether one sequence less would do
+        assert most == P.lower_bound(Counter(lengths), capacity) or most == brute_force_bins(lengths, capacity)
+
+
+def test_bin_completion_keeps_the_incumbent_without_steps():
+    lengths = [30, 26, 25, 22, 21, 19, 18, 17, 16, 16, 15, 9, 8, 6]
+    assert check_plan(lengths, 50, P.bin_completion(Counter(lengths), 50, steps=0)) >= 5
+    rng = random.Random(14)
+    many = [rng.randint(1, 1023) for _ in range(3000)]
+    assert check_plan(many, 1024, P.bin_completion(Counter(many), 1024)) <= 1.01 * P.lower_bound(Counter(many), 1024) + 1
 
 
 def check_packing(frame, texts_by_row):
@@ -115,9 +163,18 @@ def check_packing(frame, texts_by_row):
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(x.start, x.length, strict=True)] == x.ids_crc32.tolist()
 
 
+def test_packing_of_repeated_rows(spark, monkeypatch):
+    """Rows that agree in everything are dealt to all blocks and packed each."""
+    monkeypatch.setattr(P, "BLOCK", 50)
+    got = P.pack_documents(spark.createDataFrame([(None, "a b c")] * 600 + [(4, "x " * 700)] * 3, "doc_id long, text string"), VOCABULARY).toPandas()
+    assert len(got) == 600 + 3 and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got.drop_duplicates(["sequence_id", "offset"]).shape[0] == len(got)
+
+
 def test_packing_round_trip(spark, messy, nothing):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(3000))) for _ in range(60)]
+    texts += ["word " + " " * 1_500_000, "b" * 1_200_000]
     check_packing(P.pack_documents(rows(spark, texts), VOCABULARY).toPandas(), dict(enumerate(texts)))
     got = P.pack_documents(messy, VOCABULARY).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 1024 and (got.piece == 0).sum() == 11
