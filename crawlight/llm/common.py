@@ -7,12 +7,12 @@ whole batch with prefix sums, so no Python string is made per word.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,27 +195,91 @@ def document_view(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set where none is named, as in tests."""
+    """The folder all executors share.
+
+    On one machine, as in tests, a temporary one is set where none is named; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='crawlight-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Removes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and lost executors cost nothing.
 
-    Shuffle files of the finished job stay on disk until the driver collects
-    its garbage, so that is asked for here.
+    The job's shuffle files go as soon as the table stands.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _tables.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them must be written itself."""
+    for table in tables:
+        if table._written_to in _tables:
+            _tables.remove(table._written_to)
+            _delete(table.sparkSession, table._written_to)
+
+
+def mark() -> int:
+    """Where the list of written tables ends now."""
+    return len(_tables)
+
+
+def discard_since(spark: SparkSession, start: int, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since ``mark`` gave ``start``, but for ``keep``."""
+    kept = getattr(keep, "_written_to", None)
+    for path in [p for p in _tables[start:] if p != kept]:
+        _tables.remove(path)
+        _delete(spark, path)
+
+
+def tree_sum(rows: DataFrame, given=np.float64, fan: int = 1024) -> DataFrame:
+    """(chunk, part, weight, values: bytes of ``given``) rows of any number of tasks -> per chunk the sums, as float64 bytes.
+
+    Parts are tasks; two levels, so that no group holds more than ``fan`` rows up to fan**2 tasks.
+    """
+    ddl = "chunk int, part int, weight double, values binary"
+
+    def adder(kind):
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            out = frame.iloc[:1].copy()
+            out["weight"] = frame["weight"].sum()
+            total = np.frombuffer(frame["values"].iloc[0], kind).astype(np.float64)
+            for raw in frame["values"].iloc[1:]:
+                total += np.frombuffer(raw, kind)
+            out["values"] = [total.tobytes()]
+            return out
+
+        return add
+
+    for kind in (given, np.float64):
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("chunk", "part").applyInPandas(adder(kind), ddl)
+    return rows
 
 
 def id_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import written
+from crawlight.llm.common import discard, written
 
 #: A key of more than one in so many rows is heavy; there are fewer than so many.
 HEAVY = 2000
@@ -50,7 +50,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: every smaller neighbour, and the node, join the smallest
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a != b").distinct(), "cc")
+        before, edges = edges, written(small.where("a != b").distinct(), "cc")
+        discard(before)
         now = _signature(edges)
         if now == last:
             break

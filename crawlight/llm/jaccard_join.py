@@ -12,12 +12,14 @@ number near the square of the documents, so space is cut first, exactly: sets
 with the threshold overlap share one of their rarest shingles (the prefix of
 length n - ceil(t n) + 1 in an order by document frequency, here estimated in
 a fixed-size table over all documents).  Documents that share such a shingle
-form a block.  First each block's most central document is verified against
-its members; blocks whose documents then all are in one component can show
-nothing new.  In the blocks left, trees find the pairs across components.
+form a block.  Every pair that is verified comes out of a tree: first each
+block's most central document asks the trees of its block; blocks whose
+documents then all are in one component can show nothing new.  In the blocks
+left the documents outside the central one's component ask, and pairs across
+components come out.
 
-Blocks of any size are cut into cells of about CELL documents; identical sets
-are one node, so copies never meet in a block.
+Blocks of any size are cut into cells of about CELL documents, each with a
+tree; identical sets are one node, so copies never meet in a block.
 
 Contract: one row per input row.  Null text counts as empty.  A document
 without words has an empty set and is linked with nothing.  Rows with the same
@@ -37,16 +39,19 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, shingle_set, slices, written
+from crawlight.llm.common import batch_of, buffers, discard, document_view, hash_words, shingle_set, slices, tree_sum, written
 from crawlight.llm.graphs import components, lookup
 
 #: Groups of the count vectors, documents of a cell's side, entries of a leaf.
 GROUPS, CELL, LEAF = 256, 128, 16
 #: Nodes whose list is broadcast to pick their sets (8 bytes each); longer lists meet the sets by a shuffle.
 BROADCAST_NODES = 200_000
+#: Pairs of one node that meet one copy of its set.
+PARTNERS = 1000
 #: Entries of the frequency table, and of one of its chunks.
 TABLE, CHUNK = 1 << 20, 1 << 12
 
@@ -106,7 +111,7 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(40)).astype(np.int64) & (TABLE - 1)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def _first_pass(docs: DataFrame, width: int) -> DataFrame:
@@ -129,30 +134,22 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
             n = len(ids)
             if held:
                 table += np.bincount(np.concatenate(waiting), minlength=TABLE).astype(np.int32)
-            yield batch_of(_FIRST, ids, nodes, sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+            yield batch_of(_FIRST, ids, nodes, sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+        task = TaskContext.get().partitionId()
         for k in range(0, TABLE, CHUNK):
             part = table[k : k + CHUNK]
             if part.any():
-                yield batch_of(_FIRST, [None], [None], [None], [k // CHUNK], [part.tobytes()])
+                yield batch_of(_FIRST, [None], [None], [None], [k // CHUNK], [task], [part.tobytes()])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, chunk int, part int, counts binary")
 
 
 def _frequencies(first: DataFrame) -> np.ndarray:
     """The summed table: TABLE counts, whatever the input's size."""
-
-    def add(key, frame):
-        total = np.zeros(CHUNK, np.int64)
-        for raw in frame["counts"]:
-            total += np.frombuffer(raw, np.int32)
-        frame = frame.iloc[:1][["chunk"]].copy()
-        frame["counts"] = [total.tobytes()]
-        return frame
-
-    rows = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()  # at most TABLE / CHUNK rows
+    tasks = first.where("chunk is not null").select("chunk", "part", F.lit(0.0).alias("weight"), F.col("counts").alias("values"))
     out = np.zeros(TABLE, np.int64)
-    for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    for r in tree_sum(tasks, np.int32).collect():  # at most TABLE / CHUNK rows
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["values"], np.float64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
@@ -201,24 +198,6 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
-    """The (a, b) pairs whose summed minima reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                most = int(np.minimum(point_of(x), point_of(y)).sum(dtype=np.int64))
-                if most * (t.numerator + t.denominator) >= t.numerator * (n + m):
-                    left.append(a)
-                    right.append(b)
-            yield batch_of(_LINKS, left, right)
-
-    small = points.select("node", "n", "point")
-    rows = pairs.join(small.withColumnsRenamed({"node": "a", "n": "n_a", "point": "x"}), "a").join(small.withColumnsRenamed({"node": "b", "n": "n_b", "point": "y"}), "b")
-    return rows.where(_close("n_a", "n_b", t)).select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _verified(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
     """The (a, b) pairs whose sets are similar enough."""
 
@@ -241,24 +220,40 @@ def _verified(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
     wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("merge")
     sets = points.select("node", "shingles").join(wanted, "node", "left_semi")
-    rows = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # one node may be in very many pairs: its pairs are dealt to PARTNERS at a time, each with a copy of its set
+    whole, few = pairs, pairs.count() <= PARTNERS * BROADCAST_NODES
+    for side, column in (("a", "x"), ("b", "y")):
+        part = F.floor(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("parts")).cast("int")
+        often = whole.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > PARTNERS).select(side, F.ceil(F.col("m") / PARTNERS).cast("int").alias("parts"))
+        often = F.broadcast(often) if few else often.hint("merge")  # fewer than pairs / PARTNERS rows
+        pairs = pairs.join(often, side, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(part)).drop("parts")
+        copies = sets.withColumnsRenamed({"node": side, "shingles": column}).join(often, side, "left")
+        copies = copies.select(side, column, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        pairs = pairs.join(copies, [side, "part"]).drop("part")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _open_blocks(rows: DataFrame, size: DataFrame, t: Fraction) -> DataFrame:
     """Of blocks with the same members one, without documents that no other of the block matches in size.
 
-    A passage that two documents share makes a block of every run in it.
+    A passage that two documents share makes a block of every run in it.  All
+    look-ups by key go through ``lookup``: a key may hold a third of the rows.
     """
     # sizes that the threshold allows together are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(t.denominator / t.numerator)))
-    rows = written(rows.join(size, "node").withColumn("band", band), "jaccard-rows")
-    near = rows.groupBy("key", "band").agg(F.count("*").alias("m")).select("key", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "m")
-    near = near.groupBy("key", "band").agg(F.sum("m").alias("m")).where("m > 1").select("key", "band")
-    rows = written(rows.join(near, ["key", "band"], "left_semi"), "jaccard-rows")
-    same = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("g"), F.min("n").alias("x"), F.max("n").alias("y"))
-    same = same.where((F.col("m") > 2) | _close("x", "y", t)).groupBy("m", "h", "g").agg(F.min("key").alias("key")).select("key")
-    return rows.join(same, "key", "left_semi").select("key", "node", "central", "n")
+    sized = written(rows.join(size, "node").withColumn("slot", F.struct("key", band.alias("band"))), "jaccard-rows")
+    total = sized.count()
+    counts = sized.groupBy("slot").agg(F.count("*").alias("m"))
+    near = counts.select("slot", "m", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    near = near.select(F.struct(F.col("slot.key").alias("key"), (F.col("slot.band") + F.col("d")).alias("band")).alias("slot"), "m", F.when(F.col("d") == 0, F.col("m")).otherwise(0).alias("own"))
+    near = written(near.groupBy("slot").agg(F.sum("m").alias("m"), F.sum("own").alias("own")).where("m > 1 and own > 0").select("slot", "own"), "jaccard-near")
+    kept = written(lookup(sized, near, "slot", "own", total, "inner").select("slot.key", "node", "central", "n"), "jaccard-rows")
+    same = kept.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("g"), F.min("n").alias("x"), F.max("n").alias("y"))
+    same = same.where((F.col("m") > 2) | _close("x", "y", t)).groupBy("m", "h", "g").agg(F.min("key").alias("key")).select("key", "m")
+    same = written(same, "jaccard-same")
+    blocks = written(lookup(kept, same, "key", "m", kept.count(), "inner").select("key", "node", "central", "n"), "jaccard-blocks")
+    discard(sized, near, kept, same)
+    return blocks
 
 
 def _close(x: str, y: str, t: Fraction):
@@ -329,6 +324,32 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.select("key", "node", "component", "n", "point", F.explode(dealt).alias("cell")).select("key", "cell.i", "cell.j", "cell.role", "node", "component", "n", "point")
 
 
+def _points_of(view: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """node, n, shingles and point of every node that is among ``members``.
+
+    Texts are found by a node's smallest id; a node that only rows of null id have, among those rows.
+    """
+    found = nodes.join(members, "node", "left_semi")
+    ids = found.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    unnamed = found.where("least is null").select("node")
+    by_id = _points(view.join(ids.hint("merge"), "doc_id", "left_semi"), width).join(found.select("node").hint("merge"), "node", "left_semi")
+    by_node = _points(view.where("doc_id is null"), width).join(unnamed.hint("merge"), "node", "left_semi")
+    return by_id.unionByName(by_node).dropDuplicates(["node"])
+
+
+def _hub_cells(blocks: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, hub, hub's block size) and the cells in which each block's most central document asks for the others."""
+    hubs = written(blocks.groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("hub"), F.count("*").alias("m")), "jaccard-hubs")
+    asks = hubs.select("key", "hub", F.ceil(F.col("m") / CELL).alias("parts"), "m")
+    rows = lookup(blocks, asks, "key", "m", blocks.count(), "inner").join(points.select("node", "point"), "node")
+    cell = lambda i, role: F.struct(i.cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(role).alias("role"))
+    own = F.array(cell(F.pmod(F.xxhash64("node"), "parts"), 0))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: cell(i, 1))
+    dealt = F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(own)).alias("cell")
+    rows = rows.select("key", F.col("node").alias("component"), "n", "point", "node", dealt)
+    return hubs, rows.select("key", "cell.i", "cell.j", "cell.role", "node", "component", "n", "point")
+
+
 def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
     spark = docs.sparkSession
@@ -339,17 +360,17 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("rows")), "jaccard-nodes")
 
     frequencies = spark.sparkContext.broadcast(_frequencies(first))  # 4 MB
-    keys = _prefixes(view, frequencies, threshold, width)
-    several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
-    size = nodes.select("node", "n")
-    blocks = written(_open_blocks(keys.join(several.hint("merge"), "key", "left_semi").distinct(), size, threshold), "jaccard-blocks")
-    members = blocks.select("node").distinct()
-    ids = nodes.join(members, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    points = written(_points(view.join(ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["node"]), "jaccard-points")
-
-    hubs = written(blocks.groupBy("key").agg(F.max_by("node", F.struct("central", "node")).alias("hub")), "jaccard-hubs")
-    stars = blocks.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(_verified(_bounded(stars, points, threshold), points, threshold), "jaccard-stars")
+    keys = written(_prefixes(view, frequencies, threshold, width), "jaccard-prefixes")
+    several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
+    several = written(several, "jaccard-several")
+    shared = several.agg(F.sum("m")).first()[0] or 0
+    blocks = _open_blocks(lookup(keys, several, "key", "m", shared, "inner").distinct(), nodes.select("node", "n"), threshold)
+    discard(keys, several)
+    points = written(_points_of(view, nodes, blocks.select("node").distinct(), width), "jaccard-points")
+
+    order = ["key", "i", "j"]
+    hubs, cells = _hub_cells(blocks, points)
+    links = written(_verified(_cell_pairs(cells.repartition(*order).sortWithinPartitions(*order), threshold), points, threshold), "jaccard-links")
     parts = written(components(links), "jaccard-parts")
 
     # blocks that still have documents of several components
@@ -360,14 +381,14 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     open_keys = written(open_keys.join(hub_part, "key"), "jaccard-keys")
     left = lookup(placed, open_keys, "key", "m", blocks.count(), "inner").join(points.select("node", "point"), "node")
     left = written(left, "jaccard-open")
-    order = ["key", "i", "j"]
-    cells = _cells(left).repartition(*order).sortWithinPartitions(*order)
-    more = _verified(_cell_pairs(cells, threshold), points, threshold)
+    more = _verified(_cell_pairs(_cells(left).repartition(*order).sortWithinPartitions(*order), threshold), points, threshold)
     parts = written(components(links.unionByName(more)), "jaccard-parts")
+    discard(blocks, points, hubs, open_keys, left)
 
     known = nodes.join(parts, "node", "left").select("node", "least", "rows", F.coalesce("component", "node").alias("component"))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     found = written(known.join(smallest, "component").select("node", "rows", "component_id"), "jaccard-components")
+    discard(nodes, links, parts)
     with_words = lookup(rows.where("n > 0"), found, "node", "rows", total)
     without = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return with_words.unionByName(without).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -113,6 +113,12 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
     texts += [" ".join(words(rng, rng.choice([0, 1, 3, 4, 5, 6, 9, 40]))) for _ in range(80)]
     texts += [" ".join(common + words(rng, rng.choice([2, 4, 6, 8]))) for _ in range(40)]
     texts += [None, "", "   ", texts[0], texts[0].upper(), "a b c", "A b  c"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(rows(spark, texts)).collect()}
+    assert got == all_pairs_components(texts)
+
+
+def all_pairs_components(texts):
+    """Set size and component of each place in ``texts``."""
     sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
@@ -125,8 +131,44 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(rows(spark, texts)).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def chain(rng, n, links, change=4):
+    """Texts of n words of which each is like its neighbours only."""
+    w, out = [f"c{rng.randrange(10**6)}" for _ in range(n)], []
+    for k in range(links):
+        out.append(" ".join(w))
+        w = list(w)
+        w[k * change : (k + 1) * change] = [f"c{rng.randrange(10**6)}" for _ in range(change)]
+    return out
+
+
+@pytest.mark.parametrize("gone", [{1}, {0}, {2}, {1, 3}, {0, 1, 2, 3, 4}])
+def test_jaccard_links_run_through_null_ids(spark, gone):
+    texts = chain(random.Random(15), 100, 5)
+    expected = all_pairs_components(texts)
+    assert {c for _, c in expected.values()} == {0}
+    docs = spark.createDataFrame([(None if i in gone else i, t) for i, t in enumerate(texts)] + [(9, "other words are here for one")], "doc_id long, text string")
+    got = J.jaccard_components(docs).collect()
+    named = [i for i in range(len(texts)) if i not in gone]
+    assert {r.component_id for r in got if r.doc_id != 9} == {min(named) if named else None}
+    assert len(got) == 6 and [r.component_id for r in got if r.doc_id == 9] == [9]
+
+
+def test_jaccard_of_equal_ids_with_different_texts(spark):
+    """A repeated id joins nothing: only the texts count."""
+    texts = chain(random.Random(16), 60, 2, 1) + ["one two three four five six seven"]
+    got = J.jaccard_components(spark.createDataFrame([(4, texts[0]), (5, texts[1]), (4, texts[2]), (4, texts[0])], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(4, 3, 4), (4, 56, 4), (4, 56, 4), (5, 56, 4)]
+
+
+def test_jaccard_pairs_of_a_busy_node_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(J, "PARTNERS", 3)
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 80, 2)] + [" ".join(words(rng, 30)) for _ in range(5)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(rows(spark, texts)).collect()} == all_pairs_components(texts)
 
 
 def test_jaccard_of_messy_rows(messy, nothing):

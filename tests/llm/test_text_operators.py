@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -87,6 +88,38 @@ def test_slices_keep_every_row():
     assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(6)) and len(parts) > 2
 
 
+def test_written_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    start = C.mark()
+    a, b = C.written(spark.range(5).toDF("x"), "t"), C.written(spark.range(3).toDF("x"), "t")
+    path = Path(a._written_to.removeprefix("file://"))
+    assert a.count() == 5 and path.exists()
+    C.discard(a)
+    assert not path.exists() and b.count() == 3
+    C.discard_since(spark, start)
+    assert not Path(b._written_to.removeprefix("file://")).exists() and C.mark() == start
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        C.shared_folder(Session())
+
+
+def test_sums_of_many_tasks(spark):
+    parts = [(k % 3, t, 1.0, np.full(4, t + k, np.int32).tobytes()) for t in range(40) for k in range(3)]
+    got = C.tree_sum(spark.createDataFrame(parts, "chunk int, part int, weight double, values binary"), np.int32, fan=7).collect()
+    assert {r.chunk: (r.weight, np.frombuffer(r["values"]).tolist()) for r in got} == {k: (40.0, [780.0 + 40 * k] * 4) for k in range(3)}
+
+
 def test_token_counts_of_messy_rows(messy, nothing):
     got = T.count_tokens(messy, VOCABULARY).collect()
     assert len(got) == 11 and sorted(r.n_tokens for r in got)[:3] == [0, 0, 0]
