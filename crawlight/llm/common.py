@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and the codes 9 to 13.
@@ -282,6 +282,17 @@ def tree_sum(rows: DataFrame, given=np.float64, fan: int = 1024) -> DataFrame:
     return rows
 
 
+def drawn(rows: DataFrame, order: Column, most: int, total: int) -> DataFrame:
+    """The ``most`` distinct rows of smallest ``order``, a 64-bit hash, of about ``total``.
+
+    A bound on the hash leaves a few times ``most`` rows before any are sorted, so no task sees more.
+    """
+    if total > 8 * most:
+        # of 8 * most expected rows fewer than ``most`` come out with no chance worth naming
+        rows = rows.where(order < F.lit(int(-(2**63) + 2**64 * (8 * most / total))))
+    return rows.distinct().orderBy(order, *rows.columns).limit(most)
+
+
 def id_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     for batch in batches:
         if batch.num_rows:

@@ -4,9 +4,11 @@ The index has shards by digest.  Every map task keeps a memtable per batch:
 it folds the batch's digests and flushes one sorted run (digest, smallest id,
 largest id, rows), so a text with a third of all rows enters the shuffle once
 a batch.  A shard's task takes those runs in, flushes its memtable as
-sorted in-memory runs that each carry a Bloom filter, and compaction merges
-the runs: entries that no other run's filter reports pass through, the others
-are folded to the smallest and the largest identifier.  Documents that hit an
+sorted in-memory runs that each carry a Bloom filter, and FAN runs of a level
+merge to one of the next.  Compaction joins what is left: entries that no
+other run's filter reports pass through, the others are folded to the smallest
+and the largest identifier.  There are shards enough that each has about
+SHARD_ROWS entries at most, whatever the input.  Documents that hit an
 entry of several rows are compared with the kept text byte by byte; one that
 differs (a digest collision) is grouped by its text instead.
 
@@ -35,8 +37,8 @@ from crawlight.llm.common import batch_of, document_view, written
 HEAVY = 2000
 #: Rows that meet one kept text in one task at most.
 VERIFIED_TOGETHER = 256
-#: Entries of a shard's memtable before it is flushed, and entries a shard is laid out for.
-MEMTABLE, SHARD_ROWS = 1 << 16, 1 << 19
+#: Entries of a shard's memtable before it is flushed, entries a shard is laid out for, runs of a level.
+MEMTABLE, SHARD_ROWS, FAN = 1 << 16, 1 << 19, 8
 
 _RUN = pa.schema([("digest", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("n", pa.int64())])
 _DDL = "digest binary, least long, most long, n long"
@@ -57,9 +59,10 @@ class BloomFilter:
 
     def __init__(self, words: np.ndarray):
         self.bits = max(64, 10 * len(words))
-        self.set = np.zeros(self.bits, bool)
+        marks = np.zeros(self.bits, bool)
         for k in range(4):
-            self.set[self._place(words, k)] = True
+            marks[self._place(words, k)] = True
+        self.set = np.packbits(marks, bitorder="little")
 
     def _place(self, words: np.ndarray, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -68,7 +71,8 @@ class BloomFilter:
     def may_have(self, words: np.ndarray) -> np.ndarray:
         out = np.ones(len(words), bool)
         for k in range(4):
-            out &= self.set[self._place(words, k)]
+            at = self._place(words, k)
+            out &= (self.set[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
 
@@ -79,10 +83,10 @@ def _words(digests: np.ndarray) -> np.ndarray:
 
 
 class MergeIndex:
-    """One shard: a memtable, sorted runs with filters, and compaction."""
+    """One shard: a memtable, levels of sorted runs with filters, and compaction."""
 
     def __init__(self, memtable: int = MEMTABLE):
-        self.memtable, self.waiting, self.runs = memtable, [], []
+        self.memtable, self.waiting, self.levels = memtable, [], []
         self.held = 0
 
     def put(self, digests: np.ndarray, least: np.ndarray, most: np.ndarray, n: np.ndarray) -> None:
@@ -92,18 +96,27 @@ class MergeIndex:
             self.flush()
 
     def flush(self) -> None:
-        if self.held:
-            run = _fold(*map(np.concatenate, zip(*self.waiting, strict=True)))
-            self.runs.append((run, BloomFilter(_words(run[0]))))
-            self.waiting, self.held = [], 0
+        if not self.held:
+            return
+        run, level = _merged(self.waiting), 0
+        self.waiting, self.held = [], 0
+        while True:
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append((run, BloomFilter(_words(run[0]))))
+            if len(self.levels[level]) < FAN:
+                return
+            run = _merged([run for run, _ in self.levels[level]])
+            self.levels[level] = []
+            level += 1
 
     def compact(self) -> Iterator[tuple[np.ndarray, ...]]:
         """The entries of all runs, each digest once."""
         self.flush()
-        shared = []
-        for i, (run, _) in enumerate(self.runs):
+        runs, shared = [entry for level in self.levels for entry in level], []
+        for i, (run, _) in enumerate(runs):
             words, hit = _words(run[0]), np.zeros(len(run[0]), bool)
-            for j, (_, other) in enumerate(self.runs):
+            for j, (_, other) in enumerate(runs):
                 if i != j:
                     hit |= other.may_have(words)
             if not hit.all():
@@ -111,7 +124,12 @@ class MergeIndex:
             if hit.any():
                 shared.append(tuple(x[hit] for x in run))
         if shared:
-            yield _fold(*map(np.concatenate, zip(*shared, strict=True)))
+            yield _merged(shared)
+
+
+def _merged(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One sorted run of several."""
+    return _fold(*map(np.concatenate, zip(*runs, strict=True)))
 
 
 def _digest_array(column: pa.Array) -> np.ndarray:
@@ -139,9 +157,9 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _out(run)
 
 
-def merge_index(digests: DataFrame) -> DataFrame:
-    """digest, least, most, n of (digest, doc_id) rows: one row per digest."""
-    shards = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def merge_index(digests: DataFrame, total: int) -> DataFrame:
+    """digest, least, most, n of the ``total`` (digest, doc_id) rows: one row per digest."""
+    shards = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS), 1)
     return digests.mapInArrow(_memtables, _DDL).repartition(shards, "digest").mapInArrow(_shard, _DDL)
 
 
@@ -160,9 +178,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     view = document_view(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     keyed = view.withColumn("digest", digest(F.col("text")))
     chosen = "least" if keep == "smallest" else "most"
-    index = merge_index(keyed.select("digest", "doc_id"))
-    several = written(index.where("n > 1").select("digest", F.col(chosen).alias("keep_id"), F.col("n").alias("group_size")), "dedup-index")
     total = docs.count()
+    index = merge_index(keyed.select("digest", "doc_id"), total)
+    several = written(index.where("n > 1").select("digest", F.col(chosen).alias("keep_id"), F.col("n").alias("group_size")), "dedup-index")
     heavy = F.broadcast(several.where(F.col("group_size") * HEAVY > total))  # fewer than HEAVY rows
     light = several.where(F.col("group_size") * HEAVY <= total)
 
@@ -196,7 +214,8 @@ def _verify(rows: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("group_size") / VERIFIED_TOGETHER)
     kept = rows.where("doc_id = keep_id").groupBy("digest", "group_size").agg(F.min("text").alias("kept_text"))
     kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("long"))
+    # by place, not by id: many rows may have no id; any part is right, so it may change from run to run
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("long"))
     return dealt.join(kept, ["digest", "part"]).select("doc_id", "digest", "keep_id", "group_size", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("text") == F.col("kept_text")).alias("same"))
 
 

@@ -11,12 +11,13 @@ words, unseen ones included, are one class in which a word's share is c + 1
 over the class's sum, the unseen words being one more entry of 1: so the model
 is a distribution over the known words and one unknown.
 
-Training: a warm start on at most WARM_DOCUMENTS training documents, then every
-task runs truncated backpropagation over all its training documents and the
-tasks' parameters are averaged by their tokens.
+Training: a warm start on at most WARM_DOCUMENTS training documents of at most
+WARM_CHARS characters, then every task runs truncated backpropagation over all
+its training documents and the tasks' parameters are averaged by their tokens.
 
-Rare words are looked up by a shuffle: by construction each is rare, so none
-is a hot key.  The table of frequent words is at most TOP entries (20 MB).
+Rare and unseen words leave a document as (word, count) and are looked up with
+the frequent ones of them broadcast, so a new word in a third of all rows is no
+hot key.  The table of frequent words is at most TOP entries (20 MB).
 
 Contract: one row per input row.  Null text counts as empty: one token, the
 end.  A null id is never held out.  Repeated rows are scored alike.  An empty
@@ -30,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, written
+from crawlight.llm.common import batch_of, buffers, document_view, drawn, hash_words, slices, tree_sum, written
+from crawlight.llm.graphs import lookup
 from crawlight.llm.quality import in_fold
 from crawlight.llm.recurrent import START, GatedModel
 
@@ -43,8 +46,8 @@ TOP, MIXTURE_WORDS, CLUSTERS = 1 << 19, 1024, 8
 LEAST = 4
 #: Words up to these places within a cluster make a band; the first SOFT bands have a softmax of their own.
 BANDS, SOFT = (16, 64, 256, 2048, 16384), 2
-#: Documents of the warm start at most; rounds of the mixture over all training documents.
-WARM_DOCUMENTS, MIXTURE_ROUNDS = 600, 2
+#: Documents of the warm start at most, and their characters; rounds of the mixture over all training documents.
+WARM_DOCUMENTS, WARM_CHARS, MIXTURE_ROUNDS = 600, 1 << 16, 1
 #: The end of a document, as a word's hash.
 END = np.uint64(0x656E64)
 #: Tokens that are scored at a time, about.
@@ -52,9 +55,9 @@ TOKENS = 2_000_000
 
 _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 _CLUSTERED = pa.schema([("word", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64())])
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("n_rare", pa.int64()), ("key", pa.int64())])
-_SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, neural double, n_rare long, key long"
-_PART = pa.schema([("chunk", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("n_rare", pa.int64()), ("key", pa.int64()), ("times", pa.int64())])
+_SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, neural double, n_rare long, key long, times long"
+_PART = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("weight", pa.float64()), ("values", pa.binary())])
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +71,9 @@ def _count(docs: DataFrame) -> DataFrame:
     """key, n: every training token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys, n = np.unique(_tokens(batch.column(1))[0], return_counts=True)
-                yield batch_of(_COUNTS, keys.view(np.int64), n)
+        for batch in slices(batches):
+            keys, n = np.unique(_tokens(batch.column(1))[0], return_counts=True)
+            yield batch_of(_COUNTS, keys.view(np.int64), n)
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -228,17 +230,18 @@ def _profile(found: np.ndarray, bounds: np.ndarray, lookup: np.ndarray, width: i
     return np.bincount((owner * width + word)[word >= 0], minlength=(len(bounds) - 1) * width).reshape(-1, width).astype(np.float64)
 
 
-def _summed(frame):
-    """One row of a chunk's rows: the sums of weights and values."""
-    out = frame.iloc[:1].copy()
-    out["weight"] = frame["weight"].sum()
-    out["values"] = [sum(np.frombuffer(v, np.float64) for v in frame["values"]).tobytes()]
-    return out
-
-
 def _parts(docs: DataFrame, run) -> list:
     """The rows that ``run`` gives for all documents, summed by chunk."""
-    return docs.mapInArrow(run, "chunk int, weight double, values binary").groupBy("chunk").applyInPandas(_summed, "chunk int, weight double, values binary").orderBy("chunk").collect()  # one row a chunk
+    return tree_sum(docs.mapInArrow(run, "chunk int, part int, weight double, values binary")).orderBy("chunk").collect()  # one row a chunk
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], places: Places, lookup: np.ndarray, width: int):
+    """Places, bounds and mixture word counts of the documents, a bounded number at a time."""
+    for batch in slices(batches):
+        for at in range(0, batch.num_rows, 1024):
+            tokens, bounds = _tokens(batch.column(1).slice(at, 1024))
+            found = places.find(tokens)
+            yield found, bounds, _profile(found, bounds, lookup, width)
 
 
 def _mixture_round(docs: DataFrame, shared, logs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,15 +252,13 @@ def _mixture_round(docs: DataFrame, shared, logs: np.ndarray, prior: np.ndarray)
         keys, lookup = shared.value
         places = Places(keys)
         sums, held = np.zeros_like(logs), np.zeros(len(logs))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                tokens, bounds = _tokens(batch.column(1).slice(at, 1024))
-                x = _profile(places.find(tokens), bounds, lookup, width)
-                post = expected(x, logs, prior)[0]
-                sums += post.T @ x
-                held += post.sum(0)
+        for _, _, x in _profiles(batches, places, lookup, width):
+            post = expected(x, logs, prior)[0]
+            sums += post.T @ x
+            held += post.sum(0)
+        task = TaskContext.get().partitionId()
         for k, (n, row) in enumerate(zip(held.tolist(), sums, strict=True)):
-            yield batch_of(_PART, [k], [n], [row.tobytes()])
+            yield batch_of(_PART, [k], [task], [n], [row.tobytes()])
 
     parts = _parts(docs, run)
     sums = np.stack([np.frombuffer(r["values"], np.float64) for r in parts])
@@ -285,14 +286,10 @@ def _cluster(docs: DataFrame, sample: DataFrame, vocabulary: Vocabulary) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lookup = shared.value
         places = Places(keys)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                tokens, bounds = _tokens(batch.column(1).slice(at, 1024))
-                found = places.find(tokens)
-                cluster = (_profile(found, bounds, lookup, width) @ logs.T).argmax(1)
-                owner = np.repeat(cluster, np.diff(bounds))
-                pairs, n = np.unique((found.astype(np.int64) * CLUSTERS + owner)[found >= 0], return_counts=True)
-                yield batch_of(_CLUSTERED, pairs // CLUSTERS, pairs % CLUSTERS, n)
+        for found, bounds, x in _profiles(batches, places, lookup, width):
+            owner = np.repeat((x @ logs.T).argmax(1), np.diff(bounds))
+            pairs, n = np.unique((found.astype(np.int64) * CLUSTERS + owner)[found >= 0], return_counts=True)
+            yield batch_of(_CLUSTERED, pairs // CLUSTERS, pairs % CLUSTERS, n)
 
     sums = docs.mapInArrow(run, "word int, cluster int, n long").groupBy("word", "cluster").agg(F.sum("n").alias("n"))
     best = sums.groupBy("word").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("cluster")).toArrow()
@@ -311,19 +308,19 @@ def _averaged(docs: DataFrame, vocabulary: Vocabulary, model: GatedModel, chunks
         local.unpack(model.packed())
         places = Places(vocabulary.keys)
         seen, waiting, held = 0, [], 0
-        for batch in batches:
-            if batch.num_rows:
-                tokens, bounds = _tokens(batch.column(1))
-                waiting += vocabulary.sequences(places.find(tokens), bounds)
-                held += len(tokens)
+        for batch in slices(batches):
+            tokens, bounds = _tokens(batch.column(1))
+            waiting += vocabulary.sequences(places.find(tokens), bounds)
+            held += len(tokens)
             if held > TOKENS // 2:
                 seen += local.train(waiting, rate=0.004)
                 waiting, held = [], 0
         if waiting:
             seen += local.train(waiting, rate=0.004)
         if seen:
+            task = TaskContext.get().partitionId()
             for k, part in enumerate(np.array_split(local.packed().astype(np.float64) * seen, chunks)):
-                yield batch_of(_PART, [k], [float(seen)], [part.tobytes()])
+                yield batch_of(_PART, [k], [task], [float(seen)], [part.tobytes()])
 
     parts = _parts(docs, run)
     if parts:
@@ -337,10 +334,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col:
     training = view.where(~in_fold(F.col("doc_id"), folds, held_out))
     counts = written(_count(training), "lm-counts")
     vocabulary, least = _vocabulary(counts)
-    order = F.xxhash64("doc_id", F.lit(3))
-    ids = training.select("doc_id").dropna().distinct().orderBy(order, "doc_id").limit(WARM_DOCUMENTS).collect()
-    warm_ids = spark.createDataFrame([(r["doc_id"],) for r in ids], "doc_id long")
-    sample = training.join(F.broadcast(warm_ids), "doc_id", "left_semi")
+    short = training.where(F.length("text") <= WARM_CHARS)
+    end = int(END.view(np.int64))
+    documents = counts.where(F.col("key") == end).first()
+    sample = drawn(short, F.xxhash64("doc_id", "text", F.lit(3)), WARM_DOCUMENTS, documents["n"] if documents else 0)
     vocabulary.classify(_cluster(training, sample, vocabulary))
 
     model = vocabulary.model()
@@ -368,29 +365,34 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col:
             neural = (model.score(vocabulary.sequences(found, bounds)) + np.add.reduceat(within, first)) / np.log(10)
             n_known = np.add.reduceat(known.astype(np.int64), first)
             n = rows.num_rows
-            yield batch_of(_SCORED, pa.concat_arrays(rows["row"].chunks), pa.concat_arrays(rows["doc_id"].chunks), sizes, n_known, base, neural, sizes - n_known, pa.nulls(n, pa.int64()))
+            yield batch_of(_SCORED, pa.concat_arrays(rows["row"].chunks), pa.concat_arrays(rows["doc_id"].chunks), sizes, n_known, base, neural, sizes - n_known, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
+            # each document's rare words once, with their number
             rare = np.flatnonzero(~known & (tokens != END))
-            owner = rows["row"].to_numpy()[np.searchsorted(bounds, rare, "right") - 1]
-            empty = [pa.nulls(len(rare), f.type) for f in _SCORED][1:-1]
-            yield batch_of(_SCORED, owner, *empty, tokens[rare].view(np.int64))
+            owner, keys = np.searchsorted(bounds, rare, "right") - 1, tokens[rare].view(np.int64)
+            order = np.lexsort((keys, owner))
+            owner, keys = owner[order], keys[order]
+            first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]) if len(rare) else rare
+            empty = [pa.nulls(len(first), f.type) for f in _SCORED][1:-2]
+            yield batch_of(_SCORED, rows["row"].to_numpy()[owner[first]], *empty, keys[first], np.diff(np.r_[first, len(rare)]))
 
         waiting, held = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                waiting.append(part)
-                held += part.column(2).nbytes
-                if held > 6 * TOKENS:
-                    yield from scored(pa.Table.from_batches(waiting))
-                    waiting, held = [], 0
+        for part in slices(batches, 2):
+            waiting.append(part)
+            held += part.column(2).nbytes
+            if held > 6 * TOKENS:
+                yield from scored(pa.Table.from_batches(waiting))
+                waiting, held = [], 0
         if waiting:
             yield from scored(pa.Table.from_batches(waiting))
 
     # both kinds of rows come from one written table, so a row's number means the same in both
     rows = written(view.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, _SCORED_DDL), "lm-scored")
     bucket = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    rare = rows.where("key is not null").select("row", "key").join(counts.where(bucket < least).hint("merge"), "key")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"), F.count("*").alias("rare_known"))
+    rare = rows.where("key is not null").select("row", "key", "times")
+    uses = rare.groupBy("key").agg(F.count("*").alias("uses")).join(counts.where(bucket < least).hint("merge"), "key", "left")
+    uses = written(uses, "lm-uses")
+    rare = lookup(rare, uses, "key", "uses", uses.agg(F.sum("uses")).first()[0] or 0, "inner").where("n is not null")
+    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"), F.sum("times").alias("rare_known"))
     out = rows.where("key is null").drop("key").join(rare.hint("merge"), "row", "left")
     more, known = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return out.select(

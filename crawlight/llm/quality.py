@@ -10,7 +10,7 @@ from the labelled training rows.  Scores are then calibrated on these rows.
 
 Contract: one row per input row; null text counts as empty and is scored as
 such.  Labels of null quality or id are ignored; of repeated labels the mean
-counts, positive from 0.5.  Without positive labels nothing can be learned
+counts, positive from 0.5; of rows with one id one is fitted on.  Without positive labels nothing can be learned
 and every score is 1.  Empty tables give no rows; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling, slices
+from crawlight.llm.common import batch_of, buffers, document_view, drawn, hash_words, rolling, slices
 
 #: Bound on what the model is fitted on: positives, other labelled rows and unlabelled rows, by hash of the id.
 POSITIVES, NEGATIVES, UNLABELLED = 8000, 4000, 12000
@@ -173,27 +173,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     ids = view.select("doc_id").distinct()
     known = ids.join(labels, "doc_id")
-    means = known.agg(F.avg("y").alias("prior")).first()
-    prior = min(max(means["prior"] if means["prior"] is not None else 0.5, 0.02), 0.98)
-    order = F.xxhash64("doc_id")
+    sizes = known.agg(F.count_if(F.col("y") == 1).alias("positive"), F.count_if(F.col("y") == 0).alias("negative")).first()
+    prior = sizes["positive"] / max(sizes["positive"] + sizes["negative"], 1)
+    prior = min(max(prior, 0.02), 0.98)
     # three bounded draws; they are collected as ids and labels only
-    drawn: dict[int, list] = {}
-    for rows, most in ((known.where("y = 1"), POSITIVES), (known.where("y = 0"), NEGATIVES)):
-        for r in rows.orderBy(order, "doc_id").limit(most).collect():
-            drawn[r["doc_id"]] = [r["y"], False]
-    for r in ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).collect():
-        drawn.setdefault(r["doc_id"], [-1, False])[1] = True
-    if not drawn:
+    taken: dict[int, list] = {}
+    for rows, most, n in ((known.where("y = 1"), POSITIVES, sizes["positive"]), (known.where("y = 0"), NEGATIVES, sizes["negative"])):
+        for r in drawn(rows, F.xxhash64("doc_id"), most, n).collect():
+            taken[r["doc_id"]] = [r["y"], False]
+    for r in drawn(ids, F.xxhash64("doc_id", F.lit(1)), UNLABELLED, ids.count()).collect():
+        taken.setdefault(r["doc_id"], [-1, False])[1] = True
+    if not taken:
         return Model(None, None, None, constant=1.0)
-    chosen = view.sparkSession.createDataFrame([(k,) for k in drawn], "doc_id long")
+    chosen = view.sparkSession.createDataFrame([(k,) for k in taken], "doc_id long")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield batch_of(_VECTORS, batch.column(0), [r.tobytes() for r in features(batch.column(1))])
 
-    rows = view.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(vectors, "doc_id long, x binary").toArrow().sort_by("doc_id")
+    # one row an id: the one whose text has the smallest hash
+    rows = view.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("row")).select("doc_id", "row.text")
+    rows = rows.mapInArrow(vectors, "doc_id long, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
-    marks = [drawn[k] for k in rows["doc_id"].to_pylist()]
+    marks = [taken[k] for k in rows["doc_id"].to_pylist()]
     return fit(x, np.array([m[0] for m in marks]), np.array([m[1] for m in marks]), prior)
 
 

@@ -71,24 +71,42 @@ class GatedModel:
         self.params[0][:, :hidden] += 1.0  # states are kept at first
 
     def forward(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States of a window of inputs (steps by streams), and the last state."""
+        """States of a window of inputs (steps by streams), and the last state.
+
+        Inside, streams are the last axis, so that gates are contiguous blocks.  ``keep`` takes, for all
+        steps at once, the states before, the gates with the fresh states, and the gated states.
+        """
         gates, zr, nn = self.params[:3]
-        k = self.hidden
-        out = np.empty((*x.shape, k), np.float32)
-        for t in range(len(x)):
-            fresh = x[t] == START
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            g = gates[x[t]]
-            a = _sigmoid(g[:, : 2 * k] + h @ zr)
-            z, r = a[:, :k], a[:, k:]
-            rh = r * h
-            n = np.tanh(g[:, 2 * k :] + rh @ nn)
+        k, kind = self.hidden, gates.dtype
+        steps, streams = x.shape
+        pre = np.ascontiguousarray(gates[x].transpose(0, 2, 1))  # one gather for the whole window
+        out = np.empty((steps, k, streams), kind)
+        fresh = x == START
+        resets = fresh.any(1).tolist()
+        h = np.ascontiguousarray(h.T)
+        if keep is not None:
+            keep += [np.empty_like(out), pre, np.empty_like(out)]
+        zr_t, nn_t = np.ascontiguousarray(zr.T), np.ascontiguousarray(nn.T)
+        wide, product = np.empty((2 * k, streams), kind), np.empty((k, streams), kind)
+        spare = np.empty((k, streams), kind)
+        for t in range(steps):
+            if resets[t]:
+                h = np.where(fresh[t], kind.type(0), h)
+            a, n = pre[t, : 2 * k], pre[t, 2 * k :]
+            np.matmul(zr_t, h, out=wide)
+            a += wide
+            _sigmoid(a)
+            rh = np.multiply(a[k:], h, out=spare if keep is None else keep[2][t])
+            np.matmul(nn_t, rh, out=product)
+            n += product
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, rh))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h
+                keep[0][t] = h
+            # n + z (h - n)
+            h = np.subtract(h, n, out=out[t])
+            h *= a[:k]
+            h += n
+        return out.transpose(0, 2, 1), h.T
 
     def log_probabilities(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray, grad: bool = False):
         """Natural logs for flat rows of states; ``words`` is -1 where the class has fixed shares.
@@ -131,26 +149,39 @@ class GatedModel:
         """Gradients of the gates' parameters, back through the window's steps."""
         gates, zr, nn = self.params[:3]
         k = self.hidden
-        d_gates, d_zr, d_nn = np.zeros_like(gates), np.zeros_like(zr), np.zeros_like(nn)
-        d_pre = np.empty((*x.shape, 3 * k), d_out.dtype)
+        before, pre, gated = kept
+        z, r, n = pre[:, :k], pre[:, k : 2 * k], pre[:, 2 * k :]
+        # what each step's gradient is multiplied with
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = before * r * (1 - r)
+        d_out = np.ascontiguousarray(d_out.transpose(0, 2, 1))
+        d_pre = np.empty(pre.shape, d_out.dtype)
+        fresh = x == START
+        resets = fresh.any(1).tolist()
         d_h = np.zeros_like(d_out[0])
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, rh = kept[t]
-            d_h = d_h + d_out[t]
-            d_pre_n = d_h * (1 - z) * (1 - n * n)
-            d_rh = d_pre_n @ nn.T
-            d_a = np.concatenate([d_h * (h - n) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
-            d_nn += rh.T @ d_pre_n
-            d_zr += h.T @ d_a
-            d_pre[t, :, : 2 * k], d_pre[t, :, 2 * k :] = d_a, d_pre_n
-            d_h = d_h * z + d_rh * r + d_a @ zr.T
-            d_h[x[t] == START] = 0
+            d_h += d_out[t]
+            d = d_pre[t]
+            np.multiply(d_h, to_n[t], out=d[2 * k :])
+            d_rh = nn @ d[2 * k :]
+            np.multiply(d_h, to_z[t], out=d[:k])
+            np.multiply(d_rh, to_r[t], out=d[k : 2 * k])
+            d_h *= z[t]
+            d_rh *= r[t]
+            d_h += d_rh
+            d_h += zr @ d[: 2 * k]
+            if resets[t]:
+                d_h[:, fresh[t]] = 0
+        d_gates = np.zeros_like(gates)
+        flat = d_pre.transpose(0, 2, 1).reshape(-1, 3 * k)
         if x.size:
             order = np.argsort(x, axis=None, kind="stable")
             inputs = x.ravel()[order]
             firsts = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
-            d_gates[inputs[firsts]] = np.add.reduceat(d_pre.reshape(-1, 3 * k)[order], firsts)
-        return [d_gates, d_zr, d_nn]
+            d_gates[inputs[firsts]] = np.add.reduceat(flat[order], firsts)
+        rows = lambda a: a.transpose(0, 2, 1).reshape(-1, k)
+        return [d_gates, rows(before).T @ flat[:, : 2 * k], rows(gated).T @ flat[:, 2 * k :]]
 
     def train(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 24, streams: int = 128, rate: float = 0.01, epochs: int = 1) -> int:
         """Adam over (inputs, classes, words) of whole documents; returns the tokens seen."""

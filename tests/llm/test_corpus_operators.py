@@ -52,6 +52,28 @@ def test_exact_dedup(spark, keep, digest, monkeypatch):
         assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (k, len(groups[t]), i == k, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_filters_pack_bits_and_levels_stay_few():
+    digests = np.array([hashlib.sha256(b"%d" % k).digest() + b"\x01" for k in range(4000)], "S33")
+    words = X._words(digests)
+    bits = X.BloomFilter(words[:2000])
+    assert bits.set.nbytes <= 10 * 2000 / 8 + 8 and bits.may_have(words[:2000]).all() and bits.may_have(words[2000:]).mean() < 0.05
+    index = X.MergeIndex(memtable=10)
+    for k in range(0, 4000, 10):
+        one = np.ones(10, np.int64)
+        index.put(digests[k : k + 10], one, one, one)
+        assert sum(map(len, index.levels)) <= X.FAN * 4
+    assert sum(len(run[0]) for run in index.compact()) == 4000
+
+
+def test_exact_dedup_of_null_ids(spark, monkeypatch):
+    """Rows of one text without ids are dealt to several parts."""
+    monkeypatch.setattr(X, "VERIFIED_TOGETHER", 16)
+    got = X.exact_dedup(spark.createDataFrame([(None, "same")] * 300 + [(3, "same"), (4, "own")], "doc_id long, text string").repartition(4), keep="largest").collect()
+    assert len(got) == 302 and [r.doc_id for r in got if r.kept and r.group_size == 301] == [3]
+    none = X.exact_dedup(spark.createDataFrame([(None, "same")] * 50, "doc_id long, text string")).collect()
+    assert [r.keep_id for r in none] == [None] * 50 and sum(r.kept for r in none) == 1
+
+
 def test_exact_dedup_of_messy_rows(messy, nothing):
     got = X.exact_dedup(messy, keep="largest").collect()
     assert len(got) == 11 and sum(r.kept for r in got) == len({r.text_sha256 for r in got})
@@ -329,6 +351,7 @@ def test_language_model_scores(spark):
     rng = random.Random(10)
     vocabularies = [[f"{p}{i}" for i in range(150)] for p in "xy"]
     texts = [" ".join(rng.choice(vocabularies[i % 2]) for _ in range(rng.randrange(5, 60))) for i in range(700)] + [None, "", "Unseen WORDS here"]
+    texts += [f"solo{i % 9} solo{i % 9} x1 new{i} new{i} everywhere" for i in range(40)]  # rare and unseen words, repeated
     got = LM.score_documents(rows(spark, texts)).toPandas().set_index("doc_id")
     import zlib
 
