@@ -1,15 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed to cells of source, language and topic; raking scales the
-cells to each target margin in turn, so that after some rounds all margins
-hold.  A cell's weight over its tokens is its documents' relative sampling
-rate; the common factor is calibrated so that the expected tokens meet the
-budget with no rate above one.  A document is kept if its hash falls below its
-probability, so repeated runs and executors agree.
+cells to each target margin in turn until all margins hold to TOLERANCE.  A
+cell's weight over its tokens is its documents' relative sampling rate; the
+common factor is calibrated so that the expected tokens meet the budget with
+no rate above one.  A cell that would need more than all of its documents is
+kept whole, so its margins fall short; ``margins`` reports by how much.  A
+document is kept if its hash falls below its probability, so repeated runs and
+executors agree.
 
 Default targets are tempered: a value's share is its tokens' share to the
 power ``temper``, which lifts small sources, languages and topics.
 
+Up to MOST_CELLS cells are raked in numpy on the driver; beyond that by
+margin sums in Spark, with the same result.
+
 Contract: null values of source, language and topic are a category of their
 own; a null id hashes as empty text; null text has no tokens.  A cell without
 tokens is kept whole.  Repeated rows share their fate.  An empty table gives
@@ -18,15 +23,17 @@ no rows.  Columns of any name pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import written
+from crawlight.llm.common import discard, written
 
-#: Rounds of raking, tempering of the margins, kept share of all tokens, topics.
-ROUNDS, TEMPER, KEEP, TOPICS = 6, 0.7, 0.7, 8
-#: Cells that are broadcast at most; beyond them documents meet their cells by a shuffle.
-BROADCAST_CELLS = 50_000
+#: Rounds of raking at most, and the relative miss of a margin that ends them; tempering of the margins; kept share of all tokens; topics.
+ROUNDS, TOLERANCE, TEMPER, KEEP, TOPICS = 100, 1e-12, 0.7, 0.7, 8
+#: Cells that the driver rakes at most (60 bytes each); cells that are broadcast at most, beyond them documents meet them by a shuffle.
+MOST_CELLS, BROADCAST_CELLS = 1 << 20, 50_000
 MARGINS = ("source", "lang", "topic")
 _NULL = "<null>"
 
@@ -37,9 +44,16 @@ def token_count(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A stand-in where no topics are given: the first long word's digest, as one of TOPICS numbers."""
-    word = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), "([A-Za-z]{6,})", 1))
-    return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 1), 16, 10).cast("int") % TOPICS).cast("string")
+    """A stand-in where no topics are given, from all of the text.
+
+    Every word of six letters or more votes for the topic that its digest
+    names; the topic with most votes wins, of equal ones the first.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{6,})"), 1)
+    votes = F.array_join(F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "")
+    # TOPICS is 8: hex digits k and k + 8 are votes for k
+    counts = F.array(*(F.length(votes) - F.length(F.translate(votes, f"{k:x}{k + TOPICS:x}", "")) for k in range(TOPICS)))
+    return (F.array_position(counts, F.array_max(counts)) - 1).cast("string")
 
 
 def draw(doc_id: Column) -> Column:
@@ -48,39 +62,109 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def rake(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """source, lang, topic, tokens -> weight (1 on average over tokens) and probability of each cell.
-
-    ``targets`` may give a margin's shares by value; values that it leaves out get none.
-    """
+def raked(codes: list[np.ndarray], tokens: np.ndarray, goals: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
+    """Cell weights whose margins meet the goals; ``codes``: each cell's place in each margin."""
+    w = tokens.astype(np.float64)
+    for _ in range(rounds):
+        missed = 0.0
+        for code, goal in zip(codes, goals, strict=True):
+            held = np.bincount(code, weights=w, minlength=len(goal))
+            factor = np.divide(goal, held, out=np.zeros(len(goal)), where=held > 0)
+            w = w * factor[code]
+            if w.sum() > 0:
+                missed = max(missed, float(np.abs(factor[held > 0] - 1).max(initial=0)))
+        if missed <= TOLERANCE:
+            break
+    return w
+
+
+def common_factor(rate: np.ndarray, tokens: np.ndarray, budget: float) -> float:
+    """The factor at which the tokens kept meet the budget, with no cell kept at more than one."""
+    whole = np.zeros(len(rate), bool)
+    while True:
+        w = float((rate * tokens)[~whole].sum())
+        factor = (budget - float(tokens[whole].sum())) / w if w > 0 else np.inf
+        more = ~whole & (factor * rate > 1)
+        if not more.any():
+            return factor
+        whole |= more
+
+
+def _rake_here(cells: DataFrame, temper: float, rounds: int, keep: float, targets: dict) -> DataFrame:
+    table = cells.toArrow()
+    tokens = table["tokens"].to_numpy().astype(np.float64)
+    codes, goals = [], []
+    for m in MARGINS:
+        values, code = np.unique(np.array(table[m].to_pylist(), object).astype(str), return_inverse=True)
+        if m in targets:
+            goal = np.array([targets[m].get(v, 0.0) for v in values.tolist()])
+        else:
+            goal = np.bincount(code, weights=tokens, minlength=len(values)) ** temper
+            goal /= goal.sum()
+        codes.append(code)
+        goals.append(goal)
+    w = raked(codes, tokens, goals, rounds)
+    rate = w / tokens
+    with np.errstate(invalid="ignore"):  # a cell of no rate under no bound
+        probability = np.minimum(1.0, np.nan_to_num(common_factor(rate, tokens, keep * tokens.sum()) * rate, nan=0.0, posinf=1.0))
+    weight = rate * tokens.sum() / max(w.sum(), 1e-300)
+    return cells.sparkSession.createDataFrame(pa.table({**{m: table[m] for m in MARGINS}, "tokens": table["tokens"], "weight": weight, "probability": probability}))
+
+
+def _rake_apart(cells: DataFrame, temper: float, rounds: int, keep: float, targets: dict) -> DataFrame:
+    """The same by margin sums: no task sees all cells."""
     spark = cells.sparkSession
-    cells = written(cells.where("tokens > 0"), "mixing-cells")
+    total = cells.agg(F.sum("tokens")).first()[0]
     for m in MARGINS:
-        if targets and m in targets:
+        if m in targets:
             goal = spark.createDataFrame(list(targets[m].items()), f"{m} string, goal_{m} double")
         else:
-            goal = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("g"))
-            goal = goal.select(m, (F.col("g") / F.sum("g").over(Window.partitionBy())).alias(f"goal_{m}"))
+            powers = written(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("g")), "mixing-goals")
+            goal = powers.select(m, (F.col("g") / F.lit(powers.agg(F.sum("g")).first()[0])).alias(f"goal_{m}"))
         cells = cells.join(goal, m, "left").withColumn(f"goal_{m}", F.coalesce(f"goal_{m}", F.lit(0.0)))
-    cells = cells.withColumn("w", F.col("tokens").cast("double"))
+    cells = written(cells.withColumn("w", F.col("tokens").cast("double")), "mixing-cells")
     for _ in range(rounds):
+        missed = 0.0
         for m in MARGINS:
-            held = F.sum("w").over(Window.partitionBy(m))
-            cells = cells.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"goal_{m}") / held).otherwise(0.0))
-        cells = written(cells, "mixing-cells")
-    everything = Window.partitionBy()
-    budget = F.lit(keep) * F.sum("tokens").over(everything)
-    cells = cells.withColumn("rate", F.col("w") / F.col("tokens")).withColumn("budget", budget)
-    # cells with the highest rates are kept whole until the others' common factor brings none above one
-    down = Window.orderBy(F.desc("rate"), *MARGINS)
-    above = F.coalesce(F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    cells = cells.withColumn("factor", (F.col("budget") - above) / rest).withColumn("place", F.row_number().over(down))
-    fits = (F.col("factor") > 0) & (F.col("factor") * F.col("rate") <= 1)
-    factor = F.min_by(F.when(fits, F.col("factor")), F.when(fits, F.col("place"))).over(everything)
-    cells = cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), factor * F.col("rate")), F.lit(1.0)))
-    cells = cells.withColumn("weight", F.col("rate") * F.sum("tokens").over(everything) / F.sum("w").over(everything))
-    return written(cells.select(*MARGINS, "tokens", "weight", "probability"), "mixing-cells")
+            held = cells.groupBy(m).agg(F.sum("w").alias("held"), F.first(f"goal_{m}").alias("goal"))
+            factors = written(held.where("held > 0").select(m, (F.col("goal") / F.col("held")).alias("factor")), "mixing-factors")
+            missed = max(missed, factors.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
+            before, cells = cells, written(cells.join(factors, m, "left").withColumn("w", F.col("w") * F.coalesce("factor", F.lit(0.0))).drop("factor"), "mixing-cells")
+            discard(before, factors)
+        if missed <= TOLERANCE:
+            break
+    cells = cells.withColumn("rate", F.col("w") / F.col("tokens"))
+    factor, above = None, F.lit(False)
+    while True:
+        rest = cells.agg(F.sum(F.when(above, 0.0).otherwise(F.col("w"))).alias("w"), F.sum(F.when(above, F.col("tokens")).otherwise(0)).alias("whole")).first()
+        now = (keep * total - rest["whole"]) / rest["w"] if rest["w"] else float("inf")
+        if now == factor:
+            break
+        factor = now
+        above = above | (F.lit(factor) * F.col("rate") > 1)
+    mass = cells.agg(F.sum("w")).first()[0] or 1e-300
+    probability = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("rate"))).otherwise(0.0)
+    return cells.select(*MARGINS, "tokens", (F.col("rate") * F.lit(float(total)) / F.lit(mass)).alias("weight"), probability.alias("probability"))
+
+
+def rake(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """source, lang, topic, tokens -> weight (1 on average over tokens) and probability of each cell.
+
+    ``targets`` may give a margin's shares by value; values that it leaves out get none.
+    """
+    cells = written(cells.where("tokens > 0"), "mixing-cells")
+    size = cells.count()
+    if not size:
+        return cells.select(*MARGINS, "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
+    return (_rake_here if size <= MOST_CELLS else _rake_apart)(cells, temper, rounds, keep, targets or {})
+
+
+def margins(cells: DataFrame) -> DataFrame:
+    """margin, value, target and expected share of the raked cells: where cells are kept whole the two differ."""
+    total = cells.agg(F.sum(F.col("tokens") * F.col("weight")).alias("t"), F.sum(F.col("tokens") * F.col("probability")).alias("e")).first()
+    share = lambda column, by: F.sum(F.col("tokens") * F.col(column)) / F.lit(by)
+    parts = [cells.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(share("weight", total["t"]).alias("target"), share("probability", total["e"]).alias("expected")) for m in MARGINS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def with_probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, **options) -> DataFrame:

@@ -13,7 +13,7 @@ from crawlight.llm.fingerprints import fingerprint_edits
 from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.language_model import score_documents
 from crawlight.llm.licenses import scan_licenses
-from crawlight.llm.mixing import KEEP, MARGINS, ROUNDS, TEMPER, TOPICS, with_probabilities
+from crawlight.llm.mixing import KEEP, MARGINS, TEMPER, TOPICS, with_probabilities
 from crawlight.llm.packing import pack_documents
 from crawlight.llm.quality import fit_quality, in_fold, score_quality
 from crawlight.llm.substrings import repeated_windows
@@ -104,27 +104,35 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rounds that the SQL form rakes; the operator stops once its margins hold to twelve digits, which is earlier.
+SQL_ROUNDS = 30
+
+
 def _op8_sql() -> str:
     """Raking in SQL: one step for each margin of each round."""
     steps, last = [], "start"
-    for k in range(ROUNDS):
+    for k in range(SQL_ROUNDS):
         for m in MARGINS:
             name = f"step_{k}_{m}"
-            steps.append(f"{name} as (select source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_{m} / sum(w) over (partition by {m}) as w from {last})")
+            steps.append(f"{name} as materialized (select source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_{m} / sum(w) over (partition by {m}) as w from {last})")
             last = name
     goals = ", ".join(f"goals_{m} as (select {m}, power(sum(tokens)::double, {TEMPER}) / sum(power(sum(tokens)::double, {TEMPER})) over () as goal_{m} from cells group by {m})" for m in MARGINS)
+    votes = ", ".join(f"len(votes) - len(translate(votes, '{k:x}{k + TOPICS:x}', ''))" for k in range(TOPICS))
     return rf"""
-with docs as (
-    select doc_id, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang,
-           (('0x' || substr(md5(lower(regexp_extract(coalesce(text, ''), '([A-Za-z]{{6,}})', 1))), 1, 1))::int % {TOPICS})::varchar as topic,
+with voted as (
+    select *, array_to_string(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{6,}}'), lambda w: substr(md5(w), 1, 1)), '') as votes from documents
+), counted as (
+    select *, [{votes}] as counts from voted
+), docs as materialized (
+    select doc_id, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang, (list_position(counts, list_max(counts)) - 1)::varchar as topic,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens,
            ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 as u
-    from documents
-), cells as (
+    from counted
+), cells as materialized (
     select source, lang, topic, sum(n_tokens)::bigint as tokens from docs group by all having sum(n_tokens) > 0
-), {goals}, start as (
+), {goals}, start as materialized (
     select cells.*, goal_source, goal_lang, goal_topic, tokens::double as w from cells join goals_source using (source) join goals_lang using (lang) join goals_topic using (topic)
-), {", ".join(steps)}, rates as (
+), {", ".join(steps)}, rates as materialized (
     select *, w / tokens as rate from {last}
 ), factors as (
     select *, ({KEEP} * sum(tokens) over () - coalesce(sum(tokens) over (order by rate desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0))

@@ -259,8 +259,42 @@ def test_mixing_meets_targets(spark):
     assert MX.mix_documents(docs, keep=1.0).count() == 800
 
 
+def test_raking_apart_gives_the_same(spark, monkeypatch):
+    rng = random.Random(18)
+    cells = {(rng.choice("abcde"), rng.choice("xyz"), rng.choice("0123")): rng.randrange(1, 5000) for _ in range(60)}
+    table = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
+    for options in ({"keep": 0.9, "rounds": 3}, {"targets": {"source": {"a": 0.7, "b": 0.3}}, "rounds": 2}):
+        monkeypatch.setattr(MX, "MOST_CELLS", 1 << 20)
+        here = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in MX.rake(table, **options).collect()}
+        monkeypatch.setattr(MX, "MOST_CELLS", 0)
+        apart = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in MX.rake(table, **options).collect()}
+        assert here.keys() == apart.keys() == cells.keys()
+        assert all(np.allclose(here[k], apart[k], atol=1e-9) for k in here)
+
+
+def test_margins_are_met_or_reported(spark):
+    data = [(s, lang, topic, n * (3 if lang == "en" else 1) + int(topic)) for s, n in (("big", 90_000), ("mid", 900), ("small", 3)) for lang in ("en", "de") for topic in "01"]
+    got = MX.margins(MX.rake(spark.createDataFrame(data, "source string, lang string, topic string, tokens long"), keep=0.5)).toPandas().set_index(["margin", "value"])
+    share = {s: sum(n for x, _, _, n in data if x == s) ** MX.TEMPER for s in ("big", "mid", "small")}
+    for k, v in share.items():
+        assert abs(got.target["source", k] - v / sum(share.values())) < 1e-6
+    assert got.expected["source", "small"] < got.target["source", "small"]  # its few tokens are all there are
+    assert abs(got.expected.groupby("margin").sum() - 1).max() < 1e-9
+
+
+def test_topics_come_from_the_whole_text(spark):
+    word = next(w for w in (f"topicword{c}" for c in "abcdefghijklmnop") if int(hashlib.md5(w.encode()).hexdigest()[0], 16) % 8 == 5)
+    other = next(w for w in (f"anothers{c}" for c in "abcdefghijklmnop") if int(hashlib.md5(w.encode()).hexdigest()[0], 16) % 8 == 2)
+    docs = rows(spark, [f"{other} {word.upper()} it is {word}", f"{other} {word}", "", None, "tiny"])
+    got = [r[0] for r in docs.orderBy("doc_id").select(MX.topic_of(F.col("text"))).collect()]
+    assert got == ["5", "2", "0", "0", "0"]
+
+
 def test_mixing_of_messy_rows(messy, nothing):
-    assert MX.with_probabilities(messy).count() == 11
+    got = MX.with_probabilities(messy).collect()
+    assert sorted((r.doc_id or -1, r._mix_source, r._mix_tokens) for r in got)[:3] == [(-1, "<null>", 0), (-1, "a", 2), (1, "a", 6)]
+    assert all(0 <= r._mix_probability <= 1 for r in got) and {r._mix_kept for r in got if not r._mix_tokens} == {True}
+    assert len({r._mix_kept for r in got if r.doc_id == 7}) == 1
     assert MX.mix_documents(messy).columns == messy.columns
     assert MX.mix_documents(nothing).count() == 0
 
