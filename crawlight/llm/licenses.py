@@ -1,11 +1,15 @@
 """License scans: winnowed template fingerprints, then banded alignment.
 
-Templates are cut into word runs whose hashes are winnowed into an inverted
-index (hash to template and place), which is as large as the templates, not
-the corpus.  A document's runs are looked up; each chain of hits on near
-diagonals is a candidate, and a banded alignment of the template with the
-words around it gives the matched words, their coverage of the template and
-the span in the document.
+Templates are the full texts of public licenses (``license_texts``) and short
+statements and openings that name one.  A template of more than PART words is
+cut into parts.  A part's word runs are winnowed into an inverted index (hash
+to part and place), which is as large as the templates, not the corpus.  A
+document's runs are looked up; each chain of hits on near diagonals is a
+candidate, and a banded alignment of the part with the words around it gives
+the matched words and their span.  Parts of one template that follow each
+other are one match, so words put in between parts cost nothing; its coverage
+is the matched words over all words of the template: of a full text, the share
+of the license; of a statement or an opening, of that sentence alone.
 
 Contract: any number of rows per document, one per match, best spans first by
 place; documents without a match give none.  Null text counts as empty; null
@@ -16,6 +20,7 @@ give no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +28,31 @@ from pyspark.sql import DataFrame
 
 from crawlight.llm.common import batch_of, buffers, document_view, hash_words, rolling, slices
 
-#: Words of a run, runs of a winnowing window, half width of the alignment's band.
-RUN, WINDOW, BAND = 3, 2, 8
+#: Half width of the alignment's band; words of a part; words between two parts of one match at most.
+BAND, PART, GAP = 8, 64, 200
+#: Words of a run and runs of a winnowing window: of short templates, and of parts of long ones, whose short runs are everyday words.
+SHORT, LONG = (3, 2), (6, 4)
 #: Public license statements and the openings of license texts.
-TEMPLATES = {
+STATEMENTS = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "MIT-opening": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+
+def templates() -> dict[str, str]:
+    """The statements, and the full texts as ``<license>-text``."""
+    folder = Path(__file__).parent / "license_texts"
+    return STATEMENTS | {f"{path.stem}-text": path.read_text(encoding="utf-8") for path in sorted(folder.glob("*.txt"))}
+
+
 _MATCHES = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int32()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 _DDL = "doc_id long, license string, coverage double, matched_words int, start_word long, end_word long, start_byte long, end_byte long"
 
@@ -48,7 +62,7 @@ def words_of(text: str) -> np.ndarray:
     return hash_words(data, np.array([0, len(data)]))[0] if len(data) else np.empty(0, np.uint64)
 
 
-def winnow(runs: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def winnow(runs: np.ndarray, window: int) -> np.ndarray:
     """Places of each window's smallest hash, the rightmost of equal ones."""
     if len(runs) <= window:
         return np.array([int(runs.argmin())]) if len(runs) else np.empty(0, np.int64)
@@ -57,17 +71,32 @@ def winnow(runs: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class TemplateIndex:
-    """Inverted index of winnowed runs."""
-
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
-        self.words = [words_of(t) for t in templates.values()]
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        for k, words in enumerate(self.words):
-            runs = rolling(words, min(RUN, len(words))) if len(words) else words
-            for p in winnow(runs).tolist():
-                self.at.setdefault(int(runs[p]), []).append((k, p))
-        self.hashes = np.array(sorted(self.at), np.uint64)
+    """Inverted index of the parts' winnowed runs, one for each length of run."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.names, self.sizes = list(texts), []
+        self.parts: list[tuple[int, int, np.ndarray]] = []  # template, part of it, words
+        self.at: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, text in enumerate(texts.values()):
+            words = words_of(text)
+            self.sizes.append(len(words))
+            run, window = SHORT if len(words) <= PART else LONG
+            for j, start in enumerate(range(0, len(words), PART)):
+                part = words[start : start + PART]
+                length = min(run, len(part))
+                runs = rolling(part, length)
+                for p in winnow(runs, window).tolist():
+                    self.at.setdefault(length, {}).setdefault(int(runs[p]), []).append((len(self.parts), p))
+                self.parts.append((k, j, part))
+        self.hashes = {length: np.array(sorted(at), np.uint64) for length, at in self.at.items()}
+
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(part, place where it would start) of every run that the index has."""
+        for length, hashes in self.hashes.items():
+            runs = rolling(words, length)
+            for p in np.flatnonzero(np.isin(runs, hashes)).tolist():
+                for part, q in self.at[length][int(runs[p])]:
+                    yield part, p - q
 
 
 def align(template: np.ndarray, words: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
@@ -97,32 +126,60 @@ def align(template: np.ndarray, words: np.ndarray, band: int = BAND) -> tuple[in
     return best[1], best[2], best[3]
 
 
-def scan_words(words: np.ndarray, index: TemplateIndex, least: float) -> list[tuple[int, float, int, int, int]]:
-    """Matches (template, coverage, matched words, from, to) in the document's word hashes."""
-    found = []
+def _aligned(words: np.ndarray, index: TemplateIndex, least: float) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For each template (part, matched words, from, to) of its parts found in the document, by place."""
     chains: dict[int, list[int]] = {}
-    for run in sorted({min(RUN, len(w)) for w in index.words if len(w)}):
-        runs = rolling(words, run)
-        if not len(runs):
-            continue
-        k = np.searchsorted(index.hashes, runs)
-        k[k == len(index.hashes)] = 0
-        for p in np.flatnonzero(index.hashes[k] == runs).tolist():
-            for template, q in index.at[int(runs[p])]:
-                chains.setdefault(template, []).append(p - q)
-    for template, places in chains.items():
-        size = len(index.words[template])
+    for part, place in index.hits(words):
+        chains.setdefault(part, []).append(place)
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    for part, places in chains.items():
+        template, j, own = index.parts[part]
+        # of a long template half of a part is enough: the template's coverage decides
+        needed = (least if len(own) == index.sizes[template] else min(least, 0.5)) * len(own)
         places = sorted(set(places))
-        at = 0
+        at, end = 0, -1
         while at < len(places):
             first = at
             while at + 1 < len(places) and places[at + 1] - places[first] <= BAND:
                 at += 1
             at += 1
             lo = max(0, places[first] - BAND)
-            matched, a, b = align(index.words[template], words[lo : places[first] + size + 2 * BAND])
-            if size and matched / size >= least:
-                found.append((template, matched / size, matched, lo + a, lo + b))
+            matched, a, b = align(own, words[lo : max(0, places[first] + len(own) + 2 * BAND)])
+            if matched and matched >= needed and lo + a >= end:
+                found.setdefault(template, []).append((j, matched, lo + a, lo + b))
+                end = lo + b
+    return {template: sorted(parts, key=lambda x: (x[2], x[0])) for template, parts in found.items()}
+
+
+def _heaviest(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The parts, one after the other in template and document and no more than GAP words apart, with most matched words."""
+    sums, before = [x[1] for x in parts], [-1] * len(parts)
+    for k, x in enumerate(parts):
+        for i in range(k - 1, -1, -1):
+            y = parts[i]
+            if x[2] - y[2] > GAP + 4 * PART:
+                break
+            if y[0] < x[0] and y[3] <= x[2] and x[2] - y[3] <= GAP and sums[i] + x[1] > sums[k]:
+                sums[k], before[k] = sums[i] + x[1], i
+    k, out = max(range(len(parts)), key=sums.__getitem__), []
+    while k >= 0:
+        out.append(parts[k])
+        k = before[k]
+    return out[::-1]
+
+
+def scan_words(words: np.ndarray, index: TemplateIndex, least: float) -> list[tuple[int, float, int, int, int]]:
+    """Matches (template, coverage, matched words, from, to) in the document's word hashes."""
+    found = []
+    for template, parts in _aligned(words, index, least).items():
+        while parts:
+            run = _heaviest(parts)
+            matched = sum(x[1] for x in run)
+            if matched < least * index.sizes[template]:
+                break
+            found.append((template, matched / index.sizes[template], matched, run[0][2], run[-1][3]))
+            taken = set(run)
+            parts = [x for x in parts if x not in taken]
     # of overlapping spans the one with more matched words, then coverage, stays
     found.sort(key=lambda x: (-x[2], -x[1], x[3], index.names[x[0]]))
     kept: list[tuple] = []
@@ -132,9 +189,9 @@ def scan_words(words: np.ndarray, index: TemplateIndex, least: float) -> list[tu
     return sorted(kept, key=lambda x: x[3])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, coverage, matched_words and the span of every match, in words and in bytes."""
-    index = TemplateIndex(TEMPLATES if templates is None else templates)
+def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, least_coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, license, coverage, matched_words and the span of every match, in words and in bytes; ``texts``: templates by name."""
+    index = TemplateIndex(templates() if texts is None else texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches) if len(index.hashes) else ():
@@ -143,9 +200,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             ids, out = batch.column(0).to_pylist(), [[] for _ in _MATCHES]
             # one look-up for the whole batch; only documents with a hit are chained and aligned
             hit = np.zeros(len(hashes), bool)
-            for length in {min(RUN, len(w)) for w in index.words if len(w)}:
+            for length, known in index.hashes.items():
                 runs = rolling(hashes, length)
-                hit[: len(runs)] |= np.isin(runs, index.hashes)
+                hit[: len(runs)] |= np.isin(runs, known)
             for i in np.unique(np.searchsorted(words, np.flatnonzero(hit), "right") - 1).tolist():
                 a, b = int(words[i]), int(words[i + 1])
                 for template, coverage, matched, s, e in scan_words(hashes[a:b], index, least_coverage):

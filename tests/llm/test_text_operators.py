@@ -253,4 +253,60 @@ def test_licenses(spark, messy, nothing):
         span = texts[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
         assert len(span.split()) == r.end_word - r.start_word
     assert next(r for r in got if r.doc_id == 0).coverage == 1.0
-    assert L.scan_licenses(messy).count() == 0 and L.scan_licenses(nothing).count() == 0 and L.scan_licenses(messy, templates={}).count() == 0
+    assert L.scan_licenses(messy).count() == 0 and L.scan_licenses(nothing).count() == 0 and L.scan_licenses(messy, texts={}).count() == 0
+
+
+def brute_alignment(template, words):
+    """Matched words of the best local alignment of two word lists, every cell visited."""
+    best, above = (0, 0), [(0, 0)] * (len(words) + 1)
+    for x in template:
+        row = [(0, 0)]
+        for j, y in enumerate(words, 1):
+            cell = (above[j - 1][0] + 2, above[j - 1][1] + 1) if x == y else max((above[j - 1][0] - 1, above[j - 1][1]), (above[j][0] - 1, above[j][1]), (row[j - 1][0] - 1, row[j - 1][1]))
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1])
+        above = row
+    return best[1]
+
+
+def test_licenses_against_brute_force(spark):
+    """Statements with changed, dropped and added words among other words: found if and only if enough of them is there."""
+    rng = random.Random(19)
+    statements = {f"T{k}": " ".join(f"t{k}w{i}" for i in range(n)) for k, n in enumerate((6, 12, 25, 40, 60))}
+    texts, checked = [], 0
+    for _ in range(200):
+        name = rng.choice(list(statements))
+        w = statements[name].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3]) * len(w) // 20):
+            at, kind = rng.randrange(len(w)), rng.random()
+            w[at : at + 1] = [] if kind < 0.3 and len(w) > 3 else [rng.choice(["x", "y"])] if kind < 0.7 else [w[at], "x"]
+        w = w[: rng.choice([len(w), len(w), len(w) // 2])]
+        texts.append(" ".join([*(f"a{rng.randrange(50)}" for _ in range(rng.randrange(30))), *w, *(f"b{rng.randrange(50)}" for _ in range(rng.randrange(30)))]))
+    got = {}
+    for r in L.scan_licenses(rows(spark, texts), texts=statements).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.matched_words
+    for i, text in enumerate(texts):
+        for name, statement in statements.items():
+            n, size = brute_alignment(statement.split(), text.split()), len(statement.split())
+            assert got.get(i, {}).get(name, 0) == (n if n >= 0.7 * size else 0), (text, name)
+            checked += n >= 0.7 * size
+    assert checked > 60
+
+
+def test_full_license_texts(spark):
+    texts = L.templates()
+    filler = "some words that say nothing of rights " * 20
+    apache = texts["Apache-2.0-text"].split()
+    middle = len(apache) // 2
+    docs = [filler + texts["MIT-text"] + filler, texts["GPL-3.0-text"], " ".join(apache[200:]) + filler, " ".join([*apache[:middle], *("extra " * 90).split(), *apache[middle:]]),
+            " ".join(apache[: middle]), texts["BSD-3-Clause-text"].replace("copyright holder", "named university"), filler]
+    got = {}
+    for r in L.scan_licenses(rows(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, round(r.coverage, 2)))
+    assert got[0] == [("MIT-text", 1.0)]
+    assert got[1][0][0] == "GPL-3.0-text" and got[1][0][1] > 0.99
+    assert got[2][0][0] == "Apache-2.0-text" and 0.8 < got[2][0][1] < 0.95
+    assert got[3][0][0] == "Apache-2.0-text" and got[3][0][1] > 0.95
+    assert all(name != "Apache-2.0-text" for name, _ in got.get(4, []))
+    assert got[5][0][0] == "BSD-3-Clause-text" and got[5][0][1] > 0.9
+    assert 6 not in got
