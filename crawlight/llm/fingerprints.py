@@ -6,13 +6,15 @@ leaves are grouped to sections at leaves chosen by content, a section's
 digest covers its leaves and the root covers the sections.  Roots test
 equality; going down only into sections whose digests differ locates edits.
 
-A fingerprint is the text "root|section=leaf,leaf|section=leaf..."; a leaf is
-eight hex digits of its digest and, in hex, its bytes.
+A fingerprint is the text "root|section=leaf,leaf|section=leaf..."; a section
+is twelve, a leaf eight hex digits of its digest and, in hex, its bytes.
 
 Contract: one row per input row.  Null text counts as empty.  Null ids sort
 before all others, rows of equal ids by their text; the first row follows the
 last, so a single row follows itself.  Likeness is the share of bytes in equal
-leaves (1 for two empty texts).  An empty table gives no rows; other columns
+sections and, below the others, in equal leaves (1 for two empty texts).
+``edit_start`` and ``edit_end`` are the bytes between which the edit changed
+leaves of the text, null where it changed none.  An empty table gives no rows; other columns
 are ignored.
 """
 
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, document_view, hash_words, mix
+from crawlight.llm.common import batch_of, document_view, hash_words, mix, slices
 
 #: One word in so many starts a leaf, one leaf in so many starts a section.
-LEAF_WORDS, SECTION_LEAVES = 4, 16
+LEAF_WORDS, SECTION_LEAVES = 8, 16
 NO_ID = -(2**63)
 
 
@@ -53,13 +55,15 @@ def fingerprint(text: str) -> str:
     digests: list[bytes] = []
     leaves: list[bytes] = []
     names: list[str] = []
+    sizes: list[int] = []
 
     def close() -> None:
         digest = hashlib.blake2b(b"".join(leaves), digest_size=16).digest()
         digests.append(digest)
-        sections.append(f"{digest[:6].hex()}={','.join(names)}")
+        sections.append(f"{digest[:6].hex()}{sum(sizes):x}={','.join(names)}")
         leaves.clear()
         names.clear()
+        sizes.clear()
 
     cuts = _cuts(raw) if raw else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -67,6 +71,7 @@ def fingerprint(text: str) -> str:
         if leaves and leaf[15] % SECTION_LEAVES == 0:
             close()
         leaves.append(leaf)
+        sizes.append(b - a)
         names.append(f"{leaf[:4].hex()}{b - a:x}")
     if leaves:
         close()
@@ -74,32 +79,50 @@ def fingerprint(text: str) -> str:
     return "|".join([root, *sections])
 
 
-def _leaves(mark: str) -> list[str]:
-    return [leaf for section in mark.split("|")[1:] for leaf in section.partition("=")[2].split(",")]
+def _sections(mark: str) -> list[tuple[str, str]]:
+    """Name and leaves of each section."""
+    return [(name, leaves) for name, _, leaves in (section.partition("=") for section in mark.split("|")[1:])]
+
+
+def _below(sections: list[tuple[str, str]], equal: Counter) -> Counter:
+    """The leaves of the sections that are not among the equal ones."""
+    left, out = equal.copy(), Counter()
+    for name, leaves in sections:
+        if left[name]:
+            left[name] -= 1
+        else:
+            out.update(leaves.split(","))
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Bytes in leaves that both have, of all bytes: 1 for equal roots, 0 if no leaf is shared."""
+    """Bytes in equal sections, and in equal leaves below differing ones, of all bytes: 1 for equal roots, 0 if nothing is shared."""
     if a.partition("|")[0] == b.partition("|")[0]:
         return 1.0
-    x, y = Counter(_leaves(a)), Counter(_leaves(b))
-    size = lambda leaves: sum(int(leaf[8:], 16) * n for leaf, n in leaves.items() if leaf)
-    return 2 * size(x & y) / max(size(x) + size(y), 1)
+    x, y = _sections(a), _sections(b)
+    equal = Counter(name for name, _ in x) & Counter(name for name, _ in y)
+    size = lambda names, digits: sum(int(name[digits:], 16) * n for name, n in names.items())
+    same = size(equal, 12) + size(_below(x, equal) & _below(y, equal), 8)
+    return 2 * same / max(size(Counter(name for name, _ in x), 12) + size(Counter(name for name, _ in y), 12), 1)
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
     """Byte ranges of the first text whose leaves the second lacks, found below differing sections only."""
     if a.partition("|")[0] == b.partition("|")[0]:
         return []
-    known = {section.partition("=")[0] for section in b.split("|")[1:]}
-    other = set(_leaves(b))
+    x, y = _sections(a), _sections(b)
+    known = {name for name, _ in y}
+    mine = {name for name, _ in x}
+    other = {leaf for name, leaves in y if name not in mine for leaf in leaves.split(",")}
     out: list[tuple[int, int]] = []
     at = 0
-    for section in a.split("|")[1:]:
-        name, _, leaves = section.partition("=")
+    for name, leaves in x:
+        if name in known:
+            at += int(name[12:], 16)
+            continue
         for leaf in leaves.split(","):
             end = at + int(leaf[8:], 16)
-            if name not in known and leaf not in other:
+            if leaf not in other:
                 if out and out[-1][1] == at:
                     out[-1] = (out[-1][0], end)
                 else:
@@ -109,8 +132,8 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
 
 
 _DEALT = pa.schema([("part", pa.int32()), ("after", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edit_start", pa.int64()), ("edit_end", pa.int64())])
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_end long"
 
 
 def _dealt(view: DataFrame) -> DataFrame:
@@ -124,10 +147,8 @@ def _dealt(view: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = {b: k for k, b in enumerate(bounds)} | {least: len(bounds)}
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
-            if not ids:
-                continue
             yield batch_of(_DEALT, [bisect.bisect_right(bounds, i) for i in ids], [False] * len(ids), batch.column(0), batch.column(1))
             again = [k for k, i in enumerate(ids) if i in firsts]
             if again:
@@ -146,11 +167,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         k = len(text) // 4
         edited = text[: len(text) - k] + following[2][:k]
         edited_mark = fingerprint(edited) if k else mark
-        return [None if doc_id == NO_ID else doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, following[3])]
+        spans = differing(mark, edited_mark)
+        where = [spans[0][0], spans[-1][1]] if spans else [None, None]
+        return [None if doc_id == NO_ID else doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, following[3]), *where]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # part, id, text and fingerprint of the row that waits for its successor
-        for batch in batches:
+        for batch in slices(batches, 3):
             out: list[list] = []
             for part, after, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last is None or last[0] != part:
