@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import written
+from crawlight.llm.common import discard, discard_since, mark, written
 from crawlight.llm.exact_dedup import exact_dedup
 from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.mixing import mix_documents
@@ -27,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose id, null included, is not among ``gone.gone_id``."""
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The rows whose id, null included, is not among ``gone.gone_id``; rows of null id meet no join."""
+    kept = docs.where("doc_id is not null").join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
+    return kept.unionByName(docs.where("doc_id is null")) if gone.where("gone_id is null").isEmpty() else kept
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        start, before = mark(), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            discard_since(spark, start, docs)  # what the stage wrote for itself
+            if k:
+                discard(before)
     return docs
