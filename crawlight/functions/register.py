@@ -20,7 +20,7 @@ def _quoted(pattern: str) -> str:
 def _sql_functions() -> dict[str, str]:
     marks = [("INR", "₹ INR RS"), ("BRL", "R$ BRL"), ("CAD", "C$ CAD"), ("AUD", "A$ AUD"), ("USD", "$ USD"), ("EUR", "€ EUR"), ("GBP", "£ GBP"), ("JPY", "¥ JPY CNY RMB"), ("AED", "AED DHS")]
     currency = " ".join(f"when {' or '.join(f'contains(upper(x), {_quoted(m)})' for m in ms.split())} then '{code}'" for code, ms in marks)
-    interval = " ".join(f"when lower(x) rlike {_quoted(p)} then '{name}'" for name, p in T.INTERVALS)
+    interval = " ".join(f"when lower(x) rlike {_quoted('|'.join(p))} then '{name}'" for name, p in T.INTERVALS)
     plain = (
         r"case when trim(x) rlike r'\d+\.\d{3},\d{2}' then replace(replace(trim(x), '.', ''), ',', '.') when contains(x, ',') and contains(x, '.') then replace(trim(x), ',', '') "
         r"when size(split(trim(x), ',')) = 2 and length(split(trim(x), ',')[1]) = 2 then replace(trim(x), ',', '.') else replace(trim(x), ',', '') end"

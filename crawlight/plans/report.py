@@ -67,16 +67,51 @@ def ranked(m: DataFrame) -> DataFrame:
     return out.withColumn("finding_id", F.format_string("F-%03d", "place"))
 
 
-def domain_scores(findings: DataFrame, checks: DataFrame, archetype: str | None = None) -> DataFrame:
-    """site, domain, score, grade: 100 less the deductions of findings whose checks fall into the domain."""
-    hit = findings.select("site", "finding", "severity", F.explode("check_ids").alias("check_id")).join(F.broadcast(checks.select("check_id", "domain")), "check_id", "left")
-    unknown = hit.groupBy("site", "finding", "severity").agg(F.count("domain").alias("n")).where("n = 0").select("site", "finding", "severity", F.lit("discoverability").alias("domain"))
-    each = hit.where("domain is not null").select("site", "finding", "severity", "domain").distinct().unionByName(unknown)
+def evidence_fault(artifact: Column, locator: Column, quote: Column) -> Column:
+    """Why a quote is no evidence, null if it is: grammar, resolution of a.b[2].c in the artifact's JSON, containment.
+
+    What a locator selects is text as it stands or else JSON; the quote may be in it as it is or JSON-escaped,
+    and canonicals may be quoted one by one, split by " | ".
+    """
+    response = locator.isin("response body", "response")
+    path = F.when(response, "$.text").when(locator.rlike(f"^(?:{C.LOCATOR})$"), F.concat(F.lit("$."), locator))
+    selected = F.call_function("get_json_object", artifact, path)
+    escaped = F.to_json(F.struct(quote.alias("q")))
+    escaped = escaped.substr(F.lit(7), F.length(escaped) - 8)  # without {"q":" and "}
+    parts = F.split(quote, r" \| ")
+    found = F.contains(selected, quote) | F.contains(selected, escaped) | ((locator == "source.canonicals") & F.forall(parts, lambda x: F.contains(selected, x)))
+    return F.when(F.coalesce(quote, F.lit("")) == "", "quote_missing").when(path.isNull(), "locator_grammar").when(selected.isNull(), "locator_unresolved").when(~found, "quote_not_found")
+
+
+def fallback_domain(identity: Column, category: Column) -> Column:
+    """Where a finding counts whose checks are unknown."""
+    rendering = identity.contains("STATIC_HTML") | identity.contains("CITATION_READABILITY") | (category == "rendering")
+    entity = identity.contains("ENTITY") | category.isin("entity-identity", "product-answerability")
+    return F.when(F.coalesce(rendering, F.lit(False)), "discoverability").when(F.coalesce(entity, F.lit(False)), "entity_content").otherwise("discoverability")
+
+
+def domain_scores(findings: DataFrame, checks: DataFrame, archetype: str | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """site, domain, score, grade: 100 less the deductions of findings whose checks fall into the domain.
+
+    Findings may have ``id`` and ``category``, which place those of unknown checks.  ``coverage`` (site, rate)
+    takes two fifths of a static rate's shortfall from discoverability where it is below 90.
+    """
+    placed = {c: (F.col(c) if c in findings.columns else F.lit("")) for c in ("id", "category")}
+    hit = findings.select("site", "finding", "severity", fallback_domain(placed["id"], placed["category"]).alias("fallback"), F.explode("check_ids").alias("check_id")).join(F.broadcast(checks.select("check_id", "domain")), "check_id", "left")
+    # a finding is one row whatever its checks: no finding is larger than its list
+    domains = hit.groupBy("site", "finding", "severity", "fallback").agg(F.collect_set("domain").alias("domains"))
+    each = domains.select("site", "finding", "severity", F.explode(F.when(F.size("domains") > 0, F.col("domains")).otherwise(F.array("fallback"))).alias("domain"))
     lost = each.groupBy("site", "domain").agg(F.sum(case(F.col("severity"), C.DEDUCTIONS, 5)).alias("lost"), F.count("*").alias("findings"))
-    weights = {k: C.ARCHETYPE_WEIGHTS.get(archetype or "", {}).get(k, w) for k, (w, _, _) in C.DOMAINS.items()}
-    every = findings.select("site").distinct().join(F.broadcast(findings.sparkSession.createDataFrame(list(weights.items()), "domain string, weight double")))
+    weights = {k: C.ARCHETYPE_WEIGHTS.get(archetype or "", {}).get(k, w) for k, w in C.WEIGHTS.items()}
+    sites = findings.select("site") if coverage is None else findings.select("site").unionByName(coverage.select("site"))
+    every = sites.distinct().join(F.broadcast(findings.sparkSession.createDataFrame(list(weights.items()), "domain string, weight double")))
+    out = every.join(lost, ["site", "domain"], "left")
     score = F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0)))
-    out = every.join(lost, ["site", "domain"], "left").select("site", "domain", "weight", score.cast("int").alias("score"), F.coalesce("findings", F.lit(0)).alias("findings"))
+    if coverage is not None:
+        out = out.join(coverage.select("site", "rate"), "site", "left")
+        penalty = F.when((F.col("domain") == "discoverability") & (F.col("rate") < 90), F.floor((100 - F.col("rate")) * 0.4)).otherwise(0)
+        score = F.greatest(F.lit(0), score - penalty)
+    out = out.select("site", "domain", "weight", score.cast("int").alias("score"), F.coalesce("findings", F.lit(0)).alias("findings"))
     return out.withColumn("grade", step(F.col("score"), C.GRADES))
 
 

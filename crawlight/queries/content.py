@@ -68,13 +68,6 @@ def o131(spark, d):
     return table(spark, d, "documents").select("doc_id", T.statistic_count(F.col("text")).alias("statistics"))
 
 
-@q("o132_credentials", rf"select doc_id, regexp_matches(text, '(?i)\b(?:{T.CREDENTIALS})') as credentials, regexp_matches(lower('https://' || substr(text, 1, 4) || '.edu/x'), '\.edu|\.gov') as authority, regexp_matches(lower(trim(string_split(text, chr(10))[1])), '^(?:{'|'.join(T.QUESTION_WORDS)})\b|\?$') as question from documents")
-def o132(spark, d):
-    first = F.trim(F.split(F.col("text"), "\n")[0])
-    link = F.concat(F.lit("https://"), F.substring(F.col("text"), 1, 4), F.lit(".edu/x"))
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"), T.has_authority(link).alias("authority"), T.is_question(first).alias("question"))
-
-
 @q("o133_compression_ratio")
 def o133(spark, d):
     return table(spark, d, "documents").select("doc_id", zlib_ratio(F.col("text")).alias("ratio"))
@@ -138,11 +131,6 @@ RULES = [
     ("r50_content_depth", "CONTENT_DEPTH_INSUFFICIENT", "words > 25 and words < 200"),
     ("r51_mechanisms", "MISSING_IN_DEPTH_MECHANISMS", "depth < 2"),
     ("r52_statistics", "PROACTIVE.GEO.STATISTICAL_EVIDENCE.001", "statistics = 0 and words > 100"),
-    ("r53_authority", "PROACTIVE.GEO.AUTHORITY_CITATIONS.001", "not links and words > 200"),
-    ("r54_faq", "PROACTIVE.GEO.FAQ_QUESTION_ANSWER.001", "not questions and words > 200"),
-    ("r55_credentials", "PROACTIVE.GEO.AUTHOR_CREDENTIALS.001", "not credentials and words > 150"),
-    ("r56_question_headings", "PROACTIVE.GEO.QUESTION_HEADINGS.001", "not questions and words > 150"),
-    ("r57_structured_tables", "PROACTIVE.GEO.STRUCTURED_TABLES.001", "not lists"),
 ]
 
 

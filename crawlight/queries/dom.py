@@ -144,13 +144,6 @@ def o089(spark, d):
     return w.join(h, "page_id").agg(F.count("*").alias("pages"), F.bround(F.avg("words"), 2).alias("avg_words"), F.count_if("h1").alias("pages_with_h1"), F.count_if("nav").alias("pages_with_nav"))
 
 
-@q("o081_static_rate", f"with w as (select page_id, len(regexp_extract_all({VISIBLE}, '\\S+')) as visible from pages), r as (select *, visible + (page_id % 4) * 40 as rendered from w) select page_id, visible::int as visible_words, rendered::int as rendered_words, round_even(visible * 100.0 / rendered, 0)::int as static_rate, (rendered - visible)::int as missing_words from r where rendered > 0")
-def o081(spark, d):
-    """Share of the rendered words that the markup shows without scripts; client words are made from the id."""
-    r = once(table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible_words")), "page_id", "visible_words").withColumn("rendered_words", (F.col("visible_words") + F.col("page_id") % 4 * 40).cast("int")).where("rendered_words > 0")
-    return r.select("page_id", "visible_words", "rendered_words", F.bround(F.col("visible_words") * 100.0 / F.col("rendered_words"), 0).cast("int").alias("static_rate"), (F.col("rendered_words") - F.col("visible_words")).alias("missing_words"))
-
-
 @q("o135_invalid_hreflang", "with h as (select page_id, unnest(['en-GB', 'eng', 'jp', 'de', 'en-UK', 'fr-' || upper(substr(url, 9, 2))]) as tag from pages) select page_id, tag from h where lower(string_split(tag, '-')[1]) in ('eng', 'jp') or upper(string_split(tag, '-')[2]) = 'UK'")
 def o135(spark, d):
     tags = F.array(*map(F.lit, ["en-GB", "eng", "jp", "de", "en-UK"]), F.concat(F.lit("fr-"), F.upper(F.substring("url", 9, 2))))

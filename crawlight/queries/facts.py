@@ -40,7 +40,7 @@ def o120(spark, d):
     return _literals(spark, _RAW_PRICES).select("raw", T.currency(F.col("raw")).alias("currency"))
 
 
-@q("o121_interval", "select raw, case " + " ".join(f"when regexp_matches(lower(raw), '{p}') then '{n}'" for n, p in T.INTERVALS) + f" else 'one_time' end as interval from {_sql_values(_RAW_INTERVALS)}")
+@q("o121_interval", "select raw, case " + " ".join(f"when regexp_matches(lower(raw), '{"|".join(p)}') then '{n}'" for n, p in T.INTERVALS) + f" else 'one_time' end as interval from {_sql_values(_RAW_INTERVALS)}")
 def o121(spark, d):
     return _literals(spark, _RAW_INTERVALS).select("raw", T.interval(F.col("raw")).alias("interval"))
 
@@ -107,7 +107,7 @@ def o129(spark, d):
 
 
 _NAMES = "(select distinct p_name as name from part union select unnest(['Cloud Pro Suite', 'What is it', 'FAQ', 'Pricing', 'Plan 2024', 'Box:', 'ab', 'Annual fee', 'Cookie settings', '$5 deal', 'Data Tier', 'Blue Widget']))"
-_PRODUCT = rf"(length(trim(name)) between 3 and 50 and not regexp_matches(trim(name), '[?:]$') and not regexp_matches(lower(trim(name)), '^(?:{T.QUESTION_STARTS})') and not regexp_matches(trim(name), '[$€£₹¥]') and not regexp_matches(lower(trim(name)), '{T.BILLING_WORDS}') and not regexp_matches(trim(name), '\d{{2,}}') and lower(trim(name)) not in {sql_in(T.UTILITY_HEADINGS)} and not regexp_matches(lower(trim(name)), '{T.UTILITY_PARTS}'))"
+_PRODUCT = rf"(length(trim(name)) between 3 and 50 and not regexp_matches(trim(name), '[?:]$') and not regexp_matches(lower(trim(name)), '^(?:{'|'.join(T.QUESTION_STARTS)})') and not regexp_matches(trim(name), '[$€£₹¥]') and not regexp_matches(lower(trim(name)), '\b(?:{'|'.join(T.BILLING_WORDS)})\b') and not regexp_matches(trim(name), '\d{{2,}}') and lower(trim(name)) not in {sql_in(T.UTILITY_HEADINGS)} and not regexp_matches(lower(trim(name)), '{'|'.join(T.UTILITY_PARTS)}'))"
 
 
 @q("o044_product_names", f"select name, {_PRODUCT} as valid from {_NAMES}")

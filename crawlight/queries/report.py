@@ -135,13 +135,6 @@ def o046(spark, d):
     return spark.createDataFrame([(x,) for x in _LOCATORS], "locator string").select("locator", F.col("locator").rlike(f"^(?:{C.LOCATOR})$").alias("valid"))
 
 
-@q("o147_locator_paths", "select event_id, json_extract_string(props, '$.k') as value from events where json_extract_string(props, '$.k') is not null")
-def o147(spark, d):
-    """Locators as paths into artifacts, the path taken from a column."""
-    e = table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("v"), F.concat(F.lit("$."), F.lit("k")).alias("path"))
-    return e.select("event_id", F.expr("try_variant_get(v, path, 'string')").alias("value")).where("value is not null")
-
-
 @q("o111_observations", f"with {_CANDIDATES} select scope, cause, band = 'S1' as observation from gated where drop_reason is null")
 def o111(spark, d):
     """Low bands are split off as observations."""
@@ -188,9 +181,9 @@ def o148(spark, d):
     return gated(spark, d).select("scope", "cause", text.alias("action"))
 
 
-_WEIGHTS = "weights(domain, weight) as (values " + ", ".join(f"('{k}', {w}::double)" for k, (w, _, _) in C.DOMAINS.items()) + ")"
+_WEIGHTS = "weights(domain, weight) as (values " + ", ".join(f"('{k}', {w}::double)" for k, w in C.WEIGHTS.items()) + ")"
 _STEP = lambda column, steps: "case " + " ".join(f"when {column} >= {n} then '{v}'" for n, v in steps) + " end"
-_SCORES = f"""{_FINDINGS}, f as (select distinct d.source as site, cause || ':' || doc_id as finding, severity, {_case_sql('cause', C.CAUSES)} as check_id from findings join documents d using (doc_id) where doc_id % 50 = 0),
+_SCORES = f"""{_FINDINGS}, f as (select distinct d.source as site, cause || ':' || doc_id as finding, severity, {_case_sql('cause', C.CAUSES)} as check_id from findings join documents d using (doc_id)),
 hit as (select f.site, finding, severity, coalesce(catalogue.domain, 'discoverability') as domain from f left join {C.values_sql()} using (check_id)),
 lost as (select site, domain, sum({_case_sql('severity', C.DEDUCTIONS, '5')}) as lost, count(*) as findings from hit group by all), {_WEIGHTS},
 scores as (select s.site, w.domain, w.weight, greatest(0, 100 - coalesce(lost, 0))::int as score, coalesce(findings, 0) as findings from (select distinct site from f) s cross join weights w left join lost l on l.site = s.site and l.domain = w.domain)"""

@@ -79,13 +79,6 @@ def r07(spark, d):
     return finding(table(spark, d, "pages").where(bad), "page_id", "LOCALE_MISCONFIGURATION", "medium")
 
 
-@q("r08_canonical", "select page_id, 'CANONICAL_FRAGMENTATION' as id, 'medium' as severity from pages where page_id % 3 = 0")
-def r08(spark, d):
-    url = F.col("url")
-    canonical = F.when(F.col("page_id") % 3 == 0, "https://elsewhere.example/x").otherwise(F.concat(F.lit("https://"), U.netloc(url), F.lit("/")))
-    return finding(table(spark, d, "pages").where(U.netloc(canonical) != U.netloc(url)), "page_id", "CANONICAL_FRAGMENTATION", "medium")
-
-
 _NAV = f"{_LINKS}, nav as (select distinct {NETLOC} as site, href, case length(href) % 5 when 0 then 404 when 1 then 503 else 200 end as status from links join pages using (page_id) where in_nav and starts_with(href, '/'))"
 
 
@@ -98,49 +91,15 @@ def r09(spark, d):
     return n.select("site", "href", F.concat(F.lit("NAV_DEAD_END_"), F.col("status").cast("string")).alias("id"), F.lit("high").alias("severity"))
 
 
-@q("r10_form_gated", rf"with {TOKENS}, f as (select page_id, count(*) filter (kind = 'start' and tag in ('form', 'select', 'input')) > 0 or page_id % 5 = 0 as form, count(*) filter (kind = 'start' and tag = 'a') as anchors from tokens group by page_id) select page_id, 'FORM_GATED_CORE_ENTITIES' as id, 'medium' as severity from f join pages using (page_id) where form and anchors < 7 and not contains(html, 'LocalBusiness')")
-def r10(spark, d):
-    """A form, few links onward and no local schema; every fifth page counts as having a form."""
-    p = table(spark, d, "pages")
-    start = F.col("kind") == "start"
-    f = K.tokens(p).groupBy("page_id").agg(F.count_if(start & F.col("tag").isin("form", "select", "input")).alias("forms"), F.count_if(start & (F.col("tag") == "a")).alias("anchors"))
-    out = f.join(p.where(~F.col("html").contains("LocalBusiness")).select("page_id"), "page_id").where("(forms > 0 or page_id % 5 = 0) and anchors < 7")
-    return finding(out, "page_id", "FORM_GATED_CORE_ENTITIES", "medium")
-
-
-_RATE = f"r as (select page_id, len(regexp_extract_all({VISIBLE}, '\\S+')) as visible from pages), s as (select page_id, visible, visible + (page_id % 4) * 300 as rendered from r), rate as (select *, round_even(visible * 100.0 / rendered, 0)::int as rate from s where rendered > 0)"
-
-
-@q("r11_static_deficit", f"with {_RATE} select page_id, 'STATIC_HTML_HYDRATION_DEFICIT' as id, case when rate < 25 then 'critical' when rate < 50 and rendered > 100 then 'high' else 'medium' end as severity, rate from rate where rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
-def r11(spark, d):
-    s = once(table(spark, d, "pages").select("page_id", T.split_words(T.visible_text(F.col("html"))).alias("visible")), "page_id", "visible").withColumn("rendered", F.col("visible") + F.col("page_id") % 4 * 300).where("rendered > 0")
-    s = s.withColumn("rate", F.bround(F.col("visible") * 100.0 / F.col("rendered"), 0).cast("int")).where("rate < 25 or (rate < 50 and rendered > 100) or (rate < 80 and rendered > 50)")
-    return finding(s, "page_id", "STATIC_HTML_HYDRATION_DEFICIT", F.when(F.col("rate") < 25, "critical").when((F.col("rate") < 50) & (F.col("rendered") > 100), "high").otherwise("medium"), "rate")
-
-
 _SUMMARY = rf"""{TOKENS}, c as (select page_id, count(*) filter (kind = 'start' and tag = 'h1') as h1, count(*) filter (kind = 'start' and tag in ('main', 'nav')) as landmarks, count(*) filter (kind = 'start' and tag = 'a') as anchors from tokens group by page_id), t as (select page_id, sum(len(regexp_extract_all(text, '\S+')))::bigint as words, count(*) filter (regexp_matches(current_tag, '^h[1-6]$')) as heads from text_nodes group by page_id)"""
 
 
-@q("r12_rendered_gap", f"with {_SUMMARY} select page_id, 'RENDERED_CONTENT_GAP' as id, case when words < 40 then 'high' else 'medium' end as severity from c join t using (page_id) where words < 80 and anchors < 12")
-def r12(spark, d):
-    """Little text and little structure; the bounds fit a corpus without application shells."""
-    s = K.dom_summary(table(spark, d, "pages")).where("words < 80 and anchors < 12")
-    return finding(s, "page_id", "RENDERED_CONTENT_GAP", F.when(F.col("words") < 40, "high").otherwise("medium"))
-
-
 @q("r13_landmarks", f"with {_SUMMARY} select page_id, 'SEMANTIC_LANDMARKS_ABSENT' as id, 'medium' as severity from c join t using (page_id) where words >= 25 and (h1 = 0 or (heads = 0 and landmarks = 0))")
 def r13(spark, d):
     s = K.dom_summary(table(spark, d, "pages")).where("words >= 25 and (h1_tags = 0 or (heading_nodes = 0 and landmarks = 0))")
     return finding(s, "page_id", "SEMANTIC_LANDMARKS_ABSENT", "medium")
 
 
-@q("r70_intent_mismatch", f"with {_LINKS}, joined as (select page_id, lower(string_agg(label, ' ' order by pos)) as labels from links group by page_id) select page_id, 'INTENT_TO_LANDING_MISMATCH' as id, 'medium' as severity from joined where page_id % 2 = 0 and not regexp_matches(labels, 'buy|cart|subscribe|contact|order|get')")
-def r70(spark, d):
-    """Priced pages (even numbers here) without a call to action among their anchors."""
-    a = K.links(table(spark, d, "pages")).groupBy("page_id").agg(F.bool_or(F.lower("label").rlike("buy|cart|subscribe|contact|order|get")).alias("acts"))
-    return finding(a.where("page_id % 2 = 0 and not acts"), "page_id", "INTENT_TO_LANDING_MISMATCH", "medium")
-
-
 @q("r71_missing_h1", f"with {TOKENS} select page_id, 'MISSING_H1' as id from tokens group by page_id having count(*) filter (kind = 'start' and tag = 'h1') = 0")
 def r71(spark, d):
     return K.dom_summary(table(spark, d, "pages")).where("h1_tags = 0").select("page_id", F.lit("MISSING_H1").alias("id"))

@@ -64,14 +64,18 @@ def o144(spark, d):
 _FORWARD = "with {nodes}, offers as (select * from entities where list_has_any(types, ['offer', 'aggregateoffer'])), f as (select page_id, node_id as offer_id, min(node_price) as f_price, min(node_availability) as f_av from offers where node_id is not null group by all), i as (select page_id, item_id as node_id, min(node_price) as i_price, min(node_availability) as i_av from offers where item_id is not null group by all), resolved as (select p.page_id, p.node_id, p.name, coalesce(p.price, f_price, i_price) as price, coalesce(p.availability, f_av, i_av) as availability, p.description, p.sku from entities p left join f using (page_id, offer_id) left join i on i.page_id = p.page_id and i.node_id = p.node_id where list_contains(p.types, 'product'))".replace("{nodes}", _NODES)
 
 
-@q("o062_graph_references", f"{_FORWARD} select page_id, name, price, availability from resolved where page_id % 7 = 1")
+@q("o062_graph_references", f"{_FORWARD} select page_id, name, price, availability from resolved")
 def o062(spark, d):
-    return S.resolved_offers(entities(spark, d)).where("page_id % 7 = 1").select("page_id", "name", "price", "availability")
+    return S.resolved_offers(entities(spark, d)).select("page_id", "name", "price", "availability")
 
 
-@q("o063_inverse_references", f"{_FORWARD} select page_id, name, price, availability from resolved where page_id % 7 = 2")
+@q("o063_inverse_references", f"with {_NODES}, i as (select page_id, item_id as node_id, min(node_price) as price, min(node_availability) as availability from entities where list_has_any(types, ['offer', 'aggregateoffer']) and item_id is not null group by all) select page_id, p.name, i.price, i.availability from entities p join i using (page_id, node_id) where list_contains(p.types, 'product')")
 def o063(spark, d):
-    return S.resolved_offers(entities(spark, d)).where("page_id % 7 = 2").select("page_id", "name", "price", "availability")
+    """Products that an offer names as its item."""
+    e = entities(spark, d)
+    offers = e.where(S.has_type(F.col("types"), "Offer", "AggregateOffer") & F.col("item_id").isNotNull()).groupBy("page_id", F.col("item_id").alias("node_id"))
+    offers = offers.agg(F.min("node_price").alias("price"), F.min("node_availability").alias("availability"))
+    return e.where(S.has_type(F.col("types"), "Product")).select("page_id", "node_id", "name").join(offers, ["page_id", "node_id"]).select("page_id", "name", "price", "availability")
 
 
 @q("o084_answerability", f"{_FORWARD} select page_id, name, round_even((price is not null)::int * 0.25::double + (availability is not null)::int * 0.25::double + (name is not null)::int * 0.2::double + (coalesce(description, '') <> '')::int * 0.3::double, 2) as score from resolved")
@@ -93,19 +97,6 @@ def r21(spark, d):
     return r.select("page_id", F.lit("ATTRIBUTE_INCOMPLETENESS").alias("id"), F.lit("medium").alias("severity"))
 
 
-@q("r20_entity_ambiguity", f"with {_NODES}, o as (select distinct page_id % 250 as page_id from entities where list_has_any(types, ['organization', 'corporation', 'localbusiness']) and page_id % 3 = 0), p as (select page_id, {TITLE} as title from pages anti join o using (page_id)) select page_id, case when title = '' then 'finding' else 'recommendation' end as kind from p")
-def r20(spark, d):
-    """Pages without an organisation: a finding only if the title is silent too."""
-    o = entities(spark, d).where(S.has_type(F.col("types"), "Organization", "Corporation", "LocalBusiness") & (F.col("page_id") % 3 == 0)).select((F.col("page_id") % 250).alias("page_id")).distinct()
-    return table(spark, d, "pages").join(o, "page_id", "left_anti").select("page_id", F.when(T.title(F.col("html")) == "", "finding").otherwise("recommendation").alias("kind"))
-
-
-@q("r22_speakable_breadcrumb", f"with {_NODES} select page_id, 'BREADCRUMB_MISSING' as id from (select distinct page_id from entities) anti join (select page_id from entities where list_contains(types, 'breadcrumblist') or page_id % 5 = 0) using (page_id)")
-def r22(spark, d):
-    e = entities(spark, d)
-    return e.select("page_id").distinct().join(e.where(S.has_type(F.col("types"), "BreadcrumbList") | (F.col("page_id") % 5 == 0)).select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit("BREADCRUMB_MISSING").alias("id"))
-
-
 @q("r05_cross_host_identity", f"with {_NODES}, e as (select page_id, {'regexp_extract(node_id, ' + chr(39) + '^https?://([^/?#]*)' + chr(39) + ', 1)'} as host from entities where starts_with(node_id, 'http')) select page_id, host, array_to_string(string_split(host, '.')[-2:], '.') as root, 'medium' as severity from e where array_to_string(string_split(host, '.')[-2:], '.') <> 'example.com'")
 def r05(spark, d):
     """Nodes whose id lives under another registered name than the site's (example.com here)."""

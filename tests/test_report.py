@@ -61,7 +61,7 @@ def test_domain_scores_take_every_finding(spark):
         lost, n = want.get(key, (0, 0))
         want[key] = lost + C.DEDUCTIONS[r.severity], n + 1
     got = {(r.site, r.domain): (r.score, r.findings) for r in R.o083(spark, str(DATA)).collect()}
-    assert got == {(s, k): (max(0, 100 - want.get((s, k), (0, 0))[0]), want.get((s, k), (0, 0))[1]) for s in set(found["source"]) for k in C.DOMAINS}
+    assert got == {(s, k): (max(0, 100 - want.get((s, k), (0, 0))[0]), want.get((s, k), (0, 0))[1]) for s in set(found["source"]) for k in C.WEIGHTS}
     assert {r.site for r in R.o08c(spark, str(DATA)).collect()} == set(found["source"])
 
 
