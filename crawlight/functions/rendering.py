@@ -60,6 +60,10 @@ HREFS = rf"(?i)<a[^>]*href={Q}([^\x22\x27]+){Q}[^>]*>"
 AUTHOR = rf"(?i)\s(?:rel\s*=\s*{Q}[^\x22\x27]*author|class\s*=\s*{Q}[^\x22\x27]*(?:author|byline)|itemprop\s*=\s*{Q}author{Q})"
 FAQ_HEADING = rf"^(?:{_any(T.FAQ_WORDS)})\b|\?$"
 QUESTION_HEADING = rf"(?i)^(?:{_any(T.QUESTION_WORDS)})\b|\?$"
+NAVIGATION = r"(?is)<nav\b[^>]*>(.*?)</nav>"
+NODE_ID = r"\x22@id\x22\s*:\s*\x22(https?://[^\x22]*)\x22"
+TYPE_VALUE = r"\x22@type\x22\s*:\s*(\x22[^\x22]*\x22|\[[^\]]*\])"
+OFFER_TYPE = r"\x22(?:product|offer|aggregateoffer)\x22"
 CANONICAL = rf"(?i)<link\s[^>]*rel={Q}canonical{Q}[^>]*href={Q}([^\x22\x27]*){Q}"
 ANCHOR_TEXT = r"(?is)<a\s[^>]*>(.*?)</a>"
 STORE_BLOCK = rf"(?i)<div class={Q}(?:{_any(STORE_BLOCKS)}){Q}"

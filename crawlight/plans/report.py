@@ -35,18 +35,24 @@ def candidates(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"check_id": case(F.col("cause"), C.CAUSES), "band": band, "kind": kind, "queue": F.when(kind == "confirmed_problem", "confirmed").otherwise("advisory"), "difficulty": F.lit(2)})
 
 
-def gated(c: DataFrame, artifacts: DataFrame, checks: DataFrame) -> DataFrame:
-    """The candidates with drop_reason, null if they may stay; ``checks`` is small, artifacts join by key."""
+def gated(c: DataFrame, artifacts: DataFrame | None, checks: DataFrame) -> DataFrame:
+    """The candidates with drop_reason, null if they may stay; ``checks`` is small.
+
+    Artifacts join by key; without them candidates bring ``held``: whether the quote is in its artifact, null if that is missing.
+    """
     known = F.broadcast(checks.select("check_id", "domain", "owner"))
-    out = c.join(known, "check_id", "left").join(artifacts.select("artifact", F.col("text").alias("artifact_text")), "artifact", "left")
+    if artifacts is not None:
+        texts = artifacts.select("artifact", F.col("text").alias("artifact_text"))
+        c = c.join(texts, "artifact", "left").withColumn("held", F.contains("artifact_text", F.coalesce(F.col("quote"), F.lit("")))).drop("artifact_text")
+    out = c.join(known, "check_id", "left")
     band, confirmed = F.col("band"), F.col("kind") == "confirmed_problem"
     reason = (
         F.when(F.col("owner").isNull(), "unknown_check").when(~band.isin("S4", "S3", "S2", "S1", "S0", "U"), "invalid_band").when(~F.col("kind").isin(*C.KINDS), "unknown_kind")
-        .when(confirmed & band.isin("S0", "U"), "unassessable").when(F.col("artifact_text").isNull(), "artifact_missing").when(F.coalesce(F.col("quote"), F.lit("")) == "", "quote_missing")
-        .when(~F.col("locator").rlike(f"^(?:{C.LOCATOR})$"), "locator_grammar").when(~F.contains("artifact_text", F.col("quote")), "quote_not_found")
+        .when(confirmed & band.isin("S0", "U"), "unassessable").when(F.col("held").isNull(), "artifact_missing").when(F.coalesce(F.col("quote"), F.lit("")) == "", "quote_missing")
+        .when(~F.col("locator").rlike(f"^(?:{C.LOCATOR})$"), "locator_grammar").when(~F.col("held"), "quote_not_found")
         .when(confirmed & ~F.col("complete"), "incomplete_scope").when((F.coalesce(F.col("scope"), F.lit("")) == "") | F.col("severity").isNull(), "scope_or_reason_missing")
     )
-    return out.withColumn("drop_reason", reason).drop("artifact_text")
+    return out.withColumn("drop_reason", reason).drop("held")
 
 
 def merged(kept: DataFrame) -> DataFrame:
@@ -157,6 +163,48 @@ def topological(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("site").applyInPandas(order, "site string, id string, place int")
 
 
+def violation_array(value: Column, schema: dict, path: str = "$") -> Column:
+    """(path, rule) of each breach of a fixed schema by a variant, as one array: type, required, properties, enum, minimum, maximum, lengths, pattern, additionalProperties."""
+    kinds = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "null": "VOID"}
+    breach = lambda where, rule: F.struct(where.alias("path"), F.lit(rule).alias("rule"))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    when = lambda condition, rule: F.when(F.coalesce(condition, F.lit(False)), F.array(breach(F.lit(path), rule))).otherwise(none)
+    form = F.schema_of_variant(value)
+    out = []
+    kind = schema.get("type")
+    if kind is None:
+        fits = F.lit(True)
+    else:
+        names = [kind] if isinstance(kind, str) else kind
+        fits = F.lit(False)
+        for k in names:
+            fits = fits | (form.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)") if k == "number" else form.startswith(kinds[k]))
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    if "enum" in schema:
+        out.append(when(~text.isin([str(x) for x in schema["enum"]]), "enum"))
+    if "minimum" in schema:
+        out.append(when(number < schema["minimum"], "minimum"))
+    if "maximum" in schema:
+        out.append(when(number > schema["maximum"], "maximum"))
+    if "minLength" in schema:
+        out.append(when(F.length(text) < schema["minLength"], "minLength"))
+    if "maxLength" in schema:
+        out.append(when(F.length(text) > schema["maxLength"], "maxLength"))
+    if "pattern" in schema:
+        out.append(when(~text.rlike(schema["pattern"]), "pattern"))
+    keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
+    where = lambda k: F.concat(F.lit(f"{path}."), k)
+    if "required" in schema:
+        out.append(F.transform(F.filter(F.array(*map(F.lit, schema["required"])), lambda k: ~F.array_contains(keys, k)), lambda k: breach(where(k), "required")))
+    if schema.get("additionalProperties") is False:
+        known = list(schema.get("properties", {}))
+        out.append(F.transform(F.filter(keys, lambda k: ~k.isin(known)), lambda k: breach(where(k), "additionalProperties")))
+    for name, inner in schema.get("properties", {}).items():
+        child = F.try_variant_get(value, f"$.{name}", "variant")
+        out.append(F.when(F.array_contains(keys, name), violation_array(child, inner, f"{path}.{name}")).otherwise(none))
+    return F.when(fits, F.concat(none, *out)).otherwise(F.array(breach(F.lit(path), "type")))
+
+
 def violations(value, schema: dict, path: str = "$") -> Iterable[tuple[str, str]]:
     """(path, rule) of a Draft-07 subset: type, required, properties, items, enum, minimum, maximum, lengths, additionalProperties, format, pattern."""
     import re

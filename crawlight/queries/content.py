@@ -28,11 +28,19 @@ _COUNTED = f"w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WOR
 
 
 def entropies(spark, d):
-    """A document's words are counted within the row, so nothing but short counts is grouped."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    total = F.sum("n").alias("total")
+    """A document's words are sorted and counted within the row, so nothing moves."""
+    words = F.array_sort(T.words(F.col("text")))
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("s"))
+    closed = lambda a: a["s"] + F.when(a["run"] > 1, a["run"] * F.log2(a["run"])).otherwise(0.0)
+
+    def step(a, word):
+        same = a["word"] == word
+        return F.struct(word.alias("word"), F.when(same, a["run"] + 1).otherwise(1.0).alias("run"), F.when(same, a["s"]).otherwise(closed(a)).alias("s"))
+
+    rows = once(table(spark, d, "documents").select("doc_id", words.alias("w")), "doc_id", "w").where(F.size("w") > 0)
+    total = F.size("w").cast("long")
     # -sum(n/t log2(n/t)) = log2(t) - sum(n log2 n)/t
-    return c.groupBy("doc_id").agg(total, F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s")).select("doc_id", "total", F.bround(F.log2(F.col("total").cast("double")) - F.col("s") / F.col("total"), 4).alias("entropy"))
+    return rows.select("doc_id", total.alias("total"), F.bround(F.log2(total.cast("double")) - F.aggregate("w", start, step, closed) / total, 4).alias("entropy"))
 
 
 @q("o077_token_entropy", f"with {_COUNTED} select doc_id, total::bigint as total, round_even(log2(total) - sum(n * log2(n)) / total, 4) as entropy from s group by doc_id, total")
@@ -42,12 +50,12 @@ def o077(spark, d):
 
 @q("o078_pronouns", f"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) as word from documents), t as (select doc_id, count(*) as total, count(*) filter (word in {sql_in(T.PRONOUNS)}) as pronouns from w group by doc_id), p as (select doc_id, word, count(*) as n from w where word in {sql_in(T.PRONOUNS)} group by all), r as (select *, row_number() over (partition by doc_id order by n desc, word) as k from p) select t.doc_id, total, pronouns, round_even(pronouns * 100.0 / total, 4) as density, coalesce((select string_agg(word, ' ' order by k) from r where r.doc_id = t.doc_id and k <= 3), '') as top from t")
 def o078(spark, d):
-    """Pronoun share and the three most frequent; ties by word."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
-    is_pronoun = F.col("word").isin(T.PRONOUNS)
-    t = w.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(is_pronoun).alias("pronouns"))
-    p = w.where(is_pronoun).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, 3).alias("best"))  # 14 words at most
-    return t.join(p, "doc_id", "left").select("doc_id", "total", "pronouns", F.bround(F.col("pronouns") * 100.0 / F.col("total"), 4).alias("density"), F.coalesce(F.array_join(F.col("best.word"), " "), F.lit("")).alias("top"))
+    """Pronoun share and the three most frequent; ties by word.  Counted within the row."""
+    words = T.words(F.col("text"))
+    rows = once(table(spark, d, "documents").select("doc_id", F.size(words).alias("total"), F.filter(words, lambda x: x.isin(T.PRONOUNS)).alias("p")), "doc_id", "total", "p").where("total > 0")
+    counts = F.array(*(F.struct((F.size(F.array_remove("p", w)) - F.size("p")).alias("minus"), F.lit(w).alias("word")) for w in T.PRONOUNS))
+    best = F.slice(F.array_sort(F.filter(counts, lambda x: x["minus"] < 0)), 1, 3)
+    return rows.select("doc_id", F.col("total").cast("long").alias("total"), F.size("p").cast("long").alias("pronouns"), F.bround(F.size("p") * 100.0 / F.col("total"), 4).alias("density"), F.array_join(best["word"], " ").alias("top"))
 
 
 @q("o079_depth_score", f"select doc_id, {DEPTH} as depth from documents")
@@ -111,11 +119,11 @@ def r61(spark, d):
     return flagged.select("doc_id", F.lit("QUERY_RUBRIC.GENERIC").alias("id"), (len(_STEMS) - F.col("present")).alias("missing"))
 
 
-def content_facts(spark, d):
-    """Per document: words, depth, statistics, credentials, question lines."""
+def content_facts(spark, d, *more):
+    """Per document: words, depth, statistics, credentials, question lines, and further columns of the table."""
     lines = F.split(F.col("text"), "\n")
     return table(spark, d, "documents").select(
-        "doc_id", T.word_count(F.col("text")).alias("words"), T.depth_score(F.col("text")).alias("depth"), T.statistic_count(F.col("text")).alias("statistics"), F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"),
+        "doc_id", *more, T.word_count(F.col("text")).alias("words"), T.depth_score(F.col("text")).alias("depth"), T.statistic_count(F.col("text")).alias("statistics"), F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"),
         F.exists(lines, T.is_question).alias("questions"), F.col("text").rlike(r"(?i)https?://").alias("links"), F.col("text").rlike(r"(?m)^\s*(?:\||[-*] )").alias("lists"),
     )
 
@@ -170,24 +178,4 @@ def q06(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count(F.col("text"), F.lit(rf"(?i)\b(?:{T.FLUFF})\b")).alias("fluff"))
 
 
-_TERMS = "the of and to in is der die und de la et que el".split()
-#: Centroids of the cosine classifier over frequent words: weights by site type.
-CENTROIDS = {"english": {"the": 1.0, "of": 0.7, "and": 0.5, "to": 0.4, "is": 0.3}, "german": {"der": 1.0, "die": 0.7, "und": 0.5}, "french": {"de": 1.0, "la": 0.6, "et": 0.5}, "spanish": {"de": 0.8, "que": 0.7, "el": 0.6, "la": 0.5}}
-_VALUES = ", ".join(f"('{k}', '{w}', {x})" for k, ws in CENTROIDS.items() for w, x in ws.items())
-
-
-@q("o08b_cosine_type", f"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) as word from documents), tf as (select doc_id, word, count(*)::double as n from w group by all), nd as (select doc_id, sqrt(sum(n * n)) as norm from tf group by doc_id), c(kind, word, x) as (values {_VALUES}), nc as (select kind, sqrt(sum(x::double * x::double)) as norm from c group by kind), s as (select doc_id, kind, round_even(sum(n * x::double) / (any_value(nd.norm) * any_value(nc.norm)), 6) as score from tf join c using (word) join nd using (doc_id) join nc using (kind) group by doc_id, kind), r as (select *, row_number() over (partition by doc_id order by score desc, kind) as k from s where score > 0.01) select d.doc_id, coalesce(kind, 'general_business') as kind, coalesce(score, 0.0) as score from documents d left join r on r.doc_id = d.doc_id and k = 1")
-def o08b(spark, d):
-    """Term frequencies against four centroids; the best over 0.01 wins, ties by name."""
-    docs = table(spark, d, "documents")
-    tf = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
-    weights = {k: F.create_map(*[F.lit(v) for pair in ws.items() for v in pair]) for k, ws in CENTROIDS.items()}
-    dots = [F.sum(F.col("n") * F.coalesce(F.element_at(m, F.col("word")), F.lit(0.0))).alias(k) for k, m in weights.items()]
-    s = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), *dots)
-    scores = [F.struct(F.bround(F.col(k) / (F.col("norm") * sum(x * x for x in ws.values()) ** 0.5), 6).alias("score"), F.lit(k).alias("kind")) for k, ws in CENTROIDS.items()]
-    best = F.try_element_at(F.array_sort(F.filter(F.array(*scores), lambda x: x["score"] > 0.01), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["kind"] < b["kind"], -1).otherwise(1)), F.lit(1))
-    out = docs.select("doc_id").join(s.select("doc_id", best.alias("best")), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("best.kind", F.lit("general_business")).alias("kind"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
-
-
 QUERIES, SQL = area.queries, area.sql

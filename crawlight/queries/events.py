@@ -47,4 +47,14 @@ def s05(spark, d):
     return p.groupBy(F.pmod("user_id", F.lit(20)).alias("key")).agg(F.floor(F.min("value")).alias("low"), F.floor(F.max("value")).alias("high"))
 
 
+#: Parts that the events arrive in, by number; how far a row may be behind the latest one of the parts before.
+PARTS, DELAY = 64, "1 day"
+
+
+@q("s06_late_events", f"with n as (select max(event_id) + 1 as n from events), p as (select *, event_id * {PARTS} // n as part from events, n), m as (select part, max(ts) as latest from p group by part), w as (select part, max(latest) over (order by part rows between unbounded preceding and 1 preceding) - interval {DELAY} as mark from m) select event_type, count(*) as events, count(*) filter (ts < mark) as late from p join w using (part) group by event_type")
+def s06(spark, d):
+    """Rows that come behind the watermark: the latest time of the parts before their own, less the delay."""
+    return E.late_events(events(spark, d), PARTS, DELAY).groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.col("late")).alias("late"))
+
+
 QUERIES, SQL = area.queries, area.sql

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from crawlight.functions import rendering as N
 from crawlight.functions import text as T
 from crawlight.functions import urls as U
+from crawlight.plans import archetypes as A
 from crawlight.plans import catalogue as C
 from crawlight.plans import report as P
 from crawlight.queries.dom import THIRD_PARTY
 from crawlight.queries.registry import Area, once, sql_list
 from crawlight.queries.sqlbits import CLASSED, TITLE, VISIBLE
-from crawlight.sources.tables import table
+from crawlight.queries.structured import _BODY as _BODY_SQL
+from crawlight.queries.urls_pages import _FETCHES
+from crawlight.sources.tables import fetches, table
 
 area = Area()
 q = area.query
@@ -28,17 +31,17 @@ DRESSED_URL = f"""case page_id % 12 when 0 then '{_HOST}/blog/post-' || page_id
  when 5 then '{_HOST}/products/p' || page_id when 6 then '{_HOST}/products/p' || page_id when 7 then '{_HOST}/stores/find' || page_id when 8 then '{_HOST}/stores/find' || page_id
  else '{_HOST}/x/' || page_id end"""
 DRESSED_HTML = """case page_id % 12
- when 0 then html || '<p>See <a href="https://doi.org/10.1/x">the source</a></p><span class="byline">Someone</span><script type="application/ld+json">{"@type":"BreadcrumbList","name":"path"}</script>'
+ when 0 then html || '<p>See <a href="https://doi.org/10.1/x">the source</a></p><span class="byline">Someone</span><p>Published on Monday, 5 min read</p><script type="application/ld+json">{"@type":"BreadcrumbList","name":"path"}</script>'
  when 1 then html || '<h2>What is it?</h2><p>An answer.</p><p>By Jane Roe, PhD</p>'
- when 2 then html || '<script type="application/ld+json">{"@graph":[{"@type":"FAQPage","name":"all"},{"@type":"Organization","name":"Us"}]}</script><a href="https://blog.example.org/y">more</a>'
+ when 2 then html || '<script type="application/ld+json">{"@graph":[{"@type":"FAQPage","name":"all"},{"@type":"Organization","@id":"https://site3.example/#org","name":"' || case when page_id % 24 = 2 then 'Monday' else 'Nobody' end || '","sameAs":["https://site' || (page_id % 50) || '.example/","https://site' || ((page_id + 10) % 40) || '.example/blog/post-' || (page_id + 10) || '","ftp://no"]}]}</script><a href="https://blog.example.org/y">more</a>'
  when 3 then '<!DOCTYPE html><html><head><title>App</title></head><body><div id="root"></div><noscript>You need to enable JavaScript to run this app.</noscript><script src="/static/a.js"></script><script src="/static/b.js"></script></body></html>'
  when 4 then '<html><head></head><body><div class="x"></div><script src="/bundle.js"></script><script src="https://www.googletagmanager.com/gtag/js"></script></body></html>'
- when 5 then replace(replace(html, '<ul', '<div'), '</ul', '</div') || '<p>Price $19.99 per month</p>'
+ when 5 then replace(replace(html, '<ul', '<div'), '</ul', '</div') || '<p>Price $19.99 per month. In stock, free shipping.</p><script type="application/ld+json">[{"@type":["Product","Thing"],"name":"P"}]</script>'
  when 6 then html || '<p>Price $' || page_id || '.50</p><a href="/cart">Buy <b>now</b></a>'
  when 7 then html || '<div class="store-locator"><form><input type="search" name="q"> search by post code</form></div>'
  when 8 then html || '<form><input type="text" name="q"></form><a href="/stores/12">One of the shops</a>'
  when 9 then html || '<script type="application/json">{"long key of words":"' || repeat('word pair ', page_id % 400) || '","n":[1,{"s":"two words"}],"one":"word"}</script>'
- when 10 then html || '<script src="/scripts/aem.js"></script><div class="cards"></div><div class="hero"></div><div class="cards other"></div>'
+ when 10 then html || '<script src="/scripts/aem.js"></script><div class="cards"></div><div class="hero"></div><div class="cards other"></div><nav><a href="https://site' || (page_id % 50) || '.example/">Partner</a><a href="https://unseen.example/' || page_id || '">New</a></nav>'
  else html || '<link rel="canonical" href="https://elsewhere.example/' || page_id || '">' end"""
 
 
@@ -201,12 +204,17 @@ def r22(spark, d):
 _ANCHORS = f"lower(array_to_string(list_transform({_list('html', N.ANCHOR_TEXT, 1)}, lambda a: regexp_replace(a, '<[^>]+>', '', 'g')), ' '))"
 
 
-@q("r70_intent_mismatch", f"with {_PAGES} select page_id, 'INTENT_TO_LANDING_MISMATCH' as id, 'medium' as severity from dressed where regexp_matches({VISIBLE}, '{T.PRICE}') and not regexp_matches({_ANCHORS}, '{'|'.join(N.CALLS_TO_ACTION)}')")
+_MISMATCH = f"regexp_matches({VISIBLE}, '{T.PRICE}') and not regexp_matches({_ANCHORS}, '{'|'.join(N.CALLS_TO_ACTION)}')"
+
+
+def _mismatched(html):
+    return T.visible_text(html).rlike(T.PRICE) & ~N.anchor_texts(html).rlike("|".join(N.CALLS_TO_ACTION))
+
+
+@q("r70_intent_mismatch", f"with {_PAGES} select page_id, 'INTENT_TO_LANDING_MISMATCH' as id, 'medium' as severity from dressed where {_MISMATCH}")
 def r70(spark, d):
     """Pages that show a price without a call to action among their anchors."""
-    html = F.col("html")
-    p = dressed(spark, d).where(T.visible_text(html).rlike(T.PRICE) & ~N.anchor_texts(html).rlike("|".join(N.CALLS_TO_ACTION)))
-    return p.select("page_id", F.lit("INTENT_TO_LANDING_MISMATCH").alias("id"), F.lit("medium").alias("severity"))
+    return dressed(spark, d).where(_mismatched(F.col("html"))).select("page_id", F.lit("INTENT_TO_LANDING_MISMATCH").alias("id"), F.lit("medium").alias("severity"))
 
 
 _SITE = f"""{_RENDER}, found as (
@@ -262,4 +270,134 @@ def o147(spark, d):
     return rows.select("doc_id", "locator", F.coalesce(P.evidence_fault(F.col("artifact"), F.col("locator"), F.col("quote")), F.lit("kept")).alias("outcome"))
 
 
+@q("o143_offer_nodes", f"with b as (select p_partkey as page_id, {_BODY_SQL} as body from part), t as (select page_id, unnest(regexp_extract_all(body, '{N.TYPE_VALUE}', 1)) as type from b where json_valid(body)) select page_id, count(*) as found from t where regexp_matches(lower(type), '{N.OFFER_TYPE}') group by page_id")
+def o143(spark, d):
+    """Product and offer nodes at any depth: an object has one type, so types are counted wherever they stand in valid JSON."""
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_BODY_SQL).alias("body")).where("try_parse_json(body) is not null")
+    t = b.select("page_id", F.size(F.filter(F.regexp_extract_all("body", F.lit(N.TYPE_VALUE), 1), lambda x: F.lower(x).rlike(N.OFFER_TYPE))).cast("long").alias("found"))
+    return t.where("found > 0")
+
+
+_IDS = _list("array_to_string(" + _list("html", N.LD_SCRIPT, 1) + ", ' ')", N.NODE_ID, 1)
+_ROOT = lambda host: f"array_to_string(string_split({host}, '.')[-2:], '.')"
+
+
+@q("r05_cross_host_identity", f"with {_PAGES}, i as (select page_id, host, unnest({_IDS}) as node_id from dressed), h as (select distinct page_id, host, lower(regexp_extract(node_id, '(?i)^https?://([^/?#]*)', 1)) as node_host from i) select page_id, node_host as host, {_ROOT('node_host')} as root, 'medium' as severity from h where {_ROOT('node_host')} <> {_ROOT('host')}")
+def r05(spark, d):
+    """Nodes whose id lives under another registered name than their page."""
+    ids = F.regexp_extract_all(F.array_join(F.regexp_extract_all("html", F.lit(N.LD_SCRIPT), 1), " "), F.lit(N.NODE_ID), 1)
+    n = dressed(spark, d).select("page_id", "host", F.explode(ids).alias("node_id"))
+    n = n.select("page_id", "host", F.lower(F.regexp_extract("node_id", "(?i)^https?://([^/?#]*)", 1)).alias("node_host")).distinct()
+    root = U.registered_root(F.col("node_host"))
+    return n.where(root != U.registered_root(F.col("host"))).select("page_id", F.col("node_host").alias("host"), root.alias("root"), F.lit("medium").alias("severity"))
+
+
+_STATUS = f"{_FETCHES}, probed as (select url, max_by(status, event_id) as status from fetches where agent = 0 group by url)"
+_NAVIGATION = f"{_PAGES}, {_STATUS}, nav as (select distinct host as site, unnest({_list('array_to_string(' + _list('html', N.NAVIGATION, 1) + ', chr(32))', N.HREFS, 1)}) as href from dressed where regexp_matches(html, '{N.NAVIGATION}')), linked as (select site, href, status from nav left join probed on probed.url = nav.href where starts_with(href, 'http'))"
+
+
+def probed(spark, d):
+    """The last status that a browser got from each address."""
+    return fetches(spark, d).where("agent = 0").groupBy("url").agg(F.max_by("status", "event_id").alias("status"))
+
+
+def linked(spark, d):
+    """Absolute navigation targets of each site with their probed status, null where nobody asked."""
+    hrefs = F.regexp_extract_all(F.array_join(F.regexp_extract_all("html", F.lit(N.NAVIGATION), 1), " "), F.lit(N.HREFS), 1)
+    nav = dressed(spark, d).select(F.col("host").alias("site"), F.explode(hrefs).alias("href")).where(F.col("href").startswith("http")).distinct()
+    return nav.join(probed(spark, d).withColumnRenamed("url", "href"), "href", "left").select("site", "href", "status")
+
+
+@q("o064_link_status", f"with {_NAVIGATION} select site, href, coalesce(status, 0) as status, status is not null as probed from linked")
+def o064_status(spark, d):
+    return linked(spark, d).select("site", "href", F.coalesce("status", F.lit(0)).alias("status"), F.col("status").isNotNull().alias("probed"))
+
+
+@q("r09_dead_navigation", f"with {_NAVIGATION} select site, href, 'NAV_DEAD_END_' || status as id, 'high' as severity from linked where status in (404, 410) or status >= 500")
+def r09(spark, d):
+    """Navigation targets whose probe gave 404, 410 or a server error."""
+    n = linked(spark, d).where("status in (404, 410) or status >= 500")
+    return n.select("site", "href", F.concat(F.lit("NAV_DEAD_END_"), F.col("status").cast("string")).alias("id"), F.lit("high").alias("severity"))
+
+
+_PROFILES = f"{_PAGES}, {_STATUS}, blocks0 as (select page_id, unnest({_list('html', N.LD_SCRIPT, 1)}) as b from dressed), orgs as (select page_id, unnest(from_json(json_extract(b, '$.\"@graph\"'), '[\"json\"]')) as o from blocks0 where json_valid(b) and json_type(b, '$.\"@graph\"') = 'ARRAY'), profiles as (select distinct page_id, lower(json_extract_string(o, '$.name')) as brand, unnest(json_extract_string(o, '$.sameAs[*]')) as link from orgs where json_extract_string(o, '$.\"@type\"') = 'Organization'), anchors as (select * from profiles where regexp_matches(link, '^https?://'))"
+_ORGANIZATIONS = "array<struct<`@type`:string,name:string,sameAs:array<string>>>"
+
+
+def profiles(spark, d):
+    """page_id, brand and link: where the organisations of a page's graph say they are also to be found."""
+    b = dressed(spark, d).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(N.LD_SCRIPT), 1)).alias("b"))
+    o = b.select("page_id", F.explode(F.from_json(F.get_json_object("b", "$.@graph"), _ORGANIZATIONS)).alias("o")).where(F.col("o.`@type`") == "Organization")
+    return o.select("page_id", F.lower("o.name").alias("brand"), F.explode("o.sameAs").alias("link")).where(F.col("link").rlike("^https?://")).distinct()
+
+
+@q("r41_broken_anchors", f"with {_PROFILES} select page_id, link, case when status is null then 'inconclusive' else 'broken' end as class from anchors left join probed on probed.url = link where status is null or status <> 200")
+def r41(spark, d):
+    """Anchors that did not answer 200; one that nobody asked is inconclusive, not broken."""
+    p = profiles(spark, d).join(probed(spark, d).withColumnRenamed("url", "link"), "link", "left").where("status is null or status != 200")
+    return p.select("page_id", "link", F.when(F.col("status").isNull(), "inconclusive").otherwise("broken").alias("class"))
+
+
+@q("r42_corroboration_gap", f"with {_PROFILES}, w as (select url, lower({TITLE}) as title, lower({VISIBLE}) as body from dressed) select page_id, link, bool_or(contains(title, brand) or contains(body, brand)) as corroborated from anchors join w on w.url = link group by all")
+def r42(spark, d):
+    """Whether the linked page of the corpus names the brand, in title or text; the texts stay where they are."""
+    wanted = profiles(spark, d)
+    w = dressed(spark, d).select(F.col("url").alias("link"), F.lower(T.title(F.col("html"))).alias("title"), F.lower(T.visible_text(F.col("html"))).alias("body"))
+    met = wanted.join(w, "link").select("page_id", "link", (F.contains("title", F.col("brand")) | F.contains("body", F.col("brand"))).alias("named"))
+    return met.groupBy("page_id", "link").agg(F.bool_or("named").alias("corroborated"))
+
+
+def _types(html):
+    """Type names in all JSON-LD blocks of a page: at the top, in lists, in graphs."""
+    named = lambda b: F.regexp_extract_all(F.concat_ws(" ", *(F.get_json_object(b, p) for p in ("$.@type", "$[*].@type", "$.@graph[*].@type"))), F.lit("[A-Za-z]+"), 0)
+    return F.flatten(F.transform(F.regexp_extract_all(html, F.lit(N.LD_SCRIPT), 1), named))
+
+
+_QUOTED = lambda x: x.replace("'", "''")
+_TYPE_NAMES = f"flatten(list_transform(list_filter({_list('html', N.LD_SCRIPT, 1)}, lambda x: json_valid(x)), lambda x: regexp_extract_all(concat_ws(' ', json_extract(x, '$.\"@type\"')::varchar, array_to_string(json_extract(x, '$[*].\"@type\"')::varchar[], ' '), array_to_string(json_extract(x, '$.\"@graph\"[*].\"@type\"')::varchar[], ' ')), '[A-Za-z]+')))"
+
+
+def _archetype_sql() -> str:
+    rows = []
+    for c in A.CATEGORIES:
+        labels = " + ".join(f"contains(low, '{_QUOTED(x)}')::int" for x in A.LABELS[c])
+        rows.append(f"{{'category': '{c}', 'family': 'url_path', 'points': regexp_matches(path, '{'|'.join(A.PATHS[c])}')::int}}")
+        rows.append(f"{{'category': '{c}', 'family': 'label_cues', 'points': 3 * (({labels}) >= {A.LEAST_LABELS})::int}}")
+        rows.append(f"{{'category': '{c}', 'family': 'schema_org', 'points': 4 * len(list_filter(types, lambda t: regexp_matches(lower(t), '{'|'.join(x.lower() for x in A.SCHEMAS[c])}')))::int}}")
+        if c in A.PAGE_TYPES:
+            rows.append(f"{{'category': '{c}', 'family': 'inventory_type', 'points': 2 * (page_type in ({', '.join(repr(x) for x in A.PAGE_TYPES[c])}))::int}}")
+    places = "case category " + " ".join(f"when '{c}' then {k}" for k, c in enumerate(A.CATEGORIES)) + " end"
+    return f"""with {_PAGES}, content as (select host as site, path, page_type, lower(left({TITLE} || ' ' || array_to_string({_HEADS}, ' ') || ' ' || {VISIBLE}, {A.LABEL_CHARS})) as low, {_TYPE_NAMES} as types from dressed),
+e as (select site, unnest([{', '.join(rows)}]) as x from content union all select host, {{'category': 'ECOMMERCE', 'family': 'specialist_checks', 'points': 1}} from dressed where {_MISMATCH}),
+scored as (select site, x.category as category, sum(x.points) as score, list_sort(list(distinct x.family)) as families from e where x.points > 0 group by all),
+ranked as (select *, row_number() over (partition by site order by score desc, {places}) as k from scored where score >= {A.LEAST_SCORE} and len(families) >= {A.LEAST_FAMILIES})
+select s.site, coalesce(max(category) filter (k = 1), 'GENERIC') as primary, coalesce(string_agg(category, ',' order by k) filter (k in (2, 3)), '') as secondary,
+    case when max(k) is null then 'low' when max(score) filter (k = 1) >= 10 and max(len(families)) filter (k = 1) >= 3 then 'high' else 'medium' end as confidence, coalesce(max(array_to_string(families, ',')) filter (k = 1), '') as families
+from (select distinct site from content) s left join ranked r on r.site = s.site group by s.site"""
+
+
+@q("o082_site_archetype", _archetype_sql())
+def o082(spark, d):
+    """Five families of evidence (O-067, O-082): paths, labels, schema types, page types, and checks of findings."""
+    html = F.col("html")
+    content = F.concat_ws(" ", T.title(html), F.array_join(N.heading_texts(html), " "), T.visible_text(html))
+    p = once(dressed(spark, d).select(F.col("host").alias("site"), "path", "page_type", content.alias("content"), _types(html).alias("types")), "site", "path", "page_type", "content", "types")
+    e = p.select("site", F.explode(A.page_evidence(F.col("path"), F.col("content"), F.col("types"), F.col("page_type"))).alias("x")).select("site", "x.*")
+    mismatched = dressed(spark, d).where(_mismatched(html)).select(F.col("host").alias("site"), F.lit(C.CAUSES["INTENT_TO_LANDING_MISMATCH"]).alias("check_id"))
+    return A.archetypes(p.select("site").distinct(), e.unionByName(A.check_evidence(mismatched)))
+
+
+_CENTROID_ROWS = ", ".join(f"({i}, '{k}', '{w}', {x})" for i, (k, ws) in enumerate(A.CENTROIDS.items()) for w, x in ws.items())
+
+
+@q("o08b_cosine_type", f"""with {_PAGES}, w as (select host as site, unnest(regexp_extract_all(lower({TITLE} || ' ' || url), '[a-z]{{3,}}')) as word from dressed), tf as (select site, word, count(*)::double as n from w group by all), nd as (select site, sqrt(sum(n * n)) as norm from tf group by site),
+c(place, kind, word, x) as (values {_CENTROID_ROWS}), nc as (select place, kind, sqrt(sum(x::double * x::double)) as norm from c group by all), s as (select site, place, kind, round_even(sum(n * x::double) / (any_value(nd.norm) * any_value(nc.norm)), 6) as score from tf join c using (word) join nd using (site) join nc using (place, kind) group by all),
+r as (select *, row_number() over (partition by site order by score desc, place) as k from s where score > {A.LEAST_SIMILARITY}) select nd.site, coalesce(kind, '{A.ANY_TYPE}') as kind, coalesce(score, 0.0)::double as score from nd left join r on r.site = nd.site and k = 1""")
+def o08b(spark, d):
+    """Words of a site's titles and addresses against the centroids of four site types."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", T.title(F.col("html")), "url")), F.lit("[a-z]{3,}"), 0)
+    terms = dressed(spark, d).select(F.col("host").alias("site"), F.explode(words).alias("word")).groupBy("site", "word").agg(F.count("*").alias("n"))
+    return A.site_types(terms)
+
+
 QUERIES, SQL = area.queries, area.sql

@@ -53,24 +53,22 @@ def findings(spark, d):
     return once(content_facts(spark, d), "doc_id", "words", "depth", "statistics").select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.*")
 
 
-def artifacts(spark, d):
-    return table(spark, d, "documents").select(F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("artifact"), "text")
-
-
 def candidates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    f = findings(spark, d).join(docs, "doc_id")
+    """Findings with quotes in one pass over documents: no text is shuffled, and whether the quote holds is known at once."""
+    each = F.array_compact(F.array(*(F.when(F.expr(condition), F.struct(F.lit(cause).alias("cause"), F.lit(severity).alias("severity"))) for cause, severity, condition in SOURCES)))
+    facts = once(content_facts(spark, d, "source", "text"), "doc_id", "source", "text", "words", "depth", "statistics").withColumn("f", each).where(F.size("f") > 0)
     key = F.col("doc_id").cast("string")
     quote = F.when(F.col("doc_id") % 11 == 0, "made up quote").otherwise(P.grounded_quote(F.col("text"), []))
-    rows = f.select(
-        F.col("source").alias("site"), F.concat(F.lit("doc-"), key).alias("scope"), F.concat(F.lit("page_"), key).alias("artifact"), "cause", "severity",
-        F.when(F.col("doc_id") % 13 == 0, "bad locator").otherwise("text").alias("locator"), (F.col("doc_id") % 17 != 0).alias("complete"), quote.alias("quote"),
+    quoted = once(facts.select("doc_id", "source", "f", "text", quote.alias("quote")), "doc_id", "source", "f", "text", "quote").withColumn("held", F.contains("text", F.col("quote"))).drop("text")
+    rows = quoted.select(
+        F.col("source").alias("site"), F.concat(F.lit("doc-"), key).alias("scope"), F.concat(F.lit("page_"), key).alias("artifact"), F.explode("f").alias("f"),
+        F.when(F.col("doc_id") % 13 == 0, "bad locator").otherwise("text").alias("locator"), (F.col("doc_id") % 17 != 0).alias("complete"), "quote", "held",
     )
-    return P.candidates(rows)
+    return P.candidates(rows.select("*", "f.cause", "f.severity").drop("f"))
 
 
 def gated(spark, d):
-    return P.gated(candidates(spark, d), artifacts(spark, d), C.catalogue(spark))
+    return P.gated(candidates(spark, d), None, C.catalogue(spark))
 
 
 def merged(spark, d):
@@ -105,8 +103,7 @@ def o060(spark, d):
 
 @q("o061_evidence_join", f"with {_CANDIDATES} select artifact, count(*) as refs, bool_and(contains(artifact_text, quote)) as grounded from candidates0 group by artifact")
 def o061(spark, d):
-    c = candidates(spark, d).join(artifacts(spark, d), "artifact", "left")
-    return c.groupBy("artifact").agg(F.count("*").alias("refs"), F.bool_and(F.contains("text", F.col("quote"))).alias("grounded"))
+    return candidates(spark, d).groupBy("artifact").agg(F.count("*").alias("refs"), F.bool_and("held").alias("grounded"))
 
 
 @q("o149_grounded_quote", "select doc_id, coalesce(case when contains(text, 'the') then 'the' end, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 4)[1], left(text, 20)) as quote from documents")
@@ -123,7 +120,7 @@ def o110(spark, d):
 def o045(spark, d):
     band = F.when(F.col("scope").endswith("7"), "S9").when(F.col("scope").endswith("8"), "U").otherwise(F.col("band"))
     c = candidates(spark, d).withColumn("band", band).withColumns({"check_id": F.lit("N1"), "locator": F.lit("text")})
-    g = P.gated(c, artifacts(spark, d), C.catalogue(spark)).where("drop_reason in ('invalid_band', 'unassessable')")
+    g = P.gated(c, None, C.catalogue(spark)).where("drop_reason in ('invalid_band', 'unassessable')")
     return g.select("scope", "cause", F.col("drop_reason").alias("reason"))
 
 
@@ -256,18 +253,20 @@ def o093(spark, d):
     return P.topological(p.select(F.col("p_brand").alias("site"), F.col("p_partkey").cast("string").alias("id"), F.array((F.col("p_partkey") - 10).cast("string")).alias("depends_on"), F.lit("confirmed").alias("queue"), band.alias("band"), (F.col("p_size") % 5).alias("difficulty")))
 
 
-@q("o112_schema_violations")
-def o112(spark, d):
-    """Draft-07 checks of JSON values; here of event properties."""
-    schema = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False}
-
-    @F.udf("array<struct<path:string,rule:string>>")
-    def check(text):
-        import json
+#: A Draft-07 schema of event properties.
+EVENT_SCHEMA = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False}
 
-        return list(P.violations(json.loads(text), schema))
 
-    return table(spark, d, "events").select("event_id", F.explode(check("props")).alias("v")).select("event_id", "v.path", "v.rule")
+@q("o112_schema_violations", """with e as (select event_id, props::json as p from events where props is not null), v as (
+    select event_id, case when json_type(p) <> 'OBJECT' then [{'path': '$', 'rule': 'type'}] else
+        list_transform(list_filter(['k', 'z'], lambda x: not list_contains(json_keys(p), x)), lambda x: {'path': '$.' || x, 'rule': 'required'})
+        || list_transform(list_filter(json_keys(p), lambda x: x <> 'k'), lambda x: {'path': '$.' || x, 'rule': 'additionalProperties'})
+        || case when list_contains(json_keys(p), 'k') and json_type(p, '$.k') not in ('BIGINT', 'UBIGINT', 'INTEGER') then [{'path': '$.k', 'rule': 'type'}] when json_type(p, '$.k') in ('BIGINT', 'UBIGINT', 'INTEGER') and json_extract(p, '$.k')::bigint > 50 then [{'path': '$.k', 'rule': 'maximum'}] else [] end end as found from e)
+    select event_id, x.path as path, x.rule as rule from (select event_id, unnest(found) as x from v)""")
+def o112(spark, d):
+    """Draft-07 checks of JSON values, as expressions; here of event properties."""
+    e = table(spark, d, "events").where("props is not null").select("event_id", F.parse_json("props").alias("v"))
+    return e.select("event_id", F.explode(P.violation_array(F.col("v"), EVENT_SCHEMA)).alias("x")).select("event_id", "x.path", "x.rule")
 
 
 @q("o103_signal_dedup", "with r as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) select user_id, event_type, event_id from r where k = 1")

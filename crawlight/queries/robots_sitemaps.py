@@ -81,9 +81,9 @@ def o071(spark, d):
     return decisions(spark, d).drop("role")
 
 
-@q("o043_crawl_gate", f"with {_DECISIONS} select site, path from decisions where bot = 'OAI-SearchBot' and allowed")
+@q("o043_crawl_gate", f"with {_DECISIONS} select site, bot, path from decisions where allowed")
 def o043(spark, d):
-    return decisions(spark, d).where("bot = 'OAI-SearchBot' and allowed").select("site", "path")
+    return decisions(spark, d).where("allowed").select("site", "bot", "path")
 
 
 @q("o072_role_rollup", f"with {_DECISIONS} select site, role, count(*) filter (not allowed) as blocked, coalesce(string_agg(bot, ',' order by bot) filter (not allowed), '') as bots, max(crawl_delay) > 5 as slow from decisions where path = '/' group by all")

@@ -79,18 +79,6 @@ def r07(spark, d):
     return finding(table(spark, d, "pages").where(bad), "page_id", "LOCALE_MISCONFIGURATION", "medium")
 
 
-_NAV = f"{_LINKS}, nav as (select distinct {NETLOC} as site, href, case length(href) % 5 when 0 then 404 when 1 then 503 else 200 end as status from links join pages using (page_id) where in_nav and starts_with(href, '/'))"
-
-
-@q("r09_dead_navigation", f"with {_NAV} select site, href, 'NAV_DEAD_END_' || status as id, 'high' as severity from nav where status in (404, 410) or status >= 500")
-def r09(spark, d):
-    """Navigation targets whose status (made from the path's length) is 404, 410 or a server error."""
-    l = K.links(table(spark, d, "pages")).where("in_nav").where(F.col("href").startswith("/")).join(table(spark, d, "pages").select("page_id", U.netloc(F.col("url")).alias("site")), "page_id")
-    status = F.when(F.length("href") % 5 == 0, 404).when(F.length("href") % 5 == 1, 503).otherwise(200)
-    n = l.select("site", "href").distinct().withColumn("status", status).where("status in (404, 410) or status >= 500")
-    return n.select("site", "href", F.concat(F.lit("NAV_DEAD_END_"), F.col("status").cast("string")).alias("id"), F.lit("high").alias("severity"))
-
-
 _SUMMARY = rf"""{TOKENS}, c as (select page_id, count(*) filter (kind = 'start' and tag = 'h1') as h1, count(*) filter (kind = 'start' and tag in ('main', 'nav')) as landmarks, count(*) filter (kind = 'start' and tag = 'a') as anchors from tokens group by page_id), t as (select page_id, sum(len(regexp_extract_all(text, '\S+')))::bigint as words, count(*) filter (regexp_matches(current_tag, '^h[1-6]$')) as heads from text_nodes group by page_id)"""
 
 

@@ -51,11 +51,6 @@ def o142(spark, d):
     return S.nodes(blocks(spark, d)).groupBy("page_id").agg(F.count("*").alias("nodes"))
 
 
-@q("o143_offer_nodes", f"with {_NODES} select page_id, count(*) as found from entities where list_has_any(types, ['product', 'offer', 'aggregateoffer']) group by page_id")
-def o143(spark, d):
-    return entities(spark, d).where(S.has_type(F.col("types"), "Product", "Offer", "AggregateOffer")).groupBy("page_id").agg(F.count("*").alias("found"))
-
-
 @q("o144_type_match", f"with {_NODES} select page_id, coalesce(node_id, '') as node_id, array_to_string(list_sort(types), ',') as types, list_has_any(types, ['organization', 'corporation', 'localbusiness']) as is_organization from entities")
 def o144(spark, d):
     return entities(spark, d).select("page_id", F.coalesce("node_id", F.lit("")).alias("node_id"), F.array_join(F.array_sort("types"), ",").alias("types"), S.has_type(F.col("types"), "Organization", "Corporation", "LocalBusiness").alias("is_organization"))
@@ -97,13 +92,6 @@ def r21(spark, d):
     return r.select("page_id", F.lit("ATTRIBUTE_INCOMPLETENESS").alias("id"), F.lit("medium").alias("severity"))
 
 
-@q("r05_cross_host_identity", f"with {_NODES}, e as (select page_id, {'regexp_extract(node_id, ' + chr(39) + '^https?://([^/?#]*)' + chr(39) + ', 1)'} as host from entities where starts_with(node_id, 'http')) select page_id, host, array_to_string(string_split(host, '.')[-2:], '.') as root, 'medium' as severity from e where array_to_string(string_split(host, '.')[-2:], '.') <> 'example.com'")
-def r05(spark, d):
-    """Nodes whose id lives under another registered name than the site's (example.com here)."""
-    e = entities(spark, d).where(F.col("node_id").startswith("http")).select("page_id", U.netloc(F.col("node_id")).alias("host"))
-    return e.select("page_id", "host", U.registered_root(F.col("host")).alias("root"), F.lit("medium").alias("severity")).where("root != 'example.com'")
-
-
 _SAME = f"with {_NODES}, s as (select page_id, unnest(same_as) as link from entities), links as (select distinct page_id, link from s where regexp_matches(link, '^https?://'))"
 
 
@@ -122,27 +110,6 @@ def r40(spark, d):
     return entities(spark, d).select("page_id").distinct().join(same_as(spark, d), "page_id", "left_anti").select("page_id", F.lit("SAME_AS_MISSING").alias("id"))
 
 
-#: What a probe of an anchor returned: by the page's number.
-_PROBED = "case page_id % 4 when 0 then 200 when 1 then 404 when 2 then null else 200 end"
-
-
-@q("r41_broken_anchors", f"{_SAME}, p as (select *, {_PROBED} as status from links) select page_id, link, case when status is null then 'inconclusive' else 'broken' end as class from p where status is null or status <> 200")
-def r41(spark, d):
-    """Anchors that do not answer 200; no answer at all is inconclusive, not broken."""
-    p = same_as(spark, d).withColumn("status", F.expr(_PROBED)).where("status is null or status != 200")
-    return p.select("page_id", "link", F.when(F.col("status").isNull(), "inconclusive").otherwise("broken").alias("class"))
-
-
-@q("r42_corroboration_gap", f"{_SAME}, b as (select page_id, lower(name) as brand from entities where list_contains(types, 'organization')), p as (select l.page_id, link, brand, case when l.page_id % 4 = 3 then 'About ' || brand else 'Profile' end as title, case when l.page_id % 4 = 0 and l.page_id % 3 = 0 then 'text on ' || brand else 'text' end as body from links l join b using (page_id)) select page_id, link, contains(title, brand) or contains(body, brand) as corroborated from p")
-def r42(spark, d):
-    """Whether the linked page names the brand, in title or text; both are made from the page's number."""
-    b = entities(spark, d).where(S.has_type(F.col("types"), "Organization")).select("page_id", F.lower("name").alias("brand"))
-    p = same_as(spark, d).join(b, "page_id")
-    title = F.when(F.col("page_id") % 4 == 3, F.concat(F.lit("About "), "brand")).otherwise("Profile")
-    body = F.when((F.col("page_id") % 4 == 0) & (F.col("page_id") % 3 == 0), F.concat(F.lit("text on "), "brand")).otherwise("text")
-    return p.select("page_id", "link", (F.contains(title, F.col("brand")) | F.contains(body, F.col("brand"))).alias("corroborated"))
-
-
 _MICRO = "'<div itemscope itemtype=\"https://schema.org/Product\"><span itemprop=\"sku\">ECS-' || p_partkey || '</span><meta itemprop=\"name\" content=\"' || p_name || '\"></div>'"
 
 
@@ -162,36 +129,4 @@ def o101(spark, d):
     return entities(spark, d).select("page_id", F.size(F.array_intersect("types", F.array(*map(F.lit, ["product", "thing", "offer"])))).alias("shared"))
 
 
-_LABELS = {"ECOMMERCE": ["the", "and"], "BLOG_NEWS": ["der", "die"], "DOCUMENTATION": ["de", "la"]}
-_PATHS = {"ECOMMERCE": "/en", "BLOG_NEWS": "/de", "DOCUMENTATION": "/fr"}
-
-
-def _archetype_sql() -> str:
-    points = []
-    for cat in _LABELS:
-        hits = " + ".join(f"contains(lower(title), '{w}')::int" for w in _LABELS[cat])
-        points.append(f"select site, '{cat}' as category, 'url_path' as family, 1 as points from (select distinct site, path from p) where regexp_matches(path, '{_PATHS[cat]}')")
-        points.append(f"select site, '{cat}', 'label_cues', 3 from p where ({hits}) >= 2")
-    return f"with p as (select {NETLOC} as site, page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) as path, {TITLE} as title from pages), points as ({' union all '.join(points)}), scored as (select site, category, sum(points)::bigint as score, count(distinct family) as families from points group by all), ranked as (select *, row_number() over (partition by site order by score desc, category) as place from scored where score >= 5 and families >= 2) select site, category, score, families, place, case when score >= 10 and families >= 3 then 'high' else 'medium' end as confidence from ranked where place <= 4"
-
-
-@q("o082_site_archetype", _archetype_sql())
-def o082(spark, d):
-    """Evidence rows from paths (1 each) and labels (3 each), then points and families per category (O-067, O-082)."""
-    from pyspark.sql import Window
-
-    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), F.lower(U.path(F.col("url"))).alias("path"), F.lower(T.title(F.col("html"))).alias("title"))
-    rows = []
-    for cat in _LABELS:
-        hits = sum((F.col("title").contains(w).cast("int") for w in _LABELS[cat]), F.lit(0))
-        rows.append(p.select("site", "path").distinct().where(F.col("path").rlike(_PATHS[cat])).select("site", F.lit(cat).alias("category"), F.lit("url_path").alias("family"), F.lit(1).alias("points")))
-        rows.append(p.where(hits >= 2).select("site", F.lit(cat).alias("category"), F.lit("label_cues").alias("family"), F.lit(3).alias("points")))
-    points = rows[0]
-    for r in rows[1:]:
-        points = points.unionByName(r)
-    s = points.groupBy("site", "category").agg(F.sum("points").alias("score"), F.count_distinct("family").alias("families")).where("score >= 5 and families >= 2")
-    s = s.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "category")).cast("long")).where("place <= 4")
-    return s.withColumn("confidence", F.when((F.col("score") >= 10) & (F.col("families") >= 3), "high").otherwise("medium"))
-
-
 QUERIES, SQL = area.queries, area.sql

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -67,3 +67,16 @@ def upsert(rows: DataFrame, batch: int, path: str, key: list[str]) -> None:
         now = now.unionByName(spark.read.parquet(f"{path}/batch={batch - 1}"))
     w = Window.partitionBy(*key).orderBy(F.desc("_batch"))
     now.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def late_events(events: DataFrame, parts: int, delay: str) -> DataFrame:
+    """The events of a batch with ``late``: whether a stream that reads ``parts`` parts in order of event_id would drop them.
+
+    Parts are few, whatever the events, so the marks are one small table.
+    """
+    count = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    numbered = events.withColumn("part", F.floor(F.col("event_id") * parts / count))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    latest = numbered.groupBy("part").agg(F.max("ts").alias("latest"))
+    marks = latest.select("part", (F.max("latest").over(before) - F.expr(f"interval {delay}")).alias("mark"))
+    return numbered.join(F.broadcast(marks), "part").withColumn("late", F.coalesce(F.col("ts") < F.col("mark"), F.lit(False))).drop("part", "mark")
