@@ -5,8 +5,8 @@ classes: documents are sorted into CLUSTERS by a mixture over the most
 frequent words, started on the warm documents and fitted on sums over all
 training documents; a word belongs to the cluster where it is most frequent, and a
 cluster's words are cut into bands by frequency.  A gated recurrent network
-(see ``recurrent``) predicts the class of each token and, in the two upper
-bands, the word; in other classes words keep their share of c + 1.  All other
+(see ``recurrent``) predicts the cluster and then the class of each token and,
+in the two upper bands, the word; in other classes words keep their share of c + 1.  All other
 words, unseen ones included, are one class in which a word's share is c + 1
 over the class's sum, the unseen words being one more entry of 1: so the model
 is a distribution over the known words and one unknown.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlight.llm.common import batch_of, buffers, document_view, drawn, hash_words, slices, tree_sum, written
-from crawlight.llm.graphs import lookup
+from crawlight.llm.graphs import HEAVY
 from crawlight.llm.quality import in_fold
 from crawlight.llm.recurrent import START, GatedModel
 
@@ -175,7 +175,10 @@ class Vocabulary:
         soft = (band < SOFT) & (classes != self.end_class)
         self.classes = classes.astype(np.int32)
         self.words = np.full(n, -1, np.int32)
-        self.words[soft] = np.arange(int(soft.sum()))
+        # numbered by class, so that a class's words are a slice
+        chosen = np.flatnonzero(soft)
+        chosen = chosen[np.argsort(classes[chosen], kind="stable")]
+        self.words[chosen] = np.arange(len(chosen))
         n_classes = self.rare_class + 1
         mass = np.bincount(classes, weights=self.counts + 1.0, minlength=n_classes)
         mass[self.rare_class] = self.rare_sum
@@ -184,13 +187,14 @@ class Vocabulary:
         self.within = np.where(soft | (classes == self.end_class), 0.0, np.log((self.counts + 1.0) / mass[classes]))
         self.members = [self.words[(self.classes == c) & soft] for c in range(n_classes)]
         self.members = [np.sort(m) for m in self.members]
-        self.word_shares = self.counts[soft] + 1.0
+        self.word_shares = self.counts[chosen] + 1.0
+        self.groups = np.r_[np.repeat(np.arange(CLUSTERS), bands), CLUSTERS, CLUSTERS + 1]
         # inputs: START, then classes, then words of the soft bands
         self.inputs = np.where(soft, 1 + n_classes + self.words, 1 + self.classes).astype(np.int32)
         self.n_inputs = 1 + n_classes + int(soft.sum())
 
     def model(self) -> GatedModel:
-        return GatedModel(self.n_inputs, self.shares, self.members, self.word_shares)
+        return GatedModel(self.n_inputs, self.shares, self.members, self.word_shares, self.groups)
 
     def sequences(self, found: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Inputs, classes and words of each document from its tokens' places."""
@@ -389,9 +393,12 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col:
     rows = written(view.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, _SCORED_DDL), "lm-scored")
     bucket = F.floor(F.log2(F.col("n").cast("double")) * 8)
     rare = rows.where("key is not null").select("row", "key", "times")
-    uses = rare.groupBy("key").agg(F.count("*").alias("uses")).join(counts.where(bucket < least).hint("merge"), "key", "left")
-    uses = written(uses, "lm-uses")
-    rare = lookup(rare, uses, "key", "uses", uses.agg(F.sum("uses")).first()[0] or 0, "inner").where("n is not null")
+    # a new word may be in a third of all rows: keys with over 1/HEAVY of them, fewer than HEAVY, are broadcast
+    uses = rare.groupBy("key").agg(F.count("*").alias("uses")).where(F.col("uses") * HEAVY > rare.count())
+    hot = written(uses.select("key"), "lm-hot")
+    few = counts.where(bucket < least)
+    hot_known = few.join(F.broadcast(hot), "key", "left_semi")
+    rare = rare.join(F.broadcast(hot_known), "key").unionByName(rare.join(F.broadcast(hot), "key", "left_anti").join(few.hint("merge"), "key"))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"), F.sum("times").alias("rare_known"))
     out = rows.where("key is null").drop("key").join(rare.hint("merge"), "row", "left")
     more, known = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))

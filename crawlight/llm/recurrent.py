@@ -1,8 +1,9 @@
 """A gated recurrent network over tokens with a class-factored softmax, in numpy.
 
 A token's probability is its class's times its own within the class.  Classes
-of frequent words have a softmax of their own that follows the state; other
-classes keep fixed shares.  Documents are laid end to end in streams that run
+come in groups (its group's, then its own within the group), so few exponents
+are taken for a token.  Classes of frequent words have a softmax of their own
+that follows the state; other classes keep fixed shares.  Documents are laid end to end in streams that run
 side by side; the state is set to zero where a document starts and carried
 across windows everywhere else, while gradients stop at a window's edge.
 """
@@ -54,19 +55,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class GatedModel:
-    """Gates from the last token and the state; heads for classes and for words of the small classes."""
+    """Gates from the last token and the state; heads for groups, their classes, and words of the small classes."""
 
-    NAMES = ("gates", "state_zr", "state_n", "class_w", "class_b", "word_w", "word_b")
+    NAMES = ("gates", "state_zr", "state_n", "group_w", "group_b", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, inputs: int, class_shares: np.ndarray, members: list[np.ndarray], word_shares: np.ndarray, hidden: int = 16, seed: int = 1):
-        """``members``: for each class its words' numbers, none for classes of fixed shares."""
+    def __init__(self, inputs: int, class_shares: np.ndarray, members: list[np.ndarray], word_shares: np.ndarray, groups: np.ndarray | None = None, hidden: int = 16, seed: int = 1):
+        """``members``: for each class its words' numbers in order, none for classes of fixed shares; ``groups``: each class's, ascending."""
         rng = np.random.default_rng(seed)
         normal = lambda *shape, by=0.1: rng.normal(0, by, shape).astype(np.float32)
+        logs = lambda shares: np.log(np.maximum(shares, 1e-9)).astype(np.float32)
         self.members, self.hidden = members, hidden
+        self.groups = np.arange(len(class_shares)) if groups is None else np.asarray(groups)
+        self.group_bounds = np.searchsorted(self.groups, np.arange(int(self.groups.max(initial=-1)) + 2))
         self.params = [
             normal(inputs, 3 * hidden, by=0.3), normal(hidden, 2 * hidden), normal(hidden, hidden),
-            normal(hidden, len(class_shares)), np.log(np.maximum(class_shares, 1e-9)).astype(np.float32),
-            normal(len(word_shares), hidden, by=0.05), np.log(np.maximum(word_shares, 1e-9)).astype(np.float32),
+            normal(len(self.group_bounds) - 1, hidden), logs(np.bincount(self.groups, weights=class_shares, minlength=len(self.group_bounds) - 1)),
+            normal(len(class_shares), hidden), logs(np.asarray(class_shares)),
+            normal(len(word_shares), hidden, by=0.05), logs(np.asarray(word_shares)),
         ]
         self.params[0][:, :hidden] += 1.0  # states are kept at first
 
@@ -113,37 +118,51 @@ class GatedModel:
 
         With ``grad`` also the gradients of minus the summed logs.
         """
-        cw, cb, ww, wb = self.params[3:]
-        rows = np.arange(len(states))
-        logits = states @ cw + cb
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[rows, classes] - np.log(total)
-        if grad:
-            e /= total[:, None]
-            e[rows, classes] -= 1
-            d_states = e @ cw.T
-            grads = [states.T @ e, e.sum(0), np.zeros_like(ww), np.zeros_like(wb)]
-        with_word = np.flatnonzero(words >= 0)
-        by_class = with_word[np.argsort(classes[with_word], kind="stable")]
-        edges = np.flatnonzero(np.diff(classes[by_class])) + 1
-        for at in np.split(by_class, edges) if len(by_class) else []:
-            members = self.members[classes[at[0]]]
-            place = np.searchsorted(members, words[at])
-            inner = states[at] @ ww[members].T + wb[members]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(1)
-            mine = np.arange(len(at))
-            out[at] += inner[mine, place] - np.log(total)
+        gw, gb, cw, cb, ww, wb = self.params[3:]
+        # in order of classes every head works on a slice
+        order = np.argsort(classes.astype(np.int16), kind="stable")
+        sorted_states, sorted_classes, sorted_words = states[order], classes[order], words[order]
+        bounds = np.searchsorted(sorted_classes, np.arange(len(cb) + 1))
+        logs, d = np.zeros(len(states)), np.zeros_like(sorted_states) if grad else None
+        grads = [np.zeros_like(p) for p in (gw, gb, cw, cb, ww, wb)] if grad else []
+
+        def head(a: int, b: int, own, target: np.ndarray, k: int) -> None:
+            """Adds to rows a to b the logs of ``target`` among the entries ``own`` of head k."""
+            w, bias, at = self.params[3 + k][own], self.params[4 + k][own], sorted_states[a:b]
+            logits = w @ at.T
+            logits += bias[:, None]
+            logits -= logits.max(0)
+            cells = (target, np.arange(b - a))
+            chosen = logits[cells]
+            e = np.exp(logits, out=logits)
+            total = e.sum(0)
+            logs[a:b] += chosen - np.log(total)
             if grad:
-                e /= total[:, None]
-                e[mine, place] -= 1
-                grads[2][members] += e.T @ states[at]
-                grads[3][members] += e.sum(0)
-                d_states[at] += e @ ww[members]
-        return (out, d_states, grads) if grad else out
+                e /= total
+                e[cells] -= 1
+                grads[k][own] += e @ at
+                grads[k + 1][own] += e.sum(1)
+                d[a:b] += e.T @ w
+
+        if len(states):
+            head(0, len(states), slice(None), self.groups[sorted_classes], 0)
+        for first, last in zip(self.group_bounds[:-1].tolist(), self.group_bounds[1:].tolist(), strict=True):
+            a, b = int(bounds[first]), int(bounds[last])
+            if b > a and last - first > 1:
+                head(a, b, slice(first, last), sorted_classes[a:b] - first, 2)
+        for c, members in enumerate(self.members):
+            a, b = int(bounds[c]), int(bounds[c + 1])
+            if b > a and len(members):
+                # a class's words are numbered in a row, or in any order
+                row = slice(int(members[0]), int(members[-1]) + 1) if members[-1] - members[0] + 1 == len(members) else members
+                head(a, b, row, np.searchsorted(members, sorted_words[a:b]), 4)
+        out = np.empty(len(states))
+        out[order] = logs
+        if not grad:
+            return out
+        d_states = np.empty_like(d)
+        d_states[order] = d
+        return out, d_states, grads
 
     def backward(self, x: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of the gates' parameters, back through the window's steps."""
@@ -183,7 +202,7 @@ class GatedModel:
         rows = lambda a: a.transpose(0, 2, 1).reshape(-1, k)
         return [d_gates, rows(before).T @ flat[:, : 2 * k], rows(gated).T @ flat[:, 2 * k :]]
 
-    def train(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 24, streams: int = 128, rate: float = 0.01, epochs: int = 1) -> int:
+    def train(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 32, streams: int = 128, rate: float = 0.01, epochs: int = 1) -> int:
         """Adam over (inputs, classes, words) of whole documents; returns the tokens seen."""
         if not sequences:
             return 0

@@ -331,10 +331,11 @@ def test_quality_without_labels_and_of_messy_rows(spark, messy, nothing):
     assert Q.keep_quality(messy, model, 0.3).columns == messy.columns
 
 
-def test_network_gradients():
+@pytest.mark.parametrize("groups", [None, [0, 0, 1], [0, 0, 0]])
+def test_network_gradients(groups):
     rng = np.random.default_rng(3)
-    members = [np.array([0, 1, 2]), np.array([], int), np.array([3, 4])]
-    model = R.GatedModel(6, np.array([0.5, 0.2, 0.3]), members, np.ones(5), hidden=4)
+    members = [np.array([0, 1, 4]), np.array([], int), np.array([2, 3])]
+    model = R.GatedModel(6, np.array([0.5, 0.2, 0.3]), members, np.ones(5), groups, hidden=4)
     model.params = [p.astype(np.float64) for p in model.params]
     x = rng.integers(0, 6, (5, 3))
     classes = rng.integers(0, 3, 15)
@@ -359,9 +360,10 @@ def test_network_gradients():
         assert abs((up - down) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at]))
 
 
-def test_network_is_a_distribution():
+@pytest.mark.parametrize("groups", [None, [0, 0]])
+def test_network_is_a_distribution(groups):
     members = [np.array([0, 1]), np.array([2, 3, 4])]
-    model = R.GatedModel(8, np.array([0.6, 0.4]), members, np.ones(5), hidden=4)
+    model = R.GatedModel(8, np.array([0.6, 0.4]), members, np.ones(5), groups, hidden=4)
     states = np.random.default_rng(4).normal(size=(1, 4)).astype(np.float32)
     total = sum(np.exp(model.log_probabilities(states, np.array([c]), np.array([w])))[0] for c, ws in enumerate(members) for w in ws)
     assert abs(total - 1) < 1e-5
