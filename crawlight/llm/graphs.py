@@ -15,16 +15,17 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
     """Joins a table of one row per key that knows how many rows each key has.
 
     Keys of more than 1/HEAVY of all rows are fewer than HEAVY, so they are
-    broadcast; the rest meet by a shuffle in which no key is larger than that.
-    ``table`` should be written.
+    listed and broadcast; the rest meet by a shuffle in which no key is larger
+    than that.  ``table`` should be written.  With ``how`` left_semi only rows
+    are kept.
     """
-    columns = [c for c in table.columns if c != count]
-    heavy = table.where(F.col(count) * HEAVY > total).select(*columns, F.lit(True).alias("_heavy"))
-    light = table.where(F.col(count) * HEAVY <= total).select(*columns)
-    marked = rows.join(F.broadcast(heavy), key, "left")
-    met = marked.where("_heavy").drop("_heavy")
-    rest = marked.where("_heavy is null").drop("_heavy", *[c for c in columns if c != key]).join(light, key, how)
-    return met.unionByName(rest)
+    kept = table.select(*(c for c in table.columns if c != count))
+    heavy = table.where(F.col(count) * HEAVY > total).select(*kept.columns).collect()  # fewer than HEAVY
+    if not heavy:
+        return rows.join(kept.hint("merge"), key, how)
+    chosen = F.coalesce(F.col(key).isin([r[key] for r in heavy]), F.lit(False))
+    met = rows.where(chosen).join(F.broadcast(rows.sparkSession.createDataFrame(heavy, kept.schema)), key, "left_semi" if how == "left_semi" else "inner")
+    return met.unionByName(rows.where(~chosen).join(kept.hint("merge"), key, how))
 
 
 def _signature(edges: DataFrame) -> tuple:

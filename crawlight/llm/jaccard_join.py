@@ -241,17 +241,19 @@ def _open_blocks(rows: DataFrame, size: DataFrame, t: Fraction) -> DataFrame:
     """
     # sizes that the threshold allows together are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(t.denominator / t.numerator)))
-    sized = written(rows.join(size, "node").withColumn("slot", F.struct("key", band.alias("band"))), "jaccard-rows")
+    # a slot is a key's band, hashed: two that collide only keep more rows
+    slot = lambda key, band: F.xxhash64(key, band.cast("long")).alias("slot")
+    sized = written(rows.join(size, "node").select("key", "node", "central", "n", band.alias("band")), "jaccard-rows")
     total = sized.count()
-    counts = sized.groupBy("slot").agg(F.count("*").alias("m"))
-    near = counts.select("slot", "m", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
-    near = near.select(F.struct(F.col("slot.key").alias("key"), (F.col("slot.band") + F.col("d")).alias("band")).alias("slot"), "m", F.when(F.col("d") == 0, F.col("m")).otherwise(0).alias("own"))
-    near = written(near.groupBy("slot").agg(F.sum("m").alias("m"), F.sum("own").alias("own")).where("m > 1 and own > 0").select("slot", "own"), "jaccard-near")
-    kept = written(lookup(sized, near, "slot", "own", total, "inner").select("slot.key", "node", "central", "n"), "jaccard-rows")
+    counts = sized.groupBy("key", "band").agg(F.count("*").alias("m"))
+    near = counts.select("key", "band", "m", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    near = near.groupBy("key", (F.col("band") + F.col("d")).alias("band")).agg(F.sum("m").alias("m"), F.sum(F.when(F.col("d") == 0, F.col("m")).otherwise(0)).alias("own"))
+    near = written(near.where("m > 1 and own > 0").groupBy(slot("key", F.col("band"))).agg(F.sum("own").alias("own")), "jaccard-near")
+    kept = written(lookup(sized.withColumn("slot", slot("key", F.col("band"))), near, "slot", "own", total, "left_semi").select("key", "node", "central", "n"), "jaccard-rows")
     same = kept.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("g"), F.min("n").alias("x"), F.max("n").alias("y"))
     same = same.where((F.col("m") > 2) | _close("x", "y", t)).groupBy("m", "h", "g").agg(F.min("key").alias("key")).select("key", "m")
     same = written(same, "jaccard-same")
-    blocks = written(lookup(kept, same, "key", "m", kept.count(), "inner").select("key", "node", "central", "n"), "jaccard-blocks")
+    blocks = written(lookup(kept, same, "key", "m", kept.count(), "left_semi").select("key", "node", "central", "n"), "jaccard-blocks")
     discard(sized, near, kept, same)
     return blocks
 
@@ -364,7 +366,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
     several = written(several, "jaccard-several")
     shared = several.agg(F.sum("m")).first()[0] or 0
-    blocks = _open_blocks(lookup(keys, several, "key", "m", shared, "inner").distinct(), nodes.select("node", "n"), threshold)
+    blocks = _open_blocks(lookup(keys, several, "key", "m", shared, "left_semi").distinct(), nodes.select("node", "n"), threshold)
     discard(keys, several)
     points = written(_points_of(view, nodes, blocks.select("node").distinct(), width), "jaccard-points")
 
