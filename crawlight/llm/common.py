@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,7 +265,7 @@ def tree_sum(rows: DataFrame, given=np.float64, fan: int = 1024) -> DataFrame:
     ddl = "chunk int, part int, weight double, values binary"
 
     def adder(kind):
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
+        def add(frame):
             out = frame.iloc[:1].copy()
             out["weight"] = frame["weight"].sum()
             total = np.frombuffer(frame["values"].iloc[0], kind).astype(np.float64)

@@ -241,7 +241,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        self.fast, self.library = encoding_of(vocabulary), Tokenizer.from_file(vocabulary)
+        self.vocabulary, self.fast, self.library = vocabulary, encoding_of(vocabulary), None
 
     def chunks(self, text: str) -> Iterator[str]:
         at = 0
@@ -259,6 +259,8 @@ class Encoder:
             try:
                 out.append(self.fast.encode_to_numpy(part, allowed_special="all"))
             except ValueError:
+                # loaded where it is needed: workers outlive a stage, and with them what they hold
+                self.library = self.library or Tokenizer.from_file(self.vocabulary)
                 out.append(np.array(self.library.encode(part, add_special_tokens=False).ids, np.uint32))
         return np.concatenate(out) if len(out) > 1 else out[0]
 
