@@ -43,8 +43,9 @@ NOTICE = rf"(?i)\b(?:{_any(SCRIPT_NOTICES)})\b"
 JSON_SCRIPT = rf"(?is)<script[^>]*type={Q}application/json{Q}[^>]*>(.*?)</script>"
 STATE_SCRIPT = rf"(?is)<script[^>]*id={Q}__(?:NEXT|NUXT)_DATA__{Q}[^>]*>(.*?)</script>"
 LD_SCRIPT = rf"(?is)<script[^>]*type={Q}application/ld\+json{Q}[^>]*>(.*?)</script>"
-JSON_STRING = r"\x22(?:[^\x22\x5C]|\x5C.)*\x22\s*:?"
-JSON_BLANK = r"\x5C[nrtf]"
+#: Escapes go first (a backslash, blanks, anything else), so that a string is a plain run: long strings need no stack.
+JSON_ESCAPES = [(r"\x5C\x5C", "x"), (r"\x5C[nrtf]", " "), (r"\x5C.", "x")]
+JSON_STRING = r"\x22[^\x22]*\x22\s*:?"
 EDGE_SCRIPT = rf"(?i)/scripts/(?:{_any(EDGE_SCRIPTS)})\.js"
 EDGE_BLOCK = rf"(?i)<div class={Q}(?:{_any(EDGE_BLOCKS)}){Q}"
 SCRIPT_SOURCE = r"(?i)<script[^>]*src="
@@ -97,8 +98,14 @@ def asks_for_scripts(html: Column) -> Column:
 def json_words(html: Column) -> Column:
     """Words in strings of two words or more, keys aside, of embedded JSON state; what is no JSON counts nothing."""
     blobs = F.filter(F.transform(F.concat(_all(html, JSON_SCRIPT, 1), _all(html, STATE_SCRIPT, 1)), F.trim), lambda b: F.try_parse_json(b).isNotNull())
-    strings = F.filter(F.flatten(F.transform(blobs, lambda b: _all(b, JSON_STRING))), lambda s: ~s.endswith(":"))
-    words = F.transform(strings, lambda s: T.split_words(F.regexp_replace(s.substr(F.lit(2), F.length(s) - 2), JSON_BLANK, " ")))
+
+    def plain(b: Column) -> Column:
+        for escape, sign in JSON_ESCAPES:
+            b = F.regexp_replace(b, escape, sign)
+        return b
+
+    strings = F.filter(F.flatten(F.transform(blobs, lambda b: _all(plain(b), JSON_STRING))), lambda s: ~s.endswith(":"))
+    words = F.transform(strings, lambda s: T.split_words(s.substr(F.lit(2), F.length(s) - 2)))
     return F.aggregate(F.filter(words, lambda n: n >= 2), F.lit(0), lambda a, n: a + n)
 
 

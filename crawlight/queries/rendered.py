@@ -61,8 +61,11 @@ _ANY = lambda items, condition: f"len(list_filter({items}, lambda x: {condition}
 _HAS = lambda column, parts: "(" + " or ".join(f"contains({column}, '{p}')" for p in parts) + ")"
 _DRESSED = CLASSED.replace("from pages", "from dressed0")
 _PAGES = f"dressed0 as (select page_id, {DRESSED_URL} as url, {DRESSED_HTML} as html from pages), {_DRESSED}, dressed as (select page_id, url, html, site as host, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) as path, page_type from classed)"
+_PLAIN = "b"
+for _escape, _sign in N.JSON_ESCAPES:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_escape}', '{_sign}', 'g')"
 _JSON_WORDS = f"""list_sum([0] || list_filter(list_transform(list_filter(flatten(list_transform(list_filter(list_transform({_list('html', N.JSON_SCRIPT, 1)} || {_list('html', N.STATE_SCRIPT, 1)}, lambda b: trim(b)), lambda b: json_valid(b)),
-    lambda b: {_list('b', N.JSON_STRING)})), lambda s: not ends_with(s, ':')), lambda s: len(regexp_extract_all(regexp_replace(substr(s, 2, length(s) - 2), '{N.JSON_BLANK}', ' ', 'g'), '\\S+'))), lambda n: n >= 2))"""
+    lambda b: {_list(_PLAIN, N.JSON_STRING)})), lambda s: not ends_with(s, ':')), lambda s: len(regexp_extract_all(substr(s, 2, length(s) - 2), '\\S+'))), lambda n: n >= 2))"""
 _SHELL = _ANY(_STARTS("html"), f"(regexp_matches(x, '{N.CONTAINER}') and (regexp_matches(x, '{N.SHELL_ID}') or regexp_matches(x, '{N.SHELL_CLASS}'))) or regexp_matches(x, '{N.SHELL_ELEMENT}') or (not regexp_matches(x, '{N.CONTAINER}') and regexp_matches(x, '{N.SHELL_ATTRIBUTE}'))")
 _BODY = f"regexp_replace(regexp_extract(html, '{N.BODY}', 1), '{N.AFTER_BODY}', '')"
 _CLEAN = f"regexp_replace(regexp_replace(html, '{N.RAW}', ' ', 'g'), '{N.NOSCRIPT}', ' ', 'g')"

@@ -45,7 +45,7 @@ def spoken(value):
     return sum(map(spoken, value)) if isinstance(value, list) else 0
 
 
-STATES = [{"a key": "two words", "b": ["one", "three more words", {"c": 'with "quotes" and \\ backslash'}], "n": 1, "line": "a\nb c"}, [], "plain text here", {"": ":"}, {"x": "ends with colon:"}]
+STATES = [{"a key": "two words", "b": ["one", "three more words", {"c": 'with "quotes" and \\ backslash'}], "n": 1, "line": "a\nb c"}, [], "plain text here", {"": ":"}, {"x": "ends with colon:"}, {"long": "many words " * 50_000, "escaped": 'a\n"b" ' * 20_000}]
 
 
 def test_json_state(spark):
