@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,6 +20,8 @@ def rows(frame):
     columns = sorted(frame.columns)
 
     def text(v):
+        if v is pd.NA or isinstance(v, float) and v != v:
+            return "null"
         if isinstance(v, float):
             return f"{v:.8g}"
         return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
