@@ -15,9 +15,12 @@ from crawlight.llm.language_model import score_documents
 from crawlight.llm.licenses import scan_licenses
 from crawlight.llm.mixing import KEEP, MARGINS, TEMPER, TOPICS, with_probabilities
 from crawlight.llm.packing import pack_documents
+from crawlight.llm.prefix_trie import conversation_trie
 from crawlight.llm.quality import fit_quality, in_fold, score_quality
+from crawlight.llm.sharding import shard_documents
 from crawlight.llm.substrings import repeated_windows
 from crawlight.llm.token_counts import count_tokens
+from crawlight.llm.vector_codes import encode_vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +173,100 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+def _op11_sql() -> str:
+    """Codebooks as lists per position and entry, one pair of steps a round."""
+    steps = []
+    for k in range(7):
+        steps.append(f"""apart_{k} as materialized (
+    select vec_id, p, e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - w[i]) * (v[i] - w[i]))) as d from parts join book_{k} using (p)
+), near_{k} as materialized (
+    select vec_id, p, e, d from apart_{k} qualify row_number() over (partition by vec_id, p order by d, e) = 1
+)""")
+        if k < 6:
+            steps.append(f"""sums_{k} as (
+    select p, e, i, sum(v[i])::bigint as s, count(*) as n from near_{k} join parts using (vec_id, p), unnest(range(1, len(v) + 1)) as t(i) group by p, e, i
+), means_{k} as (
+    select p, e, list((s - ((s % n) + n) % n) // n order by i) as w from sums_{k} group by p, e
+), book_{k + 1} as materialized (
+    select p, e, coalesce(means_{k}.w, book_{k}.w) as w from book_{k} left join means_{k} using (p, e)
+)""")
+    return f"""
+with kept as (
+    select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+    select vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] as v from kept, unnest(range(8)) as t(p)
+), seeds as (
+    select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 16
+), book_0 as materialized (
+    select p, e, v as w from parts join seeds using (vec_id)
+), {", ".join(steps)}, coded as (
+    select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near_6 group by vec_id
+), final as (
+    select sha256(string_agg(array_to_string(w, ','), ',' order by p, e)) as codebooks_sha256 from book_6
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join coded using (vec_id), final
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP12_SQL = """
+with turns as (
+    select conv_id, coalesce(role, '') as role, len(coalesce(text, '')) as chars, md5(len(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as t,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(len(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+    from conversations where conv_id is not null
+), bits as (
+    -- CRC-32: a byte is taken in, then eight shifts
+    select distinct conv_id, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) as steps from turns
+), convs as (
+    select conv_id, conv_id - conv_id % 100 as base,
+           xor(list_reduce(steps, lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end, 4294967295::bigint), 4294967295::bigint) % 6 as h
+    from bits
+), moved as (
+    select convs.conv_id, pos, t, chars from convs join turns on turns.conv_id = base where pos < h
+    union all
+    select convs.conv_id, pos, t, chars from convs join turns on turns.conv_id = convs.conv_id where pos >= h
+), rebuilt as (
+    select conv_id, coalesce(list(t order by pos) filter (t is not null), []) as s, coalesce(list(chars order by pos) filter (t is not null), []) as chars from convs left join moved using (conv_id) group by conv_id
+), prefixes as (
+    select conv_id, s[1:d] as node, d, chars[d] as chars, d = len(s) as ends from rebuilt, unnest(range(0, len(s) + 1)) as x(d)
+), nodes as materialized (
+    select node, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ends
+    from prefixes group by node
+), children as (
+    select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by all
+), linked as materialized (
+    select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (node)
+), sums as (
+    select node[1:d] as node, count_if(n_children = 0) as n_leaves, sum(case when depth = 0 then 0 else (n_convs - 1) * chars end)::bigint as saved_tokens
+    from linked, unnest(range(0, depth + 1)) as x(d) group by all
+)
+select a.conv_id, a.depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, n_leaves::bigint as n_leaves, saved_tokens, sha256(a.ends) as ends_sha256
+from linked a join sums using (node) left join nodes b on a.depth > 0 and b.node = a.node[1:a.depth - 1]
+"""
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return shard_documents(_documents(spark, sf_dir)).select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op5_fingerprints": op5_fingerprints, "op8_mixing": op8_mixing, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_packing": op2_packing, "op3_quality": op3_quality, "op10_license_scans": op10_license_scans, "op4_jaccard_join": op4_jaccard_join, "op5_fingerprints": op5_fingerprints, "op8_mixing": op8_mixing, "op6_token_counts": op6_token_counts, "op7_substring_dedup": op7_substring_dedup, "op9_exact_dedup": op9_exact_dedup, "op11_vector_codes": op11_vector_codes, "op12_prefix_trie": op12_prefix_trie, "op13_sharding": op13_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_prefix_trie": OP12_SQL}
