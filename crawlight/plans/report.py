@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlight.operators.ranks import placed
 from crawlight.plans import catalogue as C
 
 
@@ -67,9 +68,9 @@ def priority(band: Column, difficulty: Column) -> Column:
 
 
 def ranked(m: DataFrame) -> DataFrame:
-    """Findings of each site in order of queue, severity, difficulty, spread and name, with ids."""
-    order = Window.partitionBy("site").orderBy(case(F.col("queue"), C.QUEUES, 0), F.desc("band"), "difficulty", F.desc("artifacts"), "cause", "scope")
-    out = m.withColumn("place", F.row_number().over(order)).withColumn("priority_index", priority(F.col("band"), F.col("difficulty")))
+    """Findings of each site in order of queue, severity, difficulty, spread and name, with ids; a site may have any number."""
+    order = [case(F.col("queue"), C.QUEUES, 0), -F.coalesce(F.substring("band", 2, 1).try_cast("int"), F.lit(9)), F.col("difficulty"), -F.col("artifacts"), F.col("cause"), F.col("scope")]
+    out = placed(m, "site", order).withColumn("priority_index", priority(F.col("band"), F.col("difficulty")))
     return out.withColumn("finding_id", F.format_string("F-%03d", "place"))
 
 

@@ -6,10 +6,10 @@ from four content rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crawlight.functions import text as T
+from crawlight.operators.ranks import BLOCK, digest_of_digests, placed
 from crawlight.plans import catalogue as C
 from crawlight.plans import report as P
 from crawlight.queries.content import _FACTS, content_facts
@@ -146,7 +146,7 @@ def o088(spark, d):
 @q("o092_finding_order", f"with {_CANDIDATES} select site, scope, cause, place::int as place, printf('F-%03d', place) as finding_id, priority_index from ranked")
 def o092(spark, d):
     """O-092, O-094, O-095: order, ids and priority."""
-    return P.ranked(merged(spark, d)).select("site", "scope", "cause", "place", "finding_id", "priority_index")
+    return P.ranked(merged(spark, d)).select("site", "scope", "cause", F.col("place").cast("int").alias("place"), "finding_id", "priority_index")
 
 
 @q("o085_severity_summary", f"with {_CANDIDATES} select site, count(*) as total, count(*) filter (band = 'S4') as critical, count(*) filter (band = 'S3') as high, count(*) filter (band = 'S2') as medium, count(*) filter (band = 'S1') as low from merged group by site")
@@ -220,7 +220,7 @@ def evidence(spark, d):
     """O-086: items of equal value and kind are one; ids follow first sight within a site (here an event type)."""
     e = table(spark, d, "events").select(F.col("event_type").alias("site"), F.sha2(F.concat("event_type", F.lit("|"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))), 256).alias("key"), "user_id", "event_id")
     g = e.groupBy("site", "key").agg(F.count_distinct("user_id").alias("occurrences"), F.min("event_id").alias("first"))
-    return g.withColumn("id", F.format_string("E%06d", F.row_number().over(Window.partitionBy("site").orderBy("first"))))
+    return placed(g, "site", [F.col("first")]).withColumn("id", F.format_string("E%06d", "place"))
 
 
 @q("o086_evidence_registry", f"with {_EVIDENCE} select site, key, occurrences, printf('E%06d', k) as id from n")
@@ -228,9 +228,9 @@ def o086(spark, d):
     return evidence(spark, d).select("site", "key", "occurrences", "id")
 
 
-@q("o087_registry_fingerprint", f"with {_EVIDENCE} select site, count(*) as items, sha256(coalesce(string_agg(key, ',' order by k), '')) as fingerprint from n group by site")
+@q("o087_registry_fingerprint", f"with {_EVIDENCE}, b as (select site, (k - 1) // {BLOCK} as b, count(*) as n, sha256(string_agg(key, ',' order by k)) as digest from n group by all) select site, sum(n)::bigint as items, sha256(string_agg(digest, ',' order by b)) as fingerprint from b group by site")
 def o087(spark, d):
-    return evidence(spark, d).groupBy("site").agg(F.count("*").alias("items"), F.sha2(F.coalesce(F.expr("listagg(key, ',') within group (order by id)"), F.lit("")), 256).alias("fingerprint"))
+    return digest_of_digests(evidence(spark, d), "site", "key")
 
 
 @q("o152_evidence_lookup", f"with {_EVIDENCE} select site, printf('E%06d', k) as id, occurrences from n where k in (1, 3)")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlight.functions import urls as U
+from crawlight.operators import frontier as Fr
 from crawlight.operators import robots as R
 from crawlight.operators import sitemaps as S
 from crawlight.queries.registry import Area
-from crawlight.queries.sqlbits import NETLOC
+from crawlight.queries.sqlbits import CLASSED, NETLOC
 from crawlight.sources.tables import ROBOTS, table
 
 area = Area()
@@ -174,17 +175,110 @@ def r18(spark, d):
     return p.select("site").distinct().join(p.where(F.col("url").rlike(r"/(?:llms\.txt|1[0-9])")).select("site").distinct(), "site", "left_anti").select("site", F.lit("LLMS_TXT_MISSING").alias("id"))
 
 
-_INDEX = "site{k}"
+#: Sitemaps of each host's pages: twelve lists behind two indexes that name each other, a foreign one and one that is gone.
+_LISTS = 12
+
+
+def crawl_homes(spark, d):
+    """A host and its first page as homepage; every host whose name's length leaves 1 declares six sitemaps, others none."""
+    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), "page_id", "html")
+    homes = p.groupBy("site").agg(F.min_by("html", "page_id").alias("html")).withColumn("base_url", F.concat(F.lit("https://"), "site"))
+    declared = F.concat(*(F.concat(F.lit("Sitemap: "), "base_url", F.lit(f"/sitemap-{k}.xml\n")) for k in (3, 0)), F.lit("sitemap: https://elsewhere.example/sitemap.xml\n"), *(F.concat(F.lit("SITEMAP:"), "base_url", F.lit(f"/{name}\n")) for name in ("gone.xml", "index-2.xml", "sitemap-7.xml")))
+    return homes.withColumns({"status": F.lit(200), "text": F.when(F.length("site") % 3 == 1, declared).otherwise("User-agent: *\n")})
+
+
+def crawl_bodies(spark, d):
+    """url, status and body of every host's sitemaps, made of its pages."""
+    p = table(spark, d, "pages").select(U.netloc(F.col("url")).alias("site"), "page_id", "url")
+    k, i = F.col("page_id") % 6, F.col("page_id").cast("string")
+    made = F.when(k == 1, F.concat(F.lit("/products/"), i)).when(k == 2, F.concat(F.lit("/en/blog/"), i)).when(k == 3, F.concat(F.lit("/pricing/"), i)).when(k == 4, F.concat(F.lit("/docs/"), i))
+    base = F.concat(F.lit("https://"), "site")
+    loc = F.coalesce(F.concat(base, made), F.col("url"))
+    entry = lambda x: F.concat(F.lit("<url><loc> "), x, F.lit(" </loc></url>"))
+    more = F.concat(F.when(F.col("page_id") % 5 == 0, entry(F.concat(base, F.lit("/file-"), i, F.lit(".pdf")))).otherwise(""), F.when(F.col("page_id") % 7 == 0, entry(F.lit("https://elsewhere.example/x"))).otherwise(""), F.when(F.col("page_id") % 4 == 0, entry(loc)).otherwise(""))
+    lists = p.withColumn("n", F.col("page_id") % _LISTS).groupBy("site", "n").agg(F.array_sort(F.collect_list(F.struct("page_id", F.concat(entry(loc), more).alias("e")))).alias("es"))
+    name = F.concat(F.lit("https://"), "site", F.lit("/sitemap-"), F.col("n").cast("string"), F.lit(".xml"))
+    out = lists.select(name.alias("url"), F.when(F.col("n") == 5, 500).otherwise(200).alias("status"), F.concat(F.lit("<urlset>"), F.array_join("es.e", ""), F.lit("</urlset>")).alias("body"))
+    child = lambda names: F.concat(*(F.concat(F.lit("<sitemap><loc>"), base if x.startswith("/") else F.lit(""), F.lit(x), F.lit("</loc></sitemap>")) for x in names))
+    hosts = p.select("site").distinct()
+    for at, names in _INDEXES:
+        out = out.unionByName(hosts.select(F.concat(base, F.lit(at)).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<sitemapindex>"), child(names), F.lit("</sitemapindex>")).alias("body")))
+    return out
+
+
+_INDEXES = [
+    ("/sitemap.xml", ["/sitemap-0.xml", "https://elsewhere.example/sitemap.xml", "/index-2.xml", "/sitemap-1.xml", "/sitemap-0.xml"]),
+    ("/index-2.xml", ["/sitemap.xml", "/sitemap-5.xml", "/index-3.xml", "/sitemap-2.xml"]),
+    ("/index-3.xml", [f"/sitemap-{k}.xml" for k in range(2, _LISTS)]),
+]
+_HOMES = rf"""homes as (select {NETLOC} as site, min_by(html, page_id) as html, 'https://' || {NETLOC} as base_url from pages group by {NETLOC}),
+starts as (select site, case when length(site) % 3 = 1 then [base_url || '/sitemap-3.xml', base_url || '/sitemap-0.xml', 'https://elsewhere.example/sitemap.xml', base_url || '/gone.xml', base_url || '/index-2.xml'] else [base_url || '/sitemap.xml'] end as queue from homes)"""
+_LOC = "case page_id % 6 when 1 then 'https://' || site || '/products/' || page_id when 2 then 'https://' || site || '/en/blog/' || page_id when 3 then 'https://' || site || '/pricing/' || page_id when 4 then 'https://' || site || '/docs/' || page_id else url end"
+_SAME = lambda a, b: f"(replace(lower({a}), 'www.', '') = replace(lower({b}), 'www.', '') or ends_with(replace(lower({a}), 'www.', ''), '.' || replace(lower({b}), 'www.', '')) or ends_with(replace(lower({b}), 'www.', ''), '.' || replace(lower({a}), 'www.', '')))"
+_HOST_OF = "regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_NON_HTML = rf"(regexp_matches(regexp_extract(lower(u), '^([^?#]*)', 1), '\.(?:{'|'.join(e.replace('.', chr(92) + '.') for e in U.NON_HTML_EXTENSIONS)})$') or regexp_matches(lower(u), 'sitemap|feed\.xml|rss\.xml|robots\.txt'))"
+_CRAWL = rf"""{_HOMES}, placed as (select {NETLOC} as site, page_id, url, page_id % {_LISTS} as n from pages),
+bodies as (
+    select 'https://' || site || '/sitemap-' || n || '.xml' as url, case when n = 5 then 500 else 200 end as status,
+        '<urlset>' || string_agg('<url><loc> ' || {_LOC} || ' </loc></url>' || case when page_id % 5 = 0 then '<url><loc> https://' || site || '/file-' || page_id || '.pdf </loc></url>' else '' end || case when page_id % 7 = 0 then '<url><loc> https://elsewhere.example/x </loc></url>' else '' end || case when page_id % 4 = 0 then '<url><loc> ' || {_LOC} || ' </loc></url>' else '' end, '' order by page_id) || '</urlset>' as body
+    from placed group by site, n
+    union all select base_url || suffix, 200, '<sitemapindex>' || array_to_string(list_transform(names, lambda x: '<sitemap><loc>' || case when starts_with(x, '/') then base_url else '' end || x || '</loc></sitemap>'), '') || '</sitemapindex>' from homes, (values {", ".join(f"('{at}', {names})" for at, names in _INDEXES)}) as i(suffix, names)
+), resources as materialized (
+    select url, list_filter(locs, lambda u: regexp_matches(u, '\.xml(?:\.gz)?$') or contains(lower(u), 'sitemap')) as sitemaps, list_filter(locs, lambda u: not (regexp_matches(u, '\.xml(?:\.gz)?$') or contains(lower(u), 'sitemap')) and not {_NON_HTML}) as page_urls
+    from (select url, list_filter(regexp_extract_all(body, '(?is)<loc>\s*(.*?)\s*</loc>', 1), lambda u: u <> '') as locs from bodies where status = 200 and body <> '')
+), walk(site, round, read, queue) as (
+    select site, 0, []::varchar[], queue from starts
+    union all
+    select site, round + 1, any_value(read), flatten(list(coalesce(sitemaps, []) order by i))
+    from (
+        select site, round, list_concat(read, batch) as read, unnest(batch) as url, unnest(range(len(batch))) as i
+        from (select *, list_filter(allowed, lambda x, k: list_position(allowed, x) = k)[1:8 - len(read)] as batch from (select *, list_filter(queue, lambda u: {_SAME(_HOST_OF.format('u'), 'site')} and not list_contains(read, u)) as allowed from walk where round < 8))
+    ) asked left join resources using (url) group by site, round
+), walked as materialized (
+    select site, max_by(read, round) as read from walk group by site
+), listed as (
+    select site, k, j, u as url from (select site, k, unnest(page_urls) as u, unnest(range(len(page_urls))) as j from (select site, unnest(read) as url, unnest(range(len(read))) as k from walked) join resources using (url)) where {_SAME(_HOST_OF.format('u'), 'site')}
+), hrefs as (
+    select site, base_url, unnest(h) as href, unnest(range(len(h))) as j from (select *, regexp_extract_all(html, '(?i)href=[\x22\x27](https?://[^\x22\x27]+|/[^\x22\x27]+)', 1) as h from homes where site not in (select site from listed group by site having count(*) >= 10))
+), linked as (
+    select site, 8 as k, j, u as url from (select *, case when starts_with(href, '//') then 'https:' || regexp_replace(href, '[#?].*$', '') when starts_with(href, '/') then base_url || regexp_replace(href, '[#?].*$', '') else regexp_replace(href, '[#?].*$', '') end as u from hrefs) where {_SAME(_HOST_OF.format('u'), 'site')} and not {_NON_HTML}
+), candidates as materialized (
+    select * from listed union all select * from linked
+)"""
+
+
+def crawl(spark, d):
+    """Homes, parsed sitemaps, walks and addresses of all hosts."""
+    homes, resources = crawl_homes(spark, d), Fr.links(crawl_bodies(spark, d))
+    walked = Fr.walk(Fr.starts(homes), resources)
+    return homes, resources, walked, Fr.candidates(walked, resources, homes)
+
+
+@q("o007_sitemap_bfs", f"with recursive {_CRAWL} select site, unnest(range(len(read)))::int as place, unnest(read) as url from walked")
+def o007(spark, d):
+    """The sitemaps that each site's bounded walk reads, in order."""
+    return crawl(spark, d)[2].select("site", F.posexplode("read").alias("place", "url"))
 
 
-@q("o007_sitemap_bfs", "with recursive tree(url, child) as (select 'root', 'n' || n_regionkey from nation union all select 'n' || n_regionkey, 'c' || n_nationkey from nation), reach(url, depth) as (select 'root', 0 union select t.child, r.depth + 1 from reach r join tree t on t.url = r.url where r.depth < 5) select url, min(depth)::int as depth from reach group by url")
-def o007(spark, d):
-    """Breadth-first walk of a sitemap index; here regions hold nations."""
-    n = table(spark, d, "nation")
-    top = n.select(F.lit("root").alias("url"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("child"))
-    low = n.select(F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("url"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("child"))
-    top.unionByName(low).createOrReplaceTempView("_sitemap_tree")
-    return spark.sql("with recursive reach(url, depth) as (select 'root', 0 union all select distinct t.child, r.depth + 1 from reach r join (select distinct url, child from _sitemap_tree) t on t.url = r.url where r.depth < 5) select url, min(depth) as depth from reach group by url")
+_SELECTED = f"""{_CRAWL}, pages_ as (select row_number() over () as page_id, site, url, k, j, '' as html from (select site, url, p.k as k, p.j as j from (select site, url, min(struct_pack(k := k, j := j)) as p from candidates group by site, url))), {CLASSED.replace("from pages", "from (select page_id, url, html from pages_)").replace("urls as (", "urls as (", 1)},
+typed as (select c.page_type, c.template, c.locale, p.site, p.url, p.k, p.j, list_position({Fr.PRIORITY}, c.page_type) as rank from classed c join pages_ p using (page_id) join homes h on h.site = p.site where rtrim(p.url, '/') <> h.base_url),
+few as (select *, first_value(k) over w as fk, first_value(j) over w as fj from typed where rank is not null window w as (partition by site, page_type, template order by k, j) qualify row_number() over w <= 3),
+selected as (select site, row_number() over (partition by site order by rank, fk, fj, k, j)::int as place, url, page_type, template, locale from few qualify place <= 27
+    union all select site, 0, base_url || '/', 'homepage', '/', 'default' from homes)"""
+
+
+@q("o007_inventory", f"with recursive {_SELECTED} select * from selected")
+def o007_inventory(spark, d):
+    """The pages that each site's acquisition selects: homepage first, then by type and template."""
+    homes, _, _, urls = crawl(spark, d)
+    return Fr.sample(urls, homes)
+
+
+@q("o007_acquisition", f"with recursive {_SELECTED}, n as (select site, count(*) as urls_extracted, count(distinct url) as same_origin_urls from candidates group by site), s as (select site, count(*) as pages_selected, count(distinct page_type) as page_types from selected group by site), g as (select site, count(*) as sitemaps_processed from (select site, unnest(read) as url from walked) join resources using (url) group by site) select site, len(read) as sitemaps_found, coalesce(sitemaps_processed, 0) as sitemaps_processed, coalesce(urls_extracted, 0) as urls_extracted, coalesce(same_origin_urls, 0) as same_origin_urls, pages_selected, page_types from walked left join g using (site) left join n using (site) join s using (site)")
+def o007_acquisition(spark, d):
+    """What each site's acquisition found, read and selected."""
+    homes, resources, walked, urls = crawl(spark, d)
+    return Fr.statistics(walked, resources, urls, Fr.sample(urls, homes))
 
 
 QUERIES, SQL = area.queries, area.sql
