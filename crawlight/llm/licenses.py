@@ -6,10 +6,12 @@ cut into parts.  A part's word runs are winnowed into an inverted index (hash
 to part and place), which is as large as the templates, not the corpus.  A
 document's runs are looked up; each chain of hits on near diagonals is a
 candidate, and a banded alignment of the part with the words around it gives
-the matched words and their span.  Parts of one template that follow each
-other are one match, so words put in between parts cost nothing; its coverage
-is the matched words over all words of the template: of a full text, the share
-of the license; of a statement or an opening, of that sentence alone.
+the matched words and their span; every copy is a candidate, also of copies
+next to each other.  A part of a long template counts if half of its words
+match.  Parts of one template that follow each other are one match, and up to
+GAP words put in between two parts cost nothing; its coverage is the matched
+words over all words of the template: of a full text, the share of the
+license; of a statement or an opening, of that sentence alone.
 
 Contract: any number of rows per document, one per match, best spans first by
 place; documents without a match give none.  Null text counts as empty; null
@@ -19,6 +21,7 @@ give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -126,65 +129,94 @@ def align(template: np.ndarray, words: np.ndarray, band: int = BAND) -> tuple[in
     return best[1], best[2], best[3]
 
 
+def _occurrences(own: np.ndarray, words: np.ndarray, lo: int, hi: int, needed: float) -> list[tuple[int, int, int]]:
+    """(matched words, from, to) of a part in a stretch of the document: the best alignment, then what is left of it before."""
+    found = []
+    while hi - lo >= needed:
+        matched, a, b = align(own, words[lo:hi])
+        if not matched or matched < needed:
+            break
+        found.append((matched, lo + a, lo + b))
+        hi = lo + a
+    return found[::-1]
+
+
 def _aligned(words: np.ndarray, index: TemplateIndex, least: float) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each template (part, matched words, from, to) of its parts found in the document, by place."""
-    chains: dict[int, list[int]] = {}
+    chains: dict[int, set[int]] = {}
     for part, place in index.hits(words):
-        chains.setdefault(part, []).append(place)
+        chains.setdefault(part, set()).add(place)
     found: dict[int, list[tuple[int, int, int, int]]] = {}
     for part, places in chains.items():
         template, j, own = index.parts[part]
+        n = len(own)
         # of a long template half of a part is enough: the template's coverage decides
-        needed = (least if len(own) == index.sizes[template] else min(least, 0.5)) * len(own)
-        places = sorted(set(places))
-        at, end = 0, -1
+        needed = (least if n == index.sizes[template] else min(least, 0.5)) * n
+        # two copies of a part are its length apart, so hits less than half of that apart are of one copy
+        near, places = min(BAND, (n - 1) // 2), sorted(places)
+        at, end, out = 0, 0, found.setdefault(template, [])
         while at < len(places):
             first = at
-            while at + 1 < len(places) and places[at + 1] - places[first] <= BAND:
+            while at + 1 < len(places) and places[at + 1] - places[first] <= near:
                 at += 1
             at += 1
-            lo = max(0, places[first] - BAND)
-            matched, a, b = align(own, words[lo : max(0, places[first] + len(own) + 2 * BAND)])
-            if matched and matched >= needed and lo + a >= end:
-                found.setdefault(template, []).append((j, matched, lo + a, lo + b))
-                end = lo + b
+            p = places[first]
+            if p >= end and np.array_equal(words[p : p + n], own):
+                hits = [(n, p, p + n)]
+            else:
+                # what an earlier copy has taken is not aligned again
+                hits = _occurrences(own, words, max(p - BAND, end), max(0, p + n + 2 * BAND), needed)
+            for matched, a, b in hits:
+                out.append((j, matched, a, b))
+                end = b
     return {template: sorted(parts, key=lambda x: (x[2], x[0])) for template, parts in found.items()}
 
 
-def _heaviest(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """The parts, one after the other in template and document and no more than GAP words apart, with most matched words."""
-    sums, before = [x[1] for x in parts], [-1] * len(parts)
+def _runs(parts: list[tuple[int, int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Matched words and span of runs of parts: of each part's heaviest run, those that do not overlap and match most words in all.
+
+    In a run, parts follow each other in template and document and are no more than GAP words apart; it has ``least``
+    matched words.  One sweep finds the heaviest run that ends with each part, another chooses among them.
+    """
+    sums, starts = [x[1] for x in parts], [x[2] for x in parts]
     for k, x in enumerate(parts):
         for i in range(k - 1, -1, -1):
             y = parts[i]
             if x[2] - y[2] > GAP + 4 * PART:
                 break
             if y[0] < x[0] and y[3] <= x[2] and x[2] - y[3] <= GAP and sums[i] + x[1] > sums[k]:
-                sums[k], before[k] = sums[i] + x[1], i
-    k, out = max(range(len(parts)), key=sums.__getitem__), []
-    while k >= 0:
-        out.append(parts[k])
-        k = before[k]
-    return out[::-1]
+                sums[k], starts[k] = sums[i] + x[1], starts[i]
+    runs = sorted((parts[k][3], starts[k], sums[k]) for k in range(len(parts)) if sums[k] >= least)
+    ends, best, take = [r[0] for r in runs], [0], []
+    for k, (_, start, matched) in enumerate(runs):
+        before = bisect.bisect_right(ends, start, 0, k)
+        take.append(before if best[before] + matched > best[-1] else -1)
+        best.append(max(best[-1], best[before] + matched))
+    out, k = [], len(runs)
+    while k:
+        if take[k - 1] < 0:
+            k -= 1
+        else:
+            end, start, matched = runs[k - 1]
+            out.append((matched, start, end))
+            k = take[k - 1]
+    return out
 
 
 def scan_words(words: np.ndarray, index: TemplateIndex, least: float) -> list[tuple[int, float, int, int, int]]:
     """Matches (template, coverage, matched words, from, to) in the document's word hashes."""
     found = []
     for template, parts in _aligned(words, index, least).items():
-        while parts:
-            run = _heaviest(parts)
-            matched = sum(x[1] for x in run)
-            if matched < least * index.sizes[template]:
-                break
-            found.append((template, matched / index.sizes[template], matched, run[0][2], run[-1][3]))
-            taken = set(run)
-            parts = [x for x in parts if x not in taken]
+        size = index.sizes[template]
+        found += [(template, matched / size, matched, a, b) for matched, a, b in _runs(parts, least * size)]
     # of overlapping spans the one with more matched words, then coverage, stays
     found.sort(key=lambda x: (-x[2], -x[1], x[3], index.names[x[0]]))
+    spans: list[tuple[int, int]] = []
     kept: list[tuple] = []
     for x in found:
-        if all(x[4] <= y[3] or x[3] >= y[4] for y in kept):
+        at = bisect.bisect_left(spans, (x[3], x[4]))
+        if (at == len(spans) or x[4] <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= x[3]):
+            spans.insert(at, (x[3], x[4]))
             kept.append(x)
     return sorted(kept, key=lambda x: x[3])
 
