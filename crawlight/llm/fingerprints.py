@@ -106,29 +106,49 @@ def likeness(a: str, b: str) -> float:
     return 2 * same / max(size(Counter(name for name, _ in x), 12) + size(Counter(name for name, _ in y), 12), 1)
 
 
+def _shared_ends(x: list, y: list) -> tuple[int, int]:
+    """How many first and, of the rest, last entries two lists share."""
+    most = min(len(x), len(y))
+    head = next((k for k in range(most) if x[k] != y[k]), most)
+    tail = next((k for k in range(most - head) if x[-1 - k] != y[-1 - k]), most - head)
+    return head, tail
+
+
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Byte ranges of the first text whose leaves the second lacks, found below differing sections only."""
+    """Byte ranges of the first text that the second lacks or has elsewhere, found below differing sections only.
+
+    Sections, then leaves, that both texts begin or end with are set aside; of the leaves between, those are kept that
+    the second text has in the same order, each taken at its next place.  If the second text only has more, the range
+    is empty and stands where that begins; different texts always have a range.
+    """
     if a.partition("|")[0] == b.partition("|")[0]:
         return []
     x, y = _sections(a), _sections(b)
-    known = {name for name, _ in y}
-    mine = {name for name, _ in x}
-    other = {leaf for name, leaves in y if name not in mine for leaf in leaves.split(",")}
+    head, tail = _shared_ends([name for name, _ in x], [name for name, _ in y])
+    at = sum(int(name[12:], 16) for name, _ in x[:head])
+    x, y = ([leaf for _, leaves in s[head : len(s) - tail] for leaf in leaves.split(",")] for s in (x, y))
+    head, tail = _shared_ends(x, y)
+    at += sum(int(leaf[8:], 16) for leaf in x[:head])
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    places: dict[str, list[int]] = {}
+    for k, leaf in enumerate(y):
+        places.setdefault(leaf, []).append(k)
     out: list[tuple[int, int]] = []
-    at = 0
-    for name, leaves in x:
-        if name in known:
-            at += int(name[12:], 16)
-            continue
-        for leaf in leaves.split(","):
-            end = at + int(leaf[8:], 16)
-            if leaf not in other:
-                if out and out[-1][1] == at:
-                    out[-1] = (out[-1][0], end)
-                else:
-                    out.append((at, end))
-            at = end
-    return out
+    begin, reached, more = at, 0, None
+    for leaf in x:
+        end = at + int(leaf[8:], 16)
+        later = places.get(leaf, [])
+        k = bisect.bisect_left(later, reached)
+        if k < len(later):
+            if later[k] > reached and more is None:
+                more = at
+            reached = later[k] + 1
+        elif out and out[-1][1] == at:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((at, end))
+        at = end
+    return out or [(begin if not x else more if more is not None else at,) * 2]
 
 
 _DEALT = pa.schema([("part", pa.int32()), ("after", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])

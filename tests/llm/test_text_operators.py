@@ -1,7 +1,9 @@
 """Operators that work text by text: token counts, packing, fingerprints, licenses, hashing."""
 
 import hashlib
+import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -312,6 +314,78 @@ def test_full_license_texts(spark):
     assert 6 not in got
 
 
+def test_neighbouring_licenses(spark):
+    """Copies next to each other, of one part and of several, one with a changed word, are a match each; many cost no more than their number."""
+    texts = L.templates()
+    mit, text = "Released under the MIT License.", texts["MIT-text"]
+    changed = "Licensed under the Apache Licence, Version 2.0."
+    docs = [mit + " " + mit, " ".join([mit] * 1000), f"{mit} filler {mit} {mit}", " ".join([text] * 3), f"{texts['Apache-2.0']} {changed} {texts['Apache-2.0']} {changed}", " ".join([text, mit, text])]
+    got = {}
+    for r in L.scan_licenses(rows(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start_word, r.end_word))
+    assert got[0] == [("MIT", 0, 5), ("MIT", 5, 10)] and got[1] == [("MIT", 5 * k, 5 * k + 5) for k in range(1000)]
+    assert got[2] == [("MIT", 0, 5), ("MIT", 6, 11), ("MIT", 11, 16)]
+    n = len(text.split())
+    assert got[3] == [("MIT-text", k * n, (k + 1) * n) for k in range(3)]
+    assert [x[1:] for x in got[4]] == [(7 * k, 7 * k + 7) for k in range(4)]
+    assert [x[0] for x in got[5]] == ["MIT-text", "MIT", "MIT-text"]
+    index = L.TemplateIndex(texts)
+    began = time.perf_counter()
+    assert len(L.scan_words(L.words_of(" ".join([mit] * 40_000)), index, 0.7)) == 40_000
+    assert time.perf_counter() - began < 12
+    assert len(L.scan_words(L.words_of(" ".join([text] * 150)), index, 0.7)) == 150
+
+
+def test_runs_against_brute_force():
+    """Of all sets of the parts' heaviest runs that do not overlap, one with most matched words."""
+    rng = random.Random(8)
+
+    def best(parts, least):
+        chains = []
+
+        def grow(chain):
+            if sum(x[1] for x in chain) >= least:
+                chains.append(chain)
+            for y in parts:
+                x = chain[-1]
+                if y[0] > x[0] and x[3] <= y[2] <= x[3] + L.GAP:
+                    grow([*chain, y])
+
+        for x in parts:
+            grow([x])
+        weight = lambda c: sum(x[1] for x in c)
+        heaviest = [max((c for c in chains if c[-1] is x), key=weight, default=None) for x in parts]
+        spans = sorted({(c[0][2], c[-1][3], weight(c)) for c in heaviest if c})
+        return max((sum(s[2] for s in pick) for n in range(4) for pick in itertools.combinations(spans, n) if all(a[1] <= b[0] for a, b in itertools.pairwise(pick))), default=0)
+
+    for _ in range(60):
+        parts, at = [], 0
+        for _ in range(rng.randrange(1, 7)):
+            at += rng.choice([0, 3, 60, 150])
+            parts.append((rng.randrange(3), rng.choice([5, 9, 17, 33]) + len(parts), at, at + 40))
+        parts.sort(key=lambda x: (x[2], x[0]))
+        got = L._runs(parts, 20)
+        assert sum(m for m, _, _ in got) == best(parts, 20)
+        assert all(a[1] >= b[2] for a, b in itertools.pairwise(got))
+
+
+def test_edits_are_located():
+    """A range wherever texts differ: repeated, moved, dropped and added lines."""
+    line = "abc def\n"
+    assert M.differing(M.fingerprint(line * 8), M.fingerprint(line * 6 + "zzz yyy\n" * 2)) == [(48, 64)]
+    mark = lambda t: M.fingerprint(t)
+    rng = random.Random(12)
+    lines = [f"line {k} {'x' * rng.randrange(20)}\n" for k in range(300)]
+    whole = "".join(lines)
+    assert M.differing(mark(whole), mark(whole)) == []
+    gone = M.differing(mark(whole), mark("".join(lines[:100] + lines[120:])))
+    assert gone and gone[0][0] <= len("".join(lines[:100])) and gone[-1][1] >= len("".join(lines[:120]))
+    more = M.differing(mark("".join(lines[:100] + lines[120:])), mark(whole))
+    assert more and abs(more[0][0] - len("".join(lines[:100]))) < 600
+    for a, b in ((lines[::-1], lines), (lines, lines + lines[:1]), ([], lines), (lines, []), (lines[:50] * 2, lines[:50])):
+        assert M.differing(mark("".join(a)), mark("".join(b)))
+
+
 def test_fingerprints_against_brute_force(spark):
     """Equal fingerprints mean equal texts, likeness is that of plain leaf lists, and edits lie where texts differ."""
     rng = random.Random(20)
@@ -337,7 +411,8 @@ def test_fingerprints_against_brute_force(spark):
     for i, t in enumerate(texts):
         k = len(t) // 4
         edited = t[: len(t) - k] + texts[(i + 1) % len(texts)][:k]
-        if got.edit_start.notna()[i]:
+        assert got.edit_start.notna()[i] == (t != edited)
+        if t != edited:
             a, b = t.encode(), edited.encode()
             common = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert got.edit_start[i] <= common and got.edit_end[i] <= len(a)
