@@ -7,11 +7,12 @@ wildcard group answers only for agents without a group of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from crawlight.functions.text import octets
+from crawlight.operators.rule_trie import DECIDED, decide
 
 # Evaluated agents and their roles.
 AGENTS = [
@@ -74,30 +75,35 @@ def errors(robots: DataFrame) -> DataFrame:
     return every.select("site", "line", kind.alias("error")).where("error is not null").unionByName(html)
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """A rule's pattern as anchored regular expression."""
-    body = F.regexp_replace(pattern, r"\$$", "")
-    escaped = F.regexp_replace(F.regexp_replace(body, r"([\\.+?^$|(){}\[\]])", r"\\$1"), r"\*", ".*")
-    return F.concat(F.lit("^"), escaped, F.when(F.endswith(pattern, F.lit("$")), "$").otherwise(""))
+#: Paths of a site that one stream answers, about; a larger site is split, its rules go to each part.
+STREAM = 100_000
 
 
-def decisions(robots: DataFrame, targets: DataFrame, bots: DataFrame) -> DataFrame:
-    """site, path, bot, allowed, pattern, crawl_delay, is_default of (site, path) targets; ``bots`` is a small table."""
+def decisions(robots: DataFrame, targets: DataFrame, bots: DataFrame, stream: int = STREAM) -> DataFrame:
+    """site, path, bot, allowed, pattern, crawl_delay, is_default of (site, path) targets; ``bots`` is a small table.
+
+    Rules and paths of a site come together in one stream, rules first: they become a trie, and every path descends
+    it once.  No path meets the rules one by one, and no site's paths are gathered.
+    """
     owned = agents(robots).select("site", "agent", "group_id").distinct()
     asked = robots.select("site").distinct().crossJoin(F.broadcast(bots.select("bot")))
     own = asked.join(owned, (asked["site"] == owned["site"]) & (F.lower("bot") == owned["agent"]), "left").select(asked["site"], "bot", "group_id")
     star = owned.where("agent = '*'").select("site", F.col("group_id").alias("star_id"))
-    applied = own.where("group_id is not null").unionByName(own.where("group_id is null").select("site", "bot").join(star, "site").select("site", "bot", F.col("star_id").alias("group_id")))
+    applied = own.join(star, "site", "left").select("site", "bot", F.coalesce("group_id", "star_id").alias("group_id")).distinct()
     delay = applied.join(delays(robots), ["site", "group_id"]).groupBy("site", "bot").agg(F.max("crawl_delay").alias("crawl_delay"))
-    r = applied.join(rules(robots), ["site", "group_id"])
+    heads = applied.join(delay, ["site", "bot"], "left").withColumn("kind", F.lit(0))
+    body = rules(robots).withColumn("kind", F.lit(1))
     normal = F.when(F.col("path").rlike(r"^[A-Za-z0-9/%*?$&=:+,;@!~'()._-]*$") & ~F.col("path").contains("%"), F.col("path")).otherwise(octets_udf(F.col("path")))
-    t = targets.select("site", "path", normal.alias("octets"))
-    # rules are few for each site, so each path meets its site's rules only
-    met = t.join(r, "site").where((F.col("pattern") == "") | F.rlike(F.col("octets"), pattern_regex(F.col("pattern"))))
-    best = met.groupBy("site", "path", "bot").agg(F.max_by(F.struct("is_allow", "pattern"), F.struct("specificity", "is_allow", -F.col("line"))).alias("best"))
-    every = t.select("site", "path").join(asked, "site")
-    out = every.join(best, ["site", "path", "bot"], "left").join(delay, ["site", "bot"], "left")
-    return out.select("site", "path", "bot", F.coalesce("best.is_allow", F.lit(True)).alias("allowed"), F.col("best.pattern").alias("pattern"), F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"), F.col("best").isNull().alias("is_default"))
+    paths = targets.select("site", "path", normal.alias("octets"), F.lit(2).alias("kind"))
+    # sites of several streams are fewer than targets / STREAM
+    large = targets.groupBy("site").agg(F.ceil(F.count("*") / stream).cast("int").alias("salts")).where("salts > 1")
+    salts = lambda df: df.join(F.broadcast(large), "site", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    every = lambda df: salts(df).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rows = every(heads).unionByName(every(body), allowMissingColumns=True)
+    rows = rows.unionByName(salts(paths).withColumn("salt", F.pmod(F.xxhash64("path"), F.col("salts")).cast("int")), allowMissingColumns=True)
+    columns = ["site", "salt", "kind", "bot", "group_id", "line", "is_allow", "pattern", "specificity", "crawl_delay", "path", "octets"]
+    out = rows.select(*columns).repartition("site", "salt").sortWithinPartitions("site", "salt", "kind").mapInArrow(decide, DECIDED)
+    return out.select("site", "path", "bot", F.coalesce("is_allow", F.lit(True)).alias("allowed"), "pattern", F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"), F.col("is_allow").isNull().alias("is_default"))
 
 
 @F.arrow_udf(StringType())

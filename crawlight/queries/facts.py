@@ -11,7 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crawlight.functions import text as T
+from crawlight.operators.names import mentions
+from crawlight.operators.nearest import nearest
 from crawlight.queries.registry import Area, sql_in
+from crawlight.queries.sqlbits import TITLE
 from crawlight.sources.tables import table
 
 area = Area()
@@ -199,12 +202,20 @@ def r32(spark, d):
 _CLAIMS = f"{_PRICES}, claims as (select lower(p_name) as entity, p_retailprice as claimed, p_partkey as claim from part), judged as (select claim, entity, claimed, bool_and(abs(price::double - claimed) >= 0.01) as wrong from claims join prices using (entity) group by all)"
 
 
-def claim_conflicts(spark, d):
-    """Claims that no published price of the entity supports within a cent; prices are reduced per entity first."""
-    prices = price_facts(spark, d).select("entity", F.col("price").cast("double").alias("p")).distinct()
+def nearest_prices(spark, d):
+    """Each claim with the published price of its entity that is nearest."""
     claims = table(spark, d, "part").select(F.lower("p_name").alias("entity"), F.col("p_retailprice").alias("claimed"), F.col("p_partkey").alias("claim"))
-    met = claims.join(prices, "entity").groupBy("claim", "entity", "claimed").agg(F.bool_and(F.abs(F.col("p") - F.col("claimed")) >= 0.01).alias("wrong"))
-    return met.where("wrong").select("claim", "entity", "claimed")
+    return nearest(claims, price_facts(spark, d).select("entity", "price"), "entity", "claimed", "price")
+
+
+def claim_conflicts(spark, d):
+    """Claims that no published price of the entity supports within a cent."""
+    return nearest_prices(spark, d).where("distance >= 0.01").select("claim", "entity", "claimed")
+
+
+@q("o065_nearest_prices", f"with {_PRICES}, claims as (select lower(p_name) as entity, p_retailprice as claimed, p_partkey as claim from part), v as (select distinct entity, price::double as v from prices) select claim, entity, claimed, min(struct_pack(d := abs(v - claimed), v := v)).v as nearest, round(min(abs(v - claimed)), 6) as distance from claims join v using (entity) group by all")
+def o065_nearest(spark, d):
+    return nearest_prices(spark, d).select("claim", "entity", "claimed", "nearest", F.round("distance", 6).alias("distance"))
 
 
 @q("o065_unsupported_claims", f"with {_CLAIMS} select claim, entity, claimed from judged where wrong")
@@ -217,6 +228,31 @@ def r33(spark, d):
     return claim_conflicts(spark, d).groupBy(F.lit("AI_FACT_CONFLICT").alias("id"), F.lit("high").alias("severity"), "entity").agg(F.count("*").alias("claims"))
 
 
+_BRANDS = f"brands as (select distinct lower(string_split({TITLE}, ' ')[1]) as brand from pages where length(string_split({TITLE}, ' ')[1]) > 3)"
+
+
+def brands(spark, d):
+    """First words of page titles, longer than three letters, in lower case."""
+    first = F.split(T.title(F.col("html")), " ")[0]
+    return table(spark, d, "pages").select(F.lower(F.when(F.length(first) > 3, first)).alias("brand")).where("brand is not null").distinct()
+
+
+@q("r33_brand_mentions", f"with {_BRANDS} select brand, count(*) as documents from brands join documents on contains(lower(text), brand) group by brand")
+def r33_mentions(spark, d):
+    """Texts that name each brand, all brands found in one scan of a text."""
+    texts = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return mentions(texts, "doc_id", "text", brands(spark, d), "brand").groupBy(F.col("name").alias("brand")).agg(F.count("*").alias("documents"))
+
+
+@q("r33_omitted_brands", f"with {_BRANDS}, answers as (select conv_id, turn, lower(text) as text from conversations where role = 'assistant'), met as (select distinct conv_id, turn from answers join brands on contains(text, brand)) select conv_id, turn, 'Assistant-' || (conv_id % 5 + 1) || ' omitted brand.' as note from answers anti join met using (conv_id, turn)")
+def r33_omitted(spark, d):
+    """Notes on answers that name no brand; five assistants answer in turn."""
+    answers = table(spark, d, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("answer"), F.lower("text").alias("text"))
+    met = mentions(answers, "answer", "text", brands(spark, d), "brand").select("answer").distinct()
+    note = F.concat(F.lit("Assistant-"), (F.col("answer.conv_id") % 5 + 1).cast("string"), F.lit(" omitted brand."))
+    return answers.join(met, "answer", "left_anti").select("answer.conv_id", "answer.turn", note.alias("note"))
+
+
 @q("o096_section_prices", "with c as (select conv_id, turn, role, last_value(case when role = 'user' then left(text, 20) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations) select conv_id, turn, coalesce(section, 'General') as section from c where role <> 'user'")
 def o096(spark, d):
     """The last heading carried forward: here the last user turn governs the answers after it."""

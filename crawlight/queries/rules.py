@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crawlight.functions import text as T
 from crawlight.functions import urls as U
 from crawlight.operators import tokens as K
+from crawlight.operators.names import mentions
 from crawlight.queries.dom import _LINKS, CHALLENGE_TITLE, _SCORE, challenge_score
 from crawlight.queries.registry import Area, once
 from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, TOKENS, VISIBLE
@@ -93,13 +94,20 @@ def r71(spark, d):
     return K.dom_summary(table(spark, d, "pages")).where("h1_tags = 0").select("page_id", F.lit("MISSING_H1").alias("id"))
 
 
-@q("r72_information_scent", f"with {TOKENS}, h as (select page_id, lower(string_agg(text, ' ' order by pos)) as h1 from text_nodes where current_tag = 'h1' group by page_id), e as (select page_id, lower(string_split({TITLE}, ' ')[1]) as entity from pages) select page_id, 'LOW_INFORMATION_SCENT' as id, 'medium' as severity from e left join h using (page_id) where not coalesce(contains(h1, entity), false)")
+_ENTITIES = f"entities as (select site, unnest(list_filter(string_split(title, ' ')[1:3], lambda x: length(x) > 2)) as entity from (select {NETLOC} as site, lower(min_by({TITLE}, page_id)) as title from pages group by {NETLOC}))"
+
+
+@q("r72_information_scent", f"with {TOKENS}, {_ENTITIES}, h as (select page_id, lower(string_agg(text, ' ' order by pos)) as h1 from text_nodes where current_tag = 'h1' group by page_id), p as (select page_id, {NETLOC} as site from pages), named as (select distinct page_id from p join entities using (site) join h using (page_id) where contains(h1, entity)) select page_id, 'LOW_INFORMATION_SCENT' as id, 'medium' as severity from p where site in (select site from entities) and page_id not in (select page_id from named)")
 def r72(spark, d):
-    """The page's entity (its title's first word) is not named in its h1."""
-    h = K.headings(table(spark, d, "pages")).where("level = 'h1'").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("h1"))
-    e = table(spark, d, "pages").select("page_id", F.lower(F.split(T.title(F.col("html")), " ")[0]).alias("entity"))
-    out = e.join(h, "page_id", "left").where(~F.coalesce(F.contains(F.lower("h1"), F.col("entity")), F.lit(False)))
-    return finding(out, "page_id", "LOW_INFORMATION_SCENT", "medium")
+    """No entity of the page's site (first three words of its first page's title) is named in the page's h1; all names are found in one scan."""
+    h = K.headings(table(spark, d, "pages")).where("level = 'h1'").groupBy("page_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")).alias("h1"))
+    raw = table(spark, d, "pages").select("page_id", U.netloc(F.col("url")).alias("site"), T.title(F.col("html")).alias("title"))
+    first = raw.groupBy("site").agg(F.slice(F.split(F.lower(F.min_by("title", "page_id")), " "), 1, 3).alias("words"))
+    entities = first.select("site", F.explode("words").alias("entity")).where("length(entity) > 2").distinct()
+    found = mentions(h, "page_id", "h1", entities, "entity").withColumnRenamed("name", "entity")
+    p = raw.select("page_id", "site").join(entities.select("site").distinct(), "site", "left_semi")
+    named = found.join(p, "page_id").join(entities, ["site", "entity"], "left_semi").select("page_id").distinct()
+    return finding(p.join(named, "page_id", "left_anti"), "page_id", "LOW_INFORMATION_SCENT", "medium")
 
 
 @q("o150_intent_facts", "with f(fact, pattern) as (values ('price', '[$€£]|price'), ('contact', '@|contact'), ('license', 'licen[sc]e'), ('date', '[0-9]{4}')), m as (select doc_id, fact from documents, f where not regexp_matches(lower(text), pattern)) select doc_id, string_agg(fact, ',' order by fact) as missing from m group by doc_id")
