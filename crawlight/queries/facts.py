@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from crawlight.functions import text as T
 from crawlight.operators.names import mentions
 from crawlight.operators.nearest import nearest
+from crawlight.operators.scoped_prices import MENTION, scoped_prices
 from crawlight.queries.registry import Area, sql_in
-from crawlight.queries.sqlbits import TITLE
+from crawlight.queries.sqlbits import TITLE, TOKENS
 from crawlight.sources.tables import table
 
 area = Area()
@@ -253,9 +254,28 @@ def r33_omitted(spark, d):
     return answers.join(met, "answer", "left_anti").select("answer.conv_id", "answer.turn", note.alias("note"))
 
 
-@q("o096_section_prices", "with c as (select conv_id, turn, role, last_value(case when role = 'user' then left(text, 20) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations) select conv_id, turn, coalesce(section, 'General') as section from c where role <> 'user'")
+_PRICED = """replace(replace(replace(replace(html, ' of ', ' $1,249.50 monthly '), ' and ', ' €12,50 '), '<p>An', '<h3>Red <i>Plan</i></h3><p>An'), '<p>Th', '<h2> </h2><p>Th')"""
+_SCOPED = rf"""with dressed as (select page_id, {_PRICED} as html from pages), {TOKENS.replace("from pages", "from dressed")},
+marked as (select page_id, pos, tok, case when regexp_matches(tok, '(?i)^<h[1-4][\s/>]') then 's' when regexp_matches(tok, '(?i)^</h[1-4][\s/>]') then 'e' end as m from tokens),
+numbered as (select *, count(m) over (partition by page_id order by pos) as n, last_value(m ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row) as last from marked),
+heads as (select page_id, n, string_agg(trim(tok), ' ' order by pos) as head from numbered where last = 's' and not starts_with(tok, '<') and trim(tok) <> '' group by all),
+closing as (select c.page_id, c.pos, head from numbered c join heads h on h.page_id = c.page_id and h.n = c.n - 1 where c.m = 'e'),
+said as (select s.page_id, coalesce(head, 'General') as section, tok from (select * from numbered where not starts_with(tok, '<') and coalesce(last, 'e') = 'e') s asof left join closing c on c.page_id = s.page_id and s.pos >= c.pos),
+mentioned as (select page_id, section, tok, unnest(regexp_extract_all(tok, '(?i){MENTION}', 1)) as mention from said),
+priced as (select page_id, section, mention, {_currency_sql().replace("raw", "mention")} as currency, case {" ".join(f"when regexp_matches(lower(tok), '{'|'.join(p)}') then '{n}'" for n, p in T.INTERVALS)} else 'one_time' end as interval, regexp_extract(mention, '(\d[\d,]*(?:\.\d{{1,2}})?)$', 1) as raw from mentioned)
+select page_id, section, printf('%.2f', {_PRICE}::double) as price, currency, interval, {_PRODUCT.replace("name", "section")} as product, count(*) as times from priced where {_PRICE}::double > 0 group by all"""
+
+
+@q("o096_section_prices", _SCOPED)
 def o096(spark, d):
-    """The last heading carried forward: here the last user turn governs the answers after it."""
+    """Prices with the heading they stand under, on pages in whose texts two words are put as prices and some headings are added."""
+    found = scoped_prices(table(spark, d, "pages").select("page_id", F.expr(_PRICED).alias("html")))
+    return found.groupBy("page_id", "section", "price", "currency", "interval", T.is_product_name(F.col("section")).alias("product")).agg(F.count("*").alias("times"))
+
+
+@q("o096_carried_turns", "with c as (select conv_id, turn, role, last_value(case when role = 'user' then left(text, 20) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations) select conv_id, turn, coalesce(section, 'General') as section from c where role <> 'user'")
+def o096_turns(spark, d):
+    """The same over rows: the last user turn governs the answers after it."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = table(spark, d, "conversations").withColumn("section", F.last(F.when(F.col("role") == "user", F.left("text", F.lit(20))), True).over(w))
     return c.where("role != 'user'").select("conv_id", "turn", F.coalesce("section", F.lit("General")).alias("section"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crawlight.functions import text as T
 from crawlight.functions import urls as U
+from crawlight.operators import redirects as Rd
+from crawlight.operators.redirects import MOST_HOPS
 from crawlight.queries.registry import Area, sql_in
 from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, URLS, VISIBLE
 from crawlight.sources.tables import INVENTORY, fetches, inventory_pages, pages, table
@@ -205,4 +207,30 @@ def o141(spark, d):
     return table(spark, d, "pages").select(U.netloc(F.col("url")).alias("host")).distinct().select("host", U.registered_root(F.col("host")).alias("root"))
 
 
+_UNSAFE_TO = "https://10.0.0.1/in"
+_SEEN = f"""seen as (select 'https://h' || user_id || '.example/' as url, event_id as seen_at, case when event_id % 11 = 0 then '{_UNSAFE_TO}' when event_id % 13 = 0 then 'ftp://h1.example/' when event_id % 5 = 0 then 'https://h' || user_id || '.example/' when event_id % 3 = 0 then 'https://end.example/' || event_id % 7 else 'https://h' || ((user_id * 7 + event_id % 4) % 997) || '.example/' end as target
+    from events where event_type in ('signup', 'click') and user_id % 4 <> 0)"""
+_CHAINS = rf"""with recursive {_SEEN}, edges as (select url, max_by(target, struct_pack(a := seen_at, t := target)) as target from seen group by url),
+walk(url, here, hops, been, stop) as (
+    select url, url, 0, [url], null::varchar from edges
+    union all
+    select w.url, e.target, w.hops + 1, list_append(w.been, e.target), case when not regexp_matches(e.target, '^https?://') or contains(e.target, '//10.') then 'unsafe' when list_contains(w.been, e.target) then 'loop' end
+    from walk w join edges e on e.url = w.here where w.stop is null and w.hops < {MOST_HOPS} + 1
+), ends as (select url, max_by(struct_pack(here := here, hops := hops, stop := stop), hops) as x from walk group by url),
+judged as (select url, x.here as here, x.hops as n, case when x.hops > {MOST_HOPS} then 'too_many' else coalesce(x.stop, 'ok') end as outcome from ends)"""
+
+
+@q("o005_redirect_chains", f"{_CHAINS} select url, case when outcome = 'ok' then here end as final, (case when outcome in ('unsafe', 'loop') then n - 1 else least(n, {MOST_HOPS}) end)::int as hops, outcome from judged")
+def o005(spark, d):
+    """Where each address ends: redirects made of events, an address being a user's; every hop is checked, five are followed."""
+    e = table(spark, d, "events").where("event_type in ('signup', 'click') and user_id % 4 != 0")
+    host = lambda n: F.concat(F.lit("https://h"), n.cast("string"), F.lit(".example/"))
+    i, u = F.col("event_id"), F.col("user_id")
+    target = (
+        F.when(i % 11 == 0, _UNSAFE_TO).when(i % 13 == 0, "ftp://h1.example/").when(i % 5 == 0, host(u)).when(i % 3 == 0, F.concat(F.lit("https://end.example/"), (i % 7).cast("string")))
+        .otherwise(host((u * 7 + i % 4) % 997))
+    )
+    return Rd.chains(Rd.latest(e.select(host(u).alias("url"), target.alias("target"), i.alias("at"))))
+
+
 QUERIES, SQL = area.queries, area.sql
