@@ -12,6 +12,7 @@ from crawlight.functions import text as T
 from crawlight.operators.ranks import BLOCK, digest_of_digests, placed
 from crawlight.plans import catalogue as C
 from crawlight.plans import report as P
+from crawlight.plans.schema import schema_violations
 from crawlight.queries.content import _FACTS, content_facts
 from crawlight.queries.registry import Area, once, sql_in
 from crawlight.sources.tables import table
@@ -264,9 +265,41 @@ EVENT_SCHEMA = {"type": "object", "required": ["k", "z"], "properties": {"k": {"
         || case when list_contains(json_keys(p), 'k') and json_type(p, '$.k') not in ('BIGINT', 'UBIGINT', 'INTEGER') then [{'path': '$.k', 'rule': 'type'}] when json_type(p, '$.k') in ('BIGINT', 'UBIGINT', 'INTEGER') and json_extract(p, '$.k')::bigint > 50 then [{'path': '$.k', 'rule': 'maximum'}] else [] end end as found from e)
     select event_id, x.path as path, x.rule as rule from (select event_id, unnest(found) as x from v)""")
 def o112(spark, d):
-    """Draft-07 checks of JSON values, as expressions; here of event properties."""
+    """Draft-07 checks of JSON values; here of event properties."""
     e = table(spark, d, "events").where("props is not null").select("event_id", F.parse_json("props").alias("v"))
-    return e.select("event_id", F.explode(P.violation_array(F.col("v"), EVENT_SCHEMA)).alias("x")).select("event_id", "x.path", "x.rule")
+    return schema_violations(e, "event_id", "v", EVENT_SCHEMA)
+
+
+#: A JSON text of a part that both engines make alike: names with dots, arrays of texts and of objects, a time.
+_DOCUMENT = """'{"id.part":' || case when p_partkey % 7 = 0 then '"x"' else p_partkey::varchar end || ',"tags":[' || case when p_partkey % 5 = 0 then '' else '"' || p_brand || '","' || left(p_type, p_size % 9) || '"' end || '],"when":"' || case when p_partkey % 3 = 0 then '2024-01-02' else '2024-01-02T03:04:05Z' end || '","dims":[{"w":' || p_size::varchar || '},{"w":"' || p_size::varchar || '","h.x":1},7]' || case when p_partkey % 11 = 0 then ',"more":{"w":1}' else '' end || '}'"""
+PART_SCHEMA = {
+    "type": "object", "required": ["id.part", "tags", "more"], "additionalProperties": False,
+    "properties": {
+        "id.part": {"type": "integer", "minimum": 3}, "tags": {"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 4}}, "when": {"type": "string", "format": "date-time"},
+        "dims": {"type": "array", "minItems": 3, "items": {"type": "object", "required": ["w"], "properties": {"w": {"type": "integer", "maximum": 40}}, "additionalProperties": False}},
+    },
+}
+
+
+@q("o112_nested_violations", rf"""with docs as (select p_partkey, ({_DOCUMENT})::json as j from part),
+tags as (select p_partkey, unnest(range(json_array_length(j, '$.tags')::int)) as k, unnest(from_json(json_extract(j, '$.tags'), '["json"]')) as x from docs),
+dims as (select p_partkey, unnest(range(json_array_length(j, '$.dims')::int)) as k, unnest(from_json(json_extract(j, '$.dims'), '["json"]')) as x from docs),
+names as (select p_partkey, unnest(json_keys(j)) as name from docs), inner_names as (select p_partkey, k, x, unnest(json_keys(x)) as name from dims where json_type(x) = 'OBJECT')
+select p_partkey, '$.id.part' as path, 'type' as rule from docs where json_type(j, '$."id.part"') not in ('BIGINT', 'UBIGINT', 'INTEGER')
+union all select p_partkey, '$.id.part', 'minimum' from docs where try_cast(json_extract_string(j, '$."id.part"') as bigint) < 3
+union all select p_partkey, '$.' || r, 'required' from docs, (values ('id.part'), ('tags'), ('more')) t(r) where not list_contains(json_keys(j), r)
+union all select p_partkey, '$.' || name, 'additionalProperties' from names where name not in ('id.part', 'tags', 'when', 'dims')
+union all select p_partkey, '$.tags', 'minItems' from docs where json_array_length(j, '$.tags') < 1
+union all select p_partkey, '$.tags[' || k || ']', 'minLength' from tags where length(json_extract_string(x, '$')) < 4
+union all select p_partkey, '$.when', 'format' from docs where not regexp_full_match(json_extract_string(j, '$.when'), '\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?(?:Z|[+-]\d{{2}}:\d{{2}})')
+union all select p_partkey, '$.dims[' || k || ']', 'type' from dims where json_type(x) <> 'OBJECT'
+union all select p_partkey, '$.dims[' || k || '].w', 'required' from dims where json_type(x) = 'OBJECT' and not list_contains(json_keys(x), 'w')
+union all select p_partkey, '$.dims[' || k || '].' || name, 'additionalProperties' from inner_names where name <> 'w'
+union all select p_partkey, '$.dims[' || k || '].w', case when json_type(x, '$.w') not in ('BIGINT', 'UBIGINT', 'INTEGER') then 'type' else 'maximum' end from inner_names where name = 'w' and (json_type(x, '$.w') not in ('BIGINT', 'UBIGINT', 'INTEGER') or try_cast(json_extract_string(x, '$.w') as bigint) > 40)""")
+def o112_nested(spark, d):
+    """Arrays, objects within them, a time and names with dots."""
+    p = table(spark, d, "part").select("p_partkey", F.parse_json(F.expr(_DOCUMENT.replace("::varchar", "::string"))).alias("v"))
+    return schema_violations(p, "p_partkey", "v", PART_SCHEMA)
 
 
 @q("o103_signal_dedup", "with r as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) select user_id, event_type, event_id from r where k = 1")
