@@ -10,21 +10,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlight.sources.written import written
+
+
+def _exploded(df: DataFrame, v: Column) -> DataFrame:
+    """The rows with pos, key and value of a variant's entries."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(v.outer()))
+
 
 def nodes(blocks: DataFrame) -> DataFrame:
     """page_id, pos, node of (page_id, body): lists and @graph are flattened."""
     b = blocks.select("page_id", F.try_parse_json("body").alias("v")).where("v is not null")
-    b.createOrReplaceTempView("_ld_blocks")
-    return blocks.sparkSession.sql("""
-        with items as (
-            select page_id, 0 as k, v from _ld_blocks where schema_of_variant(v) like 'OBJECT%'
-            union all select page_id, e.pos, e.value from _ld_blocks, lateral variant_explode(v) as e where schema_of_variant(v) like 'ARRAY%'
-        ), graph as (
-            select page_id, k * 1000 + e.pos as k, e.value as v from items, lateral variant_explode(try_variant_get(v, "$['@graph']", 'variant')) as e
-        )
-        select page_id, k as pos, v as node from items where try_variant_get(v, "$['@graph']") is null and schema_of_variant(v) like 'OBJECT%'
-        union all select page_id, k as pos, v as node from graph where schema_of_variant(v) like 'OBJECT%'
-    """)
+    form = F.schema_of_variant("v")
+    listed = _exploded(b.where(form.startswith("ARRAY")), F.col("v")).select("page_id", F.col("pos").alias("k"), F.col("value").alias("v"))
+    items = b.where(form.startswith("OBJECT")).select("page_id", F.lit(0).alias("k"), "v").unionByName(listed)
+    items = items.withColumn("graph", F.try_variant_get("v", "$['@graph']", "variant"))
+    inner = _exploded(items.where("graph is not null"), F.col("graph")).select("page_id", (F.col("k") * 1000 + F.col("pos")).alias("pos"), F.col("value").alias("node"))
+    out = items.where("graph is null").select("page_id", F.col("k").alias("pos"), F.col("v").alias("node")).unionByName(inner)
+    return out.where(F.schema_of_variant("node").startswith("OBJECT"))
+
+
+# Properties that may refer to another node.
+RELATIONS = ["brand", "manufacturer", "publisher", "provider", "author", "organizer"]
+
+
+def references(n: DataFrame) -> DataFrame:
+    """page_id, node_id, relation, target_id of every node that refers to another by @id."""
+    each = F.array_compact(F.array(*(F.when(F.try_variant_get("node", f"$.{r}['@id']", "string").isNotNull(), F.struct(F.lit(r).alias("relation"), F.trim(F.try_variant_get("node", f"$.{r}['@id']", "string")).alias("target_id"))) for r in RELATIONS)))
+    return n.select("page_id", F.trim(F.try_variant_get("node", "$['@id']", "string")).alias("node_id"), F.inline(each)).where("node_id is not null")
+
+
+def closure(edges: DataFrame, most: int = 8) -> DataFrame:
+    """page_id, node_id, target_id, depth: what a node leads to over any number of references up to ``most``, by the shortest way.
+
+    Ways double in every round.  A way that comes back to its node is cut, so cycles end.
+    """
+    reach = edges.where("node_id != target_id").select("page_id", "node_id", "target_id", F.lit(1).alias("depth")).distinct()
+    length = 1
+    while length < most:
+        reach = written(reach, "references")  # each round reads the last one three times
+        more = reach.select("page_id", F.col("node_id").alias("target_id"), F.col("target_id").alias("_far"), F.col("depth").alias("_more"))
+        longer = reach.join(more, ["page_id", "target_id"]).select("page_id", "node_id", F.col("_far").alias("target_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        reach = reach.unionByName(longer.where("node_id != target_id")).groupBy("page_id", "node_id", "target_id").agg(F.min("depth").alias("depth"))
+        length *= 2
+    return reach.where(F.col("depth") <= most)
 
 
 def field(node: str, path: str, kind: str = "string") -> Column:

@@ -12,6 +12,7 @@ from crawlight.functions import text as T
 from crawlight.operators.ranks import BLOCK, digest_of_digests, placed
 from crawlight.plans import catalogue as C
 from crawlight.plans import report as P
+from crawlight.plans.evidence import resolved
 from crawlight.plans.schema import schema_violations
 from crawlight.queries.content import _FACTS, content_facts
 from crawlight.queries.registry import Area, once, sql_in
@@ -302,6 +303,25 @@ def o112_nested(spark, d):
     return schema_violations(p, "p_partkey", "v", PART_SCHEMA)
 
 
+_REFERENCES = """refs as (select p_partkey, k, case when p_partkey % 17 = 0 then 'gone-' || p_partkey else 'part-' || p_partkey end as artifact, case k when 0 then 'tags[0]' when 1 then 'dims[1].w' when 2 then case when p_partkey % 2 = 0 then 'when' else 'when.x' end when 3 then 'dims' else 'a..b' end as locator,
+    case k when 0 then p_brand when 1 then p_size::varchar when 2 then case when p_partkey % 4 = 0 then '' else '2024-01' end when 3 then case when p_partkey % 3 = 0 then '"w":' else 'made up' end else 'x' end as quote from part, unnest(range(5)) as t(k))"""
+
+
+@q("o061_evidence_paths", rf"""with arts as (select 'part-' || p_partkey as artifact, ({_DOCUMENT})::json as j from part where p_partkey % 19 <> 0), {_REFERENCES},
+met as (select p_partkey, k, locator, quote, arts.artifact is not null as known, regexp_full_match(locator, '{C.LOCATOR}') as fits, case when regexp_full_match(locator, '{C.LOCATOR}') then json_extract_string(j, '$.' || locator) end as value from refs left join arts using (artifact))
+select p_partkey, k, case when not known then 'artifact_missing' when not fits then 'locator_grammar' when value is null then 'locator_unresolved' when quote = '' then 'quote_missing' when not contains(value, quote) then 'quote_not_found' else 'ok' end as outcome from met""")
+def o061_paths(spark, d):
+    """References to places within JSON documents of parts, joined to an index of their paths."""
+    p = table(spark, d, "part")
+    artifacts = p.where("p_partkey % 19 != 0").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("artifact"), F.expr(_DOCUMENT.replace("::varchar", "::string")).alias("body"))
+    k, i, three = F.col("k"), F.col("p_partkey"), F.col("p_partkey") % 3 == 0
+    artifact = F.concat(F.when(i % 17 == 0, "gone-").otherwise("part-"), i.cast("string"))
+    locator = F.when(k == 0, "tags[0]").when(k == 1, "dims[1].w").when(k == 2, F.when(i % 2 == 0, "when").otherwise("when.x")).when(k == 3, "dims").otherwise("a..b")
+    quote = F.when(k == 0, F.col("p_brand")).when(k == 1, F.col("p_size").cast("string")).when(k == 2, F.when(i % 4 == 0, "").otherwise("2024-01")).when(k == 3, F.when(three, '"w":').otherwise("made up")).otherwise("x")
+    refs = p.select("p_partkey", "p_brand", "p_size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("p_partkey", "k", artifact.alias("artifact"), locator.alias("locator"), quote.alias("quote"))
+    return resolved(refs, artifacts).select("p_partkey", F.col("k").cast("long").alias("k"), "outcome")
+
+
 @q("o103_signal_dedup", "with r as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) select user_id, event_type, event_id from r where k = 1")
 def o103(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

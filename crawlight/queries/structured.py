@@ -64,6 +64,21 @@ def o062(spark, d):
     return S.resolved_offers(entities(spark, d)).select("page_id", "name", "price", "availability")
 
 
+#: Nodes that refer to each other, some in a circle; as SQL text that both engines read alike.
+_LINKED = """'[{"@type":"Product","@id":"p' || p_partkey || '","brand":{"@id":"b' || p_size || '"},"manufacturer":{"@id":" m "}},{"@id":"b' || p_size || '","@type":"Brand","publisher":{"@id":"o"},"author":{"name":"none"}},{"@id":"o","@type":"Organization","name":"' || p_brand || '","organizer":{"@id":"a"},"provider":{"@id":"o"}},{"@id":"a","name":"' || p_type || '"' || case when p_partkey % 3 = 0 then ',"provider":{"@id":"p' || p_partkey || '"}' else '' end || '}]'"""
+_RELATED = ", ".join(f"'{r}'" for r in S.RELATIONS)
+
+
+@q("o062_reference_closure", rf"""with recursive blocks as (select p_partkey as page_id, ({_LINKED})::json as v from part), nodes as (select page_id, unnest(from_json(v, '["json"]')) as n from blocks),
+edges as (select distinct page_id, trim(json_extract_string(n, '$."@id"')) as a, trim(json_extract_string(n, '$.' || r || '."@id"')) as b from nodes, unnest([{_RELATED}]) as t(r) where json_extract_string(n, '$.' || r || '."@id"') is not null),
+reach(page_id, a, b, depth) as (select page_id, a, b, 1 from edges where a <> b union select r.page_id, r.a, e.b, r.depth + 1 from reach r join edges e on e.page_id = r.page_id and e.a = r.b where e.b <> r.a and e.a <> e.b and r.depth < 8)
+select page_id, a as node_id, b as target_id, min(depth)::int as depth from reach group by all""")
+def o062_closure(spark, d):
+    """Everything that a node's brand, publisher and so on lead to."""
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(_LINKED).alias("body"))
+    return S.closure(S.references(S.nodes(b)))
+
+
 @q("o063_inverse_references", f"with {_NODES}, i as (select page_id, item_id as node_id, min(node_price) as price, min(node_availability) as availability from entities where list_has_any(types, ['offer', 'aggregateoffer']) and item_id is not null group by all) select page_id, p.name, i.price, i.availability from entities p join i using (page_id, node_id) where list_contains(p.types, 'product')")
 def o063(spark, d):
     """Products that an offer names as its item."""

@@ -58,8 +58,8 @@ def read_findings(spark: SparkSession, glob: str) -> DataFrame:
     """Findings of sensor outputs, at top level or one level below."""
     raw = spark.read.option("wholetext", True).text(glob).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
     flat = raw.where("try_variant_get(v, '$.findings') is not null").select("file", F.lit(None).cast("string").alias("block"), "v")
-    raw.createOrReplaceTempView("_sensor_outputs")
-    below = spark.sql("select file, e.key as block, e.value as v from _sensor_outputs, lateral variant_explode(v) as e where try_variant_get(e.value, '$.findings') is not null")
+    entries = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("file", F.col("key").alias("block"), F.col("value").alias("v"))
+    below = entries.where("try_variant_get(v, '$.findings') is not null")
     every = flat.unionByName(below)
     kind = f"array<struct<{', '.join(_fields(FINDING))}>>"
     return every.select("file", "block", F.explode(F.from_json(F.to_json(F.expr("try_variant_get(v, '$.findings')")), kind)).alias("f")).select("file", "block", "f.*")
