@@ -35,9 +35,19 @@ def s03(spark, d):
     return _plain(E.sessions(events(spark, d)))
 
 
-@q("s04_first_seen", "select user_id, event_type, count(*) > 0 as seen from events group by all")
+@q("s04_first_seen", f"select user_id, event_type, event_id from events qualify coalesce(event_id - lag(event_id) over (partition by user_id, event_type order by event_id) > {E.FORGOTTEN}, true)")
 def s04(spark, d):
-    return table(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type", F.lit(True).alias("seen"))
+    """First sights from a stream run to its end; a user and type not seen for a while are new again."""
+    return E.to_the_end(spark, E.first_sights(E.stream(spark, E.arrivals(spark, table(spark, d, "events")))))
+
+
+@q("s05_price_alerts", f"""with p as (select user_id % 20 as key, floor(value)::bigint as price, event_id from events where event_type = 'purchase' and value is not null),
+b as (select *, sum(new) over (partition by key order by event_id) as life from (select *, case when event_id - lag(event_id) over (partition by key order by event_id) <= {E.FORGOTTEN} then 0 else 1 end as new from p)),
+r as (select key, event_id, price, min(price) over w as low, max(price) over w as high from b window w as (partition by key, life order by event_id rows between unbounded preceding and 1 preceding))
+select key, event_id, least(low, price) as low, greatest(high, price) as high from r where low is not null and not price between low and high""")
+def s05_alerts(spark, d):
+    """Alerts from a stream run to its end, with state by key that timers drop."""
+    return E.to_the_end(spark, E.widening_prices(E.stream(spark, E.arrivals(spark, table(spark, d, "events")))))
 
 
 @q("s05_price_range", "select user_id % 20 as key, floor(min(value))::bigint as low, floor(max(value))::bigint as high from events where event_type = 'purchase' group by 1")

@@ -6,12 +6,15 @@ a table, so batch results check the streaming ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crawlight.sources.written import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LATE = "1 hour"
 
@@ -57,6 +60,87 @@ def price_alerts(events: DataFrame) -> DataFrame:
     return prices.groupBy("key").applyInPandasWithState(update, "key long, low long, high long", "low long, high long", "append", "NoTimeout")
 
 
+#: Arrivals without news after which a key is forgotten.
+FORGOTTEN = 3000
+
+
+def arrivals(spark: SparkSession, events: DataFrame, parts: int = 6) -> str:
+    """The events as a folder that a stream reads in order of event_id: ``parts`` files, one for each stretch of numbers."""
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    last = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    plain = events.select(*(c.split()[0] for c in SCHEMA.split(", ")))
+    for k in range(parts):
+        stretch = (F.col("event_id") >= last * k // parts) & (F.col("event_id") < last * (k + 1) // parts)
+        plain.where(stretch).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def to_the_end(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """What a streaming DataFrame gives when its source is read to the end, as a table in the shared folder."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Arrival as time, a second a row from 1 on: the watermark follows what has arrived, so rows of late ``ts`` are not lost."""
+    return events.withColumn("arrival", F.timestamp_seconds(F.col("event_id") + 1)).withWatermark("arrival", "0 seconds")
+
+
+def _keep(state, value: tuple, last: int, forgotten: int) -> None:
+    """State and the timer that drops it; rows of one batch may be behind the watermark already."""
+    state.update((*value, last))
+    state.setTimeoutTimestamp(max(1000 * (last + 1 + forgotten), state.getCurrentWatermarkMs() + 1))
+
+
+def widening_prices(events: DataFrame, forgotten: int = FORGOTTEN) -> DataFrame:
+    """key, event_id, low, high: an alert whenever a price falls outside of what its key had so far.
+
+    A key without a purchase for more than ``forgotten`` arrivals begins anew; its state is dropped by a timer.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        low, high, last = state.get if state.exists else (None, None, None)
+        rows = sorted((int(i), int(p)) for frame in frames for i, p in zip(frame["event_id"], frame["price"], strict=True))
+        alerts = []
+        for event_id, price in rows:
+            if last is not None and event_id - last > forgotten:
+                low = high = None
+            news = low is not None and not low <= price <= high
+            low, high, last = price if low is None else min(low, price), price if high is None else max(high, price), event_id
+            if news:
+                alerts.append((key[0], event_id, low, high))
+        _keep(state, (low, high), last, forgotten)
+        yield pd.DataFrame(alerts, columns=["key", "event_id", "low", "high"])
+
+    prices = _numbered(events).where("event_type = 'purchase' and value is not null").select(F.pmod("user_id", F.lit(20)).alias("key"), F.floor("value").cast("long").alias("price"), "event_id", "arrival")
+    return prices.groupBy("key").applyInPandasWithState(update, "key long, event_id long, low long, high long", "low long, high long, last long", "append", "EventTimeTimeout")
+
+
+def first_sights(events: DataFrame, forgotten: int = FORGOTTEN) -> DataFrame:
+    """user_id, event_type, event_id of rows whose user and type have not been seen for ``forgotten`` arrivals."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        news = []
+        for event_id in sorted(int(i) for frame in frames for i in frame["event_id"]):
+            if last is None or event_id - last > forgotten:
+                news.append((*key, event_id))
+            last = event_id
+        _keep(state, (), last, forgotten)
+        yield pd.DataFrame(news, columns=["user_id", "event_type", "event_id"])
+
+    rows = _numbered(events).select("user_id", "event_type", "event_id", "arrival")
+    return rows.groupBy("user_id", "event_type").applyInPandasWithState(update, "user_id long, event_type string, event_id long", "last long", "append", "EventTimeTimeout")
+
+
 def upsert(rows: DataFrame, batch: int, path: str, key: list[str]) -> None:
     """For foreachBatch: a snapshot per batch in which the latest row of a key stands; earlier snapshots are not touched."""
     from pyspark.sql import Window
