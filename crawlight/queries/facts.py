@@ -34,8 +34,19 @@ def _sql_values(values):
 
 
 def _currency_sql() -> str:
-    rules = [("INR", "₹ INR RS"), ("BRL", "R$ BRL"), ("CAD", "C$ CAD"), ("AUD", "A$ AUD"), ("USD", "$ USD"), ("EUR", "€ EUR"), ("GBP", "£ GBP"), ("JPY", "¥ JPY CNY RMB"), ("AED", "AED DHS")]
-    whens = " ".join("when " + " or ".join(f"contains(upper(raw), '{m}')" for m in marks.split()) + f" then '{code}'" for code, marks in rules)
+    # Currencies and their marks, in order of precedence.
+    rules = [
+        ("INR", ["₹", "INR", "RS"]),
+        ("BRL", ["R$", "BRL"]),
+        ("CAD", ["C$", "CAD"]),
+        ("AUD", ["A$", "AUD"]),
+        ("USD", ["$", "USD"]),
+        ("EUR", ["€", "EUR"]),
+        ("GBP", ["£", "GBP"]),
+        ("JPY", ["¥", "JPY", "CNY", "RMB"]),
+        ("AED", ["AED", "DHS"]),
+    ]
+    whens = " ".join("when " + " or ".join(f"contains(upper(raw), '{m}')" for m in marks) + f" then '{code}'" for code, marks in rules)
     return f"case {whens} else 'UNKNOWN' end"
 
 

@@ -32,7 +32,7 @@ def _cascade() -> str:
         (f"len({s}) = 1 and {s}[1] in {sql_in(U.LISTING_WORDS)}", "product_listing", "high", "logical_path"),
         (f"len({s}) >= 2 and {s}[1] in {sql_in(U.DETAIL_WORDS)} and {s}[2] not in {sql_in(U.NO_DETAIL_WORDS)}", "product_detail", "high", "'/products/*'"),
     ]
-    rules += [(f"list_has_any({s}, {sql_list(words.split())})", kind, "high", f"'{template}'" if template else "logical_path") for kind, template, words in U.SEGMENT_TYPES]
+    rules += [(f"list_has_any({s}, {sql_list(words)})", kind, "high", f"'{template}'" if template else "logical_path") for kind, template, words in U.SEGMENT_TYPES]
     rules += [(f"regexp_matches(lower(title), '{U.between_edges(p)}')", kind, confidence, f"'{template}'") for kind, confidence, template, p in U.TITLE_TYPES]
     whens = " ".join(f"when {c} then {{'page_type': '{k}', 'confidence': '{f}', 'template': {t}}}" for c, k, f, t in rules)
     return f"case {whens} else {{'page_type': 'other', 'confidence': 'low', 'template': logical_path}} end"

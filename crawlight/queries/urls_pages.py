@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlight.functions import text as T
 from crawlight.functions import urls as U
 from crawlight.operators import redirects as Rd
+from crawlight.operators.frontier import PRIORITY
 from crawlight.operators.redirects import MOST_HOPS
 from crawlight.queries.registry import Area, sql_in
 from crawlight.queries.sqlbits import CLASSED, NETLOC, TITLE, URLS, VISIBLE
@@ -15,7 +16,6 @@ from crawlight.sources.tables import INVENTORY, fetches, inventory_pages, pages,
 
 area = Area()
 q = area.query
-PRIORITY = "product_detail product_listing subscription_flow pricing category about contact location documentation article other".split()
 PER_TEMPLATE, MOST_PAGES = 3, 27
 
 
