@@ -200,7 +200,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     shared = several.agg(F.sum("n")).first()[0] or 0
     # anchors with over 1/HEAVY of the shared rows are fewer than HEAVY
     heavy = np.array(sorted(r["key"] for r in several.where(F.col("n") * HEAVY > shared).select("key").collect()), np.int64)
-    hits = anchors.join(several.select("key").hint("merge"), "key", "left_semi").groupBy("text_key").agg(F.collect_set("key").alias("keys"))
+    # rows of heavy anchors are kept anyway: they are dealt by text and need no partner
+    hot = F.col("key").isin(heavy.tolist())
+    dealt = anchors.select("text_key", "key", hot.alias("hot"), F.when(hot, F.xxhash64("text_key", "key")).otherwise(F.col("key")).alias("probe"))
+    met = dealt.join(several.select(F.col("key").alias("probe"), F.lit(True).alias("met")).hint("merge"), "probe", "left").where("hot or met")
+    hits = met.groupBy("text_key").agg(F.collect_set("key").alias("keys"))
     hits = written(hits.join(texts, "text_key").select(F.col("first_id").alias("doc_id"), "text_key", "keys"), "windows-anchors")
     candidates = written(named.join(hits.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "windows-candidates")
 
