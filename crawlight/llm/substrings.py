@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlight.llm.common import batch_of, buffers, distinct, document_view, hash_words, mix, raw_texts, rolling, slices, written
+from crawlight.llm.common import batch_of, buffers, discard, distinct, document_view, hash_words, mix, raw_texts, rolling, slices, written
 from crawlight.llm.graphs import lookup
 
 #: An anchor with more than one in so many of the shared rows is heavy.
@@ -194,7 +194,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     keys = named.select("doc_id", "text_key")
     texts = written(keys.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "windows-texts")
 
-    anchors = _anchors(named.select("text_key", "text"), width)
+    anchors = written(_anchors(named.select("text_key", "text"), width), "windows-all-anchors")
     several = anchors.groupBy("key").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
     several = written(several, "windows-several")
     shared = several.agg(F.sum("n")).first()[0] or 0
@@ -202,10 +202,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     heavy = np.array(sorted(r["key"] for r in several.where(F.col("n") * HEAVY > shared).select("key").collect()), np.int64)
     # rows of heavy anchors are kept anyway: they are dealt by text and need no partner
     hot = F.col("key").isin(heavy.tolist())
-    dealt = anchors.select("text_key", "key", hot.alias("hot"), F.when(hot, F.xxhash64("text_key", "key")).otherwise(F.col("key")).alias("probe"))
-    met = dealt.join(several.select(F.col("key").alias("probe"), F.lit(True).alias("met")).hint("merge"), "probe", "left").where("hot or met")
-    hits = met.groupBy("text_key").agg(F.collect_set("key").alias("keys"))
+    dealt = anchors.select("text_key", F.when(hot, F.col("key")).alias("hot"), F.when(hot, F.xxhash64("text_key", "key")).otherwise(F.col("key")).alias("probe"))
+    met = dealt.join(several.select(F.col("key").alias("probe"), F.lit(True).alias("met")).hint("merge"), "probe", "left").where("hot is not null or met")
+    hits = met.groupBy("text_key").agg(F.collect_set(F.coalesce("hot", "probe")).alias("keys"))
     hits = written(hits.join(texts, "text_key").select(F.col("first_id").alias("doc_id"), "text_key", "keys"), "windows-anchors")
+    discard(anchors)
     candidates = written(named.join(hits.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "windows-candidates")
 
     others = _windows(candidates, width, heavy, False).withColumn("first", F.min("doc_id").over(Window.partitionBy("key"))).where("first < doc_id")
