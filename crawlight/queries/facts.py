@@ -21,16 +21,52 @@ from crawlight.sources.tables import table
 area = Area()
 q = area.query
 
-_RAW_PRICES = ["$49.99", "€1.250,50", "₹5,499", "US$ 12", "R$ 30,00", "C$15", "A$ 7.5", "£1,250.50", "¥900", "AED 35", "Dhs 12", "price on request", "CAD 10", "49,99", "invalid", "1.234.567", "EUR 0,5", "Rs. 700", "9"]
-_RAW_INTERVALS = ["$10 monthly", "10 per month", "$5/mo", "$99/year", "billed annually", "weekly plan", "$3 / day", "once", "per user/mo", "12 yearly", "/ wk", "per seat/month"]
-
-
-def _literals(spark, values):
-    return spark.createDataFrame([(v,) for v in values], "raw string")
-
-
-def _sql_values(values):
-    return "(select unnest([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]) as raw)"
+#: Price texts of all line items, made alike by both engines: marks, thousands and decimal signs, billing words, some without a number.
+_PRICE_TEXTS = """items as (select l_orderkey, l_linenumber, l_suppkey, l_partkey, case l_linenumber % 2 when 0 then ' ' else '' end as gap, cast(cast(round(l_extendedprice * 100) as bigint) as string) as cents from lineitem),
+parts as (select *, left(cents, length(cents) - 2) as whole, right(cents, 2) as rest from items),
+grouped as (select *, case when length(whole) > 3 then left(whole, length(whole) - 3) else '' end as head, case when length(whole) > 3 then right(whole, 3) else whole end as tail from parts),
+amounts as (select *, case l_partkey % 6
+ when 0 then whole || '.' || rest
+ when 1 then head || case when head = '' then '' else ',' end || tail || '.' || rest
+ when 2 then head || case when head = '' then '' else '.' end || tail || ',' || rest
+ when 3 then whole || ',' || rest
+ when 4 then head || case when head = '' then '' else ',' end || tail
+ else head || case when head = '' then '' else '.' end || tail end as amount from grouped),
+priced as (select l_orderkey, l_linenumber, case l_orderkey % 17
+ when 0 then '$' || gap || amount
+ when 1 then '€' || amount
+ when 2 then '₹' || amount
+ when 3 then 'Rs. ' || amount
+ when 4 then 'R$' || gap || amount
+ when 5 then 'C$' || amount
+ when 6 then 'A$ ' || amount
+ when 7 then '£' || gap || amount
+ when 8 then '¥' || amount
+ when 9 then 'AED ' || amount
+ when 10 then amount || ' Dhs'
+ when 11 then 'US$ ' || amount
+ when 12 then 'cad' || gap || amount
+ when 13 then amount
+ when 14 then 'EUR ' || amount
+ when 15 then 'price on request'
+ else 'from ' || amount || ' rmb' end || case l_suppkey % 12
+ when 0 then ' monthly'
+ when 1 then ' per month'
+ when 2 then '/mo'
+ when 3 then ' / year'
+ when 4 then ', billed annually'
+ when 5 then ' weekly plan'
+ when 6 then ' / day'
+ when 7 then ' per user/mo'
+ when 8 then ' Yearly'
+ when 9 then ' / wk'
+ when 10 then ' per seat/month'
+ else '' end as raw from amounts)"""
+
+
+def price_texts(spark, d):
+    """l_orderkey, l_linenumber, raw: what a shop might print for each line item."""
+    return spark.sql(f"with {_PRICE_TEXTS.replace('from lineitem', 'from {items}')} select * from priced", items=table(spark, d, "lineitem"))
 
 
 def _currency_sql() -> str:
@@ -50,22 +86,22 @@ def _currency_sql() -> str:
     return f"case {whens} else 'UNKNOWN' end"
 
 
-@q("o120_currency", f"select raw, {_currency_sql()} as currency from {_sql_values(_RAW_PRICES)}")
+@q("o120_currency", f"with {_PRICE_TEXTS} select l_orderkey, l_linenumber, raw, {_currency_sql()} as currency from priced")
 def o120(spark, d):
-    return _literals(spark, _RAW_PRICES).select("raw", T.currency(F.col("raw")).alias("currency"))
+    return price_texts(spark, d).select("l_orderkey", "l_linenumber", "raw", T.currency(F.col("raw")).alias("currency"))
 
 
-@q("o121_interval", "select raw, case " + " ".join(f"when regexp_matches(lower(raw), '{"|".join(p)}') then '{n}'" for n, p in T.INTERVALS) + f" else 'one_time' end as interval from {_sql_values(_RAW_INTERVALS)}")
+@q("o121_interval", f"with {_PRICE_TEXTS} select l_orderkey, l_linenumber, raw, case " + " ".join(f"when regexp_matches(lower(raw), '{"|".join(p)}') then '{n}'" for n, p in T.INTERVALS) + f" else 'one_time' end as interval from priced")
 def o121(spark, d):
-    return _literals(spark, _RAW_INTERVALS).select("raw", T.interval(F.col("raw")).alias("interval"))
+    return price_texts(spark, d).select("l_orderkey", "l_linenumber", "raw", T.interval(F.col("raw")).alias("interval"))
 
 
 _PRICE = r"""nullif(regexp_extract(case when regexp_matches(trim(raw), '\d+\.\d{3},\d{2}') then replace(replace(trim(raw), '.', ''), ',', '.') when contains(trim(raw), ',') and contains(trim(raw), '.') then replace(trim(raw), ',', '') when len(string_split(trim(raw), ',')) = 2 and length(string_split(trim(raw), ',')[2]) = 2 then replace(trim(raw), ',', '.') else replace(trim(raw), ',', '') end, '(\d+(?:\.\d{1,2})?)', 1), '')"""
 
 
-@q("o122_price", f"select raw, case when {_PRICE} is not null then printf('%.2f', {_PRICE}::double) end as price from {_sql_values(_RAW_PRICES)}")
+@q("o122_price", f"with {_PRICE_TEXTS} select l_orderkey, l_linenumber, raw, case when {_PRICE} is not null then printf('%.2f', {_PRICE}::double) end as price from priced")
 def o122(spark, d):
-    return _literals(spark, _RAW_PRICES).select("raw", T.price(F.col("raw")).alias("price"))
+    return price_texts(spark, d).select("l_orderkey", "l_linenumber", "raw", T.price(F.col("raw")).alias("price"))
 
 
 @q("o123_price_mentions", rf"with m as (select doc_id, unnest(regexp_extract_all(replace(text, ' un ', ' $1,249.50 '), '(?i){T.PRICE}', 1)) as amount from documents) select doc_id, amount, count(*) as times from m group by all")

@@ -126,12 +126,22 @@ def o045(spark, d):
     return g.select("scope", "cause", F.col("drop_reason").alias("reason"))
 
 
-_LOCATORS = ["text", "a.b[2].c", "source.canonicals", "1bad", "a..b", "x[y]", "_ok[0]", "response body"]
-
-
-@q("o046_locator_grammar", f"select locator, regexp_full_match(locator, '{C.LOCATOR}') as valid from (select unnest({_LOCATORS}) as locator)")
+#: Locators of pages, made alike by both engines from the address: dots for slashes, some with indexes, gaps or other faults.
+_LOCATED = """located as (select page_id, regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*/[^?#]*)', 1), '/+', '.'{every}) || case page_id % 8
+ when 0 then '[' || page_id || ']'
+ when 1 then '[2].c'
+ when 2 then '..b'
+ when 3 then '[y]'
+ when 4 then '.'
+ when 5 then ' body'
+ when 6 then '.source.canonicals'
+ else '' end as locator from {pages})"""
+
+
+@q("o046_locator_grammar", f"with {_LOCATED.format(pages='pages', every=', ' + repr('g'))} select page_id, locator, regexp_full_match(locator, '{C.LOCATOR}') as valid from located")
 def o046(spark, d):
-    return spark.createDataFrame([(x,) for x in _LOCATORS], "locator string").select("locator", F.col("locator").rlike(f"^(?:{C.LOCATOR})$").alias("valid"))
+    made = spark.sql(f"with {_LOCATED.format(pages='{pages}', every='')} select * from located", pages=table(spark, d, "pages"))
+    return made.select("page_id", "locator", F.col("locator").rlike(rf"\A(?:{C.LOCATOR})\z").alias("valid"))
 
 
 @q("o111_observations", f"with {_CANDIDATES} select scope, cause, band = 'S1' as observation from gated where drop_reason is null")
@@ -210,9 +220,17 @@ def o068(spark, d):
     return f.join(F.broadcast(C.catalogue(spark)), "check_id").groupBy("domain").agg(F.count_distinct("doc_id").alias("documents"))
 
 
-@q("o08d_catalogue_stats", f"select owner, count(*) as checks, count(*) - count(distinct check_id) as repeated from {C.values_sql()} group by owner")
+_USED = f"with {_CANDIDATES}, used as (select check_id, band, count(*) as n from gated where drop_reason is null group by all)"
+
+
+@q("o08d_catalogue_stats", f"{_USED}, checks as (select owner, count(*) as checks, count(*) - count(distinct check_id) as repeated from catalogue0 group by owner), met as (select owner, count(distinct check_id) as met, sum(n)::bigint as findings, sum(n) filter (band in ('S3', 'S4'))::bigint as severe from used join (select distinct check_id, owner from catalogue0) using (check_id) group by owner) select owner, checks, repeated, coalesce(met, 0) as met, coalesce(findings, 0) as findings, coalesce(severe, 0) as severe from checks left join met using (owner)")
 def o08d(spark, d):
-    return C.catalogue(spark).groupBy("owner").agg(F.count("*").alias("checks"), (F.count("*") - F.count_distinct("check_id")).alias("repeated"))
+    """How each owner's checks are spread and met: findings are counted by check before they meet the catalogue."""
+    used = gated(spark, d).where("drop_reason is null").groupBy("check_id", "band").agg(F.count("*").alias("n"))
+    k = C.catalogue(spark)
+    met = used.join(F.broadcast(k.select("check_id", "owner").distinct()), "check_id").groupBy("owner").agg(F.count_distinct("check_id").alias("met"), F.sum("n").alias("findings"), F.sum(F.when(F.col("band").isin("S3", "S4"), F.col("n"))).alias("severe"))
+    checks = k.groupBy("owner").agg(F.count("*").alias("checks"), (F.count("*") - F.count_distinct("check_id")).alias("repeated"))
+    return checks.join(met, "owner", "left").select("owner", "checks", "repeated", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("met", "findings", "severe")))
 
 
 _EVIDENCE = "e as (select event_type as site, sha256(event_type || '|' || coalesce(json_extract_string(props, '$.k'), '')) as key, user_id as page, event_id from events), g as (select site, key, count(distinct page) as occurrences, min(event_id) as first from e group by site, key), n as (select *, row_number() over (partition by site order by first) as k from g)"
