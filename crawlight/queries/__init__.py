@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("urls_pages", "dom", "content", "facts", "robots_sitemaps", "structured", "rules", "rendered", "answers", "report", "events")
+AREAS = ("urls_pages", "dom", "content", "facts", "robots_sitemaps", "structured", "rules", "rendered", "answers", "identity", "report", "events")
 
 
 def _merged(name: str) -> dict:
