@@ -12,6 +12,13 @@ executors agree.
 Default targets are tempered: a value's share is its tokens' share to the
 power ``temper``, which lifts small sources, languages and topics.
 
+Where no column names a document's topic, topics are fitted: a document is its
+words' shares over DIMS hash cells, documents start grouped by their commonest
+cells, and TOPIC_ROUNDS rounds replace each group by its mean over words and move every
+document to the nearest mean, of equal ones the first.  All documents take
+part; shares are integers, so the result does not depend on partitions.  Text
+without a long word has the topic "none".
+
 Up to MOST_CELLS cells are raked in numpy on the driver; beyond that by
 margin sums in Spark, with the same result.
 
@@ -23,6 +30,8 @@ no rows.  Columns of any name pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +41,8 @@ from crawlight.llm.common import discard, written
 
 #: Rounds of raking at most, and the relative miss of a margin that ends them; tempering of the margins; kept share of all tokens; topics.
 ROUNDS, TOLERANCE, TEMPER, KEEP, TOPICS = 100, 1e-12, 0.7, 0.7, 8
+#: Hash cells and scale of a document's word shares, rounds that fit the topics.
+DIMS, SCALE, TOPIC_ROUNDS = 32, 1000, 5
 #: Cells that the driver rakes at most (60 bytes each); cells that are broadcast at most, beyond them documents meet them by a shuffle.
 MOST_CELLS, BROADCAST_CELLS = 1 << 20, 50_000
 MARGINS = ("source", "lang", "topic")
@@ -43,17 +54,62 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def word_shares(text: Column) -> Column:
+    """Shares, of SCALE each, of the words of six letters or more over two hashes' 16 cells: the first two hex digits of a word's digest.  Last, how many such words there are."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}{6,})"), 1)
+    digits = F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 1, 2))
+    at = lambda d, k: F.array_join(F.transform(d, lambda x: F.substring(x, k, 1)), "")
+    count = lambda v, digit: F.length(v) - F.length(F.replace(v, F.lit(f"{digit:x}"), F.lit("")))
+    cells = lambda v: F.array(*(F.floor(SCALE * count(v[k], digit) / F.greatest(F.length(v[k]), F.lit(1))).cast("int") for k in (0, 1) for digit in range(DIMS // 2)), F.length(v[0]))
+    # one value in a list gives its inner expressions a name, so it is made once
+    return F.transform(F.transform(F.array(digits), lambda d: F.array(at(d, 1), at(d, 2))), cells)[0]
+
+
+def first_topic(shares: Column) -> Column:
+    """Where a document starts: cells k and k + TOPICS of the first hash stand for topic k; of equal ones the first."""
+    sums = F.array(*(shares[k] + shares[k + TOPICS] for k in range(TOPICS)))
+    return F.array_position(sums, F.array_max(sums)) - 1
+
+
 def topic_of(text: Column) -> Column:
-    """A stand-in where no topics are given, from all of the text.
+    """The topic at which a text starts, from all of the text."""
+    return F.transform(F.array(word_shares(text)), first_topic)[0].cast("string")
 
-    Every word of six letters or more votes for the topic that its digest
-    names; the topic with most votes wins, of equal ones the first.
-    """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{6,})"), 1)
-    votes = F.array_join(F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "")
-    # TOPICS is 8: hex digits k and k + 8 are votes for k
-    counts = F.array(*(F.length(votes) - F.length(F.translate(votes, f"{k:x}{k + TOPICS:x}", "")) for k in range(TOPICS)))
-    return (F.array_position(counts, F.array_max(counts)) - 1).cast("string")
+
+def fit_topics(shares: DataFrame, rounds: int = TOPIC_ROUNDS) -> dict[int, list[int]]:
+    """Means of the topics over the words of all rows of ``x``; a topic that loses all its documents goes.  At most TOPICS * DIMS sums reach the driver."""
+    rows = shares.where(F.col("x")[DIMS] > 0)
+    rows = rows.select("x", first_topic(F.col("x")).cast("int").alias("t"))
+    means: dict[int, list[int]] = {}
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], means=means) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros((TOPICS, DIMS), np.int64), np.zeros(TOPICS, np.int64)
+            labels = sorted(means)
+            book = np.array([means[t] for t in labels], np.int64).reshape(-1, DIMS)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().astype(np.int64).reshape(-1, DIMS + 1)
+                x, words = x[:, :DIMS], x[:, DIMS]
+                t = np.array(labels)[np.argmax(2 * x @ book.T - (book * book).sum(1), axis=1)] if labels else batch.column(1).to_numpy()
+                np.add.at(total, t, x * words[:, None])
+                np.add.at(n, t, words)
+            t, j = np.divmod(np.arange(TOPICS * DIMS), DIMS)
+            yield pa.record_batch([pa.array(t), pa.array(j), pa.array(n[t]), pa.array(total.ravel())], ["t", "j", "n", "s"])
+
+        found = rows.mapInArrow(sums, "t long, j long, n long, s long").groupBy("t", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > 0").collect()
+        at = {(r.t, r.j): r.s // r.n for r in found}
+        means = {t: [at[t, j] for j in range(DIMS)] for t in sorted({t for t, _ in at})}
+    return means
+
+
+def nearest_topic(shares: Column, means: dict[int, list[int]]) -> Column:
+    """The topic of the nearest mean; "none" for a text without long words."""
+    if not means:
+        return F.lit("none")
+    score = lambda c: 2 * F.aggregate(F.zip_with(shares, F.lit([*c, 0]), lambda a, b: (a * b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b) - sum(v * v for v in c)
+    labels = sorted(means)
+    best = F.transform(F.array(F.array(*(score(means[t]) for t in labels))), lambda z: F.array_position(z, F.array_max(z)).cast("int"))[0]
+    return F.when(shares[DIMS] > 0, F.element_at(F.lit([str(t) for t in labels]), best)).otherwise("none")
 
 
 def draw(doc_id: Column) -> Column:
@@ -170,14 +226,22 @@ def margins(cells: DataFrame) -> DataFrame:
 def with_probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, **options) -> DataFrame:
     """The rows with _mix_topic, _mix_tokens, _mix_weight, _mix_probability and _mix_kept."""
     named = docs.select(
-        "*",
-        F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("_mix_source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(_NULL)).alias("_mix_lang"),
-        (F.coalesce(F.col(topic_col).cast("string"), F.lit(_NULL)) if topic_col else topic_of(F.col(text_col))).alias("_mix_topic"),
+        "*", F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("_mix_source"), F.coalesce(F.col(lang_col).cast("string"), F.lit(_NULL)).alias("_mix_lang"),
         token_count(F.col(text_col)).alias("_mix_tokens"),
-    )
+    )
     keys = [f"_mix_{m}" for m in MARGINS]
-    cells = rake(named.groupBy(*keys).agg(F.sum("_mix_tokens").alias("tokens")).withColumnsRenamed(dict(zip(keys, MARGINS, strict=True))), **options)
+    if topic_col:
+        named = named.withColumn("_mix_topic", F.coalesce(F.col(topic_col).cast("string"), F.lit(_NULL)))
+        counted = named
+    else:
+        shares = written(named.select("_mix_source", "_mix_lang", "_mix_tokens", word_shares(F.col(text_col)).alias("x")), "mixing-shares")
+        means = fit_topics(shares)
+        topic = lambda x: F.transform(F.array(x), lambda v: nearest_topic(v, means))[0]
+        counted = shares.withColumn("_mix_topic", topic(F.col("x")))
+        named = named.withColumn("_mix_topic", topic(word_shares(F.col(text_col))))
+    cells = rake(counted.groupBy(*keys).agg(F.sum("_mix_tokens").alias("tokens")).withColumnsRenamed(dict(zip(keys, MARGINS, strict=True))), **options)
+    if not topic_col:
+        discard(shares)
     cells = cells.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, keys, strict=True)), F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_probability"))
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells.hint("merge")
     out = named.join(cells, keys, "left").withColumn("_mix_probability", F.coalesce("_mix_probability", F.lit(1.0))).withColumn("_mix_weight", F.coalesce("_mix_weight", F.lit(0.0)))

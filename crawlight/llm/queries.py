@@ -13,7 +13,7 @@ from crawlight.llm.fingerprints import fingerprint_edits
 from crawlight.llm.jaccard_join import jaccard_components
 from crawlight.llm.language_model import score_documents
 from crawlight.llm.licenses import scan_licenses
-from crawlight.llm.mixing import KEEP, MARGINS, TEMPER, TOPICS, with_probabilities
+from crawlight.llm.mixing import DIMS, KEEP, MARGINS, ROUNDS, SCALE, TEMPER, TOPIC_ROUNDS, TOPICS, with_probabilities
 from crawlight.llm.packing import pack_documents
 from crawlight.llm.prefix_trie import conversation_trie
 from crawlight.llm.quality import fit_quality, in_fold, score_quality
@@ -107,12 +107,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Rounds that the SQL form rakes; the operator stops once its margins hold to twelve digits, which is earlier.
-SQL_ROUNDS = 30
+#: Rounds that the SQL form rakes, as many as the operator, which stops earlier once its margins hold to twelve digits.
+SQL_ROUNDS = ROUNDS
 
 
 def _op8_sql() -> str:
-    """Raking in SQL: one step for each margin of each round."""
+    """Topics and raking in SQL: one step for each round that fits topics, one for each margin of each round that rakes."""
     steps, last = [], "start"
     for k in range(SQL_ROUNDS):
         for m in MARGINS:
@@ -120,17 +120,29 @@ def _op8_sql() -> str:
             steps.append(f"{name} as materialized (select source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_{m} / sum(w) over (partition by {m}) as w from {last})")
             last = name
     goals = ", ".join(f"goals_{m} as (select {m}, power(sum(tokens)::double, {TEMPER}) / sum(power(sum(tokens)::double, {TEMPER})) over () as goal_{m} from cells group by {m})" for m in MARGINS)
-    votes = ", ".join(f"len(votes) - len(translate(votes, '{k:x}{k + TOPICS:x}', ''))" for k in range(TOPICS))
+    cells = lambda k: ", ".join(f"{SCALE} * (len({k}) - len(replace({k}, '{d:x}', ''))) // greatest(len({k}), 1)" for d in range(DIMS // 2))
+    start = ", ".join(f"x[{k + 1}] + x[{k + 1 + TOPICS}]" for k in range(TOPICS))
+    fit = []
+    for k in range(TOPIC_ROUNDS):
+        fit.append(f"""book_{k} as materialized (
+    select t, list(s // n order by j) as c from (select t, j, sum(x[j] * n)::bigint as s, sum(n)::bigint as n from near_{k}, unnest(range(1, {DIMS} + 1)) as u(j) group by t, j) group by t
+), near_{k + 1} as materialized (
+    select r, x, n, t from (select r, x, n, b.t, list_sum(list_transform(range(1, {DIMS} + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) as far from near_{k}, book_{k} b) qualify row_number() over (partition by r order by far, t) = 1
+)""")
     return rf"""
-with voted as (
-    select *, array_to_string(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{6,}}'), lambda w: substr(md5(w), 1, 1)), '') as votes from documents
-), counted as (
-    select *, [{votes}] as counts from voted
-), docs as materialized (
-    select doc_id, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang, (list_position(counts, list_max(counts)) - 1)::varchar as topic,
+with worded as (
+    select *, row_number() over () as r, list_transform(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{6,}}'), lambda w: md5(w)) as digests from documents
+), hashed as (
+    select *, array_to_string(list_transform(digests, lambda w: w[1]), '') as v0, array_to_string(list_transform(digests, lambda w: w[2]), '') as v1 from worded
+), shared as materialized (
+    select *, [{cells("v0")}, {cells("v1")}] as x from hashed
+), near_0 as materialized (
+    select r, x, n, list_position(starts, list_max(starts)) - 1 as t from (select r, x, len(v0) as n, [{start}] as starts from shared where v0 <> '')
+), {", ".join(fit)}, docs as materialized (
+    select doc_id, coalesce(source, '<null>') as source, coalesce(lang, '<null>') as lang, coalesce(t::varchar, 'none') as topic,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens,
            ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 as u
-    from counted
+    from shared left join near_{TOPIC_ROUNDS} using (r)
 ), cells as materialized (
     select source, lang, topic, sum(n_tokens)::bigint as tokens from docs group by all having sum(n_tokens) > 0
 ), {goals}, start as materialized (

@@ -290,6 +290,28 @@ def test_topics_come_from_the_whole_text(spark):
     assert got == ["5", "2", "0", "0", "0"]
 
 
+def shares_of(text):
+    found = [hashlib.md5(w.encode()).hexdigest()[:2] for w in re.findall(r"[^\W\d_]{6,}", (text or "").lower())]
+    return [1000 * sum(d[k] == f"{x:x}" for d in found) // max(len(found), 1) for k in (0, 1) for x in range(16)], len(found)
+
+
+def test_topics_are_fitted_over_all_documents(spark):
+    rng = random.Random(81)
+    subjects = [[f"{name}{c}word" for c in "abcdefghij"] for name in ("ocean", "tensor", "violin")]
+    of = [k for k in range(3) for _ in range(60)]
+    texts = [" ".join(rng.choices(subjects[k], k=40)) for k in of] + [texts_of for texts_of in ("", None, "tiny it is", "Ärgerliche Überraschung")]
+    docs = rows(spark, texts).repartition(5)
+    got = {r.doc_id: r._mix_topic for r in MX.with_probabilities(docs.withColumns({"source": F.lit("s"), "lang": F.lit("l")})).collect()}
+    shares, n = zip(*(shares_of(t) for t in texts), strict=True)
+    told = [i for i, k in enumerate(n) if k]
+    topic = {i: max(range(8), key=lambda k, x=shares[i]: (x[k] + x[k + 8], -k)) for i in told}
+    for _ in range(MX.TOPIC_ROUNDS):
+        means = {t: [sum(n[i] * shares[i][j] for i in told if topic[i] == t) // sum(n[i] for i in told if topic[i] == t) for j in range(32)] for t in set(topic.values())}
+        topic = {i: min(means, key=lambda t, x=shares[i]: (sum((a - b) ** 2 for a, b in zip(x, means[t], strict=True)), t)) for i in told}
+    assert got == {i: str(topic[i]) if i in topic else "none" for i in range(len(texts))}
+    assert not any(got[i] == got[j] for i in range(180) for j in range(180) if of[i] != of[j])
+
+
 def test_mixing_of_messy_rows(messy, nothing):
     got = MX.with_probabilities(messy).collect()
     assert sorted((r.doc_id or -1, r._mix_source, r._mix_tokens) for r in got)[:3] == [(-1, "<null>", 0), (-1, "a", 2), (1, "a", 6)]
