@@ -70,7 +70,7 @@ def _is_schema_of(category: str):
 
 def page_evidence(path: Column, content: Column, types: Column, page_type: Column) -> Column:
     """A page's evidence: (category, family, points) of all categories in one array."""
-    low, out = F.lower(F.left(content, F.lit(LABEL_CHARS))), []
+    low, out = F.lower(content), []
     for category in CATEGORIES:
         labels = sum((F.contains(low, F.lit(x)).cast("int") for x in LABELS[category]), F.lit(0))
         schema = F.size(F.filter(types, _is_schema_of(category)))
@@ -82,20 +82,28 @@ def page_evidence(path: Column, content: Column, types: Column, page_type: Colum
     return F.filter(F.array(*out), lambda x: x["points"] > 0)
 
 
+def check_item(check_id: Column) -> Column:
+    """What a finding of this check says of its site: (category, family, points), null if nothing."""
+    category = F.coalesce(*(F.when(check_id.startswith(p), c) for c, p in CHECK_PREFIXES.items()))
+    return F.when(category.isNotNull(), F.struct(category.alias("category"), F.lit("specialist_checks").alias("family"), F.lit(POINTS["specialist_checks"]).alias("points")))
+
+
 def check_evidence(findings: DataFrame) -> DataFrame:
     """site, category, family and points of (site, check_id) findings."""
-    category = F.coalesce(*(F.when(F.col("check_id").startswith(p), c) for c, p in CHECK_PREFIXES.items()))
-    return findings.select("site", category.alias("category"), F.lit("specialist_checks").alias("family"), F.lit(POINTS["specialist_checks"]).alias("points")).where("category is not null")
+    return findings.select("site", check_item(F.col("check_id")).alias("x")).where("x is not null").select("site", "x.*")
+
 
+def archetypes(sites: DataFrame | None, evidence: DataFrame) -> DataFrame:
+    """site, primary, secondary, confidence, families: a site has ten categories at most, so nothing grows with its pages.
 
-def archetypes(sites: DataFrame, evidence: DataFrame) -> DataFrame:
-    """site, primary, secondary, confidence, families: a site has ten categories at most, so nothing grows with its pages."""
+    Without ``sites`` they are those of the evidence; a null category stands for a page that has none.
+    """
     order = F.coalesce(*(F.when(F.col("category") == c, k) for k, c in enumerate(CATEGORIES)))
     scored = evidence.groupBy("site", "category").agg(F.sum("points").alias("score"), F.array_sort(F.collect_set("family")).alias("families"))
-    good = scored.where((F.col("score") >= LEAST_SCORE) & (F.size("families") >= LEAST_FAMILIES))
-    ranked = good.groupBy("site").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), order.alias("place"), "category", "families"))).alias("r"))
+    good = F.col("category").isNotNull() & (F.col("score") >= LEAST_SCORE) & (F.size("families") >= LEAST_FAMILIES)
+    ranked = scored.groupBy("site").agg(F.array_sort(F.collect_list(F.when(good, F.struct((-F.col("score")).alias("minus"), order.alias("place"), "category", "families")))).alias("r"))
     first = F.try_element_at("r", F.lit(1))
-    out = sites.join(ranked, "site", "left")
+    out = ranked if sites is None else sites.join(ranked, "site", "left")
     high = (first["minus"] <= -10) & (F.size(first["families"]) >= 3)
     return out.select(
         "site", F.coalesce(first["category"], F.lit("GENERIC")).alias("primary"), F.coalesce(F.array_join(F.slice("r", 2, 2)["category"], ","), F.lit("")).alias("secondary"),

@@ -343,9 +343,10 @@ def r41(spark, d):
 
 @q("r42_corroboration_gap", f"with {_PROFILES}, w as (select url, lower({TITLE}) as title, lower({VISIBLE}) as body from dressed) select page_id, link, bool_or(contains(title, brand) or contains(body, brand)) as corroborated from anchors join w on w.url = link group by all")
 def r42(spark, d):
-    """Whether the linked page of the corpus names the brand, in title or text; the texts stay where they are."""
+    """Whether the linked page of the corpus names the brand, in title or text; only texts of pages that are linked move."""
     wanted = profiles(spark, d)
-    w = dressed(spark, d).select(F.col("url").alias("link"), F.lower(T.title(F.col("html"))).alias("title"), F.lower(T.visible_text(F.col("html"))).alias("body"))
+    linked = wanted.select(F.col("link").alias("url")).distinct()
+    w = dressed(spark, d).join(linked, "url", "left_semi").select(F.col("url").alias("link"), F.lower(T.title(F.col("html"))).alias("title"), F.lower(T.visible_text(F.col("html"))).alias("body"))
     met = wanted.join(w, "link").select("page_id", "link", (F.contains("title", F.col("brand")) | F.contains("body", F.col("brand"))).alias("named"))
     return met.groupBy("page_id", "link").agg(F.bool_or("named").alias("corroborated"))
 
@@ -370,7 +371,7 @@ def _archetype_sql() -> str:
         if c in A.PAGE_TYPES:
             rows.append(f"{{'category': '{c}', 'family': 'inventory_type', 'points': 2 * (page_type in ({', '.join(repr(x) for x in A.PAGE_TYPES[c])}))::int}}")
     places = "case category " + " ".join(f"when '{c}' then {k}" for k, c in enumerate(A.CATEGORIES)) + " end"
-    return f"""with {_PAGES}, content as (select host as site, path, page_type, lower(left({TITLE} || ' ' || array_to_string({_HEADS}, ' ') || ' ' || {VISIBLE}, {A.LABEL_CHARS})) as low, {_TYPE_NAMES} as types from dressed),
+    return f"""with {_PAGES}, content as (select host as site, path, page_type, lower({TITLE} || ' ' || array_to_string({_HEADS}, ' ') || ' ' || left({VISIBLE}, {A.LABEL_CHARS})) as low, {_TYPE_NAMES} as types from dressed),
 e as (select site, unnest([{', '.join(rows)}]) as x from content union all select host, {{'category': 'ECOMMERCE', 'family': 'specialist_checks', 'points': 1}} from dressed where {_MISMATCH}),
 scored as (select site, x.category as category, sum(x.points) as score, list_sort(list(distinct x.family)) as families from e where x.points > 0 group by all),
 ranked as (select *, row_number() over (partition by site order by score desc, {places}) as k from scored where score >= {A.LEAST_SCORE} and len(families) >= {A.LEAST_FAMILIES})
@@ -381,13 +382,14 @@ from (select distinct site from content) s left join ranked r on r.site = s.site
 
 @q("o082_site_archetype", _archetype_sql())
 def o082(spark, d):
-    """Five families of evidence (O-067, O-082): paths, labels, schema types, page types, and checks of findings."""
+    """Five families of evidence (O-067, O-082) in one pass: paths, labels, schema types, page types, and checks of findings."""
     html = F.col("html")
-    content = F.concat_ws(" ", T.title(html), F.array_join(N.heading_texts(html), " "), T.visible_text(html))
-    p = once(dressed(spark, d).select(F.col("host").alias("site"), "path", "page_type", content.alias("content"), _types(html).alias("types")), "site", "path", "page_type", "content", "types")
-    e = p.select("site", F.explode(A.page_evidence(F.col("path"), F.col("content"), F.col("types"), F.col("page_type"))).alias("x")).select("site", "x.*")
-    mismatched = dressed(spark, d).where(_mismatched(html)).select(F.col("host").alias("site"), F.lit(C.CAUSES["INTENT_TO_LANDING_MISMATCH"]).alias("check_id"))
-    return A.archetypes(p.select("site").distinct(), e.unionByName(A.check_evidence(mismatched)))
+    content = F.concat_ws(" ", T.title(html), F.array_join(N.heading_texts(html), " "), F.left(T.visible_text(html), F.lit(A.LABEL_CHARS)))
+    p = dressed(spark, d).select(F.col("host").alias("site"), "path", "page_type", content.alias("content"), _types(html).alias("types"), _mismatched(html).alias("mismatched"))
+    p = once(p, "site", "path", "page_type", "content", "types", "mismatched")
+    check = F.when(F.col("mismatched"), A.check_item(F.lit(C.CAUSES["INTENT_TO_LANDING_MISMATCH"])))
+    found = F.concat(A.page_evidence(F.col("path"), F.col("content"), F.col("types"), F.col("page_type")), F.array_compact(F.array(check)))
+    return A.archetypes(None, p.select("site", F.explode_outer(found).alias("x")).select("site", "x.*"))
 
 
 _CENTROID_ROWS = ", ".join(f"({i}, '{k}', '{w}', {x})" for i, (k, ws) in enumerate(A.CENTROIDS.items()) for w, x in ws.items())

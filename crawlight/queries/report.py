@@ -49,10 +49,10 @@ _CANDIDATES = f"""{_FINDINGS}, candidates0 as (
 )"""
 
 
-def findings(spark, d):
+def findings(spark, d, *more):
     """O-100: the rules' findings as one table; all rules read a document's facts in one pass."""
     each = F.array_compact(F.array(*(F.when(F.expr(condition), F.struct(F.lit(cause).alias("cause"), F.lit(severity).alias("severity"))) for cause, severity, condition in SOURCES)))
-    return once(content_facts(spark, d), "doc_id", "words", "depth", "statistics").select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.*")
+    return once(content_facts(spark, d, *more), "doc_id", *more, "words", "depth", "statistics").select("doc_id", *more, F.explode(each).alias("f")).select("doc_id", *more, "f.*")
 
 
 def candidates(spark, d):
@@ -199,7 +199,7 @@ scores as (select s.site, w.domain, w.weight, greatest(0, 100 - coalesce(lost, 0
 
 
 def domain_scores(spark, d):
-    f = findings(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("site")), "doc_id")
+    f = findings(spark, d, "source").withColumnRenamed("source", "site")
     f = f.select("site", F.concat_ws(":", "cause", F.col("doc_id").cast("string")).alias("finding"), "severity", F.array(F.coalesce(P.case(F.col("cause"), C.CAUSES), F.lit("?"))).alias("check_ids")).distinct()
     return P.domain_scores(f, C.catalogue(spark))
 
@@ -360,7 +360,7 @@ def o06a(spark, d):
 
 @q("extra_rollup", f"with {_FINDINGS} select coalesce(d.source, 'all') as site, coalesce(severity, 'all') as severity, count(*) as findings from findings join documents d using (doc_id) group by rollup (d.source, severity)")
 def rollup(spark, d):
-    f = findings(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    f = findings(spark, d, "source")
     return f.rollup("source", "severity").agg(F.count("*").alias("findings")).select(F.coalesce("source", F.lit("all")).alias("site"), F.coalesce("severity", F.lit("all")).alias("severity"), "findings")
 
 
