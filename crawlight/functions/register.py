@@ -86,7 +86,7 @@ def register(spark: SparkSession) -> None:
     token_entropy = F.pandas_udf(token_entropy, DoubleType())
     spark.udf.register("token_entropy", token_entropy)
     spark.udtf.register("html_tokens", F.udtf(HtmlTokens, returnType="pos int, kind string, tag string, text string"))
-    whens = " ".join(f"when exists(s, x -> x in ({', '.join(repr(w) for w in words.split())})) then '{kind}'" for kind, _, words in U.SEGMENT_TYPES)
+    whens = " ".join(f"when exists(s, x -> x in ({', '.join(repr(w) for w in words)})) then '{kind}'" for kind, _, words in U.SEGMENT_TYPES)
     first = f"when size(s) = 0 then 'homepage' when try_element_at(s, -1) in {tuple(U.TEMPLATE_WORDS)} then 'template' when size(s) = 1 and get(s, 0) in {tuple(U.LISTING_WORDS)} then 'product_listing' when size(s) >= 2 and get(s, 0) in {tuple(U.DETAIL_WORDS)} and get(s, 1) not in {tuple(U.NO_DETAIL_WORDS)} then 'product_detail'"
     spark.sql(f"create or replace temporary function page_type_of_segments(s array<string>) returns string return case {first} {whens} else 'other' end")
     every = r"filter(split(regexp_extract(x, r'^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/'), e -> e != '')"
