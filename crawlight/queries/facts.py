@@ -164,7 +164,7 @@ _PRODUCT = rf"(length(trim(name)) between 3 and 50 and not regexp_matches(trim(n
 @q("o044_product_names", f"select name, {_PRODUCT} as valid from {_NAMES}")
 def o044(spark, d):
     extra = ["Cloud Pro Suite", "What is it", "FAQ", "Pricing", "Plan 2024", "Box:", "ab", "Annual fee", "Cookie settings", "$5 deal", "Data Tier", "Blue Widget"]
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(_literals(spark, extra).withColumnRenamed("raw", "name")).distinct()
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(spark.createDataFrame([(v,) for v in extra], "name string")).distinct()
     return names.select("name", T.is_product_name(F.col("name")).alias("valid"))
 
 

@@ -49,3 +49,27 @@ def test_fetch_source_reports_errors(spark):
     spark.dataSource.register(fetching.FetchSource)
     rows = spark.read.format("guarded_fetch").option("urls", "http://127.0.0.1/ file:///x").load().collect()
     assert len(rows) == 2 and all(r.status is None and "unsafe" in r.error for r in rows)
+
+
+def test_names_exist():
+    """Names that functions look up when they run exist in their module."""
+    import builtins
+    import dis
+    import importlib
+    import pkgutil
+    from types import CodeType
+
+    import crawlight
+
+    def missing(code, known):
+        for i in dis.get_instructions(code):
+            if i.opname == "LOAD_GLOBAL" and i.argval not in known and not hasattr(builtins, i.argval):
+                yield code.co_name, i.argval
+        for inner in code.co_consts:
+            if isinstance(inner, CodeType):
+                yield from missing(inner, known)
+
+    for m in pkgutil.walk_packages(crawlight.__path__, "crawlight."):
+        module = importlib.import_module(m.name)
+        with open(module.__file__) as file:
+            assert not list(missing(compile(file.read(), module.__file__, "exec"), vars(module))), m.name
