@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlight.functions import text as T
+from crawlight.functions.urls import as_sql_reads
 
 Q = r"[\x22\x27]"
 # Traces of application shells, hydrated blocks and author marks.
@@ -86,13 +87,13 @@ def is_shell(html: Column) -> Column:
 
     def marks(tag: Column) -> Column:
         container = tag.rlike(CONTAINER)
-        return (container & (tag.rlike(SHELL_ID) | tag.rlike(SHELL_CLASS))) | tag.rlike(SHELL_ELEMENT) | (~container & tag.rlike(SHELL_ATTRIBUTE))
+        return (container & (tag.rlike(SHELL_ID) | tag.rlike(as_sql_reads(SHELL_CLASS)))) | tag.rlike(SHELL_ELEMENT) | (~container & tag.rlike(SHELL_ATTRIBUTE))
 
     return F.exists(start_tags(html), marks)
 
 
 def asks_for_scripts(html: Column) -> Column:
-    return F.exists(_all(html, NOSCRIPT), lambda x: x.rlike(NOTICE))
+    return F.exists(_all(html, NOSCRIPT), lambda x: x.rlike(as_sql_reads(NOTICE)))
 
 
 def json_words(html: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from crawlight.functions import text as T
-from crawlight.functions.urls import between_edges
+from crawlight.functions.urls import as_sql_reads, between_edges
 from crawlight.queries.registry import Area, once, sql_in
 from crawlight.sources.tables import table
 
@@ -123,7 +123,7 @@ def content_facts(spark, d, *more):
     """Per document: words, depth, statistics, credentials, question lines, and further columns of the table."""
     lines = F.split(F.col("text"), "\n")
     return table(spark, d, "documents").select(
-        "doc_id", *more, T.word_count(F.col("text")).alias("words"), T.depth_score(F.col("text")).alias("depth"), T.statistic_count(F.col("text")).alias("statistics"), F.col("text").rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"),
+        "doc_id", *more, T.word_count(F.col("text")).alias("words"), T.depth_score(F.col("text")).alias("depth"), T.statistic_count(F.col("text")).alias("statistics"), T.has_credentials(F.col("text")).alias("credentials"),
         F.exists(lines, T.is_question).alias("questions"), F.col("text").rlike(r"(?i)https?://").alias("links"), F.col("text").rlike(r"(?m)^\s*(?:\||[-*] )").alias("lists"),
     )
 
@@ -175,7 +175,7 @@ def r60(spark, d):
 
 @q("q06_fluff_density", rf"select doc_id, len(regexp_extract_all(text, '(?i)\b(?:{T.FLUFF})\b'))::int as fluff from documents")
 def q06(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_count(F.col("text"), F.lit(rf"(?i)\b(?:{T.FLUFF})\b")).alias("fluff"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_count(F.col("text"), F.lit(as_sql_reads(rf"(?i)\b(?:{T.FLUFF})\b"))).alias("fluff"))
 
 
 QUERIES, SQL = area.queries, area.sql

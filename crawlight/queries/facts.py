@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crawlight.functions import text as T
+from crawlight.functions.urls import as_sql_reads
 from crawlight.operators.names import mentions
 from crawlight.operators.nearest import nearest
 from crawlight.operators.scoped_prices import MENTION, scoped_prices
@@ -140,7 +141,7 @@ _PARTS = "(select p_partkey, case when p_partkey % 3 = 0 then p_name || ' (disco
 @q("o127_discontinued", rf"select p_partkey, regexp_matches(name, '(?i)\b(?:{T.DISCONTINUED})\b') as discontinued from {_PARTS}")
 def o127(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (discontinued)"))).otherwise(F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", name.rlike(rf"(?i)\b(?:{T.DISCONTINUED})\b").alias("discontinued"))
+    return table(spark, d, "part").select("p_partkey", name.rlike(as_sql_reads(rf"(?i)\b(?:{T.DISCONTINUED})\b")).alias("discontinued"))
 
 
 @q("o128_availability", "with a as (select p_partkey, case p_partkey % 4 when 0 then 'https://schema.org/InStock' when 1 then 'http://schema.org/Discontinued' when 2 then 'PreOrder' end as value from part), l as (select p_partkey, lower(coalesce(value, '')) as v from a) select p_partkey, case when contains(v, 'discontinued') then 'discontinued' when contains(v, 'instock') then 'in_stock' when contains(v, 'preorder') then 'preorder' else 'unknown' end as status from l")

@@ -145,8 +145,8 @@ def signals(spark, d):
     heads = N.heading_texts(html)
     s = dressed(spark, d).select(
         "page_id", "page_type", T.word_count(text).alias("words"), N.cites_authority(html, F.col("host")).alias("authority"), N.has_schema(html, N.FAQ_TYPES).alias("faq_schema"),
-        F.exists(heads, lambda h: F.lower(h).rlike(N.FAQ_HEADING)).alias("faq_headings"), F.exists(heads, lambda h: h.rlike(N.QUESTION_HEADING)).alias("questions"),
-        (text.rlike(rf"(?i)\b(?:{T.CREDENTIALS})") | N.has_byline(html)).alias("author"), F.exists(N.start_tags(html), lambda t: t.rlike(r"(?i)^<(?:table|ul|ol|dl)[\s>/]")).alias("tabular"),
+        F.exists(heads, lambda h: F.lower(h).rlike(U.as_sql_reads(N.FAQ_HEADING))).alias("faq_headings"), F.exists(heads, lambda h: h.rlike(U.as_sql_reads(N.QUESTION_HEADING))).alias("questions"),
+        (T.has_credentials(text) | N.has_byline(html)).alias("author"), F.exists(N.start_tags(html), lambda t: t.rlike(r"(?i)^<(?:table|ul|ol|dl)[\s>/]")).alias("tabular"),
     )
     return once(s, *s.columns)
 
@@ -245,7 +245,7 @@ def o132(spark, d):
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     links = F.regexp_extract_all(text, F.lit(r"(?i)https?://[^\s<>\x22\x27]+"), 0)
     return table(spark, d, "documents").select(
-        "doc_id", text.rlike(rf"(?i)\b(?:{T.CREDENTIALS})").alias("credentials"), F.exists(links, T.has_authority).alias("authority"), F.exists(lines, lambda x: F.lower(x).rlike(N.QUESTION_HEADING)).alias("question"),
+        "doc_id", T.has_credentials(text).alias("credentials"), F.exists(links, T.has_authority).alias("authority"), F.exists(lines, lambda x: F.lower(x).rlike(U.as_sql_reads(N.QUESTION_HEADING))).alias("question"),
     )
 
 
