@@ -143,7 +143,8 @@ def topological(tasks: DataFrame) -> DataFrame:
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
-        needs = {r.id: set(r.depends_on) & set(rows["id"]) for r in rows.itertuples()}
+        known = set(rows["id"])
+        needs = {r.id: known.intersection(r.depends_on) for r in rows.itertuples()}
         key = {r.id: (C.QUEUES.get(r.queue, 0), -int(r.band[1:]), r.difficulty, r.id) for r in rows.itertuples()}
         after: dict[str, list[str]] = {}
         for task, deps in needs.items():

@@ -109,3 +109,14 @@ def test_upsert(spark, tmp_path):
     E.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), 0, path, ["k"])
     E.upsert(spark.createDataFrame([("a", 2)], "k string, v int"), 1, path, ["k"])
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"{path}/batch=1").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_topological_order_grows_with_the_tasks(spark):
+    """One site of many tasks in a chain: the time is near their number, not its square."""
+    import time
+
+    n = 30000
+    rows = spark.range(n).selectExpr("'s' as site", "cast(id as string) as id", "array(cast(id + 1 as string)) as depends_on", "'confirmed' as queue", "'S1' as band", "1 as difficulty")
+    start = time.monotonic()
+    got = {int(r.id): r.place for r in P.topological(rows).collect()}
+    assert got == {k: n - k for k in range(n)} and time.monotonic() - start < 30
