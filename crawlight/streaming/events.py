@@ -64,14 +64,30 @@ def price_alerts(events: DataFrame) -> DataFrame:
 FORGOTTEN = 3000
 
 
-def arrivals(spark: SparkSession, events: DataFrame, parts: int = 6) -> str:
-    """The events as a folder that a stream reads in order of event_id: ``parts`` files, one for each stretch of numbers."""
-    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+#: Rows that a part of the arrivals has, about; a number behind all arrivals, at which every key is forgotten.
+PART, END = 1_000_000, 10**9
+
+
+def arrivals(spark: SparkSession, events: DataFrame, parts: int | None = None) -> str:
+    """The events as a folder that a stream reads in order of event_id: a file for each stretch of numbers.
+
+    There are at least 6 stretches and no more than about PART numbers in one, so a batch does not grow with the events.
+    They are dealt in one pass; the files are then written one after the other, as a stream reads them by age.  The last
+    has a row without user and type, END behind all others, with which the watermark passes whatever has arrived.
+    """
+    shared = shared_folder(spark)
+    folder, dealt = f"{shared}/arrivals-{uuid.uuid4().hex}", f"{shared}/dealt-{uuid.uuid4().hex}"
     last = (events.agg(F.max("event_id")).first()[0] or 0) + 1
-    plain = events.select(*(c.split()[0] for c in SCHEMA.split(", ")))
+    parts = parts or max(6, -(-last // PART))
+    plain = events.select(*(c.split()[0] for c in SCHEMA.split(", "))).where("event_id >= 0")
+    stretch = F.floor(F.col("event_id") * parts / last).cast("int")
+    plain.withColumn("part", F.least(stretch, F.lit(parts - 1))).repartition("part").write.partitionBy("part").parquet(dealt)
+    read = spark.read.schema(f"{SCHEMA}, part int").parquet(dealt)
     for k in range(parts):
-        stretch = (F.col("event_id") >= last * k // parts) & (F.col("event_id") < last * (k + 1) // parts)
-        plain.where(stretch).coalesce(1).write.mode("append").parquet(folder)
+        some = read.where(F.col("part") == k).drop("part")
+        if k == parts - 1:
+            some = some.unionByName(spark.range(last + END, last + END + 1).select(F.col("id").alias("event_id")), allowMissingColumns=True)
+        some.coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
@@ -122,23 +138,12 @@ def widening_prices(events: DataFrame, forgotten: int = FORGOTTEN) -> DataFrame:
 
 
 def first_sights(events: DataFrame, forgotten: int = FORGOTTEN) -> DataFrame:
-    """user_id, event_type, event_id of rows whose user and type have not been seen for ``forgotten`` arrivals."""
+    """user_id, event_type, event_id of rows whose user and type have not been seen for ``forgotten`` arrivals.
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        news = []
-        for event_id in sorted(int(i) for frame in frames for i in frame["event_id"]):
-            if last is None or event_id - last > forgotten:
-                news.append((*key, event_id))
-            last = event_id
-        _keep(state, (), last, forgotten)
-        yield pd.DataFrame(news, columns=["user_id", "event_type", "event_id"])
-
-    rows = _numbered(events).select("user_id", "event_type", "event_id", "arrival")
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(update, "user_id long, event_type string, event_id long", "last long", "append", "EventTimeTimeout")
+    They begin the sessions of user and type by arrival; the gap ends between two arrivals, so none falls on it.
+    """
+    gap = F.session_window("arrival", f"{forgotten} seconds 500 milliseconds")
+    return _numbered(events).groupBy("user_id", "event_type", gap).agg(F.min("event_id").alias("event_id")).select("user_id", "event_type", "event_id")
 
 
 def upsert(rows: DataFrame, batch: int, path: str, key: list[str]) -> None:

@@ -36,3 +36,13 @@ def test_streams_equal_walk(spark, rows, parts, forgotten):
             held[key] = (price if low is None else min(low, price), price if high is None else max(high, price), i)
     assert sights == seen and alerts == sorted(want)
     assert forgotten > 1000 or len(seen) > len({x[:2] for x in seen})
+
+
+def test_parts_grow_with_the_events(spark):
+    """A batch has a bounded stretch of numbers; first sights need no Python."""
+    rows = [(k, datetime(2024, 1, 1), 1, "click", None, None) for k in (0, 3 * E.PART, 8 * E.PART - 1)]
+    folder = E.arrivals(spark, spark.createDataFrame(rows, E.SCHEMA))
+    assert len(spark.read.parquet(folder).inputFiles()) == 8
+    sights = E.first_sights(E.stream(spark, folder))
+    assert "Pandas" not in sights._jdf.queryExecution().analyzed().toString()
+    assert {tuple(r) for r in E.to_the_end(spark, sights).collect()} == {(1, "click", k) for k, *_ in rows}
