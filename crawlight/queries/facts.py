@@ -190,9 +190,14 @@ _CONFLICTS = f"{_PRICES}, single as (select entity, currency, interval, variant,
 
 
 def price_conflicts(spark, d):
-    """Two levels: pages that state one price for a key, then keys with several prices on several pages."""
-    single = price_facts(spark, d).groupBy(*_KEY, "page").agg(F.min("price").alias("price"), F.max("price").alias("most")).where("price = most")
-    return single.groupBy(*_KEY).agg(F.count_distinct("price").alias("prices"), F.count_distinct("page").alias("pages")).where("prices >= 2 and pages >= 2")
+    """Two levels: pages that state one price for a key, then keys with several prices on several pages.
+
+    Rows are dealt by key and page before they are grouped: a task that reads a large file holds no groups, and prices
+    are numbers, which group without sorts.  A key has a page once, so its pages are its rows.
+    """
+    facts = price_facts(spark, d).select(*_KEY, F.col("price").try_cast("double").alias("price"), "page").repartition("entity", "variant", "page")
+    single = facts.groupBy(*_KEY, "page").agg(F.min("price").alias("price"), F.max("price").alias("most")).where("price = most")
+    return single.groupBy(*_KEY).agg(F.count_distinct("price").alias("prices"), F.count("page").alias("pages")).where("prices >= 2 and pages >= 2")
 
 
 @q("o074_price_conflicts", f"with {_CONFLICTS} select * from conflicts")

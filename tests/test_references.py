@@ -41,3 +41,17 @@ def test_index_resolves_what_locators_name(spark):
     refs = spark.createDataFrame([(k, *x[:3]) for k, x in enumerate(asked)], "k int, artifact string, locator string, quote string").withColumn("other", F.lit(1))
     got = {r.k: r.outcome for r in resolved(refs, artifacts).collect()}
     assert got == {k: x[3] for k, x in enumerate(asked)}
+
+
+def test_rows_are_dealt_before_they_are_grouped(spark):
+    """Conflicts group prices without sorts; references and artifacts leave the tasks that read them before any grouping."""
+    from crawlight.plans.evidence import resolved
+    from crawlight.queries.facts import price_conflicts
+    from tests.conftest import DATA
+
+    if DATA.exists():
+        assert "SortAggregate" not in price_conflicts(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    references = spark.createDataFrame([("a", "x", "1"), ("b", "x", "1")], "artifact string, locator string, quote string")
+    out = resolved(references, spark.createDataFrame([("a", '{"x":"1"}')], "artifact string, body string"))
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.artifact, r.outcome) for r in out.collect()} == {("a", "ok"), ("b", "artifact_missing")}
