@@ -38,7 +38,11 @@ def path_index(artifacts: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
 
 
 def resolved(references: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The (artifact, locator, quote, ...) rows with ``outcome``: artifact_missing, locator_grammar, locator_unresolved, quote_missing, quote_not_found or ok."""
+    """The (artifact, locator, quote, ...) rows with ``outcome``: artifact_missing, locator_grammar, locator_unresolved, quote_missing, quote_not_found or ok.
+
+    Both sides are dealt by their whole rows first, so that a task that reads a large file does not group all of its paths.
+    """
+    references, artifacts = references.repartition(*references.columns), artifacts.select("artifact", "body").repartition("artifact", "body")
     known = artifacts.groupBy("artifact").agg(F.lit(True).alias("_known"))
     index = path_index(artifacts).groupBy("artifact", F.col("path").alias("locator")).agg(F.min("value").alias("_value"))
     out = keyed_join(keyed_join(references, known, ["artifact"], "left"), index, ["artifact", "locator"], "left")
