@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of one automaton at most.
-SHARD = 200_000
+#: Names of one automaton at most; texts taken up at a time, mentions of a batch, about.
+SHARD, TEXTS, MENTIONS = 200_000, 256, 1 << 16
 
 
 def _scanner(names: list[str]):
     """Batches of (key, text) -> (key, name) for every name that a text contains, once each."""
 
+    def told(batch: pa.RecordBatch, rows: list[int], found: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([names[k] for k in found], pa.string())], names=["key", "name"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -29,11 +32,16 @@ def _scanner(names: list[str]):
         automaton.make_automaton()
         for batch in batches:
             rows, found = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                hits = {k for _, k in automaton.iter(text)} if text else ()
-                found += hits
-                rows += [i] * len(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([names[k] for k in found], pa.string())], names=["key", "name"])
+            for start in range(0, batch.num_rows, TEXTS):
+                for i, text in enumerate(batch.column(1).slice(start, TEXTS).to_pylist(), start):
+                    hits = {k for _, k in automaton.iter(text)} if text else ()
+                    found += hits
+                    rows += [i] * len(hits)
+                    if len(found) >= MENTIONS:
+                        yield told(batch, rows, found)
+                        rows, found = [], []
+            if found:
+                yield told(batch, rows, found)
 
     return scan
 

@@ -109,3 +109,19 @@ def test_decisions_of_a_hot_host(spark, stream):
         pattern = "/a/b" if p.startswith("/a/b") else "/*.pdf$" if p.endswith(".pdf") else "/a" if p.startswith("/a") else None
         assert got["hot", p, "PerplexityBot"] == (pattern in (None, "/a/b"), pattern, 3.0, pattern is None)
     assert got["bare", "/x", "GPTBot"] == (True, None, 0.0, True) and got["other", "/x", "GPTBot"] == (True, "", 0.0, False)
+
+
+def test_mentions_leave_in_bounded_batches(monkeypatch):
+    """A batch of texts that mention much gives several batches, none of many mentions more than its last text has."""
+    import pyarrow as pa
+
+    from crawlight.operators import names as N
+
+    monkeypatch.setattr(N, "TEXTS", 7, raising=False)
+    monkeypatch.setattr(N, "MENTIONS", 20, raising=False)
+    texts = ["ab bc", "", None, "abc", "zz"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["key", "text"])
+    out = list(N._scanner(["ab", "bc", "zz"])(iter([batch])))
+    got = sorted((k, n) for b in out for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert got == sorted((k, n) for k, t in enumerate(texts) for n in ("ab", "bc", "zz") if t and n in t)
+    assert max(b.num_rows for b in out) < 20 + 3
