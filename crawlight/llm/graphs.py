@@ -9,23 +9,26 @@ from crawlight.llm.common import discard, written
 
 #: A key of more than one in so many rows is heavy; there are fewer than so many.
 HEAVY = 2000
+#: A key of so many rows at most burdens no task, however small the table.
+LIGHT = 256
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """Joins a table of one row per key that knows how many rows each key has.
 
-    Keys of more than 1/HEAVY of all rows are fewer than HEAVY, so they are
-    listed and broadcast; the rest meet by a shuffle in which no key is larger
-    than that.  ``table`` should be written.  With ``how`` left_semi only rows
-    are kept.
+    Keys of more than 1/HEAVY of all rows, and of more than LIGHT, are fewer
+    than HEAVY, so they are listed and broadcast; the rest meet by a shuffle in
+    which no key is larger than that.  The list is a table, never literals: those
+    stand in every plan the driver keeps.  ``table`` should be written.  With
+    ``how`` left_semi only rows are kept.
     """
     kept = table.select(*(c for c in table.columns if c != count))
-    heavy = table.where(F.col(count) * HEAVY > total).select(*kept.columns).collect()  # fewer than HEAVY
+    heavy = table.where((F.col(count) * HEAVY > total) & (F.col(count) > LIGHT)).select(*kept.columns).collect()  # fewer than HEAVY
     if not heavy:
         return rows.join(kept.hint("merge"), key, how)
-    chosen = F.coalesce(F.col(key).isin([r[key] for r in heavy]), F.lit(False))
-    met = rows.where(chosen).join(F.broadcast(rows.sparkSession.createDataFrame(heavy, kept.schema)), key, "left_semi" if how == "left_semi" else "inner")
-    return met.unionByName(rows.where(~chosen).join(kept.hint("merge"), key, how))
+    few = F.broadcast(rows.sparkSession.createDataFrame(heavy, kept.schema))
+    met = rows.join(few, key, "left_semi" if how == "left_semi" else "inner")
+    return met.unionByName(rows.join(few, key, "left_anti").join(kept.hint("merge"), key, how))
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -193,6 +193,19 @@ def test_jaccard_pairs_of_a_busy_node_are_dealt_out(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(rows(spark, texts)).collect()} == all_pairs_components(texts)
 
 
+def test_lookup_keeps_heavy_keys_out_of_plans(spark, monkeypatch):
+    """Heavy keys were literals in a filter and its opposite, in every plan the driver keeps."""
+    found = spark.createDataFrame([(None if i % 50 == 49 else i % 150, i) for i in range(3000)], "key long, row long")
+    table = spark.createDataFrame([(k, 20, f"v{k}") for k in range(140)], "key long, n long, value string")
+    for least, heavy in ((0, True), (256, False)):
+        monkeypatch.setattr(G, "LIGHT", least, raising=False)
+        for how in ("left", "inner", "left_semi"):
+            out = G.lookup(found, table, "key", "n", 3000, how)
+            plan = out._jdf.queryExecution().logical().toString()
+            assert " IN (" not in plan and ("strategy=broadcast" in plan) == heavy
+            assert sorted(out.collect(), key=str) == sorted(found.join(table.drop("n"), "key", how).collect(), key=str)
+
+
 def test_jaccard_of_messy_rows(messy, nothing):
     got = J.jaccard_components(messy).collect()
     assert len(got) == 11
