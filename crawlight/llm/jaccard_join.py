@@ -217,17 +217,24 @@ def _verified(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
             yield batch_of(_LINKS, left, right)
 
     pairs = written(pairs, "jaccard-pairs")
+    total = pairs.count()
+    if not total:
+        return pairs
     wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("merge")
     sets = points.select("node", "shingles").join(wanted, "node", "left_semi")
     # one node may be in very many pairs: its pairs are dealt to PARTNERS at a time, each with a copy of its set
-    whole, few = pairs, pairs.count() <= PARTNERS * BROADCAST_NODES
+    whole, few = pairs, total <= PARTNERS * BROADCAST_NODES
     for side, column in (("a", "x"), ("b", "y")):
-        part = F.floor(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("parts")).cast("int")
+        copies = sets.withColumnsRenamed({"node": side, "shingles": column})
         often = whole.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > PARTNERS).select(side, F.ceil(F.col("m") / PARTNERS).cast("int").alias("parts"))
+        if total <= PARTNERS or often.isEmpty():
+            pairs = pairs.join(copies, side)
+            continue
+        part = F.floor(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("parts")).cast("int")
         often = F.broadcast(often) if few else often.hint("merge")  # fewer than pairs / PARTNERS rows
         pairs = pairs.join(often, side, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(part)).drop("parts")
-        copies = sets.withColumnsRenamed({"node": side, "shingles": column}).join(often, side, "left")
+        copies = copies.join(often, side, "left")
         copies = copies.select(side, column, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         pairs = pairs.join(copies, [side, "part"]).drop("part")
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -363,6 +370,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
 
     frequencies = spark.sparkContext.broadcast(_frequencies(first))  # 4 MB
     keys = written(_prefixes(view, frequencies, threshold, width), "jaccard-prefixes")
+    frequencies.destroy()
     several = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
     several = written(several, "jaccard-several")
     shared = several.agg(F.sum("m")).first()[0] or 0
@@ -381,11 +389,18 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(4, 5), wi
     hub_part = hubs.join(parts.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
     open_keys = written(open_keys.join(hub_part, "key"), "jaccard-keys")
-    left = lookup(placed, open_keys, "key", "m", blocks.count(), "inner").join(points.select("node", "point"), "node")
-    left = written(left, "jaccard-open")
-    more = _verified(_cell_pairs(_cells(left).repartition(*order).sortWithinPartitions(*order), threshold), points, threshold)
-    parts = written(components(links.unionByName(more)), "jaccard-parts")
-    discard(blocks, points, hubs, open_keys, left)
+    if not open_keys.isEmpty():
+        left = lookup(placed, open_keys, "key", "m", blocks.count(), "inner").join(points.select("node", "point"), "node")
+        left = written(left, "jaccard-open")
+        more = written(_verified(_cell_pairs(_cells(left).repartition(*order).sortWithinPartitions(*order), threshold), points, threshold), "jaccard-more")
+        discard(left)
+        if not more.isEmpty():
+            # the components found so far are stars: they settle in fewer rounds than their links
+            stars = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            before, parts = parts, written(components(stars.unionByName(more)), "jaccard-parts")
+            discard(before)
+        discard(more)
+    discard(blocks, points, hubs, open_keys)
 
     known = nodes.join(parts, "node", "left").select("node", "least", "rows", F.coalesce("component", "node").alias("component"))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))

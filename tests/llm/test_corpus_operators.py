@@ -206,6 +206,16 @@ def test_lookup_keeps_heavy_keys_out_of_plans(spark, monkeypatch):
             assert sorted(out.collect(), key=str) == sorted(found.join(table.drop("n"), "key", how).collect(), key=str)
 
 
+def test_jaccard_settles_components_once_without_new_links(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(J, "components", lambda edges: calls.append(1) or G.components(edges))
+    rng = random.Random(18)
+    base = words(rng, 80)
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), *(" ".join(words(rng, 40)) for _ in range(10))]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(rows(spark, texts)).collect()} == all_pairs_components(texts)
+    assert len(calls) == 1
+
+
 def test_jaccard_of_messy_rows(messy, nothing):
     got = J.jaccard_components(messy).collect()
     assert len(got) == 11
