@@ -46,14 +46,6 @@ def laid_out(sequences: list[tuple[np.ndarray, ...]], most: int) -> list[np.ndar
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
 class GatedModel:
     """Gates from the last token and the state; heads for groups, their classes, and words of the small classes."""
 
@@ -75,6 +67,12 @@ class GatedModel:
         ]
         self.params[0][:, :hidden] += 1.0  # states are kept at first
 
+    @staticmethod
+    def _resets(x: np.ndarray, kind: np.dtype) -> tuple[list[bool], np.ndarray]:
+        """Which steps start a document in some stream, and 0 where one starts, else 1."""
+        carried = (x != START).astype(kind)
+        return (carried.min(1, initial=1) == 0).tolist(), carried
+
     def forward(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States of a window of inputs (steps by streams), and the last state.
 
@@ -84,23 +82,26 @@ class GatedModel:
         gates, zr, nn = self.params[:3]
         k, kind = self.hidden, gates.dtype
         steps, streams = x.shape
-        pre = np.ascontiguousarray(gates[x].transpose(0, 2, 1))  # one gather for the whole window
+        pre = np.ascontiguousarray(gates.take(x, axis=0).transpose(0, 2, 1))  # one gather for the whole window
         out = np.empty((steps, k, streams), kind)
-        fresh = x == START
-        resets = fresh.any(1).tolist()
+        resets, carried = self._resets(x, kind)
         h = np.ascontiguousarray(h.T)
         if keep is not None:
             keep += [np.empty_like(out), pre, np.empty_like(out)]
-        zr_t, nn_t = np.ascontiguousarray(zr.T), np.ascontiguousarray(nn.T)
+        # a sigmoid is half a hyperbolic tangent of half its input: halves are exact, so all inputs are halved at once
+        pre[:, : 2 * k] *= 0.5
+        zr_t, nn_t = np.ascontiguousarray(zr.T) * kind.type(0.5), np.ascontiguousarray(nn.T)
         wide, product = np.empty((2 * k, streams), kind), np.empty((k, streams), kind)
         spare = np.empty((k, streams), kind)
         for t in range(steps):
             if resets[t]:
-                h = np.where(fresh[t], kind.type(0), h)
+                h = h * carried[t]
             a, n = pre[t, : 2 * k], pre[t, 2 * k :]
             np.matmul(zr_t, h, out=wide)
             a += wide
-            _sigmoid(a)
+            np.tanh(a, out=a)
+            a += 1
+            a *= 0.5
             rh = np.multiply(a[k:], h, out=spare if keep is None else keep[2][t])
             np.matmul(nn_t, rh, out=product)
             n += product
@@ -121,7 +122,7 @@ class GatedModel:
         gw, gb, cw, cb, ww, wb = self.params[3:]
         # in order of classes every head works on a slice
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        sorted_states, sorted_classes, sorted_words = states[order], classes[order], words[order]
+        sorted_states, sorted_classes, sorted_words = states.take(order, axis=0), classes[order], words[order]
         bounds = np.searchsorted(sorted_classes, np.arange(len(cb) + 1))
         logs, d = np.zeros(len(states)), np.zeros_like(sorted_states) if grad else None
         grads = [np.zeros_like(p) for p in (gw, gb, cw, cb, ww, wb)] if grad else []
@@ -132,14 +133,14 @@ class GatedModel:
             logits = w @ at.T
             logits += bias[:, None]
             logits -= logits.max(0)
-            cells = (target, np.arange(b - a))
-            chosen = logits[cells]
+            cells = target * (b - a) + np.arange(b - a)
+            chosen = logits.ravel()[cells]
             e = np.exp(logits, out=logits)
             total = e.sum(0)
             logs[a:b] += chosen - np.log(total)
             if grad:
                 e /= total
-                e[cells] -= 1
+                e.ravel()[cells] -= 1
                 grads[k][own] += e @ at
                 grads[k + 1][own] += e.sum(1)
                 d[a:b] += e.T @ w
@@ -160,9 +161,9 @@ class GatedModel:
         out[order] = logs
         if not grad:
             return out
-        d_states = np.empty_like(d)
-        d_states[order] = d
-        return out, d_states, grads
+        places = np.empty_like(order)
+        places[order] = np.arange(len(order))
+        return out, d.take(places, axis=0), grads
 
     def backward(self, x: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of the gates' parameters, back through the window's steps."""
@@ -176,8 +177,7 @@ class GatedModel:
         to_r = before * r * (1 - r)
         d_out = np.ascontiguousarray(d_out.transpose(0, 2, 1))
         d_pre = np.empty(pre.shape, d_out.dtype)
-        fresh = x == START
-        resets = fresh.any(1).tolist()
+        resets, carried = self._resets(x, d_out.dtype)
         d_h = np.zeros_like(d_out[0])
         for t in range(len(x) - 1, -1, -1):
             d_h += d_out[t]
@@ -191,14 +191,14 @@ class GatedModel:
             d_h += d_rh
             d_h += zr @ d[: 2 * k]
             if resets[t]:
-                d_h[:, fresh[t]] = 0
+                d_h *= carried[t]
         d_gates = np.zeros_like(gates)
         flat = d_pre.transpose(0, 2, 1).reshape(-1, 3 * k)
         if x.size:
-            order = np.argsort(x, axis=None, kind="stable")
+            order = np.argsort(x.astype(np.min_scalar_type(len(gates))), axis=None, kind="stable")
             inputs = x.ravel()[order]
             firsts = np.flatnonzero(np.r_[True, inputs[1:] != inputs[:-1]])
-            d_gates[inputs[firsts]] = np.add.reduceat(flat[order], firsts)
+            d_gates[inputs[firsts]] = np.add.reduceat(flat.take(order, axis=0), firsts)
         rows = lambda a: a.transpose(0, 2, 1).reshape(-1, k)
         return [d_gates, rows(before).T @ flat[:, : 2 * k], rows(gated).T @ flat[:, 2 * k :]]
 
@@ -207,7 +207,10 @@ class GatedModel:
         if not sequences:
             return 0
         x, classes, words, _ = laid_out(sequences, streams)
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params]
+        # all parameters lie in one array, of which each is a part
+        flat_params, bounds = self.packed(), np.cumsum([0, *(p.size for p in self.params)])
+        self.params = [flat_params[a:b].reshape(p.shape) for a, b, p in zip(bounds[:-1], bounds[1:], self.params, strict=True)]
+        m, v, change, spare = (np.zeros_like(flat_params) for _ in range(4))
         seen = step = 0
         windows = -(-len(x) // window) * epochs
         for _ in range(epochs):
@@ -217,19 +220,35 @@ class GatedModel:
                 kept: list = []
                 states, h = self.forward(xs, h, kept)
                 flat = states.reshape(-1, self.hidden)
-                _, d, heads = self.log_probabilities(flat[live], classes[t : t + window].ravel()[live], words[t : t + window].ravel()[live], True)
-                d_out = np.zeros_like(flat)
-                d_out[live] = d
+                own = (classes[t : t + window].ravel(), words[t : t + window].ravel())
+                if len(live) == len(flat):
+                    _, d_out, heads = self.log_probabilities(flat, *own, True)
+                else:
+                    _, d, heads = self.log_probabilities(flat[live], *(c[live] for c in own), True)
+                    d_out = np.zeros_like(flat)
+                    d_out[live] = d
                 grads = self.backward(xs, kept, d_out.reshape(states.shape)) + heads
                 seen += len(live)
                 step += 1
                 pace = rate * min(1.0, step / 20) * (1 - 0.8 * step / windows)
-                for k, g in enumerate(grads):
-                    g = np.clip(g / len(live), -1, 1)
-                    m, v = moments[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.params[k] = self.params[k] - np.float32(pace) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + np.float32(1e-6))
+                g = np.concatenate([x.ravel() for x in grads])
+                g /= len(live)
+                np.clip(g, -1, 1, out=g)
+                # m += 0.1 (g - m), v += 0.01 (g g - v), without arrays made anew
+                np.subtract(g, m, out=change)
+                change *= 0.1
+                m += change
+                g *= g
+                g -= v
+                g *= 0.01
+                v += g
+                np.divide(v, 1 - 0.99**step, out=spare)
+                np.sqrt(spare, out=spare)
+                spare += np.float32(1e-6)
+                np.divide(m, 1 - 0.9**step, out=change)
+                change *= np.float32(pace)
+                change /= spare
+                flat_params -= change
         return seen
 
     def score(self, sequences: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 32, streams: int = 512) -> np.ndarray:
@@ -242,8 +261,10 @@ class GatedModel:
         for t in range(0, len(x), window):
             live = np.flatnonzero(x[t : t + window].ravel() >= 0)
             states, h = self.forward(np.maximum(x[t : t + window], 0), h)
-            logs = self.log_probabilities(states.reshape(-1, self.hidden)[live], classes[t : t + window].ravel()[live], words[t : t + window].ravel()[live])
-            out += np.bincount(owner[t : t + window].ravel()[live], weights=logs, minlength=len(out))
+            flat, own = states.reshape(-1, self.hidden), [a[t : t + window].ravel() for a in (classes, words, owner)]
+            if len(live) < len(flat):
+                flat, own = flat[live], [a[live] for a in own]
+            out += np.bincount(own[2], weights=self.log_probabilities(flat, own[0], own[1]), minlength=len(out))
         return out
 
     def packed(self) -> np.ndarray:

@@ -405,6 +405,26 @@ def test_network_gradients(groups):
         assert abs((up - down) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at]))
 
 
+def test_training_steps_are_plain_adam_in_one_array():
+    """Parameters lie in one array that is changed in place; the step's values are those of the plain formula."""
+    rng = np.random.default_rng(6)
+    members = [np.array([0, 1]), np.array([], int)]
+    make = lambda: R.GatedModel(6, np.array([0.7, 0.3]), members, np.ones(2), hidden=4)
+    classes = rng.integers(0, 2, 20).astype(np.int32)
+    tokens = (np.r_[R.START, rng.integers(1, 6, 19)].astype(np.int32), classes, np.where(classes == 0, rng.integers(0, 2, 20), -1).astype(np.int32))
+    model, plain = make(), make()
+    assert model.train([tokens], window=32, rate=0.01) == 20
+    kept = []
+    x = tokens[0][:, None]
+    states, _ = plain.forward(x, np.zeros((1, 4), np.float32), kept)
+    _, d, heads = plain.log_probabilities(states.reshape(-1, 4), tokens[1], tokens[2], True)
+    for p, before, g in zip(model.params, plain.params, plain.backward(x, kept, d.reshape(states.shape)) + heads, strict=True):
+        g = np.clip(g / 20, -1, 1)
+        pace = np.float32(0.01 * (1 / 20) * (1 - 0.8))
+        assert np.allclose(p, before - pace * g / (np.abs(g) + 1e-6), atol=1e-7)
+    assert len({id(p.base) for p in model.params}) == 1 and model.params[0].base is not None
+
+
 @pytest.mark.parametrize("groups", [None, [0, 0]])
 def test_network_is_a_distribution(groups):
     members = [np.array([0, 1]), np.array([2, 3, 4])]
